@@ -1,10 +1,11 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import decontaminate, packing, rules, secrets, shards, toxicity
+from . import decontaminate, lm, packing, rules, secrets, shards, toxicity
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2,
     "op3_secret_ownership": secrets.op3,
+    "op4_deleted_interpolation": lm.op4,
     "op5_suffix_array_decontamination": decontaminate.op5,
     "op6_rule_ledger": rules.op6,
     "op8_hash_tree_shards": shards.op8,
