@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import decontaminate, lm, packing, rules, secrets, shards, toxicity
+from . import decontaminate, lm, neardup, packing, rules, secrets, shards, toxicity
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_suffix_array_decontamination": decontaminate.op5,
     "op6_rule_ledger": rules.op6,
     "op8_hash_tree_shards": shards.op8,
+    "op9_fast_similarity_sketches": neardup.op9,
     "op10_nnpu_toxicity": toxicity.op10,
 }
 SQL = {"op5_suffix_array_decontamination": decontaminate.SQL, "op3_secret_ownership": secrets.SQL, "op6_rule_ledger": rules.SQL}
