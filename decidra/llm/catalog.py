@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import decontaminate, lm, neardup, packing, rules, secrets, shards, toxicity
+from . import decontaminate, htmltext, lm, neardup, packing, rules, secrets, shards, toxicity
 
 QUERIES = {
+    "op1_consensus_host_paths": htmltext.op1,
     "op2_best_fit_packing": packing.op2,
     "op3_secret_ownership": secrets.op3,
     "op4_deleted_interpolation": lm.op4,
