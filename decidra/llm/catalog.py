@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import decontaminate, htmltext, lm, neardup, packing, rules, secrets, shards, toxicity
+from . import decontaminate, htmltext, lines, lm, neardup, packing, rules, secrets, shards, toxicity
 
 QUERIES = {
     "op1_consensus_host_paths": htmltext.op1,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_deleted_interpolation": lm.op4,
     "op5_suffix_array_decontamination": decontaminate.op5,
     "op6_rule_ledger": rules.op6,
+    "op7_winnowed_lines": lines.op7,
     "op8_hash_tree_shards": shards.op8,
     "op9_fast_similarity_sketches": neardup.op9,
     "op10_nnpu_toxicity": toxicity.op10,
