@@ -22,6 +22,7 @@ only the named columns are read, so extra columns can't clash.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -32,60 +33,65 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 #: Rows of either kind that are learned from, at most.
-SAMPLE = 10_000
+SAMPLE = 5_000
 BEGINNINGS, TIMES, FEATURES, SUPPORT = (4, 5, 6, 7), 4, 512, 5
 FOLDS, HELD_OUT = 5, 0
 WORD_BYTES = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
-def keys_of(word: bytes) -> list[str]:
-    """The word itself and its beginnings, as feature names."""
+def keys_of(word: bytes) -> list[int]:
+    """The word itself and its beginnings, as 30-bit hashes."""
     s = word.decode()
-    return [f"w:{s}", *(f"{k}:{s[:k]}" for k in BEGINNINGS if len(s) >= k)]
+    return [zlib.crc32(b"w" + word) >> 2, *(zlib.crc32(f"{k}{s[:k]}".encode()) >> 2 for k in BEGINNINGS if len(s) >= k)]
 
 
 def counts_of(text: str | None) -> Counter:
     return Counter((text or "").encode().translate(WORD_BYTES).split())
 
 
-def features_of(text: str | None) -> dict[str, int]:
-    """Feature names with their counts, TIMES at most."""
+def features_of(text: str | None) -> np.ndarray:
+    """Sorted features of a text: key * TIMES + t - 1 for each t up to the key's count."""
     out: Counter = Counter()
     for word, n in counts_of(text).items():
         for key in keys_of(word):
             out[key] += n
-    return {k: min(n, TIMES) for k, n in out.items()}
+    keys = np.fromiter(out.keys(), dtype=np.uint32, count=len(out))
+    times = np.minimum(np.fromiter(out.values(), dtype=np.int64, count=len(out)), TIMES)
+    return np.sort(np.concatenate([keys[times >= t] * np.uint32(TIMES) + np.uint32(t - 1) for t in range(1, TIMES + 1)]))
 
 
-def matrix(rows: list[dict[str, int]], index: dict[str, int]) -> np.ndarray:
-    out = np.zeros((len(rows), len(index) * TIMES), dtype=np.float32)
+def matrix(rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rows), len(chosen)), dtype=np.float32)
+    order = np.argsort(chosen)
     for r, row in enumerate(rows):
-        for key, n in row.items():
-            j = index.get(key)
-            if j is not None:
-                out[r, j * TIMES : j * TIMES + n] = 1
+        at = np.searchsorted(chosen, row, sorter=order)
+        there = at < len(chosen)
+        there[there] = chosen[order[at[there]]] == row[there]
+        out[r, order[at[there]]] = 1
     return out
 
 
-def chosen(positive: list[dict[str, int]], unlabelled: list[dict[str, int]]) -> list[tuple[str, int]]:
-    """(feature, times) that stand out among the positives, by a two-sample z value."""
-    seen = [Counter((k, t) for row in rows for k, n in row.items() for t in range(1, n + 1)) for rows in (positive, unlabelled)]
+def chosen_features(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
+    """The features that stand out among the positives, by a two-sample z value."""
+    known, n = np.unique(np.concatenate(positive), return_counts=True)
+    known, n = known[n >= SUPPORT], n[n >= SUPPORT]
+    others = np.zeros(len(known), dtype=np.int64)
+    for row in unlabelled:
+        at = np.minimum(np.searchsorted(known, row), max(len(known) - 1, 0))
+        if len(known):
+            others[at[known[at] == row]] += 1
     p, u = max(len(positive), 1), max(len(unlabelled), 1)
-    scored = []
-    for feature, n in seen[0].items():
-        if n >= SUPPORT:
-            a, b = n / p, seen[1][feature] / u
-            z = (a - b) / np.sqrt(a * (1 - a) / p + b * (1 - b) / u + 1e-6)
-            if z > 2:
-                scored.append((-z, feature))
-    return [f for _, f in sorted(scored)[:FEATURES]]
+    a, b = n / p, others / u
+    z = (a - b) / np.sqrt(a * (1 - a) / p + b * (1 - b) / u + 1e-6)
+    best = np.lexsort((known, -z))[:FEATURES]
+    return known[best[z[best] > 2]]
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 3e-3) -> tuple[np.ndarray, float]:
     """Weights and bias of the logistic classifier with the least non-negative risk (Adam)."""
     a, b = positive, unlabelled
-    w, bias = np.zeros(a.shape[1]), -2.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    w, bias = np.zeros(a.shape[1], dtype=np.float32), np.float32(-2.0)
+    m, v = np.zeros(len(w) + 1, dtype=np.float32), np.zeros(len(w) + 1, dtype=np.float32)
     for step in range(1, steps + 1):
         zp, zu = a @ w + bias, b @ w + bias
         sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
@@ -95,10 +101,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
             gp, gu = prior * (sp - 1) / len(a) + as_negative, of_unlabelled
         else:
             gp, gu = -as_negative, -of_unlabelled
-        g = np.append(a.T @ gp + b.T @ gu + decay * w, gp.sum() + gu.sum())
+        g = np.append(a.T @ gp.astype(np.float32) + b.T @ gu.astype(np.float32) + np.float32(decay) * w, gp.sum() + gu.sum()).astype(np.float32)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        w, bias = w - move[:-1], bias - move[-1]
+        w, bias = (w - move[:-1]).astype(np.float32), bias - move[-1]
     return w, float(bias)
 
 
@@ -107,7 +113,7 @@ def fold(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, list[float]], float]:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, list[float]], float]:
     """(weights of a feature by its count from 1 to TIMES, bias) from the training fold."""
     bounded_batches(docs.sparkSession)
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("__toxic"))
@@ -125,27 +131,24 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
 
     def run(batches):
         for batch in batches:
-            marked = batch.column(0).to_pylist()
-            for p, text in zip(marked, batch.column(1).to_pylist(), strict=True):
-                f = features_of(text)
-                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([list(f)], pa.list_(pa.string())), pa.array([list(f.values())], pa.list_(pa.int8()))], names=["p", "k", "n"])
+            for p, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([features_of(text).tobytes()], pa.binary())], names=["p", "f"])
 
     positive, unlabelled = [], []
-    for row in found.mapInArrow(run, "p boolean, k array<string>, n array<tinyint>").toLocalIterator():
-        (positive if row[0] else unlabelled).append(dict(zip(row[1], row[2], strict=True)))
+    # 2 * sample rows of about 5 kB.
+    for row in found.mapInArrow(run, "p boolean, f binary").collect():
+        (positive if row[0] else unlabelled).append(np.frombuffer(row[1], dtype=np.uint32))
     return train(positive, unlabelled, toxic / total)
 
 
-def train(positive: list[dict[str, int]], unlabelled: list[dict[str, int]], prior: float) -> tuple[dict[str, list[float]], float]:
-    best = chosen(positive, unlabelled)
-    if not best or not unlabelled:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[dict[int, list[float]], float]:
+    if not positive or not unlabelled:
         return {}, -50.0
-    index = {k: i for i, k in enumerate(dict.fromkeys(k for k, _ in best))}
-    columns = [index[k] * TIMES + t - 1 for k, t in best]
-    w, bias = fit(matrix(positive, index)[:, columns], matrix(unlabelled, index)[:, columns], prior)
-    weights = {k: [0.0] * TIMES for k in index}
-    for (key, t), x in zip(best, w, strict=True):
-        weights[key][t - 1] = float(x)
+    best = chosen_features(positive, unlabelled)
+    w, bias = fit(matrix(positive, best), matrix(unlabelled, best), prior)
+    weights: dict[int, list[float]] = {}
+    for feature, x in zip(best.tolist(), w.tolist(), strict=True):
+        weights.setdefault(feature // TIMES, [0.0] * TIMES)[feature % TIMES] = x
     return {k: np.cumsum(x).tolist() for k, x in weights.items()}, bias
 
 
@@ -154,7 +157,7 @@ class Scorer:
 
     MEMORY = 200_000
 
-    def __init__(self, weights: dict[str, list[float]], bias: float):
+    def __init__(self, weights: dict[int, list[float]], bias: float):
         self.weights, self.bias, self.known = weights, bias, {}
 
     def score(self, text: str | None) -> float:
@@ -172,7 +175,7 @@ class Scorer:
         return float(1 / (1 + np.exp(-z)))
 
 
-def score(docs: DataFrame, model: tuple[dict[str, list[float]], float], keep: list[str]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[dict[int, list[float]], float], keep: list[str]) -> DataFrame:
     """The columns `keep` of `docs` (renamed to __0, __1, ...) and `score`."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)], F.col("text").alias("__text"))
