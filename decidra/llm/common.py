@@ -27,21 +27,21 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder once and return the written table."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write `df` to the shared folder once, if asked in folders by a column, and return the table."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
 
 
-def release(table: DataFrame) -> None:
-    """Delete a table made by `materialize` that nothing reads any more."""
+def release(table: DataFrame, part: str = "") -> None:
+    """Delete a table made by `materialize`, or one of its folders, that nothing reads any more."""
     spark = table.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table.written_to}/{part}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -33,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, partitions
+from .common import bounded_batches, materialize, partitions, release
 
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 600_000
 FOLDS, SCORED_ONLY, DELETED = 5, 1, 10
 #: Context buckets: never seen, once, 2-3, 4-7 and so on; the last one has all above.
 BUCKETS = 16
+#: Bits of a bigram's hash; words have all 64.  Of 10 ** 12 bigrams one in 300 would share a hash.
+PAIR_BITS = 48
 #: Steps of a ratio's logarithm to base two, and levels of a ratio.
 STEPS, LEVELS = 8, 512
 START, END = b"\n\n", b"\n"
@@ -66,11 +68,11 @@ def expand(data: bytes, kind) -> np.ndarray:
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of pairs of hashes."""
+    """A hash of pairs of hashes, of PAIR_BITS bits."""
     x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29)))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return (x ^ (x >> np.uint64(31))) >> np.uint64(64 - PAIR_BITS)
 
 
 def pairs(vocabulary: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,29 +103,38 @@ class Block:
         self.tokens.append(np.array(tokens, dtype=np.uint32))
         self.count += len(tokens)
 
-    def row(self, bits: int) -> dict:
+    def rows(self, bits: int, id_type) -> pa.RecordBatch:
+        """The block as rows: first its body, then its n-grams by order and range of hashes."""
         import xxhash
 
         vocabulary = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.places), dtype=np.uint64, count=len(self.places))
+        self.places.clear()
         tokens, sizes = np.concatenate(self.tokens), np.array(self.sizes, dtype=np.int64)
+        self.tokens = []
         taught = np.repeat(~np.array(self.held), sizes)
         ones = np.bincount(tokens[taught], minlength=len(vocabulary)).astype(np.uint32)
         ones[0] = sum(not h for h in self.held)
         order = np.argsort(vocabulary)
-        out = self.cut(1, vocabulary[order], ones[order], bits)
         keys, _ = pairs(vocabulary, tokens, sizes)
         known, inverse = np.unique(keys, return_inverse=True)
-        out += self.cut(2, known, np.bincount(inverse[taught], minlength=len(known)).astype(np.uint32), bits)
-        return {"deleted": self.deleted, "ids": self.ids, "held": self.held, "sizes": squeeze(sizes), "vocabulary": squeeze(vocabulary), "tokens": squeeze(tokens), "asked": out}
-
-    @staticmethod
-    def cut(order: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> list[dict]:
-        """The sorted keys in 2 ** bits ranges of hash values."""
-        edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(keys)]
-        return [
-            {"order": order, "part": p, "keys": squeeze(np.diff(keys[a:b], prepend=np.uint64(0))), "counts": squeeze(counts[a:b])}
-            for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a
-        ]
+        twos = np.bincount(inverse[taught], minlength=len(known)).astype(np.uint32)
+        asked = [*cut(1, vocabulary[order], ones[order], 64, bits), *cut(2, known, twos, PAIR_BITS, bits)]
+        gap = [None] * len(asked)
+        name = [uuid.uuid4().hex] * (1 + len(asked))
+        columns = {
+            "kind": (["body", *["asked"] * len(asked)], pa.string()), "block": (name, pa.string()), "deleted": ([self.deleted] * len(name), pa.bool_()),
+            "ids": ([self.ids, *gap], pa.list_(id_type)), "held": ([self.held, *gap], pa.list_(pa.bool_())), "sizes": ([squeeze(sizes), *gap], pa.binary()),
+            "vocabulary": ([squeeze(vocabulary), *gap], pa.binary()), "tokens": ([squeeze(tokens), *gap], pa.binary()),
+        }
+        for k, (field, kind) in enumerate((("order", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()))):
+            columns[field] = ([None, *(x[k] for x in asked)], kind)
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
+
+
+def cut(order: int, keys: np.ndarray, counts: np.ndarray, width: int, bits: int) -> list[tuple[int, int, bytes, bytes]]:
+    """The sorted keys of `width` bits in 2 ** bits ranges: (order, part, keys, counts)."""
+    edges = [*np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(width - bits)).tolist(), len(keys)]
+    return [(order, p, squeeze(np.diff(keys[a:b], prepend=np.uint64(0))), squeeze(counts[a:b])) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
 
 
 def blocks(docs: DataFrame, bits: int) -> DataFrame:
@@ -141,24 +152,15 @@ def blocks(docs: DataFrame, bits: int) -> DataFrame:
                 deleted = not held and zlib.crc32((text or "").encode()) % DELETED == 0
                 block = open_[deleted]
                 if block.count and block.count + len(text or "") // 5 > BLOCK_TOKENS:
-                    yield sent(block, bits, id_type)
+                    yield block.rows(bits, id_type)
                     block = open_[deleted] = Block(deleted)
                 block.add(doc_id, held, text)
         for block in open_.values():
             if block.count:
-                yield sent(block, bits, id_type)
-
-    return rows.mapInArrow(run, f"block string, deleted boolean, ids array<{kind}>, held array<boolean>, sizes binary, vocabulary binary, tokens binary, asked array<struct<order:int,part:int,keys:binary,counts:binary>>")
-
-
-ASKED = pa.list_(pa.struct([("order", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
-
+                yield block.rows(bits, id_type)
 
-def sent(block: Block, bits: int, id_type) -> pa.RecordBatch:
-    row = block.row(bits)
-    columns = [pa.array([uuid.uuid4().hex]), pa.array([row["deleted"]]), pa.array([row["ids"]], pa.list_(id_type)), pa.array([row["held"]], pa.list_(pa.bool_()))]
-    columns += [pa.array([row[k]], pa.binary()) for k in ("sizes", "vocabulary", "tokens")]
-    return pa.RecordBatch.from_arrays([*columns, pa.array([row["asked"]], ASKED)], names=["block", "deleted", "ids", "held", "sizes", "vocabulary", "tokens", "asked"])
+    body = f"kind string, block string, deleted boolean, ids array<{kind}>, held array<boolean>, sizes binary, vocabulary binary, tokens binary"
+    return rows.mapInArrow(run, f"{body}, order int, part int, keys binary, counts binary")
 
 
 ANSWER = "block string, order int, part int, kept binary, deleted binary, n_kept long, v_kept long, n_all long, v_all long"
@@ -267,13 +269,14 @@ def interpolate(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = docs.sparkSession
     bits = max(4, (partitions(spark) - 1).bit_length())
-    made = materialize(blocks(docs, bits), "lm-blocks")
-    asked = made.select("block", "deleted", F.explode("asked").alias("a")).select("block", "deleted", "a.*")
+    made = materialize(blocks(docs, bits), "lm-blocks", "kind")
+    asked = made.where("kind = 'asked'").select("block", "deleted", "order", "part", "keys", "counts")
     answers = materialize(asked.groupBy("order", "part").applyInArrow(answered, ANSWER), "lm-answers")
+    release(made, "kind=asked")
     totals = answers.where(F.col("block").isNull()).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOTALS]).first()
     n_kept, v_kept, n_all, v_all = (int(x) for x in totals)
     answers = answers.where(F.col("block").isNotNull()).drop(*TOTALS)
-    body = made.drop("asked")
+    body = made.where("kind = 'body'").select("block", "deleted", "ids", "held", "sizes", "vocabulary", "tokens")
     deleted = body.where("deleted").select("block")
     # One row per deleted block: far fewer than documents, so the semi join may stay a shuffle.
     told = answers.join(deleted, "block", "left_semi")
