@@ -2,15 +2,17 @@
 
 A line ends at a line break; long lines are wrapped behind punctuation, so that a passage
 that another text takes up in the middle of a line still has whole lines in common with it.
-Every pair of neighbouring lines is hashed, and of each WINDOW consecutive pair hashes the
-smallest is selected: texts that share WINDOW + 1 lines in a row share a selected hash.  A
-line of MIN_WORDS words or more is selected by itself, too.
+Every GRAM lines in a row are hashed, and of each WINDOW consecutive hashes the smallest is
+selected: texts that share GRAM + WINDOW - 1 lines in a row share a selected hash.  A line of
+MIN_CHARS characters or more is selected by itself, too.
 
 Selected hashes are joined with their first occurrence in the corpus (by doc_id, then text
-hash, then place), not with each other.  Where a later occurrence and the first one lie on the
-same diagonal of the same two texts, the match is extended both ways as far as the lines agree, and
-runs of MIN_WORDS words or more are deleted from the later text (or place).  A run is only
-deleted in favour of an earlier one, so one copy always stays.
+hash, then place), not with each other.  Where later occurrences and first ones lie on one
+diagonal of the same two texts, the match is extended both ways as far as the lines agree, up
+to EXTEND lines beyond the outermost selected places (what agrees beyond holds selected places
+of its own).  Runs of MIN_CHARS characters or more, about 25 to 30 words, are deleted from the
+later text (or place).  A run is only deleted in favour of an earlier one, so one copy
+always stays.
 
 Defined cases: null texts stay null, texts without repeated runs stay as they are to the
 letter; null doc_ids come first; rows equal in doc_id and text are one text and repeat each
@@ -25,74 +27,87 @@ from pyspark.sql import functions as F
 
 from .common import let, materialize
 
-MIN_WORDS, WINDOW = 30, 4
-BREAK = r"(?<=\n)|(?<=[.,;:!?] )"
+GRAM, WINDOW, EXTEND, MIN_CHARS = 3, 3, 16, 160
+LINE = r"[^\n.,;:!?]*+(?:[.,;:!?]++[ \n]*+|\n++|\z)"
 #: Texts with deletions (about 100 bytes each) up to this many are broadcast: 30 MB.
 BROADCAST_ROWS = 300_000
 
 
 def lines_of(text: Column) -> Column:
     """The lines, each with the white space behind it; together they are the text."""
-    return F.split(text, BREAK, -1)
+    return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
 
 
-def fingerprints(hashes: Column, words: Column) -> Column:
-    """Structs f (hash) and p (place): window minima of pair hashes, and long lines."""
-    size = F.size(hashes)
-    pairs = F.when(size > 1, F.transform(F.sequence(F.lit(0), size - 2), lambda i: F.xxhash64(hashes[i], hashes[i + 1])))
+def fingerprints(hashes: Column, sizes: Column) -> Column:
+    """Structs f (hash) and p (place): window minima of the grams' hashes, and long lines.
+
+    Grams and windows at the end of a text are shorter.  A place is selected if its hash is
+    the largest of the minima of the windows around it.
+    """
+    after = lambda a, k: F.slice(a, k + 1, F.greatest(F.size(a), F.lit(1)))
+    nothing = F.lit(None).cast("bigint")
+
+    def grams(h: Column) -> Column:
+        return F.zip_with(F.zip_with(h, after(h, 1), lambda x, y: F.xxhash64(x, y)), after(h, 2), lambda x, y: F.xxhash64(x, y))
 
     def minima(g: Column) -> Column:
-        inside = lambda i: let(F.slice(g, i + 1, WINDOW), lambda s: (i + F.array_position(s, F.array_min(s)) - 1).cast("int"))
-        last = F.greatest(F.size(g) - WINDOW, F.lit(0))
-        places = F.array_distinct(F.transform(F.sequence(F.lit(0), last), inside))
-        return F.transform(places, lambda p: F.struct(g[p].alias("f"), p.alias("p")))
+        return F.zip_with(F.zip_with(g, after(g, 1), lambda x, y: F.least(x, y)), after(g, 2), lambda x, y: F.least(x, y))
+
+    def selected(g: Column) -> Column:
+        def places(m: Column) -> Column:
+            most = F.zip_with(F.zip_with(m, F.concat(F.array(nothing), m), lambda x, y: F.greatest(x, y)), F.concat(F.array(nothing, nothing), m), lambda x, y: F.greatest(x, y))
+            return F.filter(F.zip_with(F.transform(g, lambda x, i: F.struct(x.alias("f"), i.alias("p"))), most, lambda x, y: F.when(x["f"] == y, x)), lambda x: x.isNotNull())
+
+        return let(minima(g), places)
 
-    none = F.array().cast("array<struct<f:bigint,p:int>>")
-    selected = F.when(size > 1, let(pairs, minima)).otherwise(none)
-    long_ones = F.filter(F.transform(words, lambda n, i: F.when(n >= MIN_WORDS, F.struct(F.xxhash64(hashes[i]).alias("f"), i.alias("p")))), lambda x: x.isNotNull())
-    return F.concat(selected, long_ones)
+    long_ones = F.filter(F.transform(sizes, lambda n, i: F.when(n >= MIN_CHARS, F.struct(F.xxhash64(hashes[i]).alias("f"), i.alias("p")))), lambda x: x.isNotNull())
+    return F.concat(let(grams(hashes), selected), long_ones)
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """__d, __h (the text's name), its lines' hashes and words, and its fingerprints."""
-    each = F.transform(lines_of(F.col("text")), lambda x: let(F.btrim(x, F.lit(" \t\r\n")), lambda t: F.struct(F.xxhash64(t).alias("h"), F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).alias("n"))))
-    rows = docs.where(F.length("text") > 0).select(F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__h"), each.alias("__l"))
-    split = rows.select("__d", "__h", F.transform("__l", lambda x: x["h"]).alias("hashes"), F.transform("__l", lambda x: x["n"]).alias("words"))
-    return split.select("*", fingerprints(F.col("hashes"), F.col("words")).alias("prints"))
+    """__d, __h (the text's name), its lines' hashes and sizes, and its fingerprints."""
+    lines = F.transform(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(" \t\r\n")))
+    rows = docs.where(F.length("text") > 0).select(F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__h"), lines.alias("__l"))
+    split = rows.select("__d", "__h", F.transform("__l", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("__l", lambda x: F.length(x)).alias("sizes"))
+    return split.select("*", fingerprints(F.col("hashes"), F.col("sizes")).alias("prints"))
 
 
 def diagonals(table: DataFrame) -> DataFrame:
-    """Later text (__d, __h), earlier text (__d0, __h0) and shift between their places."""
+    """Later text (__d, __h), earlier text (__d0, __h0), shift between their places, and the
+    outermost selected places (low, high) of the later one."""
     found = table.select("__d", "__h", F.explode("prints").alias("x")).select(F.col("x.f").alias("f"), F.struct("__d", "__h", F.col("x.p").alias("p")).alias("at"))
     first = found.groupBy("f").agg(F.min("at").alias("first"), F.max("at").alias("last")).where(F.col("first") < F.col("last")).select("f", "first")
     later = found.join(first, "f").where(F.col("at") > F.col("first"))
-    return later.select("at.__d", "at.__h", F.col("first.__d").alias("__d0"), F.col("first.__h").alias("__h0"), (F.col("at.p") - F.col("first.p")).alias("shift")).distinct()
+    of = later.select("at.__d", "at.__h", F.col("first.__d").alias("__d0"), F.col("first.__h").alias("__h0"), (F.col("at.p") - F.col("first.p")).alias("shift"), F.col("at.p").alias("p"))
+    return of.groupBy("__d", "__h", "__d0", "__h0", "shift").agg(F.min("p").alias("low"), F.max("p").alias("high"))
 
 
-def repeated_runs(hashes: Column, words: Column, earlier: Column, shift: Column) -> Column:
-    """Maximal runs (start, end inclusive) of equal lines on a diagonal, with MIN_WORDS words."""
-    low = F.greatest(shift, F.lit(0))
-    high = F.least(F.size(hashes), F.size(earlier) + shift) - 1
+def repeated_runs(hashes: Column, sizes: Column, earlier: Column, shift: Column, low: Column, high: Column) -> Column:
+    """Maximal runs (start, end inclusive) of equal lines on a diagonal, of MIN_CHARS characters."""
+    first = F.greatest(shift, F.lit(0), low - EXTEND)
+    last = F.least(F.size(hashes), F.size(earlier) + shift, high + GRAM + EXTEND) - 1
 
     def between(ends: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(0), F.size(ends) - 2), lambda j: F.struct((ends[j] + 1).alias("start"), (ends[j + 1] - 1).alias("end")))
-        size = lambda r: F.aggregate(F.slice(words, r["start"] + 1, r["end"] - r["start"] + 1), F.lit(0), lambda a, x: a + x)
-        return F.filter(runs, lambda r: F.when(r["end"] >= r["start"], size(r) >= MIN_WORDS).otherwise(F.lit(False)))
+        size = lambda r: F.aggregate(F.slice(sizes, r["start"] + 1, r["end"] - r["start"] + 1), F.lit(0), lambda a, x: a + x)
+        return F.filter(runs, lambda r: F.when(r["end"] >= r["start"], size(r) >= MIN_CHARS).otherwise(F.lit(False)))
 
-    differ = F.filter(F.sequence(low, high), lambda i: hashes[i] != earlier[i - shift])
-    return F.when(high >= low, let(F.concat(F.array(low - 1), differ, F.array(high + 1)), between))
+    n = last - first + 1
+    differ = F.zip_with(F.slice(hashes, first + 1, n), F.slice(earlier, first - shift + 1, n), lambda x, y: x != y)
+    places = F.filter(F.transform(differ, lambda b, i: F.when(b, i + first)), lambda i: i.isNotNull())
+    return F.when(n > 0, let(F.concat(F.array(first - 1), places, F.array(last + 1)), between))
 
 
 def deletions(docs: DataFrame) -> DataFrame:
     """__d, __h and __runs of every text that loses lines."""
     table = materialize(hashed(docs), "lines")
-    arrays = table.select("__d", "__h", "hashes", "words").dropDuplicates(["__d", "__h"])
+    arrays = table.select("__d", "__h", "hashes", "sizes").dropDuplicates(["__d", "__h"])
     pairs = materialize(diagonals(table), "diagonals")
     same = lambda a, b: a.eqNullSafe(b)
-    mine = arrays.select(F.col("__d").alias("__d1"), F.col("__h").alias("__h1"), "hashes", "words")
+    mine = arrays.select(F.col("__d").alias("__d1"), F.col("__h").alias("__h1"), "hashes", "sizes")
     theirs = arrays.select(F.col("__d").alias("__d2"), F.col("__h").alias("__h2"), F.col("hashes").alias("earlier"))
     both = pairs.join(theirs, (F.col("__h0") == F.col("__h2")) & same(F.col("__d0"), F.col("__d2"))).join(mine, (F.col("__h") == F.col("__h1")) & same(F.col("__d"), F.col("__d1")))
-    runs = both.select("__d", "__h", F.explode(repeated_runs(F.col("hashes"), F.col("words"), F.col("earlier"), F.col("shift"))).alias("r"))
+    runs = both.select("__d", "__h", F.explode(repeated_runs(*map(F.col, ("hashes", "sizes", "earlier", "shift", "low", "high")))).alias("r"))
     return runs.groupBy("__d", "__h").agg(F.sort_array(F.collect_set("r")).alias("__runs"))
 
 
