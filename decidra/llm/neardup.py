@@ -16,7 +16,8 @@ bucket, its hub.  First every node is compared with one of its hubs; then, where
 a node and another of its hubs in different components, with those.  What then still has
 different components in a bucket is settled in pairs of bounded blocks of the bucket: sketches
 of 1024 coordinates meet in numpy, and only pairs of different components whose sizes allow
-a link and whose sketches agree well enough are emitted and confirmed on the full sets.  A
+a link and whose sketches agree well enough are emitted, in the first band they share alone,
+and confirmed on the full sets.  A
 link inside a component can't change the result, so none that matters is left out.
 
 Nothing is collected to the driver but counts.
@@ -213,18 +214,22 @@ def near_in_buckets(rest: DataFrame, sets: DataFrame, threshold: int) -> DataFra
     def finer(batches):
         sketcher = Sketcher(FINE)
         for batch in batches:
-            cut = [sketcher.sketch(np.frombuffer(x, dtype=np.uint64)).astype(np.uint8).tobytes() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, pa.binary())], names=["node", "n", "fine"])
+            sets_ = [np.frombuffer(x, dtype=np.uint64) for x in batch.column(2).to_pylist()]
+            cut = [sketcher.sketch(x).astype(np.uint8).tobytes() for x in sets_]
+            own = [bands(sketch(x)).tobytes() for x in sets_]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, pa.binary()), pa.array(own, pa.binary())], names=["node", "n", "fine", "own"])
 
-    fine = materialize(sets.join(nodes, "node", "left_semi").select("node", "n", "set").mapInArrow(finer, "node binary, n long, fine binary"), "fine")
+    fine = materialize(sets.join(nodes, "node", "left_semi").select("node", "n", "set").mapInArrow(finer, "node binary, n long, fine binary, own binary"), "fine")
     sizes = rest.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = rest.join(sizes, "band").join(fine, "node").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = placed.select("band", "node", "c", "n", "fine", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    met = met.select("band", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "node", "c", "n", "fine")
+    met = placed.select("band", "node", "c", "n", "fine", "own", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    met = met.select("band", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "node", "c", "n", "fine", "own")
 
     def meet(table: pa.Table) -> pa.Table:
         block, node, comp = table["i"].to_numpy(), table["node"].to_pylist(), table["c"].to_pylist()
         n, data = table["n"].to_numpy(), np.frombuffer(b"".join(table["fine"].to_pylist()), dtype=np.uint8).reshape(-1, FINE)
+        own = np.frombuffer(b"".join(table["own"].to_pylist()), dtype=np.int64).reshape(-1, BANDS)
+        place = int(np.flatnonzero(own[0] == table["band"][0].as_py())[0])
         numbers = {c: k for k, c in enumerate(dict.fromkeys(comp))}
         comp = np.array([numbers[c] for c in comp])
         x, y = table["x"][0].as_py(), table["y"][0].as_py()
@@ -235,6 +240,7 @@ def near_in_buckets(rest: DataFrame, sets: DataFrame, threshold: int) -> DataFra
             fit = (comp[others] != comp[r]) & (100 * np.minimum(n[others], n[r]) >= threshold * np.maximum(n[others], n[r]))
             others = others[fit]
             if len(others):
+                others = others[np.argmax(own[others] == own[r], axis=1) == place]
                 near = others[(data[others] == data[r]).sum(axis=1) >= FINE_SHARE * FINE]
                 for q in near:
                     a, b = sorted((node[r], node[q]))
