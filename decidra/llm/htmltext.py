@@ -33,7 +33,7 @@ from .common import bounded_batches, materialize
 #: Winning paths of a host: the WINNERS best ones with at least SHARE of its votes.
 WINNERS, SHARE = 4, 0.02
 #: A path fits a page if its elements hold this share of the page's prose.
-FITS, HOLDS = 0.5, 0.8
+FITS, HOLDS, NEARLY = 0.2, 0.8, 1.25
 #: Winners (about 200 bytes each) up to this many are broadcast: 20 MB.
 BROADCAST_ROWS = 100_000
 PATH_STEPS = 8
@@ -254,7 +254,12 @@ class Page:
         if article or main:
             return article or main
         heading = next((i for i, n in enumerate(nodes) if n.tag == "h1" and self.good(i)), 0)
-        return self._around(at, heading) if heading else at
+        at = self._around(at, heading) if heading else at
+        up = nodes[at].parent
+        while up > 0 and nodes[up].tag in CONTAINERS and nodes[up].tag not in ("body", "html") and nodes[up].prose <= NEARLY * nodes[at].prose:
+            # A little more prose beside it: headings, short blocks.
+            at, up = (up if nodes[up].prose > nodes[at].prose else at), nodes[up].parent
+        return at
 
     def _around(self, at: int, heading: int) -> int:
         """The nearest container of both, unless that is the page itself."""

@@ -111,30 +111,40 @@ def deletions(docs: DataFrame) -> DataFrame:
     return runs.groupBy("__d", "__h").agg(F.sort_array(F.collect_set("r")).alias("__runs"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """`docs` with repeated runs deleted from `text`, and `n_removed`, the lines that went."""
-    gone = materialize(deletions(docs), "deletions")
+def _cut(docs: DataFrame) -> DataFrame:
+    """The columns of `docs` as __0, __1, ..., the new text as __new and __removed, the lines that went."""
+    gone = materialize(deletions(docs.select("doc_id", "text")), "deletions")
+    gone = gone.select(F.col("__d").alias("__gone_d"), F.col("__h").alias("__gone_h"), F.col("__runs").alias("__gone_runs"))
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    joined = docs.join(side, (F.xxhash64(docs["text"]) == side["__h"]) & docs["doc_id"].eqNullSafe(side["__d"]), "left")
+    named = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(docs.columns)])
+    text, key = (F.col(f"__{docs.columns.index(c)}") for c in ("text", "doc_id"))
+    joined = named.join(side, (F.xxhash64(text) == F.col("__gone_h")) & key.eqNullSafe(F.col("__gone_d")), "left")
 
     def kept(lines: Column) -> Column:
-        stays = F.filter(F.transform(lines, lambda x, i: F.when(~F.exists("__runs", lambda r: (r["start"] <= i) & (i <= r["end"])), x)), lambda x: x.isNotNull())
+        stays = F.filter(F.transform(lines, lambda x, i: F.when(~F.exists("__gone_runs", lambda r: (r["start"] <= i) & (i <= r["end"])), x)), lambda x: x.isNotNull())
         return F.struct(F.array_join(stays, "").alias("t"), (F.size(lines) - F.size(stays)).cast("long").alias("n"))
 
-    cut = F.when(F.col("__runs").isNotNull(), let(lines_of(docs["text"]), kept))
-    named = joined.select(*[docs[c] for c in docs.columns if c != "text"], docs["text"].alias("__text"), cut.alias("__cut"))
-    out = named.withColumn("text", F.when(F.col("__cut").isNotNull(), F.col("__cut.t")).otherwise(F.col("__text")))
-    out = out.withColumn("n_removed", F.coalesce(F.col("__cut.n"), F.lit(0).cast("long")))
-    return out.select(*docs.columns, "n_removed") if "n_removed" not in docs.columns else out.select(*docs.columns)
+    cut = F.when(F.col("__gone_runs").isNotNull(), let(lines_of(text), kept))
+    found = joined.select(*named.columns, cut.alias("__cut"))
+    new = F.when(F.col("__cut").isNotNull(), F.col("__cut.t")).otherwise(text)
+    return found.select(*named.columns, new.alias("__new"), F.coalesce(F.col("__cut.n"), F.lit(0).cast("long")).alias("__removed"))
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """`docs` with repeated runs deleted from `text`, and `n_removed`, the lines that went.
+
+    A column `n_removed` of `docs` is replaced.
+    """
+    own = [F.col("__new").alias(c) if c == "text" else F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns) if c != "n_removed"]
+    return _cut(docs).select(*own, F.col("__removed").alias("n_removed"))
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """`docs` without repeated runs, with `n_chars` brought up to date; texts that lose all go."""
-    names = docs.columns
-    rows = dedup_lines(docs.select("doc_id", "text", *[F.col(c).alias(f"__c{i}") for i, c in enumerate(names) if c not in ("doc_id", "text")]))
-    rows = rows.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    value = lambda i, c: F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(f"__c{i}")) if c == "n_chars" else F.col(f"__c{i}")
-    return rows.select(*[F.col(c) if c in ("doc_id", "text") else value(i, c).alias(c) for i, c in enumerate(names)])
+    rows = _cut(docs).where((F.col("__removed") == 0) | (F.trim("__new") != ""))
+    size = F.when(F.col("__removed") > 0, F.length("__new").cast("long"))
+    own = lambda i, c: F.col("__new") if c == "text" else F.coalesce(size, f"__{i}") if c == "n_chars" else F.col(f"__{i}")
+    return rows.select(*[own(i, c).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
