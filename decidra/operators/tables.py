@@ -14,7 +14,6 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + os.path.join(tempfile.gettempdir(), "decidra-shared")
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
