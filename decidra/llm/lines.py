@@ -77,6 +77,8 @@ def diagonals(table: DataFrame) -> DataFrame:
     outermost selected places (low, high) of the later one."""
     found = table.select("__d", "__h", F.explode("prints").alias("x")).select(F.col("x.f").alias("f"), F.struct("__d", "__h", F.col("x.p").alias("p")).alias("at"))
     first = found.groupBy("f").agg(F.min("at").alias("first"), F.max("at").alias("last")).where(F.col("first") < F.col("last")).select("f", "first")
+    # A written table, so that both sides of the join are shuffled alike and a hot hash can be split.
+    first = materialize(first, "firsts")
     later = found.join(first, "f").where(F.col("at") > F.col("first"))
     of = later.select("at.__d", "at.__h", F.col("first.__d").alias("__d0"), F.col("first.__h").alias("__h0"), (F.col("at.p") - F.col("first.p")).alias("shift"), F.col("at.p").alias("p"))
     return of.groupBy("__d", "__h", "__d0", "__h0", "shift").agg(F.min("p").alias("low"), F.max("p").alias("high"))

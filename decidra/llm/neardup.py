@@ -290,7 +290,8 @@ def near_duplicates(docs: DataFrame, k: int = K, threshold: int = THRESHOLD) ->
     nodes = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min("bands").alias("bands"))
     cut = materialize(nodes.select("node", "doc_id", "n", F.explode("bands").alias("band")), "bands")
     hubs = cut.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("band", "node").alias("o"), F.col("node").alias("hub"))).alias("h"))
-    hubs = hubs.where("c > 1").select("band", "h.hub")
+    # Written tables on one side let adaptive execution split a join's hot keys on the other.
+    hubs = materialize(hubs.where("c > 1").select("band", "h.hub"), "hubs")
     stars = materialize(cut.join(hubs, "band"), "buckets")
     wanted = stars.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = materialize(sets_of(docs, materialize(wanted, "wanted"), k), "sets")
@@ -309,7 +310,7 @@ def near_duplicates(docs: DataFrame, k: int = K, threshold: int = THRESHOLD) ->
     links = links.unionByName(materialize(linked(last, sets, threshold), "confirmed"))
     labels = materialize(components(links), "labels")
     named = joined(rows.select("doc_id", "n_shingles", "node"), labels, "node", "__c")
-    smallest = named.where(F.col("__c").isNotNull()).groupBy("__c").agg(F.min("doc_id").alias("__least"))
+    smallest = materialize(named.where(F.col("__c").isNotNull()).groupBy("__c").agg(F.min("doc_id").alias("__least")), "smallest")
     out = named.join(smallest, "__c", "left").withColumn("component_id", F.when(F.col("__c").isNull(), F.col("doc_id")).otherwise(F.col("__least")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -94,6 +94,8 @@ def scan(docs: DataFrame, owner_cols=("source",), repo_cols=("source", "lang"))
     each = with_any.select(F.explode("__spans").alias("s"), "__owner", "__repo").select(F.sha2("s.value", 256).alias("__hash"), "__owner", "__repo")
     held = each.groupBy("__hash", "__owner", "__repo").agg(F.lit(1).alias("x")).groupBy("__hash", "__owner").agg(F.count("x").alias("r"))
     held = held.groupBy("__hash").agg(F.count(F.lit(1)).alias("__owners"), F.sum("r").alias("__repos"))
+    # A written table, so that both sides of the join are shuffled alike and a hot hash can be split.
+    held = materialize(held, "held")
     one = with_any.groupBy("__key").agg(F.first("__spans").alias("__spans"))
     one = one.select("__key", F.explode("__spans").alias("s")).withColumn("__hash", F.sha2("s.value", 256))
     known = one.join(held, "__hash").where((F.col("s.kind") < 3) | (F.col("__owners") <= MAX_OWNERS))
