@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Arrow batches that reach Python hold at most so many bytes, however long the texts are.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:

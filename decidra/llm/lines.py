@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import let, materialize
 
-GRAM, WINDOW, EXTEND, MIN_CHARS = 3, 3, 16, 160
+GRAM, WINDOW, EXTEND, MIN_CHARS = 2, 3, 12, 160
 LINE = r"[^\n.,;:!?]*+(?:[.,;:!?]++[ \n]*+|\n++|\z)"
 #: Texts with deletions (about 100 bytes each) up to this many are broadcast: 30 MB.
 BROADCAST_ROWS = 300_000
@@ -48,7 +48,7 @@ def fingerprints(hashes: Column, sizes: Column) -> Column:
     nothing = F.lit(None).cast("bigint")
 
     def grams(h: Column) -> Column:
-        return F.zip_with(F.zip_with(h, after(h, 1), lambda x, y: F.xxhash64(x, y)), after(h, 2), lambda x, y: F.xxhash64(x, y))
+        return F.zip_with(h, after(h, 1), lambda x, y: F.xxhash64(x, y))
 
     def minima(g: Column) -> Column:
         return F.zip_with(F.zip_with(g, after(g, 1), lambda x, y: F.least(x, y)), after(g, 2), lambda x, y: F.least(x, y))

@@ -63,7 +63,7 @@ def stirred(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     """Hashes of words; forgets all of them when it has met LIMIT words."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

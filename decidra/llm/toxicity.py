@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 #: Rows of either kind that are learned from, at most.
-SAMPLE = 5_000
+SAMPLE = 3_000
 BEGINNINGS, TIMES, FEATURES, SUPPORT = (4, 5, 6, 7), 4, 512, 5
 FOLDS, HELD_OUT = 5, 0
 WORD_BYTES = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -155,7 +155,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 class Scorer:
     """Scores texts; remembers which features the words it has met have, in a bounded table."""
 
-    MEMORY = 200_000
+    MEMORY = 100_000
 
     def __init__(self, weights: dict[int, list[float]], bias: float):
         self.weights, self.bias, self.known = weights, bias, {}
