@@ -243,16 +243,17 @@ class Page:
         least = HOLDS * nodes[0].prose
         if not least:
             return 0
+        articles = [i for i, n in enumerate(nodes) if n.tag == "article" and not n.bad and 2 * n.prose >= nodes[0].prose]
+        if articles:
+            # The outermost of those that hold most of the prose.
+            return max(articles, key=lambda i: (nodes[i].prose, -i))
         at = max((i for i, n in enumerate(nodes) if n.prose >= least and (n.tag in CONTAINERS or not i) and not n.bad), default=0)
-        up, article, main = at, None, None
+        up, main = at, None
         while up > 0:
-            if nodes[up].tag == "article":
-                article = up
-            elif nodes[up].tag == "main":
-                main = up
+            main = up if nodes[up].tag == "main" else main
             up = nodes[up].parent
-        if article or main:
-            return article or main
+        if main:
+            return main
         heading = next((i for i, n in enumerate(nodes) if n.tag == "h1" and self.good(i)), 0)
         at = self._around(at, heading) if heading else at
         up = nodes[at].parent

@@ -328,6 +328,7 @@ PAGES = [
     ("<div class='ad-3'>buy</div><div class='content has-sidebar'><h2>H</h2><div>direct <b>text</b> here</div><ul><li>a<li>b</ul></div><div id=comments><p>nice nice nice</p></div>", "H\n\ndirect text here\n\na\n\nb"),
     ("<main><header><nav>x</nav><h1>Head</h1><span>by me</span></header><p>Long enough prose.</p><form><p>Mail?</p></form><aside>s</aside></main>", "Head\n\nLong enough prose."),
     ("<article><p>a<!-- no --> b</p><table><tr><td>c1<td>c2</table><pre>x\n\ty</pre></article><div class='cookie-notice'>ok?</div>", "a b\n\nc1\n\nc2\n\nx y"),
+    ("<main><article class='story'><h1>A</h1><p>" + "word " * 30 + "</p><section class='comments'><article class='comment'><p>" + "hm " * 90 + "</p></article></section></article><article class='teaser'><p>" + "tease " * 15 + "</p></article></main>", "A\n\n" + ("word " * 30).strip()),
     ("plain text only", "plain text only"), ("", ""), (None, ""), ("<p", ""), ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"), ("<article><p>1 < 2 &lt; 3</article>", "1 < 2 < 3"),
 ]
 
