@@ -107,13 +107,23 @@ def macro_f1(rows: DataFrame, keys: list[str]) -> DataFrame:
     return counts.groupBy(*keys).agg(F.avg(f1).alias("macro_f1"), F.count(F.lit(1)).alias("n_labels"))
 
 
-def accuracy_at(rows: DataFrame, keys: list[str], order: str, share: float = 0.5) -> DataFrame:
-    """Accuracy of the most confident share of rows, one at least; ties go by `order`."""
-    known = rows.where(F.col("correct").isNotNull())
+def accuracy_at(rows: DataFrame, keys: list[str], order: str, share: float = 0.5, cells: int = 4096) -> DataFrame:
+    """Accuracy of the most confident share of rows, one at least; ties go by `order`.
+
+    Whole cells of confidence are taken as sums; only the cell in which the share ends is
+    ranked row by row, so no task ranks a whole suite.
+    """
+    known = rows.where(F.col("correct").isNotNull()).select(*keys, "confidence", order, F.col("correct").cast("long").alias("__h"), F.floor(F.col("confidence") * cells).alias("__b"))
+    sums = known.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"), F.sum("__h").alias("__h"))
     by = Window.partitionBy(*keys)
-    ranked = known.withColumn("__r", F.row_number().over(by.orderBy(F.desc("confidence"), order))).withColumn("__n", F.count(F.lit(1)).over(by))
-    top = ranked.where(F.col("__r") <= F.greatest(F.lit(1), F.floor(F.col("__n") * share)))
-    return top.groupBy(*keys).agg(F.avg(F.col("correct").cast("double")).alias("accuracy_at"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("__n").over(by.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = F.greatest(F.lit(1), F.floor(F.sum("__n").over(by) * share))
+    left = sums.withColumn("__left", wanted - before).where(F.col("__left") > 0)
+    whole = left.where(F.col("__left") >= F.col("__n")).select(*keys, "__n", "__h")
+    last = known.join(left.where(F.col("__left") < F.col("__n")).select(*keys, "__b", "__left"), [*keys, "__b"])
+    ranked = last.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(F.desc("confidence"), order))).where(F.col("__r") <= F.col("__left"))
+    parts = whole.unionByName(ranked.select(*keys, F.lit(1).cast("long").alias("__n"), "__h"))
+    return parts.groupBy(*keys).agg((F.sum("__h") / F.sum("__n")).alias("accuracy_at"), F.sum("__n").alias("n"))
 
 
 def group_complete(rows: DataFrame, sizes: DataFrame, *keys: str) -> DataFrame:
