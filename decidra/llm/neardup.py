@@ -23,8 +23,8 @@ link inside a component can't change the result, so none that matters is left ou
 Nothing is collected to the driver but counts.
 
 Defined cases: a text without words has an empty set and links with nothing; null texts
-are empty; a text of fewer than K words is one shingle; rows of equal doc_id are rows of
-one name: their component is that of their own texts; a null doc_id is never the smallest
+are empty; a text of fewer than K words is one shingle; rows of equal doc_id have each the
+component of their own text, and rows equal in both share their fate; a null doc_id is never the smallest
 of a component that has another; equal texts are ties and the smallest doc_id stays; an
 empty table gives an empty result; only the named columns are read, so extra columns
 can't clash; texts are read whole.
@@ -135,9 +135,9 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set, null if it's empty) and bands of each row."""
+    """doc_id, text_hash, n_shingles, node (digest of the set, null if it's empty) and bands of each row."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.col("text").alias("__text"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").alias("__text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -146,29 +146,34 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
         words = Words()
         for batch in batches:
             sizes, nodes, cut = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingles(text, words, k)
                 sizes.append(len(s))
                 nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 cut.append(bands(sketch(s)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(cut, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "bands"])
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(cut, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "node", "bands"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, node binary, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, node binary, bands array<long>")
 
 
-def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of `docs` with (left_semi) or without (left_anti) a doc_id of `ids`.
-
-    The texts are only shuffled where the counted ids are too many to be broadcast.
-    """
+def by_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` with a doc_id of `ids`; texts are only shuffled if the counted ids are too many."""
     ids = ids.select(F.col("doc_id").alias("__id"))
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["__id"]), how)
+    return docs.join(side, docs["doc_id"].eqNullSafe(side["__id"]), "left_semi")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id and text hash aren't those of a row of `gone`."""
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, docs["doc_id"].eqNullSafe(side["__id"]) & (F.xxhash64(docs["text"]) == side["__hash"]), "left_anti")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """node, n and set (sorted hashes as bytes) of the nodes in `wanted` (doc_id, node)."""
-    rows = by_ids(docs.select("doc_id", F.col("text").alias("__text")), wanted, "left_semi").select("__text")
+    rows = by_ids(docs.select("doc_id", F.col("text").alias("__text")), wanted).select("__text")
 
     def run(batches):
         import xxhash
@@ -284,7 +289,7 @@ def joined(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, k: int = K, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of `docs`."""
+    """doc_id, text_hash, n_shingles, component_id and kept of each row of `docs`."""
     rows = materialize(sketched(docs, k), "sketches")
     full = rows.where(F.col("node").isNotNull())
     nodes = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min("bands").alias("bands"))
@@ -309,17 +314,17 @@ def near_duplicates(docs: DataFrame, k: int = K, threshold: int = THRESHOLD) ->
     last = near_in_buckets(rest, sets, threshold)
     links = links.unionByName(materialize(linked(last, sets, threshold), "confirmed"))
     labels = materialize(components(links), "labels")
-    named = joined(rows.select("doc_id", "n_shingles", "node"), labels, "node", "__c")
+    named = joined(rows.select("doc_id", "text_hash", "n_shingles", "node"), labels, "node", "__c")
     smallest = materialize(named.where(F.col("__c").isNotNull()).groupBy("__c").agg(F.min("doc_id").alias("__least")), "smallest")
     out = named.join(smallest, "__c", "left").withColumn("component_id", F.when(F.col("__c").isNull(), F.col("doc_id")).otherwise(F.col("__least")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = K, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of `docs` that stay: one doc_id of each group."""
-    gone = materialize(near_duplicates(docs, k, threshold).where(~F.col("kept")).select("doc_id"), "gone")
-    return by_ids(docs, gone, "left_anti")
+    gone = materialize(near_duplicates(docs, k, threshold).where(~F.col("kept")).select("doc_id", "text_hash").distinct(), "gone")
+    return without(docs, gone)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4).drop("text_hash")

@@ -276,6 +276,12 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch):
     assert kept == {i for i, (_, c) in got.items() if i == c}
 
 
+def test_a_doc_id_with_two_texts_loses_only_the_copy(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    frame = spark.createDataFrame([(0, b), (1, a), (1, b)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in neardup.drop_near_duplicates(frame).collect()) == [(0, b), (1, a)]
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     for size in (1, 5, 60, 3000):
