@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import shingles
+from .tables import stored
 
 
 def shingle_rows(units: DataFrame, key: str, tokens: str, k: int, least: int) -> DataFrame:
@@ -36,6 +37,27 @@ def near_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     return both.where((F.col("jaccard") >= jaccard) | (F.col("shared_words") >= shared_words)).select(left_key, right_key, "jaccard", "containment", "shared_words")
 
 
+def jaccard_pairs(units: DataFrame, key: str, tokens: str = "tokens", k: int = 5, least: int = 12, jaccard: float = 0.8) -> DataFrame:
+    """Pairs (a, b), a < b, of units with at least that jaccard similarity.  Uncapped.
+
+    Two such sets share one of each other's n - ceil(jaccard * n) + 1 rarest shingles, so only
+    those are joined: a shingle that many units have is seldom among them.  Whole sets are
+    compared of the pairs that meet.  Equal units should be one before.
+    """
+    cut = units.select(key, shingles(F.col(tokens), k, least).alias("__s")).where(F.size("__s") > 0)
+    sets = stored(cut.select(key, F.transform("__s", lambda x: F.xxhash64(x)).alias("s")), "sets")
+    each = sets.select(key, F.size("s").alias("n"), F.explode("s").alias("x"))
+    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("df", "x"))
+    rare = each.join(often, "x").withColumn("r", rank).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * jaccard) + 1) & (F.col("df") > 1))
+    rare = stored(rare.select(key, "n", "x"), "prefixes")
+    other = rare.select(F.col(key).alias("b"), F.col("n").alias("m"), "x")
+    met = rare.join(other, "x").where((F.col(key) < F.col("b")) & (F.least("n", "m") >= jaccard * F.greatest("n", "m"))).select(F.col(key).alias("a"), "b").distinct()
+    side = lambda name, column: sets.select(F.col(key).alias(name), F.col("s").alias(column))
+    both = met.join(side("a", "__x"), "a").join(side("b", "__y"), "b").withColumn("__c", F.size(F.array_intersect("__x", "__y")))
+    return both.where(F.col("__c") / (F.size("__x") + F.size("__y") - F.col("__c")) >= jaccard).select("a", "b")
+
+
 def exact_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, normalized: str = "normalized") -> DataFrame:
     """Pairs of equal normal text."""
     return left.select(left_key, normalized).join(right.select(right_key, normalized), normalized).select(left_key, right_key)

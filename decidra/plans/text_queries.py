@@ -99,7 +99,7 @@ def components_min_label(spark, d):
     # Equal texts are one unit, so that copies aren't paired with each other.
     units = docs.groupBy("tokens").agg(F.min("doc_id").alias("unit"))
     unit = units.select("unit", "tokens")
-    pairs = similarity.near_pairs(unit.withColumnRenamed("unit", "a"), unit.withColumnRenamed("unit", "b"), "a", "b", containment=2.0).where("a < b").select("a", "b")
+    pairs = similarity.jaccard_pairs(unit, "unit")
     copies = docs.where(F.size("tokens") >= 12).join(units, "tokens").select(F.col("doc_id").alias("a"), F.col("unit").alias("b")).where("a <> b")
     return components.components(docs, pairs.unionByName(copies), "doc_id")
 
@@ -118,8 +118,7 @@ def firewall_anti_join(spark, d):
 def greedy_mis_dedup(spark, d):
     docs = table(spark, d, "documents").select("doc_id", T.words(F.col("text")).alias("tokens"))
     unit = docs.groupBy("tokens").agg(F.min("doc_id").alias("doc_id"))
-    side = lambda n: unit.select(F.col("doc_id").alias(n), "tokens")
-    pairs = similarity.near_pairs(side("a"), side("b"), "a", "b").where("a < b").select("a", "b")
+    pairs = similarity.jaccard_pairs(unit, "doc_id")
     return dedup.first_independent(unit.select("doc_id"), pairs, "doc_id", "doc_id")
 
 
