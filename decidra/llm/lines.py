@@ -4,13 +4,13 @@ A line ends at a line break; long lines are wrapped behind punctuation, so that
 that another text takes up in the middle of a line still has whole lines in common with it.
 Every GRAM lines in a row are hashed, and of each WINDOW consecutive hashes the smallest is
 selected: texts that share GRAM + WINDOW - 1 lines in a row share a selected hash.  A line of
-MIN_CHARS characters or more is selected by itself, too.
+LONG_LINE characters or more is selected by itself, too.
 
 Selected hashes are joined with their first occurrence in the corpus (by doc_id, then text
 hash, then place), not with each other.  Where later occurrences and first ones lie on one
 diagonal of the same two texts, the match is extended both ways as far as the lines agree, up
 to EXTEND lines beyond the outermost selected places (what agrees beyond holds selected places
-of its own).  Runs of MIN_CHARS characters or more, about 25 to 30 words, are deleted from the
+of its own).  Runs of MIN_CHARS characters or more, about 20 words, are deleted from the
 later text (or place).  A run is only deleted in favour of an earlier one, so one copy
 always stays.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import let, materialize
 
-GRAM, WINDOW, EXTEND, MIN_CHARS = 2, 3, 12, 160
+GRAM, WINDOW, EXTEND, LONG_LINE, MIN_CHARS = 2, 3, 12, 60, 120
 LINE = r"[^\n.,;:!?]*+(?:[.,;:!?]++[ \n]*+|\n++|\z)"
 #: Texts with deletions (about 100 bytes each) up to this many are broadcast: 30 MB.
 BROADCAST_ROWS = 300_000
@@ -60,7 +60,7 @@ def fingerprints(hashes: Column, sizes: Column) -> Column:
 
         return let(minima(g), places)
 
-    long_ones = F.filter(F.transform(sizes, lambda n, i: F.when(n >= MIN_CHARS, F.struct(F.xxhash64(hashes[i]).alias("f"), i.alias("p")))), lambda x: x.isNotNull())
+    long_ones = F.filter(F.transform(sizes, lambda n, i: F.when(n >= LONG_LINE, F.struct(F.xxhash64(hashes[i]).alias("f"), i.alias("p")))), lambda x: x.isNotNull())
     return F.concat(let(grams(hashes), selected), long_ones)
 
 
