@@ -54,6 +54,19 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set(key, str(BATCH_BYTES))
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: Python workers live on and would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, partitions, release
+from .common import bounded_batches, materialize, partitions, release, tidy
 
 BLOCK_TOKENS = 600_000
 FOLDS, SCORED_ONLY, DELETED = 5, 1, 10
@@ -154,6 +154,7 @@ def blocks(docs: DataFrame, bits: int) -> DataFrame:
                 if block.count and block.count + len(text or "") // 5 > BLOCK_TOKENS:
                     yield block.rows(bits, id_type)
                     block = open_[deleted] = Block(deleted)
+                    tidy()
                 block.add(doc_id, held, text)
         for block in open_.values():
             if block.count:
@@ -190,6 +191,8 @@ def answered(table: pa.Table) -> pa.Table:
         out.append({"n_kept": int(kept.sum()), "v_kept": int((kept > 0).sum()), "n_all": int(every.sum()), "v_all": int((every > 0).sum())})
     kinds = {"order": pa.int32(), "part": pa.int32(), "kept": pa.binary(), "deleted": pa.binary(), "block": pa.string()}
     names = ["block", "order", "part", "kept", "deleted", *TOTALS]
+    del keys, counts, known, inverse, sums
+    tidy()
     return pa.table({n: pa.array([r.get(n) for r in out], kinds.get(n, pa.int64())) for n in names})
 
 
@@ -254,6 +257,7 @@ def weights_of(cells: np.ndarray, times: np.ndarray, rounds: int = 200) -> np.nd
 def scored(block: pa.Table, answers: pa.Table, n: int, v: int, weights: np.ndarray) -> pa.Table:
     c = Counted(block, answers, True)
     two, one, floor = estimates(c, n, v)
+    tidy()
     w = weights[bucket(c.context)]
     log = np.log10(np.maximum(w[:, 0] * two + w[:, 1] * one + w[:, 2] * floor, 1e-300))
     base = np.log10((c.word + 0.5) / (n + 0.5 * (v + 1)))
@@ -268,7 +272,8 @@ def scored(block: pa.Table, answers: pa.Table, n: int, v: int, weights: np.ndarr
 def interpolate(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = docs.sparkSession
-    bits = max(4, (partitions(spark) - 1).bit_length())
+    # Twice as many ranges as shuffle partitions, so that a range's reducer stays small.
+    bits = max(5, (partitions(spark) - 1).bit_length() + 1)
     made = materialize(blocks(docs, bits), "lm-blocks", "kind")
     asked = made.where("kind = 'asked'").select("block", "deleted", "order", "part", "keys", "counts")
     answers = materialize(asked.groupBy("order", "part").applyInArrow(answered, ANSWER), "lm-answers")
