@@ -206,7 +206,7 @@ def test_shortlist_passes_all_options_through(spark):
 
 
 def test_spans():
-    state = {"document": "Title: one two three four\nlabels: a b c d\n\nfive six seven", "options": "not this one here"}
+    state = {"document": "Title: one two three four\nlabels: a b c d\nbody: now\n\nfive six seven", "options": "not this one here"}
     found = {s[0]: s[1] for s in spans.spans_of(state)}
     assert "not this one here" not in found.values() and "a b c d" not in " ".join(found.values())
     assert "five six seven" in found.values() and any(p.startswith("state:content") for p in found)
