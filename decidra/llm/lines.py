@@ -1,18 +1,17 @@
-"""Line dedup by winnowing over line hashes (native: DataFrame functions only).
+"""Line dedup by hashed runs of lines (native: DataFrame functions only).
 
 A line ends at a line break; long lines are wrapped behind punctuation, so that a passage
 that another text takes up in the middle of a line still has whole lines in common with it.
-Every GRAM lines in a row are hashed, and of each WINDOW consecutive hashes the smallest is
-selected: texts that share GRAM + WINDOW - 1 lines in a row share a selected hash.  A line of
-LONG_LINE characters or more is selected by itself, too.
-
-Selected hashes are joined with their first occurrence in the corpus (by doc_id, then text
-hash, then place), not with each other.  Where later occurrences and first ones lie on one
-diagonal of the same two texts, the match is extended both ways as far as the lines agree, up
-to EXTEND lines beyond the outermost selected places (what agrees beyond holds selected places
-of its own).  Runs of MIN_CHARS characters or more, about 20 words, are deleted from the
-later text (or place).  A run is only deleted in favour of an earlier one, so one copy
-always stays.
+Lines are compared without the white space around them, and lines of white space are passed over.
+
+A gram is a run of lines of MIN_CHARS characters or more, about 20 words, that would have fewer
+without its last line or without its first one.  Both kinds are hashed at every place, none is left
+out.  Whatever run of MIN_CHARS characters two places have in common is covered by grams that both
+have, and any gram is long enough to be deleted, so a gram's first occurrence in the corpus (by
+doc_id, then text hash, then place) decides: every later one is deleted.  The lines that go are
+therefore exactly those in runs of MIN_CHARS characters or more that came before.  A run is only
+deleted in favour of an earlier one, so one copy always stays.  Grams have 64-bit hashes: among
+4 * 10^9 distinct ones, about 0.4 pairs share one.
 
 Defined cases: null texts stay null, texts without repeated runs stay as they are to the
 letter; null doc_ids come first; rows equal in doc_id and text are one text and repeat each
@@ -22,15 +21,19 @@ have a meaning, other columns are carried along; inside, names start with two un
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import let, materialize
 
-GRAM, WINDOW, EXTEND, LONG_LINE, MIN_CHARS = 2, 3, 12, 60, 120
+MIN_CHARS = 120
+#: Lines to look at first for a gram's end; MIN_CHARS lines always hold one, as none is empty.
+AHEAD, BLOCK = 6, 64
 LINE = r"[^\n.,;:!?]*+(?:[.,;:!?]++[ \n]*+|\n++|\z)"
 #: Texts with deletions (about 100 bytes each) up to this many are broadcast: 30 MB.
 BROADCAST_ROWS = 300_000
+#: Places in a text have so many bits, the texts' ranks the rest of 63.
+PLACE_BITS = 31
 
 
 def lines_of(text: Column) -> Column:
@@ -38,79 +41,100 @@ def lines_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
 
 
-def fingerprints(hashes: Column, sizes: Column) -> Column:
-    """Structs f (hash) and p (place): window minima of the grams' hashes, and long lines.
+def totals(sizes: Column) -> Column:
+    """Running totals, in blocks, as an array grows by being copied."""
+    add = lambda a, n: F.array_append(a, F.element_at(a, -1) + n)
+    summed = lambda a: F.aggregate(a, F.array(F.lit(0)), add)
+    starts = F.filter(F.sequence(F.lit(1), F.size(sizes) + 1, F.lit(BLOCK)), lambda i: i <= F.size(sizes))
 
-    Grams and windows at the end of a text are shorter.  A place is selected if its hash is
-    the largest of the minima of the windows around it.
-    """
-    after = lambda a, k: F.slice(a, k + 1, F.greatest(F.size(a), F.lit(1)))
-    nothing = F.lit(None).cast("bigint")
+    def laid(blocks: Column) -> Column:
+        before = F.slice(summed(F.transform(blocks, lambda a: F.element_at(a, -1))), 1, F.size(blocks))
+        return F.flatten(F.zip_with(blocks, before, lambda a, n: F.transform(F.slice(a, 2, F.size(a)), lambda x: x + n)))
+
+    return let(F.transform(starts, lambda i: summed(F.slice(sizes, i, F.lit(BLOCK)))), laid)
+
+
+def ends(sizes: Column) -> Column:
+    """For each line the place of the line with which the lines from it on reach MIN_CHARS characters, or null."""
+
+    def reach(sums: Column) -> Column:
+        def end(wanted: Column, i: Column) -> Column:
+            found = F.when(F.element_at(sums, -1) < wanted, None)
+            for k in range(AHEAD):
+                found = found.when(sums[i + k] >= wanted, i + k)
+            return found.otherwise(i + F.size(F.filter(F.slice(sums, i + 1, F.lit(MIN_CHARS)), lambda x: x < wanted)))
+
+        return F.transform(F.zip_with(sums, sizes, lambda x, n: x - n + MIN_CHARS), end)
+
+    return let(totals(sizes), reach)
+
+
+def fingerprints(lines: Column) -> Column:
+    """Structs f (hash), p (first place) and n (the last one's distance) of all grams; `lines` has structs x (hash), n (size) and p (place)."""
 
-    def grams(h: Column) -> Column:
-        return F.zip_with(h, after(h, 1), lambda x, y: F.xxhash64(x, y))
+    def grams(hashes: Column, places: Column, last: Column) -> Column:
+        def of(end: Column, i: Column) -> Column:
+            # Until the next line's gram ends, longer ones begin here that would be too short without their first line.
+            longest = F.greatest(end, F.coalesce(F.get(last, i + 1), F.size(last)) - 1)
+            gram = lambda e: F.struct(F.xxhash64(F.slice(hashes, i + 1, e - i + 1)).alias("f"), places[i].alias("p"), (places[e] - places[i]).alias("n"))
+            return F.when(longest == end, F.array(gram(end))).otherwise(F.transform(F.sequence(end, longest), gram))
 
-    def minima(g: Column) -> Column:
-        return F.zip_with(F.zip_with(g, after(g, 1), lambda x, y: F.least(x, y)), after(g, 2), lambda x, y: F.least(x, y))
+        return F.flatten(F.transform(F.filter(last, lambda e: e.isNotNull()), of))
 
-    def selected(g: Column) -> Column:
-        def places(m: Column) -> Column:
-            most = F.zip_with(F.zip_with(m, F.concat(F.array(nothing), m), lambda x, y: F.greatest(x, y)), F.concat(F.array(nothing, nothing), m), lambda x, y: F.greatest(x, y))
-            return F.filter(F.zip_with(F.transform(g, lambda x, i: F.struct(x.alias("f"), i.alias("p"))), most, lambda x, y: F.when(x["f"] == y, x)), lambda x: x.isNotNull())
+    sizes = let(F.transform(lines, lambda x: x["n"]), ends)
+    return let(F.transform(lines, lambda x: x["x"]), lambda hashes: let(F.transform(lines, lambda x: x["p"]), lambda places: let(sizes, lambda last: grams(hashes, places, last))))
 
-        return let(minima(g), places)
 
-    long_ones = F.filter(F.transform(sizes, lambda n, i: F.when(n >= LONG_LINE, F.struct(F.xxhash64(hashes[i]).alias("f"), i.alias("p")))), lambda x: x.isNotNull())
-    return F.concat(let(grams(hashes), selected), long_ones)
+def ranked(docs: DataFrame) -> DataFrame:
+    """__d, __h (the text's name) and __rank, from 0 without gaps, of each text of MIN_CHARS characters or more."""
+    names = docs.where(F.length("text") >= MIN_CHARS).select(F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__h")).distinct()
+    # Sorted partitions follow each other; the number has the partition above 33 bits.
+    rows = materialize(names.orderBy("__d", "__h").withColumn("__m", F.monotonically_increasing_id()), "names")
+    part = F.shiftright("__m", 33)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    return rows.join(F.broadcast(starts), part == F.col("__part")).select("__d", "__h", (F.col("__start") + F.col("__m").bitwiseAND((1 << 33) - 1)).alias("__rank"))
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """__d, __h (the text's name), its lines' hashes and sizes, and its fingerprints."""
+def hashed(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """__rank and fingerprints of each text."""
     lines = F.transform(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(" \t\r\n")))
-    rows = docs.where(F.length("text") > 0).select(F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__h"), lines.alias("__l"))
-    split = rows.select("__d", "__h", F.transform("__l", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("__l", lambda x: F.length(x)).alias("sizes"))
-    return split.select("*", fingerprints(F.col("hashes"), F.col("sizes")).alias("prints"))
+    side = F.broadcast(names) if names.count() <= BROADCAST_ROWS else names
+    rows = docs.where(F.length("text") >= MIN_CHARS).join(side, (F.xxhash64("text") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__d"))).select("__rank", "text")
+    split = rows.select("__rank", F.filter(F.transform(lines, lambda x, i: F.struct(F.xxhash64(x).alias("x"), F.length(x).alias("n"), i.alias("p"))), lambda x: x["n"] > 0).alias("lines"))
+    return split.select("__rank", fingerprints(F.col("lines")).alias("prints"))
 
 
-def diagonals(table: DataFrame) -> DataFrame:
-    """Later text (__d, __h), earlier text (__d0, __h0), shift between their places, and the
-    outermost selected places (low, high) of the later one."""
-    found = table.select("__d", "__h", F.explode("prints").alias("x")).select(F.col("x.f").alias("f"), F.struct("__d", "__h", F.col("x.p").alias("p")).alias("at"))
-    first = found.groupBy("f").agg(F.min("at").alias("first"), F.max("at").alias("last")).where(F.col("first") < F.col("last")).select("f", "first")
+def repeats(table: DataFrame) -> DataFrame:
+    """__rank, start and end (inclusive) of every gram that came before."""
+    found = table.select("__rank", F.explode("prints").alias("x")).select(F.col("x.f").alias("f"), (F.shiftleft("__rank", PLACE_BITS) + F.col("x.p")).alias("at"), F.col("x.n").alias("n"))
+    first = found.groupBy("f").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("f", "first")
     # A written table, so that both sides of the join are shuffled alike and a hot hash can be split.
     first = materialize(first, "firsts")
     later = found.join(first, "f").where(F.col("at") > F.col("first"))
-    of = later.select("at.__d", "at.__h", F.col("first.__d").alias("__d0"), F.col("first.__h").alias("__h0"), (F.col("at.p") - F.col("first.p")).alias("shift"), F.col("at.p").alias("p"))
-    return of.groupBy("__d", "__h", "__d0", "__h0", "shift").agg(F.min("p").alias("low"), F.max("p").alias("high"))
+    start = F.col("at").bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
+    return later.select(F.shiftright("at", PLACE_BITS).alias("__rank"), start.alias("start"), (start + F.col("n")).alias("end"))
 
 
-def repeated_runs(hashes: Column, sizes: Column, earlier: Column, shift: Column, low: Column, high: Column) -> Column:
-    """Maximal runs (start, end inclusive) of equal lines on a diagonal, of MIN_CHARS characters."""
-    first = F.greatest(shift, F.lit(0), low - EXTEND)
-    last = F.least(F.size(hashes), F.size(earlier) + shift, high + GRAM + EXTEND) - 1
+def merged(runs: Column) -> Column:
+    """Sorted runs with those that overlap or follow each other made one."""
+    kind = "struct<done:array<struct<start:int,end:int>>,start:int,end:int>"
+    one = lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"))
+    acc = lambda done, start, end: F.struct(done.alias("done"), start.alias("start"), end.alias("end")).cast(kind)
 
-    def between(ends: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(ends) - 2), lambda j: F.struct((ends[j] + 1).alias("start"), (ends[j + 1] - 1).alias("end")))
-        size = lambda r: F.aggregate(F.slice(sizes, r["start"] + 1, r["end"] - r["start"] + 1), F.lit(0), lambda a, x: a + x)
-        return F.filter(runs, lambda r: F.when(r["end"] >= r["start"], size(r) >= MIN_CHARS).otherwise(F.lit(False)))
+    def step(a: Column, r: Column) -> Column:
+        return F.when(r["start"] <= a["end"] + 1, acc(a["done"], a["start"], F.greatest(a["end"], r["end"]))).otherwise(acc(F.concat(a["done"], F.array(one(a))), r["start"], r["end"]))
 
-    n = last - first + 1
-    differ = F.zip_with(F.slice(hashes, first + 1, n), F.slice(earlier, first - shift + 1, n), lambda x, y: x != y)
-    places = F.filter(F.transform(differ, lambda b, i: F.when(b, i + first)), lambda i: i.isNotNull())
-    return F.when(n > 0, let(F.concat(F.array(first - 1), places, F.array(last + 1)), between))
+    start = acc(F.array().cast("array<struct<start:int,end:int>>"), runs[0]["start"], runs[0]["end"])
+    return F.aggregate(runs, start, step, lambda a: F.concat(a["done"], F.array(one(a))))
 
 
 def deletions(docs: DataFrame) -> DataFrame:
     """__d, __h and __runs of every text that loses lines."""
-    table = materialize(hashed(docs), "lines")
-    arrays = table.select("__d", "__h", "hashes", "sizes").dropDuplicates(["__d", "__h"])
-    pairs = materialize(diagonals(table), "diagonals")
-    same = lambda a, b: a.eqNullSafe(b)
-    mine = arrays.select(F.col("__d").alias("__d1"), F.col("__h").alias("__h1"), "hashes", "sizes")
-    theirs = arrays.select(F.col("__d").alias("__d2"), F.col("__h").alias("__h2"), F.col("hashes").alias("earlier"))
-    both = pairs.join(theirs, (F.col("__h0") == F.col("__h2")) & same(F.col("__d0"), F.col("__d2"))).join(mine, (F.col("__h") == F.col("__h1")) & same(F.col("__d"), F.col("__d1")))
-    runs = both.select("__d", "__h", F.explode(repeated_runs(*map(F.col, ("hashes", "sizes", "earlier", "shift", "low", "high")))).alias("r"))
-    return runs.groupBy("__d", "__h").agg(F.sort_array(F.collect_set("r")).alias("__runs"))
+    names = materialize(ranked(docs), "ranks")
+    runs = repeats(materialize(hashed(docs, names), "grams"))
+    gone = runs.groupBy("__rank").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    return gone.select("__rank", merged(F.col("runs")).alias("__runs")).join(names, "__rank").select("__d", "__h", "__runs")
 
 
 def _cut(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Rule ledger, secret scan, line dedup: against SQL and plain Python."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -131,6 +132,38 @@ def test_lines_cover_the_text_and_agree_with_a_plain_version(spark):
             assert sum(first[x.strip(" \t\r\n")] < (i, k) for k, x in enumerate(ls)) >= r["n_removed"]
 
 
+def plain_line_dedup(texts):
+    """Every run of MIN_CHARS characters and more that came before, from each place to the right."""
+    seen, out = set(), []
+    for t in texts:
+        ls = LINE.findall(t)
+        full = [k for k, x in enumerate(ls) if x.strip(" \t\r\n")]
+        at, gone = [ls[k].strip(" \t\r\n") for k in full], set()
+        for i in range(len(at)):
+            for j in range(i, len(at)):
+                if sum(map(len, at[i : j + 1])) >= lines.MIN_CHARS:
+                    run = tuple(at[i : j + 1])
+                    if run in seen:
+                        gone |= set(range(full[i], full[j] + 1))
+                    seen.add(run)
+        out.append("".join(x for k, x in enumerate(ls) if k not in gone))
+    return out
+
+
+def test_passages_of_frequent_lines_equal_brute_force(spark):
+    # Lines that first occur elsewhere, in other company: only the run as a whole has its source in the corpus.
+    some = random.Random(7)
+    stock = [" ".join(some.choices(["alpha", "beta", "gamma", "delta", "rho", "x"], k=some.randint(1, 13))) + some.choice([". ", ",\n", ";\n \n", "\n"]) for _ in range(40)]
+    texts = ["".join(some.choices(stock, k=some.randint(1, 30))) for _ in range(60)]
+    for _ in range(60):
+        source = LINE.findall(some.choice(texts))
+        at, n = some.randrange(len(source)), some.randint(1, 20)
+        texts.append("".join(some.choices(stock, k=some.randint(0, 6))) + "".join(source[at : at + n]) + "".join(some.choices(stock, k=some.randint(0, 6))))
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)], False)).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_line_dedup(texts)
+    assert sum(got[i] != t for i, t in enumerate(texts)) > 30
+
+
 def test_odd_rows_of_line_dedup(spark):
     got = lines.dedup_lines(docs(spark)).collect()
     assert len(got) == 9
