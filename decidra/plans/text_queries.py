@@ -144,6 +144,14 @@ def script_profile(spark, d):
     return counts.select("doc_id", L.dominant_script(F.col("c")).alias("script"), latin.alias("n_latin"))
 
 
+@register(r"""WITH c AS (SELECT doc_id, length(text) - length(regexp_replace(text, '[A-Za-zªµºÀ-ÖØ-öø-ɏḀ-ỿ]', '', 'g')) AS n FROM documents)
+SELECT doc_id, CASE WHEN n = 0 THEN 'unknown' ELSE 'latin' END AS script, n::INT AS n_latin FROM c""")
+def script_profile_whole(spark, d):
+    counts = table(spark, d, "documents").select("doc_id", L.script_counts(F.col("text")).alias("c"))
+    latin = F.coalesce(F.try_element_at(F.filter("c", lambda s: s["script"] == "latin"), F.lit(1))["n"], F.lit(0))
+    return counts.select("doc_id", L.dominant_script(F.col("c")).alias("script"), latin.alias("n_latin"))
+
+
 def _hits(name: str) -> str:
     words = ", ".join(f"'{w}'" for w in L.FUNCTION_WORDS[name].split())
     return f"len(list_filter(w, lambda x: list_contains([{words}], x)))"
@@ -163,6 +171,12 @@ def latin_language(spark, d):
     return rounded(found.select("doc_id", "f.language", "f.foreign_rate"))
 
 
+@register(f"WITH {_LATIN.replace('text[1:4000] AS text', 'text')} SELECT doc_id, language, round(rate, 8) AS foreign_rate FROM l")
+def latin_language_whole(spark, d):
+    found = table(spark, d, "documents").select("doc_id", L.latin_language(F.col("text")).alias("f"))
+    return rounded(found.select("doc_id", "f.language", "f.foreign_rate"))
+
+
 @register(rf"""WITH {_LATIN}, k AS (SELECT l.*, regexp_matches(text[1:4000], '[A-Za-zÀ-ÖØ-öø-ɏ]') AS letters FROM l JOIN documents USING (doc_id))
 SELECT doc_id, CASE WHEN NOT letters OR language = 'en' OR (language IS NULL AND NOT foreign_letters) THEN 'english' ELSE 'multilingual' END AS model FROM k""")
 def route_decision(spark, d):
