@@ -22,11 +22,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, materialize
+from .common import gapless_rank, let, materialize
 
 SHARDS = 40
 REGION_SHARDS, RACK_SHARDS = 10, 5
-DRAW_RANGE = float(1 << 48)
+DRAW_RANGE = float(1 << 53)
 
 
 @dataclass(frozen=True)
@@ -53,28 +53,40 @@ def tree(shards: int, base: int = SHARDS) -> Node:
     return total("root", regions)
 
 
-def draw(key: Column, node: Node) -> Column:
-    """-ln(u) / weight with u from the first 48 bits of md5(key/name)."""
-    bits = F.conv(F.substring(F.md5(F.concat(key, F.lit(f"/{node.name}"))), 1, 12), 16, 10).cast("double")
-    return -F.log((bits + 0.5) / DRAW_RANGE) / F.lit(node.weight)
+def draw(key: Column, name: Column, weight: Column) -> Column:
+    """-ln(u) / weight with u from the upper 53 bits of a hash of the key and the child's name."""
+    bits = F.shiftrightunsigned(F.xxhash64(key, name), 11).cast("double")
+    return -F.log((bits + 0.5) / DRAW_RANGE) / weight
 
 
-def place(key: Column, node: Node) -> Column:
-    """The shard that `key` descends to below `node`."""
-    if not node.children:
-        return F.lit(node.shard)
-    if len(node.children) == 1:
-        return place(key, node.children[0])
-    draws = [F.struct(draw(key, child).alias("d"), F.lit(i).alias("i")) for i, child in enumerate(node.children)]
-    winner = F.transform(F.array(F.least(*draws)["i"]), lambda i: _branch(i, key, node))
-    return winner[0]
+def children(root: Node) -> tuple[Column, int]:
+    """The inner nodes' children as one constant table, and the tree's depth.
 
+    Entry i lists the children of inner node i, the root being 0: name, weight and where a
+    descent goes on, an inner node's number or, for the leaf of shard s, -1 - s.
+    """
+    inner, depth, level = [root], 0, [root]
+    while level:
+        level = [c for n in level for c in n.children if c.children]
+        inner += level
+        depth += 1
+    number = {id(n): i for i, n in enumerate(inner)}
+    entry = lambda c: F.struct(F.lit(c.name).alias("name"), F.lit(c.weight).alias("weight"), F.lit(number[id(c)] if c.children else -1 - c.shard).alias("to"))
+    return F.array(*[F.array(*[entry(c) for c in n.children]) for n in inner]), depth
 
-def _branch(i: Column, key: Column, node: Node) -> Column:
-    chosen = F.lit(None).cast("int")
-    for k in reversed(range(len(node.children))):
-        chosen = F.when(i == k, place(key, node.children[k])).otherwise(chosen)
-    return chosen
+
+def place(key: Column, root: Node) -> Column:
+    """The shard that `key` descends to.  Only the children of nodes on its way draw."""
+    table, depth = children(root)
+
+    def descend(at: Column) -> Column:
+        draws = F.transform(F.get(table, at), lambda c: F.struct(draw(key, c["name"], c["weight"]).alias("d"), c["to"].alias("to")))
+        return F.when(at < 0, at).otherwise(F.array_min(draws)["to"])
+
+    at = F.lit(0)
+    for _ in range(depth):
+        at = let(at, descend)
+    return -1 - at
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, base: int = SHARDS) -> DataFrame:

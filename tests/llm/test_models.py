@@ -216,6 +216,29 @@ def test_heavier_subtree_only_gains(spark):
     assert moved and all(r["y"] in (0, 1) for r in moved) and not any(r["x"] == 0 for r in moved)
 
 
+def test_draws_are_recomputed(spark):
+    """Every row's shard by a plain descent of both trees, with Spark's hash from another library."""
+    import math
+
+    import xxhash
+    from pyspark.sql import functions as F
+
+    def hashed(key, name):
+        seed = xxhash.xxh64_intdigest(key.encode(), 42)
+        return xxhash.xxh64_intdigest(name.encode(), seed)
+
+    def descend(key, node):
+        while node.children:
+            draw = lambda c: -math.log(((hashed(key, c.name) >> 11) + 0.5) / shards.DRAW_RANGE) / c.weight
+            node = min(node.children, key=draw)
+        return node.shard
+
+    rows = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    for r in shards.assign(rows).collect():
+        assert r["shard"] == descend(str(r["doc_id"]), shards.tree(40))
+        assert r["grown_shard"] == descend(str(r["doc_id"]), shards.tree(41))
+
+
 def test_odd_rows_of_shards(spark):
     got = shards.assign(docs(spark)).collect()
     assert len(got) == 9 and {(r["size"], r["text_crc32"]) for r in got if r["doc_id"] in (3, 4)} == {(16, 0)}
