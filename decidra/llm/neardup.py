@@ -12,7 +12,8 @@ confirmed on the full sets.
 
 Equal sets are one node from the start, so exact copies cost no pairs.  A bucket (the nodes
 of equal band) is not expanded into its pairs: each node is compared with one node of the
-bucket, its hub.  First every node is compared with one of its hubs; then, where that left
+bucket, its hub: the node whose buckets hold most nodes in all, which is what a family's copies
+have in common.  First every node is compared with the best of its hubs; then, where that left
 a node and another of its hubs in different components, with those.  What then still has
 different components in a bucket is settled in pairs of bounded blocks of the bucket: sketches
 of 1024 coordinates meet in numpy, and only pairs of different components whose sizes allow
@@ -225,9 +226,15 @@ def near_in_buckets(rest: DataFrame, sets: DataFrame, threshold: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, pa.binary()), pa.array(own, pa.binary())], names=["node", "n", "fine", "own"])
 
     fine = materialize(sets.join(nodes, "node", "left_semi").select("node", "n", "set").mapInArrow(finer, "node binary, n long, fine binary, own binary"), "fine")
-    sizes = rest.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = rest.join(sizes, "band").join(fine, "node").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = placed.select("band", "node", "c", "n", "fine", "own", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    # Nodes of a bucket's largest component fill the blocks behind those of all others, and don't meet each other.
+    groups = rest.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.max(F.struct("k", "c")).alias("main"), F.sum("k").alias("all"))
+    blocks = lambda k: F.ceil(k / BLOCK).cast("int")
+    groups = groups.select("band", F.col("main.c").alias("main"), blocks(F.col("main.k")).alias("inner"), blocks(F.col("all") - F.col("main.k")).alias("outer"))
+    placed = rest.join(groups, "band").join(fine, "node").withColumn("own_", F.col("c") == F.col("main"))
+    at = F.pmod(F.xxhash64("node"), F.when(F.col("own_"), F.col("inner")).otherwise(F.col("outer")))
+    placed = placed.withColumn("i", (at + F.when(F.col("own_"), F.col("outer")).otherwise(0)).cast("int"))
+    last = F.when(F.col("own_"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    met = placed.select("band", "node", "c", "n", "fine", "own", "i", F.explode(F.sequence(F.lit(0), last)).alias("j"))
     met = met.select("band", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "node", "c", "n", "fine", "own")
 
     def meet(table: pa.Table) -> pa.Table:
@@ -294,15 +301,18 @@ def near_duplicates(docs: DataFrame, k: int = K, threshold: int = THRESHOLD) ->
     full = rows.where(F.col("node").isNotNull())
     nodes = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min("bands").alias("bands"))
     cut = materialize(nodes.select("node", "doc_id", "n", F.explode("bands").alias("band")), "bands")
-    hubs = cut.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("band", "node").alias("o"), F.col("node").alias("hub"))).alias("h"))
     # Written tables on one side let adaptive execution split a join's hot keys on the other.
-    hubs = materialize(hubs.where("c > 1").select("band", "h.hub"), "hubs")
-    stars = materialize(cut.join(hubs, "band"), "buckets")
+    sizes = materialize(cut.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "sizes")
+    shared = materialize(cut.join(sizes, "band"), "shared")
+    company = materialize(shared.groupBy("node").agg(F.sum("c").alias("w")), "company")
+    hubs = shared.join(company, "node").groupBy("band").agg(F.max(F.struct("w", F.xxhash64("node").alias("o"), F.col("node").alias("hub"), F.col("n").alias("m"))).alias("h"))
+    hubs = materialize(hubs.select("band", "h.hub", "h.m", "h.w"), "hubs")
+    stars = materialize(shared.join(hubs, "band").select("node", "doc_id", "n", "band", "hub", "m", "w"), "buckets")
     wanted = stars.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = materialize(sets_of(docs, materialize(wanted, "wanted"), k), "sets")
     pair = lambda rows: rows.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).where("a <> b").distinct()
-    spokes = stars.where("node <> hub")
-    first = pair(spokes.groupBy("node").agg(F.min_by("hub", F.xxhash64("hub")).alias("hub")))
+    spokes = stars.where((F.col("node") != F.col("hub")) & (100 * F.least("n", "m") >= threshold * F.greatest("n", "m")))
+    first = pair(spokes.groupBy("node").agg(F.max_by("hub", F.struct("w", F.xxhash64("hub"))).alias("hub")))
     links = materialize(linked(first, sets, threshold), "confirmed")
     labels = materialize(components(links), "labels")
     apart = lambda pairs: joined(joined(pairs, labels, "a", "__ca"), labels, "b", "__cb").where("__ca <> __cb").select("a", "b")
