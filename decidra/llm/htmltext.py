@@ -1,15 +1,18 @@
 """Main-text extraction by consensus host paths.
 
 First pass: every page is parsed, its containers are scored by the share of the page's
-prose that they hold, and the best ones vote.  A vote names a generalised path: tags and
-classes from the root, without digits.  Spark sums the votes per host and path, and each
-host's leading paths win.  Second pass: every page is parsed again and the elements on its
-host's first winning path that fits are read; a page that none fits is read from its own
-best container.
+prose that they hold, and the best one votes.  A vote names a generalised path: tags and
+classes from the root, without digits.  Spark sums the votes per host and path, and every
+path with at least SHARE of its host's votes wins.  Second pass: every page is parsed again
+and the elements on the first of its host's winning paths that fits are read.  A path fits if
+its elements hold nearly as much prose as the page's own best container, or if what that has
+besides isn't written in paragraphs.  A page that no path fits is read from its own best container.
+The page's body as a whole never votes.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are never prose, wherever they stand.  A header inside the article keeps its
-headings.  White space (Unicode's, with no-break spaces) inside a block becomes one space; a
+comments are never prose, wherever they stand.  A class name that only begins like one of
+them, such as `share-price`, names one outside an article or if half of its text is links.
+A header inside the article keeps its headings.  White space (Unicode's, with no-break spaces) inside a block becomes one space; a
 line break is white space.
 
 Defined cases: null html gives an empty text; pages without a host share the empty host;
@@ -25,18 +28,17 @@ import html as entities
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize
 
-#: Winning paths of a host: the WINNERS best ones with at least SHARE of its votes.
-WINNERS, SHARE = 4, 0.02
-#: A path fits a page if its elements hold this share of the page's prose.
-FITS, HOLDS, NEARLY = 0.2, 0.8, 1.25
-#: Winners (about 200 bytes each) up to this many are broadcast: 20 MB.
-BROADCAST_ROWS = 100_000
-PATH_STEPS = 8
+#: Winning paths of a host have at least this share of its votes, so they are at most 50.
+SHARE = 0.02
+#: Shares of a page's prose: to be its best container or as good as that; to be read for want of other paragraphs, which hold at most BESIDE of it.
+HOLDS, FITS, BESIDE, NEARLY = 0.8, 0.2, 0.25, 1.25
+#: Winning paths of so many bytes in all are broadcast.
+BROADCAST_BYTES = 20 << 20
 
 # Element and class names with a meaning.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,6 +56,7 @@ CLOSED_BY = {
 }
 #: Elements that an element's implied end can't leave.
 SCOPES = frozenset("html body article main section div table ul ol dl td th aside nav footer header form blockquote".split())
+PARAGRAPHS = frozenset("p blockquote pre dd".split())
 BAD_TAGS = frozenset("nav footer aside menu dialog search button label input fieldset".split())
 BAD_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar".split())
 BAD_WORDS = frozenset("ad ads nav menu rail notice alert gdpr pager share social login related respond reply replies search topbar toolbar".split())
@@ -61,6 +64,11 @@ BAD_STARTS = (
     "advert", "adsense", "adslot", "adbox", "adunit", "sponsor", "promo", "banner", "navbar", "navigation", "menu", "breadcrumb", "sidebar", "footer",
     "masthead", "comment", "disqus", "cookie", "consent", "popup", "modal", "overlay", "newsletter", "subscri", "signup", "sharing", "recommend", "widget", "pagination",
 )
+#: Words of which a class name consists that means the part named; others may mean the article's own matter.
+PARTS = frozenset(
+    "area bar block body bottom box button buttons center col column container content current fixed fluid footer form group header heading holder icon icons "
+    "inner item items large left link links list lower main mini mobile outer page panel posts primary right row secondary section site slot small sticky sub text title top upper wrap wrapper".split()
+)
 #: Words that make a header one of the article, not of the page.
 TITLED = frozenset("entry post article story content".split())
 UNLESS = ("has-", "with-", "no-", "without-", "is-", "not-")
@@ -77,24 +85,44 @@ NAMES = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "bad", "classes", "attributes", "prose", "has_article")
+    __slots__ = ("tag", "parent", "step", "key", "bad", "classes", "attributes", "prose", "has_article")
 
-    def __init__(self, tag: str, parent: int, path: str, classes: list[str], attributes: dict[str, str]):
-        self.tag, self.parent, self.path, self.classes, self.attributes = tag, parent, path, classes, attributes
+    def __init__(self, tag: str, parent: int, step: str, key: int, classes: list[str], attributes: dict[str, str]):
+        self.tag, self.parent, self.step, self.key, self.classes, self.attributes = tag, parent, step, key, classes, attributes
         self.bad, self.prose, self.has_article = 0, 0, False
 
 
+def key_of(step: str, above: int) -> int:
+    """A path's hash from its last step's and the hash of the path above."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(step.encode(), above)
+
+
+def path_key(path: str) -> int:
+    out = 0
+    for step in path.split(">"):
+        out = key_of(step, out)
+    return out
+
+
 def is_bad_class(name: str) -> bool:
     if name.startswith(UNLESS):
         return False
     return any(w in BAD_WORDS or w.startswith(BAD_STARTS) for w in NAMES.findall(name))
 
 
+def is_doubtful(name: str) -> bool:
+    """Whether a bad class name has words that don't belong to the name of such a part."""
+    words = NAMES.findall(name)
+    return words[0] not in ("ad", "ads") and any(w not in BAD_WORDS and w not in PARTS and not w.startswith(BAD_STARTS) for w in words)
+
+
 class Page:
     """A parsed page: nodes in document order, and blocks (node, text, characters in links)."""
 
     def __init__(self, source: str | None):
-        self.nodes = [Node("", -1, "", [], {})]
+        self.nodes = [Node("", -1, "", 0, [], {})]
         self.blocks: list[tuple[int, str, int]] = []
         self._parse(source or "")
         self._judge()
@@ -174,9 +202,9 @@ class Page:
                 for a in ATTRIBUTE.finditer(rest):
                     attributes.setdefault((a[1] or a[5]).lower(), entities.unescape(a[2] or a[3] or a[4] or ""))
             classes = attributes.get("class", "").lower().split()
-            general = sorted({re.sub(r"[0-9]+", "", c) for c in classes} - {""})
-            steps = f"{nodes[stack[-1]].path}>{'.'.join([tag, *general])}".split(">")
-            nodes.append(Node(tag, stack[-1], ">".join(steps[-PATH_STEPS:]), classes, attributes))
+            general = sorted({re.sub(r"[0-9>]+", "", c) for c in classes} - {""})
+            step = ".".join([tag, *general])
+            nodes.append(Node(tag, stack[-1], step, key_of(step, nodes[stack[-1]].key), classes, attributes))
             if tag == "a":
                 linked[0] += 1
             stack.append(len(nodes) - 1)
@@ -201,7 +229,7 @@ class Page:
             if n.tag in ("article", "main", "h1") or n.has_article:
                 n.has_article = True
                 nodes[n.parent].has_article = True
-        inside = [False] * len(nodes)
+        inside, sizes = [False] * len(nodes), None
         for i, n in enumerate(nodes):
             if not i:
                 continue
@@ -212,8 +240,14 @@ class Page:
                 names = [*n.classes, n.attributes.get("id", "").lower()]
                 heads = n.tag == "header" or any(not c.startswith(UNLESS) and "header" in NAMES.findall(c) for c in names)
                 style = n.attributes.get("style", "").replace(" ", "").lower()
-                if n.tag in BAD_TAGS or n.tag == "form" and not n.has_article or any(map(is_bad_class, names)) or n.attributes.get("role", "").lower() in BAD_ROLES:
+                bad = list(filter(is_bad_class, names))
+                if n.tag in BAD_TAGS or n.tag == "form" and not n.has_article or n.attributes.get("role", "").lower() in BAD_ROLES:
+                    own = 1
+                elif bad and not (inside[i] and all(map(is_doubtful, bad))):
                     own = 1
+                elif bad:
+                    sizes = sizes or self._sizes()
+                    own = int(2 * sizes[i][1] >= sizes[i][0])
                 elif "hidden" in n.attributes or n.attributes.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
                     own = 1
                 elif heads and n.tag not in HEADINGS:
@@ -227,6 +261,16 @@ class Page:
                     nodes[at].prose += prose
                     at = nodes[at].parent
 
+    def _sizes(self) -> list[list[int]]:
+        """Of each node the characters of its text, and those of them in links."""
+        out = [[0, 0] for _ in self.nodes]
+        for at, text, in_links in self.blocks:
+            while at >= 0:
+                out[at][0] += len(text)
+                out[at][1] += in_links
+                at = self.nodes[at].parent
+        return out
+
     def good(self, at: int) -> bool:
         bad = self.nodes[at].bad
         if not bad:
@@ -274,45 +318,50 @@ class Page:
         return at if self.nodes[up].tag in ("body", "html", "") else up
 
     def votes(self) -> list[tuple[str, float]]:
-        """(path, share of the prose) of the best container and of those around it that hold as much."""
+        """(path, share of the prose) of the best container, unless that is the page itself."""
         at, nodes = self.best(), self.nodes
-        if not nodes[0].prose:
+        if not nodes[0].prose or nodes[at].tag in ("", "html", "body"):
             return []
-        out, share = [], nodes[at].prose / nodes[0].prose
-        while at > 0 and len(out) < 3:
-            out.append((nodes[at].path, share / (1 << 2 * len(out))))
+        share, steps = nodes[at].prose / nodes[0].prose, []
+        while at > 0:
+            steps.append(nodes[at].step)
             at = nodes[at].parent
-        return out
+        return [(">".join(reversed(steps)), share)]
 
     def read(self, paths: list[str] | None) -> str:
         """The text of the elements on the first path that fits, or else of the best container."""
         nodes = self.nodes
-        wanted: set[int] = set()
-        for path in paths or ():
-            found, prose = set(), 0
-            for i, n in enumerate(nodes):
-                if n.path == path and i and n.bad != 1:
-                    found.add(i)
-            inner = {i for i in found if self._under(i, found)}
-            found -= inner
-            prose = sum(nodes[i].prose for i in found)
-            if found and prose and prose >= FITS * nodes[0].prose:
-                wanted = found
-                break
-        if not wanted:
-            wanted = {self.best()}
-        within = [False] * len(nodes)
+        own = self.best()
+        places: dict[int, list[int]] = {path_key(p): [] for p in paths or ()}
         for i, n in enumerate(nodes):
-            within[i] = i in wanted or (i > 0 and within[n.parent])
+            if n.key in places and i and n.bad != 1:
+                places[n.key].append(i)
+        within = self._below({own})
+        for found in places.values():
+            taken = found and self._below(set(found))
+            if taken and self._fits(taken, own, within):
+                within = taken
+                break
         return "\n\n".join(text for at, text, _ in self.blocks if within[at] and self.good(at))
 
-    def _under(self, at: int, found: set[int]) -> bool:
-        at = self.nodes[at].parent
-        while at > 0:
-            if at in found:
-                return True
-            at = self.nodes[at].parent
-        return False
+    def _below(self, wanted: set[int]) -> list[bool]:
+        """Of each node whether it is one of `wanted` or inside one."""
+        out = [False] * len(self.nodes)
+        for i, n in enumerate(self.nodes):
+            out[i] = i in wanted or (i > 0 and out[n.parent])
+        return out
+
+    def _fits(self, taken: list[bool], own: int, within: list[bool]) -> bool:
+        held = beside = 0
+        for at, text, in_links in self.blocks:
+            if self.good(at):
+                prose = max(0, len(text) - 2 * in_links)
+                if taken[at]:
+                    held += prose
+                elif within[at] and self.nodes[at].tag in PARAGRAPHS:
+                    beside += prose
+        best = self.nodes[own].prose
+        return held > 0 and (held >= HOLDS * best or (held >= FITS * best and beside <= BESIDE * held))
 
 
 def host(url: Column) -> Column:
@@ -339,17 +388,18 @@ def ballots(pages: DataFrame) -> DataFrame:
 
 
 def winners(votes: DataFrame) -> DataFrame:
-    """host and its winning paths in order.  A host's rows are its distinct paths, not its pages."""
-    by = Window.partitionBy("host")
-    ranked = votes.withColumn("r", F.row_number().over(by.orderBy(F.desc("votes"), "path"))).withColumn("all", F.sum("votes").over(by))
-    leading = ranked.where((F.col("r") <= WINNERS) & (F.col("votes") >= SHARE * F.col("all")))
-    return leading.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "path"))), lambda x: x["path"]).alias("paths"))
+    """host and its winning paths, those of most votes first; `votes` is a materialized table."""
+    every = votes.groupBy("host").agg(F.sum("votes").alias("all"))
+    # At most 1 / SHARE rows of a host are left, so they can be listed.
+    leading = votes.join(every, "host").where(F.col("votes") >= SHARE * F.col("all"))
+    return leading.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path"))), lambda x: x["path"]).alias("paths"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of `pages`."""
-    chosen = materialize(winners(ballots(pages)), "hosts").withColumnRenamed("host", "__host")
-    small = chosen.count() <= BROADCAST_ROWS
+    chosen = materialize(winners(materialize(ballots(pages), "ballots")), "hosts").withColumnRenamed("host", "__host")
+    size = chosen.agg(F.sum(F.octet_length("__host") + F.aggregate("paths", F.lit(64), lambda a, p: a + 16 + F.octet_length(p)))).first()[0]
+    small = (size or 0) <= BROADCAST_BYTES
     rows = pages.select("page_id", "url", F.col("html").alias("__html")).withColumn("__host", host(F.col("url")))
     # Beyond that size, a shuffle join, whose hot hosts adaptive execution splits.
     rows = rows.join(F.broadcast(chosen) if small else chosen, "__host", "left").select("page_id", "url", "__html", "paths")

@@ -359,6 +359,7 @@ PAGES = [
     ("<article><p>a<!-- no --> b</p><table><tr><td>c1<td>c2</table><pre>x\n\ty</pre></article><div class='cookie-notice'>ok?</div>", "a b\n\nc1\n\nc2\n\nx y"),
     ("<main><article class='story'><h1>A</h1><p>" + "word " * 30 + "</p><section class='comments'><article class='comment'><p>" + "hm " * 90 + "</p></article></section></article><article class='teaser'><p>" + "tease " * 15 + "</p></article></main>", "A\n\n" + ("word " * 30).strip()),
     ("plain text only", "plain text only"), ("", ""), (None, ""), ("<p", ""), ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"), ("<article><p>1 < 2 &lt; 3</article>", "1 < 2 < 3"),
+    ("<article><p>Open</p><div class='share-price'><p>Up two.</p></div><div class='menu-de-la-semaine'>Soup</div><div class='share-links'><a>mail</a></div><div class='share-price'><a>buy it</a></div><div class='ad'>x</div></article>", "Open\n\nUp two.\n\nSoup"),
 ]
 
 
@@ -380,6 +381,35 @@ def test_hosts_agree_on_a_path(spark):
     assert htmltext.extract(frame.limit(0)).count() == 0
 
 
+def test_a_winning_path_does_not_replace_a_page_s_own_article(spark):
+    plain = lambda body: f"<body><div class='story'><p>{body}</p></div></body>"
+    rows = [(i, "https://h.org/a", plain("word " * (30 + i))) for i in range(20)]
+    # Another template: its junk must not come back with the whole body.
+    rows.append((20, "https://h.org/b", f"<body><div class='junkbox'>{'<a>go</a> ' * 9}</div><div class='tale'><h1>T</h1><p>{'tale ' * 60}</p></div></body>"))
+    # A fifth of the article on the popular path, the rest beside it.
+    rows.append((21, "https://h.org/c", f"<body><div class='story'><p>{'intro ' * 20}</p></div><div class='rest'><p>{'more ' * 80}</p></div></body>"))
+    deep = "<div>" * 12
+    rows += [(30 + i, "https://deep.org/", f"<body>{deep}<div class='x'><p>{'deep ' * 40}</p></div></body>") for i in range(3)]
+    # Repeated rows, clashing columns and a very long page.
+    rows += [(40, "https://long.org/", "<article>" + "<p>word word</p>" * 40_000 + "</article>")] * 2
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS paths", "'x' AS text", "'x' AS __html")
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(frame).collect()}
+    assert got[20] == "T\n\n" + ("tale " * 60).strip()
+    assert got[21] == ("intro " * 20).strip() + "\n\n" + ("more " * 80).strip()
+    assert all(got[30 + i] == ("deep " * 40).strip() for i in range(3)) and len(got[40]) == 40_000 * 11 - 2
+    # The vote by a plain count.
+    tally = collections.Counter()
+    for _, url, html in rows:
+        for path, share in htmltext.Page(html).votes():
+            tally[url.split("/")[2], path] += round(share * 1000)
+    every = collections.Counter()
+    for (name, _), n in tally.items():
+        every[name] += n
+    wanted = {h: [p for (g, p), n in sorted(tally.items(), key=lambda x: (-x[1], x[0])) if g == h and n >= htmltext.SHARE * every[h]] for h in every}
+    votes = htmltext.materialize(htmltext.ballots(frame), "ballots")
+    assert {r["host"]: r["paths"] for r in htmltext.winners(votes).collect()} == wanted
+
+
 # Pipeline
 
 
