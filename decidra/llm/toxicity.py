@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-The confirmed toxic rows of the training fold are the positives; every other row of it,
-labelled or not, is unlabelled.  A logistic classifier is trained in numpy by minimising
+The confirmed toxic rows of the training fold are the positives; all rows of it, labelled or
+not and the confirmed ones among them, are the unlabelled ones, so that the prior holds for them.  A logistic classifier is trained in numpy by minimising
 pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)), with the class prior pi taken from the labelled
 rows of the training fold; where the second part falls below zero, its gradient is taken
 back (the non-negative correction).
@@ -11,7 +11,8 @@ Only those that stand out among the positives are used; the scoring of a text th
 one dictionary look-up per word.
 
 The fit uses a bounded sample: the SAMPLE positives and SAMPLE unlabelled rows whose
-doc_id hashes lowest, each read whole.  Scoring covers every row.
+doc_id hashes lowest, each read whole.  The model has at most FEATURES features, those that
+stand out most.  Scoring covers every row.
 
 Defined cases: a null or empty text scores the classifier's bias; rows without a doc_id are
 never learned from and count as training rows (held_out false); a label row repeated for a
@@ -87,7 +88,7 @@ def chosen_features(positive: list[np.ndarray], unlabelled: list[np.ndarray]) ->
     return known[best[z[best] > 2]]
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 3e-3) -> tuple[np.ndarray, float]:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the logistic classifier with the least non-negative risk (Adam)."""
     a, b = positive, unlabelled
     w, bias = np.zeros(a.shape[1], dtype=np.float32), np.float32(-2.0)
@@ -123,21 +124,26 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
         return {}, -50.0
     rows = docs.select("doc_id", F.col("text").alias("__text")).where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    confirmed = marks.where(F.col("__toxic") == 1).orderBy(*[F.xxhash64("doc_id"), F.col("doc_id")]).limit(sample).select("doc_id")
-    ids = rows.select("doc_id").join(marks.where(F.col("__toxic") == 1), "doc_id", "left_anti").orderBy(*order).limit(sample).select("doc_id")
-    wanted = confirmed.withColumn("__p", F.lit(True)).unionByName(ids.withColumn("__p", F.lit(False))).dropDuplicates(["doc_id"])
+    confirmed = marks.where(F.col("__toxic") == 1).orderBy(*order).limit(sample).select("doc_id")
+    ids = rows.select("doc_id").orderBy(*order).limit(sample)
+    flags = lambda frame, p: frame.select("doc_id", F.lit(p).alias("__p"), F.lit(not p).alias("__u"))
+    wanted = flags(confirmed, True).unionByName(flags(ids, False)).groupBy("doc_id").agg(F.max("__p").alias("__p"), F.max("__u").alias("__u"))
     # 2 * sample ids of 8 bytes: bounded, so the texts need no shuffle.
-    found = rows.join(F.broadcast(wanted), "doc_id").select("__p", "__text")
+    found = rows.join(F.broadcast(wanted), "doc_id").select("__p", "__u", "__text")
 
     def run(batches):
         for batch in batches:
-            for p, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([features_of(text).tobytes()], pa.binary())], names=["p", "f"])
+            for p, u, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([u]), pa.array([features_of(text).tobytes()], pa.binary())], names=["p", "u", "f"])
 
     positive, unlabelled = [], []
     # 2 * sample rows of about 5 kB.
-    for row in found.mapInArrow(run, "p boolean, f binary").collect():
-        (positive if row[0] else unlabelled).append(np.frombuffer(row[1], dtype=np.uint32))
+    for row in found.mapInArrow(run, "p boolean, u boolean, f binary").collect():
+        features = np.frombuffer(row[2], dtype=np.uint32)
+        if row[0]:
+            positive.append(features)
+        if row[1]:
+            unlabelled.append(features)
     return train(positive, unlabelled, toxic / total)
 
 
