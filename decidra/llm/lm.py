@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialize, partitions, release, tidy
 
 BLOCK_TOKENS = 600_000
+#: Characters of text whose n-grams fall into one range of hashes, about; its reducer needs some three times as many bytes.
+RANGE_CHARS = 48_000_000
 FOLDS, SCORED_ONLY, DELETED = 5, 1, 10
 #: Context buckets: never seen, once, 2-3, 4-7 and so on; the last one has all above.
 BUCKETS = 16
@@ -179,7 +181,7 @@ def answered(table: pa.Table) -> pa.Table:
     sums = {}
     for deleted in (False, True):
         weight = np.concatenate([c if r["deleted"] == deleted else np.zeros(len(c)) for r, c in zip(rows, counts, strict=True)])
-        sums[deleted] = np.bincount(inverse, weights=weight, minlength=len(known)).astype(np.uint32)
+        sums[deleted] = np.bincount(inverse, weights=weight, minlength=len(known)).astype(np.uint64)
     out, at = [], 0
     for row, k in zip(rows, keys, strict=True):
         mine = inverse[at : at + len(k)]
@@ -187,7 +189,7 @@ def answered(table: pa.Table) -> pa.Table:
         out.append({"block": row["block"], "order": row["order"], "part": row["part"], "kept": squeeze(sums[False][mine]), "deleted": squeeze(sums[True][mine])})
     if rows[0]["order"] == 1:
         words = known != np.uint64(xxhash.xxh3_64_intdigest(START))
-        kept, every = sums[False][words].astype(np.int64), sums[False][words].astype(np.int64) + sums[True][words]
+        kept, every = sums[False][words], sums[False][words] + sums[True][words]
         out.append({"n_kept": int(kept.sum()), "v_kept": int((kept > 0).sum()), "n_all": int(every.sum()), "v_all": int((every > 0).sum())})
     kinds = {"order": pa.int32(), "part": pa.int32(), "kept": pa.binary(), "deleted": pa.binary(), "block": pa.string()}
     names = ["block", "order", "part", "kept", "deleted", *TOTALS]
@@ -205,8 +207,8 @@ class Counted:
         self.sizes, vocabulary, tokens = (expand(row[k], t) for k, t in (("sizes", np.int64), ("vocabulary", np.uint64), ("tokens", np.uint32)))
         parts: dict[int, list] = {1: [], 2: []}
         for r in answers.to_pylist():
-            total = expand(r["kept"], np.uint32).astype(np.int64)
-            parts[r["order"]].append((r["part"], total + expand(r["deleted"], np.uint32) if with_deleted else total))
+            total = expand(r["kept"], np.uint64)
+            parts[r["order"]].append((r["part"], (total + expand(r["deleted"], np.uint64) if with_deleted else total).astype(np.int64)))
         joined = {k: np.concatenate([x for _, x in sorted(v, key=lambda p: p[0])]) for k, v in parts.items()}
         keys, context = pairs(vocabulary, tokens, self.sizes)
         of_word = np.empty(len(vocabulary), dtype=np.int64)
@@ -272,8 +274,9 @@ def scored(block: pa.Table, answers: pa.Table, n: int, v: int, weights: np.ndarr
 def interpolate(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = docs.sparkSession
-    # Twice as many ranges as shuffle partitions, so that a range's reducer stays small.
-    bits = max(5, (partitions(spark) - 1).bit_length() + 1)
+    # Twice as many ranges as shuffle partitions at least, and more where the corpus would fill them beyond RANGE_CHARS.
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = max(5, (partitions(spark) - 1).bit_length() + 1, (chars // RANGE_CHARS).bit_length())
     made = materialize(blocks(docs, bits), "lm-blocks", "kind")
     asked = made.where("kind = 'asked'").select("block", "deleted", "order", "part", "keys", "counts")
     answers = materialize(asked.groupBy("order", "part").applyInArrow(answered, ANSWER), "lm-answers")

@@ -130,6 +130,16 @@ def test_odd_rows_of_language_model(spark):
     assert lm.interpolate(docs(spark, [])).count() == 0
 
 
+def test_counts_beyond_32_bits():
+    import pyarrow as pa
+
+    keys = np.array([5, 9, 12], dtype=np.uint64)
+    row = lambda block, deleted, counts: {"block": block, "deleted": deleted, "order": 2, "part": 0, "keys": lm.squeeze(np.diff(keys, prepend=np.uint64(0))), "counts": lm.squeeze(np.array(counts, dtype=np.uint32))}
+    got = lm.answered(pa.Table.from_pylist([row("a", False, [4_000_000_000, 1, 0]), row("b", False, [4_000_000_000, 2, 7]), row("c", True, [3, 0, 0])])).to_pylist()
+    assert len(got) == 3 and all(lm.expand(r["kept"], np.uint64).tolist() == [8_000_000_000, 3, 7] for r in got)
+    assert all(lm.expand(r["deleted"], np.uint64).tolist() == [3, 0, 0] for r in got)
+
+
 # Decontamination
 
 
