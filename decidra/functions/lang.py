@@ -86,15 +86,16 @@ def latin_language(text: Column) -> Column:
     tokens = F.regexp_extract_all(lower, F.lit(r"\p{L}+"), F.lit(0))
     rate = (F.length(lower) - F.length(F.regexp_replace(lower, f"[{FOREIGN}]", ""))) / F.greatest(F.length(lower), F.lit(1))
 
-    def hits(tokens: Column, name: str) -> Column:
-        known = F.array(*[F.lit(w) for w in FUNCTION_WORDS[name].split()])
-        return F.size(F.filter(tokens, lambda t: F.array_contains(known, t)))
+    # Constant lists become hash sets; most tokens are gone before the languages are counted.
+    known = sorted({w for words in FUNCTION_WORDS.values() for w in words.split()})
+    tokens = F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("n"), F.filter(t, lambda x: x.isin(known)).alias("w")))[0]
+    hits = lambda t, name: F.size(F.filter(t["w"], lambda x: x.isin(FUNCTION_WORDS[name].split())))
 
     def decide(t: Column) -> Column:
         english = hits(t, "en")
         others = F.array(*[F.struct(hits(t, name).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("l")) for i, name in enumerate(FUNCTION_WORDS) if name != "en"])
         best = F.array_max(others)
-        return F.struct(F.size(t).alias("words"), english.alias("en"), best.alias("best"))
+        return F.struct(t["n"].alias("words"), english.alias("en"), best.alias("best"))
 
     def told(s: Column) -> Column:
         foreign = rate >= FOREIGN_RATE

@@ -9,22 +9,52 @@ from ..functions.text import shingles
 from .tables import stored
 
 
-def shingle_rows(units: DataFrame, key: str, tokens: str, k: int, least: int) -> DataFrame:
-    """key, shingle (its hash), n_shingles: one row per distinct shingle of a unit."""
+def shingle_sets(units: DataFrame, key: str, tokens: str, k: int, least: int) -> DataFrame:
+    """key, s (hashes of the distinct shingles) and n of each unit that has some: a written table."""
     cut = units.select(key, shingles(F.col(tokens), k, least).alias("__s")).where(F.size("__s") > 0)
-    return cut.select(key, F.size("__s").alias("n_shingles"), F.explode("__s").alias("__x")).select(key, "n_shingles", F.xxhash64("__x").alias("shingle"))
+    return stored(cut.select(key, F.transform("__s", lambda x: F.xxhash64(x)).alias("s"), F.size("__s").alias("n")), "sets")
+
+
+def meetings(left: DataFrame, right: DataFrame, left_key: str, right_key: str, share: float, fits=None) -> DataFrame:
+    """Pairs (left_key, right_key) of sets that may have `share` of the smaller one in common.
+
+    Such pairs share one of the smaller set's n - ceil(share * n) + 1 first shingles in any order.
+    That order is by how many sets of the other side have a shingle: those that none has come
+    first, use up most of the places, and join with nothing, and what many have is seldom among them.
+    """
+
+    def placed(side: DataFrame, key: str, other: DataFrame) -> DataFrame:
+        each = side.select(key, "n", F.explode("s").alias("x"))
+        often = other.select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("df"))
+        return stored(each.join(often, "x").select(key, "n", "x", "df"), "shared")
+
+    def first(found: DataFrame, key: str) -> DataFrame:
+        by = Window.partitionBy(key)
+        ranked = found.withColumn("r", F.row_number().over(by.orderBy("df", "x"))).withColumn("c", F.count(F.lit(1)).over(by))
+        return ranked.where(F.col("r") <= F.col("c") - F.ceil(F.col("n") * share) + 1).select(key, "n", "x")
+
+    a, b = placed(left, left_key, right), placed(right, right_key, left)
+    other = lambda side, key: side.select(F.col(key), F.col("n").alias("m"), "x")
+    ab = first(a, left_key).join(other(b, right_key), "x").where("n <= m")
+    ba = first(b, right_key).join(other(a, left_key), "x").where("n < m")
+    met = ab.select(left_key, right_key, "n", "m").unionByName(ba.select(left_key, right_key, F.col("m").alias("n"), F.col("n").alias("m")))
+    return (met if fits is None else met.where(fits)).select(left_key, right_key).distinct()
+
+
+def counted(pairs: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """The pairs with their sizes __na and __nb and how many shingles they share, by whole sets."""
+    a = left.select(left_key, F.col("s").alias("__sa"), F.col("n").alias("__na"))
+    b = right.select(right_key, F.col("s").alias("__sb"), F.col("n").alias("__nb"))
+    both = pairs.join(a, left_key).join(b, right_key)
+    return both.select(*pairs.columns, "__na", "__nb", F.size(F.array_intersect("__sa", "__sb")).alias("shared_shingles"))
 
 
 def near_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, tokens: str = "tokens", k: int = 5, least: int = 12, jaccard: float = 0.8, containment: float = 0.9, shared_words: int = 12) -> DataFrame:
     """Pairs with jaccard at or above its threshold, or with containment in the smaller set
     and enough distinct words in common.  Uncapped; keys must differ in name.
-
-    Shared shingles are counted by an equi join on 8-byte hashes, which adaptive execution
-    splits where a shingle is frequent; words are only compared of pairs that may pass.
     """
-    a = shingle_rows(left, left_key, tokens, k, least).withColumnRenamed("n_shingles", "__na")
-    b = shingle_rows(right, right_key, tokens, k, least).withColumnRenamed("n_shingles", "__nb")
-    hits = a.join(b, "shingle").groupBy(left_key, right_key, "__na", "__nb").agg(F.count(F.lit(1)).alias("shared_shingles"))
+    a, b = shingle_sets(left, left_key, tokens, k, least), shingle_sets(right, right_key, tokens, k, least)
+    hits = counted(meetings(a, b, left_key, right_key, min(jaccard, containment)), a, b, left_key, right_key)
     scored = hits.select(
         left_key, right_key, "shared_shingles",
         (F.col("shared_shingles") / (F.col("__na") + F.col("__nb") - F.col("shared_shingles"))).alias("jaccard"),
@@ -72,12 +102,13 @@ def firewall(candidates: DataFrame, index: DataFrame, key: str, tokens: str = "t
     text = lambda rows: rows.select("*", F.array_join(tokens, " ").alias("__t"))
     left = text(candidates)
     exact = left.join(text(index).select("__t").distinct(), "__t", "left_semi").select(key)
-    a = shingle_rows(candidates, key, tokens, k, least).withColumnRenamed("n_shingles", "__na")
-    units = index.select(F.monotonically_increasing_id().alias("__u"), tokens)
-    b = shingle_rows(units, "__u", tokens, k, least).withColumnRenamed("n_shingles", "__nb")
+    units = stored(index.select(F.monotonically_increasing_id().alias("__u"), tokens), "units")
+    a, b = shingle_sets(candidates, key, tokens, k, least), shingle_sets(units, "__u", tokens, k, least)
     if posting_cap is not None:
-        b = b.withColumn("__df", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where(F.col("__df") <= posting_cap).drop("__df")
-    sizes = F.least("__na", "__nb") >= jaccard * F.greatest("__na", "__nb")
-    hits = a.join(b, "shingle").where(sizes).groupBy(key, "__u", "__na", "__nb").agg(F.count(F.lit(1)).alias("__c"))
-    near = hits.where(F.col("__c") / (F.col("__na") + F.col("__nb") - F.col("__c")) >= jaccard).select(key)
+        each = b.select("__u", F.posexplode("s").alias("p", "x"))
+        usual = each.groupBy("x").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= posting_cap).select("x")
+        b = stored(each.join(usual, "x").groupBy("__u").agg(F.collect_list("x").alias("s")).join(b.select("__u", "n"), "__u"), "capped")
+    sizes = F.least("n", "m") >= jaccard * F.greatest("n", "m")
+    hits = counted(meetings(a, b, key, "__u", jaccard, sizes), a, b, key, "__u")
+    near = hits.where(F.col("shared_shingles") / (F.col("__na") + F.col("__nb") - F.col("shared_shingles")) >= jaccard).select(key)
     return candidates.join(exact.unionByName(near).distinct(), key, "left_anti")

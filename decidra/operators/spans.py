@@ -2,90 +2,88 @@
 
 from __future__ import annotations
 
-import json
 import re
-import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.states import flat, folded, parse_or_keep
+
 # Fields that hold instructions rather than content, and fields of documents.
 IGNORED = frozenset(
     "instructions instruction criteria candidates options option_ids labels label rubric rules policy task task_description system system_prompt choices answer_choices".split()
 )
 DOCUMENTS = frozenset("document article passage context contract text source_text source premise dialogue dialogue_prefix".split())
 LABEL = re.compile(r"^\s*([A-Za-z][A-Za-z _-]{0,45}):\s*(.*)$")
+WORDS = re.compile(r"\w+")
 FIELDS = "field string, text string, normalized string, tokens array<string>, group_link boolean"
 
 
-def folded(text: str) -> str:
-    return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
-
-
 def _name(label: str) -> str:
     return folded(label).replace(" ", "_")
 
 
-def leaves(value, path: str = "state", field: str = "state"):
-    """(path, field, text) of all strings outside ignored fields; depth is only bounded by JSON's."""
-    todo = [(value, path, field)]
-    while todo:
-        value, path, field = todo.pop()
-        if isinstance(value, str):
-            yield path, field, value
-        elif isinstance(value, dict):
-            todo += [(v, f"{path}.{k}", k) for k, v in reversed(value.items()) if _name(k) not in IGNORED]
-        elif isinstance(value, list):
-            todo += [(v, f"{path}[{i}]", field) for i, v in reversed(list(enumerate(value)))]
-
-
-def _of_leaf(path: str, text: str):
-    """(clean text, [(path, span)]) of a leaf: `Label:` lines switch sections on and off."""
-    kept, section, spans = [], [], []
-    name, active = "unlabelled", True
-
-    def close():
-        if section:
-            spans.append((f"{path}:section:{name}", "\n".join(section)))
-            section.clear()
-
-    for number, line in enumerate(text.splitlines(), 1):
-        found = LABEL.match(line)
-        if found:
-            close()
-            label, line = found.groups()
-            name, active = f"{number}:{label}", _name(label) not in IGNORED
-        if active:
-            kept.append(line)
-            section.append(line)
-            if line.strip():
-                spans.append((f"{path}:line:{number}", line))
-    close()
-    clean = "\n".join(kept)
-    spans += [(f"{path}:paragraph:{i}", p) for i, p in enumerate(re.split(r"\n\s*\n", clean), 1)]
-    return clean, spans
+def _hidden(label: str) -> bool:
+    return _name(label) in IGNORED
+
+
+def leaves(value):
+    """(path, field, text) of all strings outside ignored fields.  The field is the last key on the path."""
+    for path, text in flat(value):
+        keys = [k for k in path if isinstance(k, str)]
+        if isinstance(text, str) and not any(map(_hidden, keys)):
+            name = "".join(f".{k}" if isinstance(k, str) else f"[{k}]" for k in path)
+            yield f"state{name}", keys[-1] if keys else "state", text
+
+
+def sections(text: str) -> list[tuple[str, int, list[str]]]:
+    """(title, number of its first line, lines) of the sections that aren't hidden.
+
+    A `Label:` line begins a section and is its first line without the label; what comes
+    before the first one is `unlabelled`.  A section whose label is an ignored field is hidden.
+    """
+    lines = text.splitlines()
+    labels = {i: m for i, m in enumerate(map(LABEL.match, lines)) if m}
+    edges = sorted({0, *labels})
+    out = []
+    for a, b in zip(edges, [*edges[1:], len(lines)], strict=True):
+        if a not in labels:
+            out.append(("unlabelled", a + 1, lines[a:b]))
+        elif not _hidden(labels[a][1]):
+            out.append((f"{a + 1}:{labels[a][1]}", a + 1, [labels[a][2], *lines[a + 1 : b]]))
+    return [x for x in out if x[2]]
+
+
+def parts_of(path: str, found: list[tuple[str, int, list[str]]]) -> list[tuple[str, str]]:
+    """(path, text) of the lines and sections, in order, and then of the paragraphs."""
+    out = []
+    for title, first, lines in found:
+        out += [(f"{path}:line:{first + i}", x) for i, x in enumerate(lines) if not x.isspace() and x]
+        out.append((f"{path}:section:{title}", "\n".join(lines)))
+    whole = "\n".join(x for _, _, lines in found for x in lines)
+    return out + [(f"{path}:paragraph:{i}", p) for i, p in enumerate(re.split(r"\n\s*\n", whole), 1)]
 
 
 def spans_of(state, exact_words: int = 3, group_words: int = 40) -> list[tuple[str, str, str, list[str], bool]]:
     """Distinct spans with enough words, whole leaves first: path, text, normal form, words,
     and whether an equal span links two rows into one group."""
-    whole, parts = [], []
-    for path, field, text in leaves(state):
-        clean, spans = _of_leaf(path, text)
-        whole.append((path, field, clean))
-        parts += [(p, field, t, False) for p, t in spans]
-    content = "\n".join(t for _, _, t in whole)
-    size = len(re.findall(r"\w+", folded(content)))
-    out, seen = [], set()
-    for path, field, text, is_leaf in [("state:content", "state", content, True), *((p, f, t, True) for p, f, t in whole), *parts]:
-        key = folded(text)
-        words = re.findall(r"\w+", key)
-        if len(words) < exact_words or key in seen:
-            continue
-        seen.add(key)
-        link = path == "state:content" or (is_leaf and folded(field) in DOCUMENTS and len(words) >= group_words and 2 * len(words) >= size)
-        out.append((path, text, key, words, link))
+    cut = [(path, field, sections(text)) for path, field, text in leaves(state)]
+    whole = [(path, field, "\n".join(x for _, _, lines in found for x in lines)) for path, field, found in cut]
+    content = "\n".join(text for _, _, text in whole)
+    named = [("state:content", None, content), *whole]
+    named += [(path, "", text) for leaf, _, found in cut for path, text in parts_of(leaf, found)]
+    # The first of equal spans stands for all.
+    first: dict[str, tuple[str, str | None, str]] = {}
+    for row in named:
+        first.setdefault(folded(row[2]), row)
+    size = len(WORDS.findall(folded(content)))
+    out = []
+    for key, (path, field, text) in first.items():
+        tokens = WORDS.findall(key)
+        if len(tokens) >= exact_words:
+            document = field and folded(field) in DOCUMENTS and len(tokens) >= group_words and 2 * len(tokens) >= size
+            out.append((path, text, key, tokens, field is None or bool(document)))
     return out
 
 
@@ -99,11 +97,7 @@ def with_spans(rows: DataFrame, key: str, state: str, exact_words: int = 3, grou
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if text is None:
                     continue
-                try:
-                    value = json.loads(text)
-                except ValueError:
-                    value = text
-                for span in spans_of(value, exact_words, group_words):
+                for span in spans_of(parse_or_keep(text), exact_words, group_words):
                     taken.append(i)
                     for column, x in zip(out, span, strict=True):
                         column.append(x)

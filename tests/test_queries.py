@@ -37,5 +37,5 @@ def test_library_does_not_need_llm():
 def test_whole_texts_are_profiled(spark, tmp_path):
     text = "... " * 1000 + "le chat est dans la maison avec nous et vous"
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert catalog.QUERIES["script_profile_whole"](spark, str(tmp_path)).first()[1:] == ("latin", 35)
-    assert catalog.QUERIES["latin_language_whole"](spark, str(tmp_path)).first()["language"] == "fr"
+    assert catalog.QUERIES["script_profile"](spark, str(tmp_path)).first()[1:] == ("latin", 35)
+    assert catalog.QUERIES["latin_language"](spark, str(tmp_path)).first()["language"] == "fr"
