@@ -84,7 +84,7 @@ def latin_language(text: Column) -> Column:
     """
     lower = F.lower(text)
     tokens = F.regexp_extract_all(lower, F.lit(r"\p{L}+"), F.lit(0))
-    rate = (F.length(lower) - F.length(F.regexp_replace(lower, f"[{FOREIGN}]", ""))) / F.greatest(F.length(lower), F.lit(1))
+    rate = (F.length(lower) - F.length(F.translate(lower, FOREIGN, ""))) / F.greatest(F.length(lower), F.lit(1))
 
     # Constant lists become hash sets; most tokens are gone before the languages are counted.
     known = sorted({w for words in FUNCTION_WORDS.values() for w in words.split()})
@@ -95,10 +95,10 @@ def latin_language(text: Column) -> Column:
         english = hits(t, "en")
         others = F.array(*[F.struct(hits(t, name).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("l")) for i, name in enumerate(FUNCTION_WORDS) if name != "en"])
         best = F.array_max(others)
-        return F.struct(t["n"].alias("words"), english.alias("en"), best.alias("best"))
+        return F.struct(t["n"].alias("words"), english.alias("en"), best.alias("best"), rate.alias("rate"))
 
     def told(s: Column) -> Column:
-        foreign = rate >= FOREIGN_RATE
+        rate, foreign = s["rate"], s["rate"] >= FOREIGN_RATE
         n, en = s["best"]["n"], s["en"]
         language = F.when((n >= 2) & (n >= en + 2), s["best"]["l"]).when(foreign & (n >= 2) & (n >= en), s["best"]["l"]).when((en > 0) & ~foreign, "en")
         few = s["words"] < 4

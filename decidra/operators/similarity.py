@@ -19,21 +19,24 @@ def meetings(left: DataFrame, right: DataFrame, left_key: str, right_key: str, s
     """Pairs (left_key, right_key) of sets that may have `share` of the smaller one in common.
 
     Such pairs share one of the smaller set's n - ceil(share * n) + 1 first shingles in any order.
-    That order is by how many sets of the other side have a shingle: those that none has come
+    The order is by how many sets of the other side have a shingle: those that none has come
     first, use up most of the places, and join with nothing, and what many have is seldom among them.
     """
 
-    def placed(side: DataFrame, key: str, other: DataFrame) -> DataFrame:
-        each = side.select(key, "n", F.explode("s").alias("x"))
-        often = other.select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-        return stored(each.join(often, "x").select(key, "n", "x", "df"), "shared")
+    if left.count() > right.count():
+        return meetings(right, left, right_key, left_key, share, fits)
+    each = lambda side, key: side.select(key, "n", F.explode("s").alias("x"))
+    often = lambda rows: rows.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
+    # Written, so that its size is known: the larger side's shingles are only shuffled if the smaller side's are too many to broadcast.
+    of_left = stored(often(each(left, left_key)), "often")
+    b = stored(each(right, right_key).join(of_left, "x").select(right_key, "n", "x", "df"), "shared")
+    a = stored(each(left, left_key).join(often(b), "x").select(left_key, "n", "x", "df"), "shared")
 
     def first(found: DataFrame, key: str) -> DataFrame:
         by = Window.partitionBy(key)
         ranked = found.withColumn("r", F.row_number().over(by.orderBy("df", "x"))).withColumn("c", F.count(F.lit(1)).over(by))
         return ranked.where(F.col("r") <= F.col("c") - F.ceil(F.col("n") * share) + 1).select(key, "n", "x")
 
-    a, b = placed(left, left_key, right), placed(right, right_key, left)
     other = lambda side, key: side.select(F.col(key), F.col("n").alias("m"), "x")
     ab = first(a, left_key).join(other(b, right_key), "x").where("n <= m")
     ba = first(b, right_key).join(other(a, left_key), "x").where("n < m")
