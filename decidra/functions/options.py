@@ -96,6 +96,23 @@ def candidate_set(target: Column, directory: Column, size: int, *seed: Column) -
     keyed = F.transform(directory, lambda d: F.struct(F.sha2(F.concat_ws("|", salt, d), 256).alias("h"), d.alias("d")))
     order = F.transform(F.sort_array(keyed), lambda x: x["d"])
     twice = F.concat(order, order)
-    back = F.pmod(F.crc32(salt.cast("binary")), F.lit(size))
+    back = F.pmod(F.conv(F.substring(F.sha2(salt, 256), 1, 8), 16, 10).cast("long"), F.lit(size))
     start = F.pmod(F.array_position(order, target) - 1 - back, F.size(order)) + 1
     return F.slice(twice, start.cast("int"), F.lit(size))
+
+
+def forecast_reason(due: Column, horizon: Column, dates: Column, freeze: Column) -> Column:
+    """Why a forecast row is refused; dates are ISO texts.  The horizon is one of the scheduled
+    dates (null where there are none) and lies behind the due date; the context was frozen by then."""
+    scheduled = dates.isNotNull() & ~F.coalesce(F.array_contains(dates, horizon) & (horizon > due), F.lit(False))
+    return F.when(scheduled, "horizon").when(dates.isNull() & horizon.isNotNull(), "unscheduled_horizon").when(~F.coalesce(F.left(freeze, F.lit(10)) <= due, F.lit(False)), "frozen_later")
+
+
+def unbound(text: Column) -> Column:
+    """A placeholder in braces is left."""
+    return text.rlike(r"\{[a-z_]+\}")
+
+
+def allowed_context(context: Column, fields: list[str]) -> Column:
+    """Only the named fields of a map, in the order given."""
+    return F.map_from_entries(F.transform(F.array(*[F.lit(f) for f in fields]), lambda f: F.struct(f, F.element_at(context, f))))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normal
 from .components import components, propagated, star_edges
 from .joins import key_matches
 from .similarity import exact_pairs, near_pairs
@@ -43,11 +44,26 @@ class Thresholds:
     group_words: int = 40
 
 
-def namespace(name: Column) -> Column:
-    """The dataset that a name or address stands for; others stay apart as `unmapped:name`."""
-    key = F.regexp_replace(F.lower(F.regexp_replace(name, "/+$", "")), r"^https?://(huggingface\.co/datasets|github\.com)/", "")
+def _known(name: Column) -> Column:
+    key = F.regexp_replace(F.lower(F.regexp_replace(name, "/+$", "")), r"^(https?://huggingface\.co/datasets|https://github\.com)/", "")
     table = F.create_map(*[F.lit(x) for own, names in ALIASES.items() for n in names for x in (n, own)])
-    return F.when(name.isNull(), "unknown:").otherwise(F.coalesce(F.try_element_at(table, key), F.concat(F.lit("unmapped:"), F.lower(F.trim(name)))))
+    return F.try_element_at(table, key)
+
+
+def namespace(*names: Column, suite: Column | None = None, fixed: dict[str, str] | None = None, prefix: str | None = None) -> Column:
+    """The dataset that the first known of several names or addresses stands for.
+
+    A suite's `fixed` namespace comes first, then what follows `prefix` in the suite's name if that is a known
+    name.  Without a known name rows stay apart as `unmapped:` and the first name, or `unknown:` and the suite.
+    """
+    out = []
+    if suite is not None and fixed:
+        out.append(F.try_element_at(F.create_map(*[F.lit(x) for kv in fixed.items() for x in kv]), suite))
+    if suite is not None and prefix:
+        out.append(F.when(F.startswith(suite, F.lit(prefix)), _known(F.substr(suite, F.lit(len(prefix) + 1)))))
+    out += [_known(n) for n in names]
+    unmapped = F.concat(F.lit("unmapped:"), normal(F.coalesce(*names)))
+    return F.coalesce(*out, unmapped, F.concat(F.lit("unknown:"), F.coalesce(suite, F.lit("")) if suite is not None else F.lit("")))
 
 
 def evidence(rows: DataFrame, exposures: DataFrame, t: Thresholds = Thresholds()) -> tuple[DataFrame, DataFrame]:

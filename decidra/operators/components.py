@@ -52,3 +52,9 @@ def propagated(rows: DataFrame, component: str, decision: str) -> DataFrame:
     worst = rows.groupBy(component).agg(F.bool_or(F.col(decision) == "exclude").alias("__any_x"), F.bool_or(F.col(decision) == "quarantine").alias("__any_q"))
     joined = rows.join(worst, component)
     return joined.withColumn("decided", F.when(F.col("__any_x"), "exclude").when(F.col("__any_q"), "quarantine").otherwise("retain")).drop("__any_x", "__any_q")
+
+
+def report(members: DataFrame, component: str = "component") -> DataFrame:
+    """One row: how many components there are, how many have several members, and the largest's size."""
+    sizes = members.groupBy(component).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("n_components"), F.count_if(F.col("n") > 1).alias("n_shared"), F.max("n").alias("largest"))

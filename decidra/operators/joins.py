@@ -72,6 +72,42 @@ def earlier_pairs(rows: DataFrame, key: str, order: str, target: str) -> DataFra
     return seen.where(F.col(order) > F.col("__o")).select(F.col(order).alias("later"), F.col("__o").alias("canonical"), (F.col(target).eqNullSafe(F.col("__t"))).alias("target_same"))
 
 
+def all_earlier_pairs(rows: DataFrame, key: str, order: str, target: str) -> DataFrame:
+    """Every (later, earlier) pair of a key with the key's first row, and whether their targets agree.
+
+    The pairs are the result: a key of n rows has n * (n - 1) / 2.  `earlier_pairs` and
+    `ambiguous_keys` tell as much in n rows.
+    """
+    one = rows.select(key, F.col(order).alias("__o"), F.col(target).alias("__t"))
+    first = one.groupBy(key).agg(F.min("__o").alias("canonical"))
+    a, b = one.alias("a"), one.alias("b")
+    met = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.__o") > F.col("b.__o")))
+    pairs = met.select(F.col(f"a.{key}").alias(key), F.col("a.__o").alias("later"), F.col("b.__o").alias("earlier"), F.col("a.__t").eqNullSafe(F.col("b.__t")).alias("target_same"))
+    return pairs.join(first, key).select("later", "earlier", "canonical", "target_same")
+
+
+def rederived(ours: DataFrame, source: DataFrame, key: str, label: str, derived: str) -> DataFrame:
+    """Rows whose label isn't the one derived from their source, or that have none: key, label, derived, problem."""
+    both = ours.select(key, label).join(source.select(key, derived, F.lit(True).alias("__s")), key, "left")
+    problem = F.when(F.col("__s").isNull(), "no_source").when(~F.col(label).eqNullSafe(F.col(derived)), "label_differs")
+    return both.select(key, label, derived, problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
+def without_groups(rows: DataFrame, earlier: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that share none of `keys` with an earlier row."""
+    for key in keys:
+        rows = rows.join(earlier.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    return rows
+
+
+def exactly_one(left: DataFrame, right: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(left rows with their only match, left keys with none or several and how many).  Every left key is to match once."""
+    n = right.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    counted = left.select(*key).join(n, key, "left").select(*key, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    single = n.where("n = 1").drop("n")
+    return left.join(single, key, "left_semi").join(right, key), counted.where("n <> 1").distinct()
+
+
 def ambiguous_keys(rows: DataFrame, key: str, target: str) -> DataFrame:
     """Keys whose rows disagree on the target: key, rows and distinct targets."""
     n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.to_json(F.struct(target))).alias("n_targets"))

@@ -51,6 +51,30 @@ def ranked(scores: DataFrame, query: str, k: int, order: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+def reduced_choices(rows: DataFrame, k: int, vector: str = "vector", options: str = "options", vectors: str = "vectors") -> DataFrame:
+    """Adds `shortlist` (labels by rank, scores, k, n, passthrough) to choice rows and cuts their options to it.
+
+    `vectors` has an option's vector each.  Other questions and those of k options or fewer stay
+    as they are; the former have no shortlist.  One prediction for each row may follow.
+    """
+    if k < 1:
+        raise ValueError("k must be positive")
+    whole = F.col(options)
+    keys = F.transform(whole, lambda o: o["key"])
+    passes = F.size(whole) <= k
+
+    def best(q: Column) -> Column:
+        scored = F.zip_with(F.sequence(F.lit(0), F.size(whole) - 1), F.col(vectors), lambda i, v: F.struct((-cosine(q, cleaned(v))).alias("s"), i.alias("i")))
+        return F.slice(F.sort_array(scored), 1, k)
+
+    chosen = F.when((F.col("qtype") == "choice") & ~passes, let(cleaned(F.col(vector)), best))
+    made = rows.withColumn("__chosen", chosen)
+    labels = F.when(passes, keys).otherwise(F.transform("__chosen", lambda x: F.get(keys, x["i"])))
+    meta = F.struct(labels.alias("labels"), F.transform("__chosen", lambda x: -x["s"]).alias("scores"), F.lit(k).alias("k"), F.size(whole).alias("n"), passes.alias("passthrough"))
+    cut = F.when(F.col("__chosen").isNull(), whole).otherwise(F.transform("__chosen", lambda x: F.get(whole, x["i"])))
+    return made.withColumn("shortlist", F.when(F.col("qtype") == "choice", meta)).withColumn(options, cut).drop("__chosen")
+
+
 def embedded(rows: DataFrame, text: str, embed, name: str = "vector") -> DataFrame:
     """Adds embeddings by a function from a list of texts to vectors, in Arrow batches."""
     import pandas as pd

@@ -13,9 +13,34 @@ from ..functions.arrays import first_argmax, one_hot
 
 TYPES = ("choice", "score", "noul")
 STATUSES = ("ok", "unsupported_length", "unsupported_source_mask")
-# Phrases that refer to other options or to visuals a text doesn't have.
-OPTION_REFERENCE = r"(?i)\b(all|none|both|neither) of the (above|below|these)\b|\b(option|choice|answer)s? [A-E]\b|\b(above|below|previous|following) (option|choice|answer)"
-VISUAL_REFERENCE = r"(?i)\b(the|this) (figure|diagram|graph|picture|image|chart|map|table)\b|\b(shown|pictured|illustrated) (above|below|here)\b"
+# What refers to other options or their places, and to visuals that a text doesn't have.
+OPTION_REFERENCE = (
+    r"(?i)\b(?:all|none|both|neither|either)\s+(?:of\s+)?(?:the\s+)?(?:above|below|these|those|options|answers|choices|statements)\b"
+    r"|\b(?:all|none)\s+of\s+(?:them|these|those)\b"
+    r"|\b(?:both|neither|either)\s+[A-E1-5]\s*(?:,|and|or|&)\s*[A-E1-5]\b"
+    r"|\b[A-E1-5]\s*(?:and|or|&)\s*[A-E1-5]\b"
+    r"|\([A-E1-5]\)\s*(?:,|and|or|&)\s*\([A-E1-5]\)"
+    r"|\b(?:option|choice|answer|statement)\s+[A-E1-5]\b"
+    r"|\b(?:above|below)\b"
+)
+BARE_OPTION_REFERENCE = r"(?i)^\s*(?:all|none|both|neither)(?:\s+of\s+them)?[.!]?\s*$"
+VISUAL_REFERENCE = r"(?i)\b(?:figure|diagram|image|illustration|photograph|picture|table|graph|chart)\b|\b(?:shown|pictured|depicted|illustrated)\b|<img\b"
+
+
+def question_reason(question: Column, options: Column) -> Column:
+    """Why a question with its option texts can't stand alone; null if it can.
+
+    Options refer to others if one of them, or the question, names options or places, or an
+    option consists of such a word.  Visual references come second.
+    """
+    texts = F.concat(F.array(question), options)
+    refers = F.exists(texts, lambda t: t.rlike(OPTION_REFERENCE)) | F.exists(options, lambda t: t.rlike(BARE_OPTION_REFERENCE))
+    return F.when(refers, "option_or_position_reference").when(F.exists(texts, lambda t: t.rlike(VISUAL_REFERENCE)), "possible_missing_visual_context")
+
+
+def domain_reason(domain: Column, allowed: list[str], labels: Column, oos: str = "oos") -> Column:
+    """Why a labelled record isn't used: its domain, an out-of-scope label, or more labels than one."""
+    return F.when(~F.coalesce(domain.isin(*allowed), F.lit(False)), "domain").when(F.array_contains(labels, oos), "out_of_scope").when(F.size(labels) != 1, "not_single_label")
 
 
 def failed(checks: dict[str, Column]) -> Column:
@@ -109,7 +134,7 @@ def parity_checks(ours: str = "probs", theirs: str = "other", tolerance: float =
 def identity_offenders(rows: DataFrame) -> DataFrame:
     """(case_id, view_id) twice, cases in several groups or sources, records with a view twice."""
     twice = rows.groupBy(F.concat_ws("/", "case_id", "view_id").alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("case_view").alias("check"), "key", "n")
-    cases = rows.groupBy(F.col("case_id").alias("key")).agg(F.count_distinct(F.struct("group_id", "source")).alias("n")).where("n > 1").select(F.lit("case_group").alias("check"), "key", "n")
+    cases = rows.groupBy(F.col("case_id").cast("string").alias("key")).agg(F.count_distinct(F.struct("group_id", "source")).alias("n")).where("n > 1").select(F.lit("case_group").alias("check"), "key", "n")
     views = rows.groupBy(F.concat_ws("/", "source", "record_id", "view_id").alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("record_view").alias("check"), "key", "n")
     return twice.unionByName(cases).unionByName(views)
 

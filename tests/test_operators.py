@@ -222,3 +222,70 @@ def test_td_targets_with_decay(spark):
     rows = spark.createDataFrame([(1, 1, 0.2, 0.0), (1, 2, 0.6, 0.0), (1, 3, 0.9, 1.0)], "e int, s int, p double, y double")
     got = {r["s"]: r["td_target"] for r in windows.td_targets(rows, "e", "s", "p", "y", 0.5).collect()}
     assert got[3] == 1.0 and abs(got[2] - 0.95) < 1e-12 and abs(got[1] - (0.5 * 0.6 + 0.5 * 0.95)) < 1e-12
+
+
+def test_states_lie_flat():
+    from decidra.functions import states
+
+    value = {"b": [1, True, None, {"z": "last", "a": "x"}], "a": "one two three four five six seven eight", "e": {}, "f": []}
+    assert states.flat("t") == [((), "t")] and states.flat({}) == []
+    assert states.leaf_texts(value) == ["one two three four five six seven eight", "1", "true", "x", "last"]
+    assert states.units(value) == ["one two three four five six seven eight 1 true x last", "one two three four five six seven eight"]
+    assert states.units("short") == ["short"] and states.units({}) == []
+    assert states.compact({"B": " X  y", "a": ["ß"]}, states.folded) == '{"B":"x y","a":["ss"]}'
+    deep = "v"
+    for _ in range(400):
+        deep = [{"k": deep}]
+    assert states.leaf_texts(deep) == ["v"]
+
+
+def test_hidden_sections():
+    from decidra.operators import spans
+
+    text = "before it\nTask: do this now please\nmore of the task\nFacts: one two three\n\nfour five six\nLabel:\nhidden words in here"
+    assert spans.sections(text) == [("unlabelled", 1, ["before it"]), ("4:Facts", 4, ["one two three", "", "four five six"])]
+    found = [(p, t) for p, t, *_ in spans.spans_of({"document": text, "rules": "never seen at all"})]
+    assert [p for p, _ in found] == ["state:content", "state.document:line:4", "state.document:line:6", "state.document:section:4:Facts", "state.document:paragraph:1"]
+
+
+def test_exact_normal_form(spark, tmp_path):
+    from decidra.functions import states
+    from decidra.plans import catalog
+
+    texts = ["Ａﬁ ß", "plain Text ", "İstanbul ΌΣΟΣ ς", None, "", "x\u2003y ① ½"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r[0]: r[1] for r in catalog.QUERIES["text_normalize_exact"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else states.folded(t) for i, t in enumerate(texts)}
+
+
+def test_near_pairs_are_those_of_brute_force(spark):
+    import random
+
+    from decidra.operators import similarity
+
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(40)}" for _ in range(rng.choice([12, 20, 40]))] for _ in range(12)]
+    common = [f"c{i}" for i in range(15)]
+
+    def varied(t):
+        t = list(t)
+        for _ in range(rng.randrange(3)):
+            t[rng.randrange(len(t))] = "x"
+        return (common if rng.random() < 0.5 else []) + t + (t if rng.random() < 0.2 else [])
+
+    left = [(i, varied(rng.choice(base))) for i in range(40)] + [(90, []), (91, common)]
+    right = [(i, varied(rng.choice(base))) for i in range(70)] + [(92, common)]
+    cut = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)} if len(t) >= 12 else set()
+    wanted = set()
+    for i, t in left:
+        for j, u in right:
+            a, b = cut(t), cut(u)
+            if a and b:
+                c = len(a & b)
+                if c / len(a | b) >= 0.8 or (c / min(len(a), len(b)) >= 0.9 and len(set(t) & set(u)) >= 12):
+                    wanted.add((i, j))
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, tokens array<string>")
+    for a, b in ((left, right), (right, left)):
+        got = {tuple(r) for r in similarity.near_pairs(frame(a, "p"), frame(b, "q"), "p", "q").select("p", "q").collect()}
+        assert got == (wanted if a is left else {(j, i) for i, j in wanted})
+    assert wanted
