@@ -45,6 +45,48 @@ def top_k(queries: DataFrame, options: DataFrame, query: str, option: str, k: in
     return each.select(query, F.col("__x.o").alias(option), (F.col("__i") + 1).alias("rank"), (-F.col("__x.s")).alias("score"))
 
 
+def nearest(queries: DataFrame, rows: DataFrame, query: str, option: str, k: int, block: int = 2_000, most_bytes: int = 256 << 20) -> DataFrame:
+    """query, option, rank and score (to eight digits) of the k rows most similar to each of a stated set of queries; ties by option.
+
+    `rows` is searched whole, a batch at a time against blocks of the queries, by matrix products.
+    Each task keeps the k best of each query; those are ranked afterwards.  The queries go to
+    every task, so their size is checked.
+    """
+    import numpy as np
+    import pandas as pd
+
+    listed = queries.select(query, cleaned(F.col("vector")).alias("v"))
+    n, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    if size * 8 > most_bytes:
+        raise ValueError(f"{n} queries take {size * 8} bytes; at most {most_bytes} are a stated set")
+    found = listed.collect()
+    shared = queries.sparkSession.sparkContext.broadcast(([r[0] for r in found], np.array([r[1] for r in found], dtype=np.float64)))
+
+    def unit(m):
+        norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+
+    def run(frames):
+        ids, vectors = shared.value
+        if not ids:
+            return
+        wanted, best = unit(vectors), [([], [])] * len(ids)
+        for frame in frames:
+            names, m = frame["o"].to_numpy(), unit(np.stack(frame["v"].to_numpy()))
+            for at in range(0, len(ids), block):
+                scores = np.round(wanted[at : at + block] @ m.T, 8)
+                for i, line in enumerate(scores, at):
+                    s, o = np.concatenate([best[i][0], line]), np.concatenate([best[i][1], names])
+                    first = np.lexsort((o, -s))[:k]
+                    best[i] = (s[first], o[first])
+        yield pd.DataFrame([(ids[i], o, s) for i, (ss, os) in enumerate(best) for s, o in zip(ss, os, strict=True)], columns=["q", "o", "s"])
+
+    kinds = {name: frame.schema[name].dataType.simpleString() for name, frame in ((query, queries), (option, rows))}
+    each = rows.select(F.col(option).alias("o"), cleaned(F.col("vector")).alias("v")).mapInPandas(run, f"q {kinds[query]}, o {kinds[option]}, s double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "o"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query), F.col("o").alias(option), "rank", F.col("s").alias("score"))
+
+
 def ranked(scores: DataFrame, query: str, k: int, order: str) -> DataFrame:
     """The k best rows of a query from a table of scores."""
     by = Window.partitionBy(query).orderBy(F.desc("score"), order)

@@ -68,14 +68,15 @@ def metrics_acc_at_50(spark, d):
     return rounded(M.accuracy_at(scored(spark, d), ["suite"], "id"))
 
 
-@register(f"""WITH {SCORED}, full_n AS (SELECT group_id, count(*) AS full_n FROM d GROUP BY 1), part AS (SELECT * FROM s WHERE NOT (group_id % 9 = 0 AND id % 2 = 0)),
-g AS (SELECT group_id, count(*) AS n, count(gold_idx) AS g, bool_and(coalesce(attempt_correct, false)) AS a FROM part GROUP BY 1),
+@register(f"""WITH {SCORED}, full_n AS (SELECT group_id, count(*) + CASE WHEN group_id % 9 = 0 THEN 1 ELSE 0 END AS full_n FROM d GROUP BY 1),
+g AS (SELECT group_id, count(*) AS n, count(gold_idx) AS g, bool_and(coalesce(attempt_correct, false)) AS a FROM s GROUP BY 1),
 w AS (SELECT g.*, coalesce(n = full_n AND g.g = n, false) AS fit FROM g LEFT JOIN full_n USING (group_id))
 SELECT round(avg(CASE WHEN fit THEN a::INT END), 8) AS group_complete_accuracy, count(*) FILTER (fit) AS n_groups_eligible, count(*) FILTER (NOT fit) AS n_groups_excluded FROM w""")
 def metrics_group_complete(spark, d):
     rows = scored(spark, d)
-    sizes = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("full_n"))
-    return rounded(M.group_complete(rows.where("NOT (group_id % 9 = 0 AND id % 2 = 0)"), sizes))
+    # Every ninth group is said to have one row more than it has.
+    sizes = rows.groupBy("group_id").agg((F.count(F.lit(1)) + F.when(F.col("group_id") % 9 == 0, 1).otherwise(0)).alias("full_n"))
+    return rounded(M.group_complete(rows, sizes))
 
 
 @register(f"""WITH {SCORED}, c AS (SELECT suite, count(*) AS n, count(*) FILTER (pred_idx = 1 AND gold_idx = 1) AS tp, count(*) FILTER (pred_idx = 1 AND gold_idx = 0) AS fp, count(*) FILTER (pred_idx = 0 AND gold_idx = 1) AS fn
@@ -308,15 +309,17 @@ def stratified_spread(spark, d):
     return sampling.spread(groups, "g", "stratum", "n", 500, "4")
 
 
-@register(f"""WITH {DECISIONS}, a AS (SELECT id, probs FROM d WHERE id % 29 <> 0), b AS (SELECT id, CASE WHEN id % 31 = 0 THEN list_reverse(probs) ELSE probs END AS probs FROM d WHERE id % 37 <> 0),
+@register(f"""WITH {DECISIONS}, a AS (SELECT CASE WHEN id % 29 = 0 THEN 'a' ELSE '' END || id AS id, probs FROM d), b AS (SELECT CASE WHEN id % 37 = 0 THEN 'b' ELSE '' END || id AS id, CASE WHEN id % 31 = 0 THEN list_reverse(probs) ELSE probs END AS probs FROM d),
 j AS (SELECT a.id AS x, b.id AS y, a.probs AS p, b.probs AS q FROM a FULL JOIN b ON a.id = b.id),
 g AS (SELECT *, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN list_transform(range(1, len(p) + 1), lambda i: abs(p[i] - q[i])) END AS gaps FROM j)
 SELECT count(*) FILTER (x IS NULL) AS missing, count(*) FILTER (y IS NULL) AS extra, 0::BIGINT AS shape_differs, count(gaps) AS compared, round(max(list_max(gaps)), 8) AS max_abs, round(sum(list_sum(gaps)) / sum(len(gaps)), 8) AS mean_abs,
 count(*) FILTER (gaps IS NOT NULL AND list_position(p, list_max(p)) <> list_position(q, list_max(q))) AS argmax_differs FROM g""")
 def pred_compare(spark, d):
     rows = decisions(spark, d).select("id", "probs")
-    other = rows.where("id % 37 <> 0").withColumn("probs", F.when(F.col("id") % 31 == 0, F.reverse("probs")).otherwise(F.col("probs")))
-    return rounded(joins.compare_predictions(rows.where("id % 29 <> 0"), other, ["id"]))
+    # Some ids are unknown to the other side.
+    named = lambda side, every: F.concat(F.when(F.col("id") % every == 0, side).otherwise(""), F.col("id").cast("string")).alias("id")
+    other = rows.select(named("b", 37), F.when(F.col("id") % 31 == 0, F.reverse("probs")).otherwise(F.col("probs")).alias("probs"))
+    return rounded(joins.compare_predictions(rows.select(named("a", 29), "probs"), other, ["id"]))
 
 
 @register("""WITH r AS (SELECT o_orderkey AS id, (o_orderkey // 4) % 3 AS model, (o_orderkey % 29 <> 0) AS ok FROM orders), x AS (SELECT id // 12 AS id, model, bool_and(ok) AS ok FROM r GROUP BY 1, 2)

@@ -219,13 +219,24 @@ def canonical_first(spark, d):
     return windows.canonical_first(table(spark, d, "documents", "doc_id", "text"), "text", "doc_id").select("doc_id", "canonical")
 
 
-@register("""WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), o AS (SELECT vec_id AS option, v AS w FROM q WHERE vec_id < 20),
-s AS (SELECT vec_id, option, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * w[i])) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(w, lambda x: x * x)))), 8) AS score FROM q, o),
+@register("""WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM q),
+s AS (SELECT a.vec_id, b.vec_id AS option, round(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) / (a.n * b.n), 8) AS score FROM n a, n b WHERE a.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, option) AS rank FROM s) SELECT vec_id, option, rank::INT AS rank, score FROM r WHERE rank <= 3""")
 def cosine_topk(spark, d):
-    rows = table(spark, d, "embeddings")
-    options = rows.where("vec_id < 20").select(F.col("vec_id").alias("option"), F.col("embedding").alias("vector"), F.col("vec_id").alias("pos"))
-    return rounded(shortlist.top_k(rows.select("vec_id", F.col("embedding").alias("vector")), options, "vec_id", "option", 3))
+    """The ids divisible by 50 are the queries; they meet all rows."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return shortlist.nearest(rows.where("vec_id % 50 = 0"), rows.withColumnRenamed("vec_id", "option"), "vec_id", "option", 3)
+
+
+@register("""WITH o AS (SELECT n_nationkey AS option, list_transform(range(64), lambda i: ((n_nationkey + 2) * (i + 1) % 11)::DOUBLE - 5) AS w FROM nation), q AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+s AS (SELECT vec_id, option, round(list_sum(list_transform(range(1, 65), lambda i: v[i] * w[i])) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(w, lambda x: x * x)))), 8) AS score FROM q, o),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, option) AS rank FROM s) SELECT vec_id, option, rank::INT AS rank, score FROM r WHERE rank <= 3""")
+def shortlist_topk(spark, d):
+    """Every row with a stated list of label vectors."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    i = F.col("n_nationkey")
+    options = table(spark, d, "nation").select(i.alias("option"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda x: ((i + 2) * (x + 1) % 11).cast("double") - 5).alias("vector"), i.alias("pos"))
+    return rounded(shortlist.top_k(rows, options, "vec_id", "option", 3))
 
 
 @register("""WITH f AS (SELECT doc_id, n_chars AS n, lang FROM documents WHERE n_chars IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n) - 1 AS r, count(*) OVER (PARTITION BY lang) AS c FROM f)
@@ -255,11 +266,12 @@ def row_checksum(spark, d):
     return metrics.ordered_checksum(table(spark, d, "nation"), "n_regionkey", "n_nationkey", "n_name")
 
 
-@register("""WITH p AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 10 <> 0), f AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey % 9 <> 0)
+@register("""WITH p AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN -1 - c_custkey ELSE c_custkey END AS k FROM customer), f AS (SELECT DISTINCT o_custkey AS k FROM orders)
 SELECT k, 'missing' AS problem FROM p WHERE k NOT IN (SELECT k FROM f) UNION ALL SELECT k, 'foreign' FROM f WHERE k NOT IN (SELECT k FROM p)""")
 def missing_foreign_ids(spark, d):
-    expected = table(spark, d, "customer").select(F.col("c_custkey").alias("k")).where("k % 10 <> 0")
-    return joins.missing_foreign(expected, table(spark, d, "orders").select(F.col("o_custkey").alias("k")).where("k % 9 <> 0").distinct(), "k")
+    i = F.col("c_custkey")
+    expected = table(spark, d, "customer").select(F.when(i % 10 == 0, -1 - i).otherwise(i).alias("k"))
+    return joins.missing_foreign(expected, table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct(), "k")
 
 
 @register("""SELECT o_orderkey AS id, o_custkey, count(l_linenumber) AS n_lines FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""")
@@ -285,10 +297,10 @@ def membership_replay(spark, d):
     return joins.replay_membership(rows, rows.where("c_custkey % 50 = 0"), groups).select("id", "excluded")
 
 
-@register("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 4 = 0")
+@register("SELECT n_nationkey * 2 AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
 def ontology_coverage(spark, d):
-    allowed = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"))
-    return joins.uncovered(allowed, table(spark, d, "supplier").where("s_suppkey % 4 = 0").select(F.col("s_nationkey").alias("k")))
+    allowed = table(spark, d, "nation").select((F.col("n_nationkey") * 2).alias("k"))
+    return joins.uncovered(allowed, table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
 @register("""SELECT p_partkey, contains(regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g'), 'red') OR contains(regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g'), 'brass') AS excluded FROM part""")
