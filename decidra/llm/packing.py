@@ -1,17 +1,18 @@
 """Best-fit packing of token sequences in bulk-synchronous supersteps.
 
 Documents are tokenized and cut into pieces of at most `CAPACITY` tokens.  Pieces and the
-gaps of open sequences are kept range-sorted by size.  As sizes are whole numbers up to the
-capacity, a sorted list is a short list of runs of equal size, and Spark has to find only
-how many pieces each run has and each piece's rank in it.
-
-A superstep takes the longest run of pieces that is left and sweeps the gaps from the
-smallest one that is large enough (its successor): the run's pieces go to the gaps' sequences
-by rank, those of lower rank first; each sequence takes as many as its gap holds; its gap
-shrinks and returns to its new place among the gaps; pieces without a successor open new
-sequences.  Supersteps repeat until no run is left.  Their state is bounded by the capacity,
-not by the corpus, and their outcome is a list of rank intervals, which is joined with the
-ranked pieces in Spark.  The result is that of best-fit decreasing.
+gaps of open sequences are tables, range-sorted by size.  As sizes are whole numbers up to the
+capacity, a sorted table is kept as runs of equal size, and a piece's place in it is its run
+and its rank in the run.
+
+A superstep takes the next range of lengths, longest first, and meets it with the table of gaps.
+Its sweep gives each run of pieces the smallest gap that is large enough (its successor);
+where several want the same gaps, those of lower rank come first and the others go on to the
+next successor; each sequence takes as many as its gap holds, and its gap shrinks and returns to
+its new place; pieces without a successor open new sequences.  The superstep writes the
+new table of gaps and the rank intervals it has placed, and the next one reads them.  The runs are
+bounded by the capacity, not by the corpus; the pieces themselves are ranked in hash buckets and
+joined with the intervals, and never meet in one task.  The result is that of best-fit decreasing.
 
 Defined cases: a null text is empty, so its document is one piece, the end token; a null
 doc_id is a document like any other; repeated rows are packed once each; pieces of equal
@@ -129,15 +130,16 @@ class Gaps:
         return size, first, count
 
 
-def supersteps(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Rank intervals (length, low, high, sequence, each, offset), and how many sequences there are.
+def sweep(runs: list[tuple[int, int]], gaps: Gaps, opened: int, capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """Place runs (length, count), longest first; `gaps` is brought up to date.
 
+    Rank intervals (length, low, high, sequence, each, offset), and how many sequences are open now.
     The piece of rank r in [low, high) goes to sequence + (r - low) // each, at the place
     offset + (r - low) % each * length.
     """
-    gaps, opened, out = Gaps(), 0, []
-    for length in sorted(counts, reverse=True):
-        low, left = 0, counts[length]
+    out = []
+    for length, left in sorted(runs, reverse=True):
+        low = 0
         while left:
             run = gaps.take(length)
             if run is None:
@@ -159,14 +161,54 @@ def supersteps(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[t
     return out, opened
 
 
+#: What a superstep writes: `place` rows have the fields of an interval, `gap` rows size, first and count, one `open` row the number of sequences.
+STATE = "kind string, a long, b long, c long, d long, e long, f long"
+
+
+def superstep(runs: pa.Table, state: pa.Table, capacity: int) -> pa.Table:
+    """One superstep over the runs of its range (length, count) and the state before (STATE)."""
+    gaps, opened = Gaps(), 0
+    before = zip(*(state[c].to_pylist() for c in ("kind", "a", "b", "c")), strict=True)
+    for kind, a, b, c in sorted(before, key=lambda r: r[:3]):
+        if kind == "gap":
+            gaps.add(a, b, c)
+        elif kind == "open":
+            opened = a
+    placed, opened = sweep(list(zip(runs["length"].to_pylist(), runs["count"].to_pylist(), strict=True)), gaps, opened, capacity)
+    rows = [("place", *x) for x in placed]
+    rows += [("gap", size, first, count, None, None, None) for size, of in gaps.runs.items() for first, count in of]
+    rows.append(("open", opened, None, None, None, None, None))
+    return pa.table({n: pa.array([r[i] for r in rows], pa.string() if n == "kind" else pa.int64()) for i, n in enumerate(("kind", *"abcdef"))})
+
+
+def supersteps(runs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The rank intervals of all supersteps; `runs` is a materialized table of length and count."""
+    spark = runs.sparkSession
+    # 0: the capacity itself, 1: half of it and more, 2: a quarter and more, and so on.
+    at = F.when(F.col("length") < capacity, F.length(F.bin(F.floor(F.lit(capacity) / (F.col("length") + 1)).cast("long")))).otherwise(0)
+    levels = runs.select(F.lit(1).alias("one"), "length", "count", at.alias("level"))
+    # A level for each halving of the capacity at most.
+    present = sorted(r[0] for r in levels.select("level").distinct().collect())
+    state = spark.createDataFrame([], STATE).withColumn("one", F.lit(1))
+    every = None
+    for k in present:
+        step = levels.where(F.col("level") == k).groupBy("one").cogroup(state.groupBy("one"))
+        # Both sides are bounded by the capacity, so one task can hold them.
+        after = materialize(step.applyInArrow(lambda runs, state: superstep(runs, state, capacity), STATE), "superstep")
+        state = after.where("kind <> 'place'").withColumn("one", F.lit(1))
+        placed = after.where("kind = 'place'")
+        every = placed if every is None else every.unionByName(placed)
+    if every is None:
+        every = spark.createDataFrame([], STATE)
+    return every.select(*[F.col(x).alias(n) for x, n in zip("abcdef", ("__l", "__low", "__high", "__seq", "__each", "__at"), strict=True)])
+
+
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to a materialized table of pieces."""
-    spark = parts.sparkSession
     ranked = gapless_rank(parts, ["length"], ["doc_id", "piece", "start"], "__rank")
     # One row per length: at most `capacity` rows.
-    counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}
-    intervals, _ = supersteps(counts, capacity)
-    plan = spark.createDataFrame(intervals, "__l long, __low long, __high long, __seq long, __each long, __at long")
+    runs = materialize(parts.groupBy("length").count(), "runs")
+    plan = supersteps(runs, capacity)
     # The intervals of a length are as many as the gaps it was swept over: the capacity bounds them, too.
     on = (F.col("length") == F.col("__l")) & (F.col("__rank") >= F.col("__low")) & (F.col("__rank") < F.col("__high"))
     placed = ranked.join(F.broadcast(plan), on)

@@ -30,9 +30,9 @@ def test_both_tokenizers_agree(text):
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 50), min_size=1, max_size=80))
-def test_supersteps_are_best_fit_decreasing(lengths):
+def test_sweeps_are_best_fit_decreasing(lengths):
     capacity, counts = 50, collections.Counter(lengths)
-    intervals, n = packing.supersteps(counts, capacity)
+    intervals, n = packing.sweep(list(counts.items()), packing.Gaps(), 0, capacity)
     used = collections.defaultdict(list)
     for length, low, high, first, each, at in intervals:
         for r in range(low, high):
@@ -55,6 +55,26 @@ def test_supersteps_are_best_fit_decreasing(lengths):
     assert n == len(gaps)
 
 
+@pytest.mark.parametrize("seed,most", [(1, 1024), (2, 300), (3, 40)])
+def test_supersteps_in_spark_pack_like_one_sweep(spark, seed, most):
+    rng = random.Random(seed)
+    counts = collections.Counter(min(1024, int(rng.paretovariate(0.7) * 3) % most + 1) for _ in range(3000))
+    runs = packing.materialize(spark.createDataFrame(list(counts.items()), "length long, count long"), "runs")
+    intervals = [tuple(r) for r in packing.supersteps(runs).collect()]
+    used = collections.defaultdict(list)
+    for length, low, high, first, each, at in intervals:
+        for r in range(low, high):
+            used[first + (r - low) // each].append((at + (r - low) % each * length, length))
+    assert collections.Counter(n for parts in used.values() for _, n in parts) == counts
+    for parts in used.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(used) == packing.sweep(list(counts.items()), packing.Gaps(), 0, 1024)[1]
+
+
 def test_packing_round_trip(spark):
     rows = packing.best_fit(docs(spark), 64, keep_ids=True)
     encoder = packing.Encoder.of()
