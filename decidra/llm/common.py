@@ -19,9 +19,11 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only where none is configured, a local one."""
+    """The shared folder of the cluster; only where none is configured and one process does all, a local one."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "decidra-shared")
     return root.rstrip("/")
 
@@ -76,6 +78,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, op) -> Column:
+    """The first value, `op` of the first two, of the first three and so on; in blocks, as an array grows by being copied."""
+
+    def along(a: Column) -> Column:
+        return F.aggregate(F.slice(a, 2, F.size(a)), F.slice(a, 1, 1), lambda acc, x: F.array_append(acc, op(F.element_at(acc, -1), x)))
+
+    starts = F.filter(F.sequence(F.lit(1), F.size(values) + 1, F.lit(64)), lambda i: i <= F.size(values))
+
+    def laid(blocks: Column) -> Column:
+        carried = along(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return F.flatten(F.transform(blocks, lambda b, i: F.when(i == 0, b).otherwise(F.transform(b, lambda x: op(F.get(carried, i - 1), x)))))
+
+    return let(F.transform(starts, lambda i: along(F.slice(values, i, F.lit(64)))), lambda blocks: let(blocks, laid))
+
+
 def gapless_rank(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Number the rows of each key from 0 without gaps, in a column `name` (long).
 

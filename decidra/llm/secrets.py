@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import let, materialize, running
 
 # The kinds in their order and their patterns; the second group of `assign`
 # has 6 characters or more, `access` 20 or more, `hex` 24 or more.
@@ -46,10 +46,8 @@ def located(text: Column, pattern: str, group: int, kind: int, passes) -> Column
     )
 
     def place(f: Column) -> Column:
-        size = F.size(f["hits"])
-        steps = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.struct(F.length(f["gaps"][i]).alias("gap"), F.length(f["hits"][i]).alias("hit")))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-        starts = F.aggregate(steps, zero, lambda a, s: F.struct((a["at"] + s["gap"] + s["hit"]).alias("at"), F.array_append(a["starts"], a["at"] + s["gap"]).alias("starts")), lambda a: a["starts"])
+        steps = F.transform(F.sequence(F.lit(0), F.size(f["hits"]) - 1), lambda i: F.length(f["gaps"][i]) + F.length(f["hits"][i]))
+        starts = F.transform(running(steps, lambda x, y: x + y), lambda end, i: end - F.length(f["hits"][i]))
         rows = let(starts, lambda st: F.transform(st, lambda at, i: F.struct(
             at.alias("start"), F.lit(kind).alias("kind"), (at + F.length(f["hits"][i])).alias("end"), f["values"][i].alias("value"))))
         return F.filter(rows, lambda r: passes(r))
@@ -68,11 +66,16 @@ def candidates(text: Column) -> Column:
     )
     more = located(text, OPAQUE, 0, 3, lambda r: r["value"].rlike("[0-9]") & r["value"].rlike("[a-z]") & r["value"].rlike("[A-Z]"))
 
-    def joined(b: Column) -> Column:
-        new = F.filter(more, lambda r: ~F.exists(b, lambda x: (x["start"] < r["end"]) & (r["start"] < x["end"])))
-        return F.sort_array(F.concat(b, new))
+    def joined(found: Column) -> Column:
+        """Opaque spans stay where no base span overlaps: those before have ended, the next one begins later."""
+        ends = running(F.transform(found, lambda r: F.when(r["kind"] < 3, r["end"]).otherwise(0)), F.greatest)
+        begins = F.reverse(running(F.reverse(F.transform(found, lambda r: F.when(r["kind"] < 3, r["start"]).otherwise(1 << 30))), F.least))
+        return let(ends, lambda e: let(begins, lambda n: F.filter(found, lambda r, i: (r["kind"] < 3) | ((e[i] <= r["start"]) & (n[i] >= r["end"])))))
 
-    return let(base, joined)
+    def merged(x: Column) -> Column:
+        return F.when(F.size(x["more"]) == 0, F.sort_array(x["base"])).otherwise(let(F.sort_array(F.concat(x["base"], x["more"])), joined))
+
+    return let(F.struct(base.alias("base"), more.alias("more")), merged)
 
 
 def written(spans: Column) -> Column:
