@@ -14,7 +14,7 @@ such block unless the benchmark is larger than that; otherwise the corpus is sea
 block and the blocks' results of a document are merged.
 
 Defined cases: null texts and texts without words have no words, hits or windows; items
-with the same text each count; a null item_id counts by the text `null`; repeated documents
+with the same text each count; of equally long matches the first place counts, and then, between blocks, the smaller item_id; a null item_id counts by the text `null`; repeated documents
 stay repeated; empty tables give empty results (no benchmark: nothing is hit); only the
 named columns are read, so extra columns can't clash; texts are read whole.
 """
@@ -69,19 +69,18 @@ class Benchmark:
         self.need, self.owner, self.at = need[starts], owner[starts], starts
         columns = [np.where(k < self.need, words[np.minimum(starts + k, max(len(words) - 1, 0))] if len(words) else starts, 0) for k in range(WINDOW)]
         self.columns = np.stack(columns, axis=1) if len(starts) else np.zeros((0, WINDOW), dtype=np.int64)
-        base = len(self.vocabulary) + 1
-        self.base = base
         self.prefixes = {}
         for k in range(1, PREFIX + 1):
             mine = self.need >= PREFIX if k == PREFIX else self.need == k
-            self.prefixes[k] = np.unique(pack(self.columns[mine][:, :k], base))
+            self.prefixes[k] = np.unique(pack(self.columns[mine][:, :k]))
 
 
-def pack(columns: np.ndarray, base: int) -> np.ndarray:
-    """Numbers below `base` of up to three columns as one number (base < 2**21)."""
-    out = np.zeros(len(columns), dtype=np.int64)
+def pack(columns: np.ndarray) -> np.ndarray:
+    """A hash of rows of numbers: it only sorts out suffixes, so equal hashes of other rows do no harm."""
+    out = np.zeros(len(columns), dtype=np.uint64)
     for k in range(columns.shape[1]):
-        out = out * base + columns[:, k]
+        out = (out + columns[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
     return out
 
 
@@ -104,7 +103,7 @@ def search(bench: Benchmark, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     begins = np.zeros(len(live), dtype=bool)
     for k, table in bench.prefixes.items():
         if len(table):
-            begins |= member(pack(np.stack([words[live + i] for i in range(k)], axis=1), bench.base), table)
+            begins |= member(pack(np.stack([words[live + i] for i in range(k)], axis=1)), table)
     suffixes = live[begins]
     if not len(suffixes):
         return none, none
@@ -238,7 +237,7 @@ def match(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
         shared.destroy()
         every = part if every is None else every.unionByName(part)
         block, after = after, next(blocks, None)
-    best = F.max_by(F.struct("longest", "longest_item", "longest_start"), F.col("longest"))
+    best = F.min(F.struct((-F.col("longest")).alias("n"), "longest_start", "longest_item", "longest"))
     found = every.groupBy("__id").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), best.alias("b"))
     counted = one_block(rows, spark.sparkContext.broadcast([])).select("__id", *names, "n_words")
     none = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c)
