@@ -87,8 +87,8 @@ def running(values: Column, op) -> Column:
     starts = F.filter(F.sequence(F.lit(1), F.size(values) + 1, F.lit(64)), lambda i: i <= F.size(values))
 
     def laid(blocks: Column) -> Column:
-        carried = along(F.transform(blocks, lambda b: F.element_at(b, -1)))
-        return F.flatten(F.transform(blocks, lambda b, i: F.when(i == 0, b).otherwise(F.transform(b, lambda x: op(F.get(carried, i - 1), x)))))
+        with_carried = lambda carried: F.flatten(F.transform(blocks, lambda b, i: F.when(i == 0, b).otherwise(let(F.get(carried, i - 1), lambda c: F.transform(b, lambda x: op(c, x))))))
+        return let(along(F.transform(blocks, lambda b: F.element_at(b, -1))), with_carried)
 
     return let(F.transform(starts, lambda i: along(F.slice(values, i, F.lit(64)))), lambda blocks: let(blocks, laid))
 

@@ -28,10 +28,12 @@ from .common import let, materialize
 
 MIN_CHARS = 120
 #: Lines to look at first for a gram's end; MIN_CHARS lines always hold one, as none is empty.
-AHEAD, BLOCK = 6, 64
+AHEAD, FURTHER = 6, 20
+#: How many lines a gram usually has behind its first one.
+USUAL = (2, 3, 1, 4, 0, 5)
 LINE = r"[^\n.,;:!?]*+(?:[.,;:!?]++[ \n]*+|\n++|\z)"
-#: Texts with deletions (about 100 bytes each) up to this many are broadcast: 30 MB.
-BROADCAST_ROWS = 300_000
+#: Tables of texts' names and of what goes from them are broadcast up to so many bytes.
+BROADCAST_BYTES = 32 << 20
 #: Places in a text have so many bits, the texts' ranks the rest of 63.
 PLACE_BITS = 31
 
@@ -41,43 +43,41 @@ def lines_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
 
 
-def totals(sizes: Column) -> Column:
-    """Running totals, in blocks, as an array grows by being copied."""
-    add = lambda a, n: F.array_append(a, F.element_at(a, -1) + n)
-    summed = lambda a: F.aggregate(a, F.array(F.lit(0)), add)
-    starts = F.filter(F.sequence(F.lit(1), F.size(sizes) + 1, F.lit(BLOCK)), lambda i: i <= F.size(sizes))
-
-    def laid(blocks: Column) -> Column:
-        before = F.slice(summed(F.transform(blocks, lambda a: F.element_at(a, -1))), 1, F.size(blocks))
-        return F.flatten(F.zip_with(blocks, before, lambda a, n: F.transform(F.slice(a, 2, F.size(a)), lambda x: x + n)))
-
-    return let(F.transform(starts, lambda i: summed(F.slice(sizes, i, F.lit(BLOCK)))), laid)
-
-
 def ends(sizes: Column) -> Column:
     """For each line the place of the line with which the lines from it on reach MIN_CHARS characters, or null."""
+    # A total below 2 ** 32 and, above it, how many lines it has, in one number.
+    one, low = F.lit(1 << 32), F.lit((1 << 32) - 1)
 
-    def reach(sums: Column) -> Column:
-        def end(wanted: Column, i: Column) -> Column:
-            found = F.when(F.element_at(sums, -1) < wanted, None)
-            for k in range(AHEAD):
-                found = found.when(sums[i + k] >= wanted, i + k)
-            return found.otherwise(i + F.size(F.filter(F.slice(sums, i + 1, F.lit(MIN_CHARS)), lambda x: x < wanted)))
-
-        return F.transform(F.zip_with(sums, sizes, lambda x, n: x - n + MIN_CHARS), end)
+    def end(size: Column, i: Column) -> Column:
+        found, total = F.when(size >= MIN_CHARS, i), size
+        for k in range(1, AHEAD):
+            total = total + F.get(sizes, i + k)
+            found = found.when(total >= MIN_CHARS, i + k)
+        # Still shorter lines; near the text's end there is none.
+        more = lambda a, x: F.when(a.bitwiseAND(low) >= MIN_CHARS, a).otherwise(a + one + x)
+        last = lambda a: F.when(a.bitwiseAND(low) >= MIN_CHARS, i + F.shiftright(a, 32).cast("int") - 1)
+        within = lambda n: F.aggregate(F.slice(sizes, i + 1, F.lit(n)), F.lit(0).cast("long"), more, last)
+        return found.when(F.size(sizes) > i + AHEAD, F.coalesce(within(FURTHER), within(MIN_CHARS)))
 
-    return let(totals(sizes), reach)
+    return F.transform(sizes, end)
 
 
 def fingerprints(lines: Column) -> Column:
     """Structs f (hash), p (first place) and n (the last one's distance) of all grams; `lines` has structs x (hash), n (size) and p (place)."""
 
     def grams(hashes: Column, places: Column, last: Column) -> Column:
+        def gram(i: Column, e: Column) -> Column:
+            # The hash of an array is that of its elements in turn: short grams, the usual sizes first, need no slice.
+            f = F.when(F.lit(False), F.lit(None).cast("long"))
+            for k in USUAL:
+                f = f.when(e == i + k, F.xxhash64(*[F.get(hashes, i + j) for j in range(k + 1)]))
+            f = f.otherwise(F.xxhash64(F.slice(hashes, i + 1, e - i + 1)))
+            return F.struct(f.alias("f"), F.get(places, i).alias("p"), (F.get(places, e) - F.get(places, i)).alias("n"))
+
         def of(end: Column, i: Column) -> Column:
             # Until the next line's gram ends, longer ones begin here that would be too short without their first line.
             longest = F.greatest(end, F.coalesce(F.get(last, i + 1), F.size(last)) - 1)
-            gram = lambda e: F.struct(F.xxhash64(F.slice(hashes, i + 1, e - i + 1)).alias("f"), places[i].alias("p"), (places[e] - places[i]).alias("n"))
-            return F.when(longest == end, F.array(gram(end))).otherwise(F.transform(F.sequence(end, longest), gram))
+            return F.when(longest == end, F.array(gram(i, end))).otherwise(F.transform(F.sequence(end, longest), lambda e: gram(i, e)))
 
         return F.flatten(F.transform(F.filter(last, lambda e: e.isNotNull()), of))
 
@@ -88,8 +88,8 @@ def fingerprints(lines: Column) -> Column:
 def ranked(docs: DataFrame) -> DataFrame:
     """__d, __h (the text's name) and __rank, from 0 without gaps, of each text of MIN_CHARS characters or more."""
     names = docs.where(F.length("text") >= MIN_CHARS).select(F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__h")).distinct()
-    # Sorted partitions follow each other; the number has the partition above 33 bits.
-    rows = materialize(names.orderBy("__d", "__h").withColumn("__m", F.monotonically_increasing_id()), "names")
+    # Written before the sort, which reads its rows twice.  Sorted partitions follow each other; the number has the partition above 33 bits.
+    rows = materialize(materialize(names, "unsorted").orderBy("__d", "__h").withColumn("__m", F.monotonically_increasing_id()), "names")
     part = F.shiftright("__m", 33)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
@@ -99,7 +99,7 @@ def ranked(docs: DataFrame) -> DataFrame:
 def hashed(docs: DataFrame, names: DataFrame) -> DataFrame:
     """__rank and fingerprints of each text."""
     lines = F.transform(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(" \t\r\n")))
-    side = F.broadcast(names) if names.count() <= BROADCAST_ROWS else names
+    side = F.broadcast(names) if names.count() * 40 <= BROADCAST_BYTES else names
     rows = docs.where(F.length("text") >= MIN_CHARS).join(side, (F.xxhash64("text") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__d"))).select("__rank", "text")
     split = rows.select("__rank", F.filter(F.transform(lines, lambda x, i: F.struct(F.xxhash64(x).alias("x"), F.length(x).alias("n"), i.alias("p"))), lambda x: x["n"] > 0).alias("lines"))
     return split.select("__rank", fingerprints(F.col("lines")).alias("prints"))
@@ -141,7 +141,8 @@ def _cut(docs: DataFrame) -> DataFrame:
     """The columns of `docs` as __0, __1, ..., the new text as __new and __removed, the lines that went."""
     gone = materialize(deletions(docs.select("doc_id", "text")), "deletions")
     gone = gone.select(F.col("__d").alias("__gone_d"), F.col("__h").alias("__gone_h"), F.col("__runs").alias("__gone_runs"))
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    size = gone.agg(F.sum(64 + 32 * F.size("__gone_runs"))).first()[0] or 0
+    side = F.broadcast(gone) if size <= BROADCAST_BYTES else gone
     named = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(docs.columns)])
     text, key = (F.col(f"__{docs.columns.index(c)}") for c in ("text", "doc_id"))
     joined = named.join(side, (F.xxhash64(text) == F.col("__gone_h")) & key.eqNullSafe(F.col("__gone_d")), "left")
