@@ -25,8 +25,8 @@ Nothing is collected to the driver but counts.
 
 Defined cases: a text without words has an empty set and links with nothing; null texts
 are empty; a text of fewer than K words is one shingle; rows of equal doc_id have each the
-component of their own text, and rows equal in both share their fate; a null doc_id is never the smallest
-of a component that has another; equal texts are ties and the smallest doc_id stays; an
+component of their own text, and rows equal in both share their fate (in `near_duplicates`; `drop_near_duplicates`
+leaves one row of a group); a null doc_id is never the smallest of a component that has another; equal texts are ties and the smallest doc_id stays; an
 empty table gives an empty result; only the named columns are read, so extra columns
 can't clash; texts are read whole.
 """
@@ -165,11 +165,11 @@ def by_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(side, docs["doc_id"].eqNullSafe(side["__id"]), "left_semi")
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc_id and text hash aren't those of a row of `gone`."""
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["__id"]) & (F.xxhash64(docs["text"]) == side["__hash"]), "left_anti")
+def matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of `docs` whose doc_id and text hash are (left_semi) or aren't (left_anti) those of a row of `keys`."""
+    keys = keys.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    side = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    return docs.join(side, docs["doc_id"].eqNullSafe(side["__id"]) & (F.xxhash64(docs["text"]) == side["__hash"]), how)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -295,8 +295,8 @@ def joined(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFram
     return rows.join(known, node, "left").withColumn(name, F.coalesce("__l", node)).drop("__l")
 
 
-def near_duplicates(docs: DataFrame, k: int = K, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id and kept of each row of `docs`."""
+def grouped(docs: DataFrame, k: int = K, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, text_hash, n_shingles, __c (the component's name, null for an empty set) and component_id of each row of `docs`."""
     rows = materialize(sketched(docs, k), "sketches")
     full = rows.where(F.col("node").isNotNull())
     nodes = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min("bands").alias("bands"))
@@ -327,13 +327,31 @@ def near_duplicates(docs: DataFrame, k: int = K, threshold: int = THRESHOLD) ->
     named = joined(rows.select("doc_id", "text_hash", "n_shingles", "node"), labels, "node", "__c")
     smallest = materialize(named.where(F.col("__c").isNotNull()).groupBy("__c").agg(F.min("doc_id").alias("__least")), "smallest")
     out = named.join(smallest, "__c", "left").withColumn("component_id", F.when(F.col("__c").isNull(), F.col("doc_id")).otherwise(F.col("__least")))
+    return out.select("doc_id", "text_hash", "n_shingles", "__c", "component_id")
+
+
+def near_duplicates(docs: DataFrame, k: int = K, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and kept of each row of `docs`."""
+    out = grouped(docs, k, threshold)
     return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = K, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that stay: one doc_id of each group."""
-    gone = materialize(near_duplicates(docs, k, threshold).where(~F.col("kept")).select("doc_id", "text_hash").distinct(), "gone")
-    return without(docs, gone)
+    """The rows of `docs` that stay: one of each group, that of the smallest doc_id and then text hash; of equal rows any.
+
+    Rows without words are in no group and stay.
+    """
+    rows = materialize(grouped(docs, k, threshold).where(F.col("__c").isNotNull()), "near")
+    least = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("__c").agg(F.min("text_hash").alias("__h"))
+    least = materialize(least, "least")
+    marked = rows.join(least, "__c").withColumn("__stays", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("__h")))
+    keys = materialize(marked.groupBy("doc_id", "text_hash", "__stays").agg(F.count(F.lit(1)).alias("n")).where("NOT __stays OR n > 1"), "gone")
+    left = matched(docs, keys.where("NOT __stays"), "left_anti")
+    repeated = keys.where("__stays")
+    if not repeated.limit(1).count():
+        return left
+    # Only rows that came several times are compared by their texts.
+    return matched(left, repeated, "left_anti").unionByName(matched(left, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

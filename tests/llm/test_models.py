@@ -100,6 +100,26 @@ def test_packing_round_trip(spark):
     assert packing.best_fit(docs(spark, []), 64).count() == 0
 
 
+def test_slots_of_equal_rows_are_gapless(spark):
+    from decidra.llm import common
+
+    rows = common.materialize(spark.range(1000).selectExpr("id % 2 AS k", "'same' AS v"), "equal")
+    got = collections.defaultdict(list)
+    for r in common.gapless_rank(rows, ["k"], ["v"], "at").collect():
+        got[r["k"]].append(r["at"])
+    assert all(sorted(v) == list(range(500)) for v in got.values()) and len(got) == 2
+
+
+def test_running_totals_and_maxima(spark):
+    from decidra.llm import common
+    from pyspark.sql import functions as F
+
+    some = [[random.Random(n).randrange(99) for _ in range(n)] for n in (0, 1, 63, 64, 65, 200, 5000)]
+    frame = spark.createDataFrame([(x,) for x in some], "x array<int>")
+    for got, x in zip(frame.select(common.running(F.col("x"), lambda a, b: a + b), common.running(F.col("x"), F.greatest)).collect(), some, strict=True):
+        assert got[0] == np.cumsum(x).tolist() and got[1] == np.maximum.accumulate(x or [0])[: len(x)].tolist()
+
+
 # Language model
 
 
@@ -443,6 +463,29 @@ def test_a_winning_path_does_not_replace_a_page_s_own_article(spark):
 # Pipeline
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_odd_rows_of_stages(spark, stage, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables."""
+    import corpus_pipeline as P
+
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, None), (None, 1, 1), (5, 1, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([("i1", "one two three four five six seven eight nine ten"), (None, None)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = P.materialize(docs(spark), "odd")
+    name, call = P.STAGES[stage]
+    out = call(spark, rows, str(tmp_path))
+    got = sorted((repr(r["doc_id"]) for r in out.collect()))
+    everyone = sorted(repr(r["doc_id"]) for r in rows.collect())
+    if name == "packing":
+        assert set(got) == set(everyone) and len(got) > len(everyone)
+    else:
+        assert out.columns == rows.columns
+        # Of the two equal rows of id 1 and the equal text of id 2 one stays; the benchmark's passage is in all three; line dedup empties the later one.
+        gone = {"toxicity": [], "line_dedup": ["2"], "near_duplicates": ["1", "2"], "decontamination": ["1", "1", "2"]}[name]
+        assert collections.Counter(everyone) - collections.Counter(got) == collections.Counter(gone), name
+    assert call(spark, docs(spark, []), str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
