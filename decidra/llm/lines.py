@@ -29,8 +29,6 @@ from .common import let, materialize
 MIN_CHARS = 120
 #: Lines to look at first for a gram's end; MIN_CHARS lines always hold one, as none is empty.
 AHEAD, FURTHER = 6, 20
-#: How many lines a gram usually has behind its first one.
-USUAL = (2, 3, 1, 4, 0, 5)
 LINE = r"[^\n.,;:!?]*+(?:[.,;:!?]++[ \n]*+|\n++|\z)"
 #: Tables of texts' names and of what goes from them are broadcast up to so many bytes.
 BROADCAST_BYTES = 32 << 20
@@ -66,18 +64,11 @@ def fingerprints(lines: Column) -> Column:
     """Structs f (hash), p (first place) and n (the last one's distance) of all grams; `lines` has structs x (hash), n (size) and p (place)."""
 
     def grams(hashes: Column, places: Column, last: Column) -> Column:
-        def gram(i: Column, e: Column) -> Column:
-            # The hash of an array is that of its elements in turn: short grams, the usual sizes first, need no slice.
-            f = F.when(F.lit(False), F.lit(None).cast("long"))
-            for k in USUAL:
-                f = f.when(e == i + k, F.xxhash64(*[F.get(hashes, i + j) for j in range(k + 1)]))
-            f = f.otherwise(F.xxhash64(F.slice(hashes, i + 1, e - i + 1)))
-            return F.struct(f.alias("f"), F.get(places, i).alias("p"), (F.get(places, e) - F.get(places, i)).alias("n"))
-
         def of(end: Column, i: Column) -> Column:
             # Until the next line's gram ends, longer ones begin here that would be too short without their first line.
             longest = F.greatest(end, F.coalesce(F.get(last, i + 1), F.size(last)) - 1)
-            return F.when(longest == end, F.array(gram(i, end))).otherwise(F.transform(F.sequence(end, longest), lambda e: gram(i, e)))
+            gram = lambda e: F.struct(F.xxhash64(F.slice(hashes, i + 1, e - i + 1)).alias("f"), F.get(places, i).alias("p"), (F.get(places, e) - F.get(places, i)).alias("n"))
+            return F.when(longest == end, F.array(gram(end))).otherwise(F.transform(F.sequence(end, longest), gram))
 
         return F.flatten(F.transform(F.filter(last, lambda e: e.isNotNull()), of))
 
