@@ -188,7 +188,10 @@ def batch_windows(spark, d):
     return windows.batch_windows(decisions(spark, d).select("id", "suite"), "suite", ["id"], 32)
 
 
-@register(None)
+@register("""WITH RECURSIVE t AS (SELECT lang AS suite, doc_id, length(text)::BIGINT AS tokens, row_number() OVER (PARTITION BY lang ORDER BY length(text), doc_id) AS r FROM documents WHERE text IS NOT NULL),
+b AS (SELECT suite, doc_id, tokens, r, 0::BIGINT AS batch, 1 AS n FROM t WHERE r = 1 UNION ALL
+SELECT t.suite, t.doc_id, t.tokens, t.r, b.batch + CASE WHEN (b.n + 1) * t.tokens > 20000 OR b.n >= 64 THEN 1 ELSE 0 END, CASE WHEN (b.n + 1) * t.tokens > 20000 OR b.n >= 64 THEN 1 ELSE b.n + 1 END FROM b JOIN t ON t.suite = b.suite AND t.r = b.r + 1)
+SELECT suite, doc_id, tokens, batch FROM b""")
 def token_budget_batches(spark, d):
     rows = table(spark, d, "documents").select(F.col("lang").alias("suite"), "doc_id", F.length("text").cast("long").alias("tokens")).where("tokens IS NOT NULL")
     return windows.token_batches(rows, "suite", "doc_id", "tokens", 20_000, 64)
