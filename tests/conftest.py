@@ -34,6 +34,8 @@ def duck():
 
 def norm(frame):
     """Rows of a pandas frame as sorted tuples of text, columns by name, floats to nine digits."""
+    import pandas as pd
+
     frame = frame[sorted(frame.columns)]
     out = []
     for row in frame.itertuples(index=False):
@@ -41,8 +43,10 @@ def norm(frame):
         for v in row:
             if hasattr(v, "tolist"):
                 v = v.tolist()
+            if v is pd.NA:
+                v = None
             if isinstance(v, float):
-                v = None if v != v else round(v, 9)
+                v = None if v != v else int(v) if v.is_integer() else round(v, 9)
             cells.append(repr(v))
         out.append(tuple(cells))
     return sorted(out)
