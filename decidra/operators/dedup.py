@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .selection import TAKEN, settled
 
 
 def keep_first(rows: DataFrame, key: str | Column, order: list) -> DataFrame:
@@ -34,27 +34,15 @@ def canonical_facts(facts: Column) -> Column:
     return F.sha2(F.to_json(F.array_sort(facts)), 256)
 
 
-def first_independent(nodes: DataFrame, conflicts: DataFrame, node: str, order: str, rounds: int = 500) -> DataFrame:
+def first_independent(nodes: DataFrame, conflicts: DataFrame, node: str, order: str) -> DataFrame:
     """The rows that a pass in `order` accepts, a row being refused if an accepted earlier
     row conflicts with it: the first maximal independent set.
 
-    Rounds: rows without a live earlier neighbour are accepted, their neighbours are refused.
-    Each round is a written table; the rounds are limited only to fail loudly.  `conflicts`
-    has columns a and b (values of `node`).
+    `conflicts` has columns a and b (values of `node`); `selection.settled` decides them, chains of any length in few rounds.
     """
     ranks = nodes.select(F.col(node).alias("__n"), F.col(order).alias("__o"))
-    both = conflicts.select("a", "b").unionByName(conflicts.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     by = lambda side: ranks.select(F.col("__n").alias(side), F.struct("__o", "__n").alias(f"__{side}"))
-    later = stored(both.join(by("a"), "a").join(by("b"), "b").where("__b < __a").select(F.col("a").alias("later"), F.col("b").alias("earlier")), "conflicts")
-    state = stored(later.select(F.col("later").alias("n")).unionByName(later.select(F.col("earlier").alias("n"))).distinct().withColumn("s", F.lit(0)), "state")
-    for _ in range(rounds):
-        if not state.where("s = 0").limit(1).count():
-            refused = state.where("s = 2").select(F.col("n").alias(node))
-            return nodes.join(refused, node, "left_anti")
-        live = state.where("s = 0").select("n")
-        edges = later.join(live.withColumnRenamed("n", "later"), "later").join(live.withColumnRenamed("n", "earlier"), "earlier")
-        accepted = live.join(edges.select(F.col("later").alias("n")), "n", "left_anti")
-        refused = edges.join(accepted.withColumnRenamed("n", "earlier"), "earlier").select(F.col("later").alias("n")).distinct()
-        new = accepted.withColumn("t", F.lit(1)).unionByName(refused.withColumn("t", F.lit(2)))
-        state = stored(state.join(new, "n", "left").select("n", F.coalesce("t", "s").alias("s")), "state")
-    raise RuntimeError(f"undecided after {rounds} rounds")
+    both = conflicts.select("a", "b").where("a <> b").join(by("a"), "a").join(by("b"), "b")
+    later = F.col("__a") > F.col("__b")
+    edges = both.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("node"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("on"), F.lit(TAKEN).alias("state"))
+    return nodes.join(settled(edges).withColumnRenamed("node", node), node, "left_anti")
