@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.probs import confidence
 from .validate import failed, prediction_checks
+from .windows import token_batches
 
 INPUTS = ("id", "suite", "state", "qtype", "options")
 PREDICTION = "id string, suite string, status string, length int, probs array<double>, pred_idx int, forward_seconds double"
@@ -21,6 +22,26 @@ def model_inputs(rows: DataFrame) -> DataFrame:
     return rows.select(*INPUTS)
 
 
+def as_inputs(part: pd.DataFrame) -> list[dict]:
+    """What a backend gets of some rows: state, qtype and options as plain values."""
+    plain = lambda opts: [dict(o.asDict() if hasattr(o, "asDict") else o) for o in (opts if opts is not None else [])]
+    return [{"state": s, "qtype": t, "options": plain(o)} for s, t, o in zip(part["state"], part["qtype"], part["options"], strict=True)]
+
+
+def answered(backend, part: pd.DataFrame) -> pd.DataFrame:
+    """One prediction a row, in the rows' order."""
+    inputs = as_inputs(part)
+    began = time.perf_counter()
+    answers = backend.predict_batch(inputs)
+    took = (time.perf_counter() - began) / max(1, len(inputs))
+    if len(answers) != len(inputs):
+        raise ValueError("a backend must answer every input")
+    probs = [a.get("probs") for a in answers]
+    best = [None if p is None else max(range(len(p)), key=lambda i: (p[i], -i)) for p in probs]
+    cells = (part["id"].to_list(), part["suite"].to_list(), [a["status"] for a in answers], [a.get("length") for a in answers], probs, best, [took] * len(inputs))
+    return pd.DataFrame(dict(zip([c.split()[0] for c in PREDICTION.split(", ")], cells, strict=True)))
+
+
 def predict(rows: DataFrame, factory, batch_size: int = 32) -> DataFrame:
     """Predictions of `factory()`, which each worker calls once.
 
@@ -32,23 +53,50 @@ def predict(rows: DataFrame, factory, batch_size: int = 32) -> DataFrame:
         backend = factory()
         for frame in frames:
             for at in range(0, len(frame), batch_size):
-                part = frame.iloc[at : at + batch_size]
-                inputs = [{"state": s, "qtype": t, "options": [dict(o.asDict() if hasattr(o, "asDict") else o) for o in (opts if opts is not None else [])]} for s, t, opts in zip(part["state"], part["qtype"], part["options"], strict=True)]
-                began = time.perf_counter()
-                answers = backend.predict_batch(inputs)
-                took = (time.perf_counter() - began) / max(1, len(inputs))
-                if len(answers) != len(inputs):
-                    raise ValueError("a backend must answer every input")
-                out = []
-                for (_, row), a in zip(part.iterrows(), answers, strict=True):
-                    p = a.get("probs")
-                    best = None if p is None else max(range(len(p)), key=lambda i: (p[i], -i))
-                    out.append((row["id"], row["suite"], a["status"], a.get("length"), p, best, took))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in PREDICTION.split(", ")])
+                yield answered(backend, frame.iloc[at : at + batch_size])
 
     return model_inputs(rows).mapInPandas(run, PREDICTION)
 
 
+def collated(rows: DataFrame, factory, length: str, limit: int, max_tokens: int, max_rows: int) -> DataFrame:
+    """Predictions made in batches of similar lengths: with the batch's number in its suite, its size, and its tokens with padding.
+
+    Rows of each suite are taken by rising (length, id) into batches of at most `max_rows` rows and, padded to the longest, `max_tokens` tokens.  A batch is never
+    split: its rows go to one partition, where they follow each other, and one call answers them, whatever the size of Arrow batches.  Rows longer than `limit` aren't
+    shown to the model: their status is unsupported_length and they have no batch.  The result is in no order; ids tell where rows belong.
+    """
+    fits = F.col(length) <= limit
+    ready = rows.where(fits).select(*INPUTS, F.col(length).cast("long").alias("__tokens"))
+    placed = token_batches(ready, "suite", "id", "__tokens", max_tokens, max_rows)
+    together = placed.repartition("suite", "batch").sortWithinPartitions("suite", "batch", "__tokens", "id")
+
+    def run(frames):
+        backend = factory()
+        held: list[pd.DataFrame] = []
+
+        def call() -> pd.DataFrame:
+            part = pd.concat(held, ignore_index=True)
+            out = answered(backend, part)
+            out["batch"], out["batch_size"], out["padded_tokens"] = part["batch"], len(part), len(part) * int(part["__tokens"].max())
+            return out
+
+        for frame in frames:
+            new = (frame["suite"] != frame["suite"].shift()) | (frame["batch"] != frame["batch"].shift())
+            for _, piece in frame.groupby(new.cumsum(), sort=False):
+                if held and (held[0]["suite"].iloc[0], held[0]["batch"].iloc[0]) != (piece["suite"].iloc[0], piece["batch"].iloc[0]):
+                    yield call()
+                    held = []
+                held.append(piece)
+        if held:
+            yield call()
+
+    done = together.mapInPandas(run, f"{PREDICTION}, batch long, batch_size long, padded_tokens long")
+    names = [c.split() for c in PREDICTION.split(", ")]
+    known = {"id": F.col("id").cast("string"), "suite": F.col("suite").cast("string"), "status": F.lit("unsupported_length"), "length": F.col(length).cast("int")}
+    long = rows.where(~F.coalesce(fits, F.lit(False))).select(*[known.get(n, F.lit(None)).cast(t).alias(n) for n, t in names], *[F.lit(None).cast("long").alias(n) for n in ("batch", "batch_size", "padded_tokens")])
+    return done.unionByName(long)
+
+
 class HashScorer:
     """A stand-in for a model: probabilities from hashes of the option and the state."""
 

@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import stored
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds `name`: the row's place from 0 among those of its `by`, in `order`.
+
+    Rows are range-partitioned by both, so a hot `by` is dealt over many tasks; what earlier tasks hold of a `by` is then added.  Rows equal in both come in any order.
+    """
+    ranged = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    placed = stored(ranged.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__m")), "ranked")
+    parts = placed.groupBy(*by, "__p").agg(F.count(F.lit(1)).alias("__rows"), F.min("__m").alias("__least"))
+    before = F.coalesce(F.sum("__rows").over(Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = stored(parts.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__p").alias("__q"), "__least", before.alias("__before")), "starts")
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by], F.col("__p") == F.col("__q"))
+    return placed.join(starts, on).select(*rows.columns, (F.col("__m") - F.col("__least") + F.col("__before")).alias(name))
+
 
 def suite_prefix(rows: DataFrame, suite: str, order: list, n: int) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(suite).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
 
 
 def canonical_first(rows: DataFrame, key: str, order: str, name: str = "canonical") -> DataFrame:
-    """Adds the `order` value of the first row of each key."""
-    return rows.withColumn(name, F.min(order).over(Window.partitionBy(key)))
+    """Adds the lowest `order` of each key.  Keys, which may be long texts, meet as digests, after they were aggregated."""
+    marked = stored(rows.withColumn("__d", F.sha2(F.col(key).cast("string"), 256)), "keyed")
+    first = stored(marked.groupBy("__d").agg(F.min(order).alias(name)).withColumnRenamed("__d", "__e"), "firsts")
+    return marked.join(first, F.col("__d").eqNullSafe(F.col("__e"))).select(*rows.columns, name)
 
 
 def case_index(rows: DataFrame, by: str, order: list, state: str, name: str = "case_idx") -> DataFrame:
@@ -31,8 +52,8 @@ def dialogue_prefix(turns: DataFrame, conversation: str, turn: str, text: Column
 
 
 def batch_windows(rows: DataFrame, suite: str, order: list, size: int, name: str = "batch") -> DataFrame:
-    at = F.row_number().over(Window.partitionBy(suite).orderBy(*order)) - 1
-    return rows.withColumn(name, F.floor(at / size).cast("long"))
+    """Adds `name`: the number of the window of `size` rows that a row is in, from 0 in each suite."""
+    return ranked(rows, [suite], order, "__at").withColumn(name, F.floor(F.col("__at") / size).cast("long")).drop("__at")
 
 
 def batch_runs(counts: list[tuple[str, int, int]], max_tokens: int, max_rows: int) -> list[tuple[str, int, int, int, int, int]]:
@@ -65,17 +86,22 @@ def batch_runs(counts: list[tuple[str, int, int]], max_tokens: int, max_rows: in
 def token_batches(rows: DataFrame, suite: str, key: str, length: str, max_tokens: int, max_rows: int) -> DataFrame:
     """Adds `batch`: the batches of a greedy pass over each suite's rows by (length, key).
 
-    The pass runs over the counts of each length, of which there are as many as lengths; the
+    The pass runs over the counts of each length, in one task a suite; a suite has as many counts as lengths, whatever its rows.  The
     rows then only need their rank in their length.
     """
-    spark = rows.sparkSession
-    counts = [tuple(r) for r in rows.groupBy(suite, length).count().collect()]
-    runs = batch_runs(counts, max_tokens, max_rows)
-    plan = spark.createDataFrame(runs, "__s string, __l long, __low long, __high long, __b long, __each long")
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(suite, length).orderBy(key)) - 1)
-    on = (F.col(suite) == F.col("__s")) & (F.col(length) == F.col("__l")) & (F.col("__r") >= F.col("__low")) & (F.col("__r") < F.col("__high"))
-    # At most two runs per suite and length, as counted above.
-    placed = ranked.join(F.broadcast(plan), on)
+    counts = rows.groupBy(F.col(suite).alias("s"), F.col(length).cast("long").alias("l")).agg(F.count(F.lit(1)).alias("n"))
+
+    def runs(frame: pd.DataFrame) -> pd.DataFrame:
+        found = batch_runs(list(zip([""] * len(frame), frame["l"], frame["n"], strict=True)), max_tokens, max_rows)
+        out = pd.DataFrame([r[1:] for r in found], columns=["__l", "__low", "__high", "__b", "__each"])
+        out.insert(0, "__s", frame["s"].iloc[0])
+        return out
+
+    kind = rows.schema[suite].dataType.simpleString()
+    plan = stored(counts.groupBy("s").applyInPandas(runs, f"__s {kind}, __l long, __low long, __high long, __b long, __each long"), "runs")
+    on = F.col(suite).eqNullSafe(F.col("__s")) & (F.col(length) == F.col("__l")) & (F.col("__r") >= F.col("__low")) & (F.col("__r") < F.col("__high"))
+    # At most two runs per suite and length.
+    placed = stored(ranked(rows, [suite, length], [key], "__r"), "placed").join(plan, on)
     batch = F.col("__b") + F.floor((F.col("__r") - F.col("__low")) / F.col("__each"))
     return placed.select(*rows.columns, batch.cast("long").alias("batch"))
 
@@ -105,8 +131,6 @@ def evidence_numbers(rows: DataFrame, order: list, prefix: str = "candidate/") -
 
     The rows are range-partitioned by the order, counted per partition, and numbered inside.
     """
-    from .tables import stored
-
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = stored(ranged.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__m")), "evidence")
     sizes = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__least"))

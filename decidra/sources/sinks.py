@@ -20,11 +20,11 @@ def json_lines(rows: DataFrame, path: str, order: list[str]) -> None:
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
-def document(spark: SparkSession, value: dict, path: str) -> None:
-    """A small pretty JSON document; NaN is refused, and so is a path in use."""
+def document(spark: SparkSession, value: dict, path: str, replace: bool = False) -> None:
+    """A small pretty JSON document; NaN is refused, and so is a path in use unless it's to be replaced."""
     text = json.dumps(value, ensure_ascii=False, indent=2, allow_nan=False) + "\n"
     p, fs = _fs(spark, path)
-    stream = fs.create(p, False)
+    stream = fs.create(p, replace)
     try:
         stream.write(bytearray(text.encode()))
     finally:
@@ -83,8 +83,9 @@ def markdown(rows: list[dict], columns: list[str]) -> str:
     return "\n".join(lines + ["| " + " | ".join(cell(r.get(c)) for c in columns) + " |" for r in rows]) + "\n"
 
 
-def progress_log(predictions: DataFrame, path: str, checkpoint: str):
-    """Append a stream of predictions to files; a restart goes on where it stopped."""
-    return predictions.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-
-
+def read_document(spark: SparkSession, path: str) -> dict | None:
+    """A document's value; none if there is no such file."""
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    return json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
