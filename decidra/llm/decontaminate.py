@@ -1,10 +1,14 @@
 """Benchmark decontamination with suffix arrays of the training shards.
 
 A shard is a block of training documents of bounded size.  Its word-level suffix array
-holds the suffixes that can begin a match, sorted by their first `WINDOW` words; every
-suffix of the benchmark is binary-searched in it, all of them at once.  A search ends in the
-range of training suffixes that share the window; the matches are then joined along their
-diagonals into longest verbatim matches with their locations.
+holds the suffixes that can begin a match, sorted by their first `WINDOW` words; every distinct
+window that a benchmark suffix begins with is binary-searched in it, all of them at once.  A search ends in the
+range of training suffixes that share the window.  Equal windows are searched once and know their items, so a
+training suffix has one match for each window length at most, however often texts repeat themselves.
+
+How far a match goes on is read off the benchmark's own suffix array: the longest verbatim match that begins at a hit place is the longer
+one of those with the two suffixes between which the place's words sort.  Common prefixes are compared in
+steps of powers of two, by numbers that equal runs of words share (prefix doubling), so repeated words cost no more than others.
 
 A training suffix can only begin a match if its first `PREFIX` words begin a benchmark
 suffix, so the others are left out of the sort; that loses no match.
@@ -14,7 +18,7 @@ such block unless the benchmark is larger than that; otherwise the corpus is sea
 block and the blocks' results of a document are merged.
 
 Defined cases: null texts and texts without words have no words, hits or windows; items
-with the same text each count; of equally long matches the first place counts, and then, between blocks, the smaller item_id; a null item_id counts by the text `null`; repeated documents
+with the same text each count; of equally long matches the first place counts, and then the smaller item_id as a string; a null item_id counts by the text `null`; repeated documents
 stay repeated; empty tables give empty results (no benchmark: nothing is hit); only the
 named columns are read, so extra columns can't clash; texts are read whole.
 """
@@ -60,20 +64,119 @@ class Benchmark:
                 ends += [start + len(ws)] * len(ws)
                 owner += [len(self.names) - 1] * len(ws)
                 short += [len(ws)] * len(ws)
-        words, end, owner, size = (np.array(x, dtype=np.int64) for x in (numbers, ends, owner, short))
-        at = np.arange(len(words))
+        self.words, self.end, self.owner, size = (np.array(x, dtype=np.int64) for x in (numbers, ends, owner, short))
+        at = np.arange(len(self.words))
         need = np.minimum(WINDOW, size)
-        starts = at[at + need <= end]
+        starts = at[at + need <= self.end]
         # An item of fewer words than a window is one window of all its words.
-        starts = starts[(size[starts] >= WINDOW) | (starts == end[starts] - size[starts])]
-        self.need, self.owner, self.at = need[starts], owner[starts], starts
-        columns = [np.where(k < self.need, words[np.minimum(starts + k, max(len(words) - 1, 0))] if len(words) else starts, 0) for k in range(WINDOW)]
-        self.columns = np.stack(columns, axis=1) if len(starts) else np.zeros((0, WINDOW), dtype=np.int64)
+        starts = starts[(size[starts] >= WINDOW) | (starts == self.end[starts] - size[starts])]
+        rows = np.zeros((len(starts), WINDOW + 1), dtype=np.int32)
+        rows[:, 0] = need[starts]
+        for k in range(WINDOW):
+            inside = k < rows[:, 0]
+            rows[inside, k + 1] = self.words[starts[inside] + k]
+        windows, which = np.unique(rows, axis=0, return_inverse=True)
+        self.need, self.columns = windows[:, 0].astype(np.int64), windows[:, 1:]
+        # The items of each window, window by window.
+        items = np.unique(which.reshape(-1).astype(np.int64) * max(1, len(self.names)) + self.owner[starts])
+        self.items = items % max(1, len(self.names))
+        self.first_item = np.searchsorted(items // max(1, len(self.names)), np.arange(len(windows) + 1))
+        self._statistics = None
         self.prefixes = {}
         for k in range(1, PREFIX + 1):
             mine = self.need >= PREFIX if k == PREFIX else self.need == k
             self.prefixes[k] = np.unique(pack(self.columns[mine][:, :k]))
 
+    def items_of(self, windows: np.ndarray) -> np.ndarray:
+        """The items that have one of some distinct windows."""
+        low, n = self.first_item[windows], self.first_item[windows + 1] - self.first_item[windows]
+        return np.unique(self.items[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+
+    def longest(self, words: np.ndarray, at: np.ndarray) -> tuple[int, str, int]:
+        """Words, item and place of the longest verbatim match that begins at one of the places `at` of a document."""
+        if self._statistics is None:
+            self._statistics = Statistics(self.words, self.end)
+        size, place, starts = self._statistics.longest(words, at)
+        return size, min(self.names[i] for i in np.unique(self.owner[starts])), place
+
+
+class Statistics:
+    """Matching statistics against a suffix array of the benchmark's words.
+
+    Level j numbers runs of 2 ** j words inside an item, equal runs alike and in their order; 0 stands for a run that an item's end cuts.
+    """
+
+    def __init__(self, words: np.ndarray, end: np.ndarray):
+        self.words, self.end = words, end
+        most = int((end - np.arange(len(words))).max())
+        self.levels, self.pairs = [words.copy()], []
+        rank, at, j = words.copy(), np.arange(len(words)), 0
+        while 1 << j < most:
+            h = 1 << j
+            later = np.where(at + h < end, rank[np.minimum(at + h, len(words) - 1)], 0)
+            _, rank = np.unique(rank * (len(words) + 2) + later, return_inverse=True)
+            rank = rank.reshape(-1).astype(np.int64) + 1
+            below, whole = self.levels[j], at + 2 * h <= end
+            level = np.where(whole, rank, 0)
+            keys = below[whole] * (len(words) + 2) + below[at[whole] + h]
+            keys, place = np.unique(keys, return_index=True)
+            self.pairs.append((keys, level[whole][place]))
+            self.levels.append(level)
+            j += 1
+        # Suffixes that are equal to their ends come in any order.
+        self.order = np.argsort(rank, kind="stable")
+
+    def numbered(self, words: np.ndarray) -> list[np.ndarray]:
+        """The levels' numbers of a document's runs; 0 where the benchmark hasn't the run."""
+        out = [words]
+        for j, (keys, numbers) in enumerate(self.pairs):
+            h, below = 1 << j, out[-1]
+            level = np.zeros(len(words), dtype=np.int64)
+            here = np.flatnonzero(below[: max(0, len(words) - h)])
+            here = here[below[here + h] > 0]
+            if len(here) and len(keys):
+                key = below[here] * (len(self.words) + 2) + below[here + h]
+                found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                level[here] = np.where(keys[found] == key, numbers[found], 0)
+            out.append(level)
+        return out
+
+    def common(self, runs: list[np.ndarray], at: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        """How many words places of a document and benchmark suffixes have in common."""
+        n, off = len(runs[0]), np.zeros(len(at), dtype=np.int64)
+        for j in range(len(runs) - 1, -1, -1):
+            p, i = at + off, suffix + off
+            inside = (p < n) & (i < self.end[suffix])
+            p, i = np.minimum(p, n - 1), np.minimum(i, len(self.words) - 1)
+            off += np.where(inside & (runs[j][p] > 0) & (runs[j][p] == self.levels[j][i]), 1 << j, 0)
+        return off
+
+    def longest(self, words: np.ndarray, at: np.ndarray) -> tuple[int, int, np.ndarray]:
+        """Length and first place of the longest match, and the benchmark suffixes that begin with it."""
+        runs = self.numbered(words)
+        low, high = np.zeros(len(at), dtype=np.int64), np.full(len(at), len(self.order), dtype=np.int64)
+        while (low < high).any():
+            mid = np.minimum((low + high) // 2, len(self.order) - 1)
+            suffix = self.order[mid]
+            off = self.common(runs, at, suffix)
+            ours = np.where(at + off < len(words), words[np.minimum(at + off, len(words) - 1)], 0)
+            theirs = np.where(suffix + off < self.end[suffix], self.words[np.minimum(suffix + off, len(self.words) - 1)], 0)
+            right = (ours >= theirs) & (low < high)
+            low, high = np.where(right, mid + 1, low), np.where(right | (low >= high), high, mid)
+        sides = [np.clip(low + d, 0, len(self.order) - 1) for d in (-1, 0)]
+        sizes = [self.common(runs, at, self.order[s]) for s in sides]
+        size = np.maximum(*sizes)
+        best = np.lexsort((at, -size))[0]
+        most, place = int(size[best]), int(at[best])
+        centre = int(sides[0][best] if sizes[0][best] == most else sides[1][best])
+        reach = 1
+        while True:
+            near = self.order[max(0, centre - reach) : centre + reach + 1]
+            same = self.common(runs, np.full(len(near), place), near) >= most
+            if not (same[0] and centre > reach) and not (same[-1] and centre + reach + 1 < len(self.order)):
+                return most, place, near[same]
+            reach *= 2
+
 
 def pack(columns: np.ndarray) -> np.ndarray:
     """A hash of rows of numbers: it only sorts out suffixes, so equal hashes of other rows do no harm."""
@@ -91,12 +194,12 @@ def member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def search(bench: Benchmark, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position in `words`, benchmark suffix) of all matches in a shard.
+    """(position in `words`, distinct window) of all matches in a shard: at most one for each position and window length.
 
     `words`: the shard's word numbers; documents are parted by zeros, of which WINDOW end it.
     """
     none = np.zeros(0, dtype=np.int64)
-    if len(words) <= WINDOW or not len(bench.at):
+    if len(words) <= WINDOW or not len(bench.need):
         return none, none
     head = len(words) - WINDOW
     live = np.flatnonzero(words[:head])
@@ -107,7 +210,7 @@ def search(bench: Benchmark, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     suffixes = live[begins]
     if not len(suffixes):
         return none, none
-    rows = words[suffixes[:, None] + np.arange(WINDOW)]
+    rows = words[suffixes[:, None] + np.arange(WINDOW)].astype(np.int32)
     # Words behind the end of a document don't belong to its suffixes.
     rows[np.cumsum(rows == 0, axis=1) > 0] = 0
     order = np.lexsort(rows.T[::-1])
@@ -137,20 +240,6 @@ def bound(rows: np.ndarray, queries: np.ndarray, need: np.ndarray, upper: bool)
         low, high = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, high)
 
 
-def matches_of(at: np.ndarray, which: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Longest verbatim matches: (suffix where it starts, position, words), joined by diagonal."""
-    keep = bench.need[which] == WINDOW
-    at, which = at[keep], which[keep]
-    start = bench.at[which]
-    order = np.lexsort((at, start - at, bench.owner[which]))
-    at, start, which = at[order], start[order], which[order]
-    fresh = np.ones(len(at), dtype=bool)
-    fresh[1:] = (np.diff(at) != 1) | (np.diff(start) != 1) | (np.diff(bench.owner[which]) != 0)
-    first = np.flatnonzero(fresh)
-    size = np.diff(np.append(first, len(at))) + WINDOW - 1
-    return which[first], at[first], size
-
-
 SCHEMA = "n_words long, hits array<struct<start:int,stop:int>>, items array<string>, longest int, longest_item string, longest_start int"
 ARROW = pa.schema([
     ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("items", pa.list_(pa.string())),
@@ -189,14 +278,15 @@ def searched(bench: Benchmark, texts: list[str | None]) -> pa.RecordBatch:
         left, right = p[places], np.maximum.accumulate((p + bench.need[w])[places])
         cut = np.flatnonzero(np.append(True, left[1:] > right[:-1]))
         hits.append([{"start": int(s), "stop": int(e)} for s, e in zip(left[cut], right[np.append(cut[1:], len(right)) - 1], strict=True)])
-        items.append(sorted({bench.names[i] for i in np.unique(bench.owner[w])}))
-        suffix, place, size = matches_of(p, w, bench)
-        if len(size):
-            k = np.lexsort((place, -size))[0]
-            longest.append((int(size[k]), bench.names[bench.owner[suffix[k]]], int(place[k])))
+        items.append(sorted({bench.names[i] for i in bench.items_of(np.unique(w))}))
+        full = np.unique(p[bench.need[w] == WINDOW])
+        if len(full):
+            longest.append(bench.longest(docs[d], full))
         else:
-            k = np.lexsort((p, -bench.need[w]))[0]
-            longest.append((int(bench.need[w[k]]), bench.names[bench.owner[w[k]]], int(p[k])))
+            size = int(bench.need[w].max())
+            place = int(p[bench.need[w] == size].min())
+            here = w[(p == place) & (bench.need[w] == size)]
+            longest.append((size, min(bench.names[i] for i in bench.items_of(np.unique(here))), place))
     columns = [counts, hits, items, *([x[i] for x in longest] for i in range(3))]
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
 
@@ -288,6 +378,7 @@ def op5(spark, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("__0").alias("doc_id"), "n_words", hit_words(F.col("hits")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(items, 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+        F.col("longest").cast("long").alias("longest"), "longest_item", F.col("longest_start").cast("long").alias("longest_start"),
     )
 
 
@@ -300,20 +391,29 @@ WITH words AS (
   FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark)
   WHERE len(ws) > 0
 ), wanted AS (
-  SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS k
+  SELECT item_id, n, i AS j, array_to_string(ws[i:i + n - 1], ' ') AS k
   FROM (SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM items)
 ), seen AS (
   SELECT r, i, n, array_to_string(ws[i:i + n - 1], ' ') AS k
   FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM words, (SELECT DISTINCT n FROM wanted) WHERE len(ws) >= n)
 ), hits AS (
-  SELECT r, i, n, item_id FROM seen JOIN wanted USING (n, k)
+  SELECT r, i, j, n, item_id FROM seen JOIN wanted USING (n, k)
 ), covered AS (
   SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r
 ), found AS (
   SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY r
+), runs AS (
+  SELECT r, item_id, min(i) AS i, count(*) + 9 AS size
+  FROM (SELECT r, item_id, i, j, i - row_number() OVER (PARTITION BY r, item_id, i - j ORDER BY i) AS run FROM hits WHERE n = 10)
+  GROUP BY r, item_id, i - j, run
+  UNION ALL
+  SELECT r, item_id, i, n FROM hits WHERE n < 10
+), best AS (
+  SELECT r, arg_min(size, (-size, i, item_id::VARCHAR)) AS longest, arg_min(item_id::VARCHAR, (-size, i, item_id::VARCHAR)) AS longest_item, min_by(i, (-size, i, item_id::VARCHAR)) - 1 AS longest_start FROM runs GROUP BY r
 )
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM words LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(longest, 0)::BIGINT AS longest, longest_item, longest_start::BIGINT AS longest_start
+FROM words LEFT JOIN covered USING (r) LEFT JOIN found USING (r) LEFT JOIN best USING (r)
 """
 
