@@ -4,9 +4,10 @@ First pass: every page is parsed, its containers are scored by the share of the
 prose that they hold, and the best one votes.  A vote names a generalised path: tags and
 classes from the root, without digits.  Spark sums the votes per host and path, and every
 path with at least SHARE of its host's votes wins.  Second pass: every page is parsed again
-and the elements on the first of its host's winning paths that fits are read.  A path fits if
-its elements hold nearly as much prose as the page's own best container, or if what that has
-besides isn't written in paragraphs.  A page that no path fits is read from its own best container.
+and the elements on that of its host's winning paths that holds most of the page's prose are read (of equal ones, the first).  A path fits if
+its elements hold nearly all the prose, of whatever blocks, of the page's own best container.  A page that no path fits is read from its own best container.
+Pages vote as well on what stands beside their containers: paths with a class that do so on TEMPLATE of a host's pages are parts of its template, and don't
+count as prose of a container around them, as on pages whose best container is the whole body.
 The page's body as a whole never votes.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,8 +37,10 @@ from .common import bounded_batches, materialize
 
 #: Winning paths of a host have at least this share of its votes, so they are at most 50.
 SHARE = 0.02
-#: Shares of a page's prose: to be its best container or as good as that; to be read for want of other paragraphs, which hold at most BESIDE of it.
-HOLDS, FITS, BESIDE, NEARLY = 0.8, 0.2, 0.25, 1.25
+#: Shares of a page's prose: to be its best container; of the best container's prose: for a path to be as good as that, for what surrounds it to belong to it.
+HOLDS, FITS, NEARLY = 0.8, 0.95, 1.25
+#: Share of a host's pages that must have a path beside their containers.
+TEMPLATE = 0.5
 #: Winning paths of so many bytes in all are broadcast.
 BROADCAST_BYTES = 20 << 20
 
@@ -56,7 +60,6 @@ CLOSED_BY = {
 }
 #: Elements that an element's implied end can't leave.
 SCOPES = frozenset("html body article main section div table ul ol dl td th aside nav footer header form blockquote".split())
-PARAGRAPHS = frozenset("p blockquote pre dd".split())
 BAD_TAGS = frozenset("nav footer aside menu dialog search button label input fieldset".split())
 BAD_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar".split())
 BAD_WORDS = frozenset("ad ads nav menu rail notice alert gdpr pager share social login related respond reply replies search topbar toolbar".split())
@@ -85,11 +88,11 @@ NAMES = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "step", "key", "bad", "classes", "attributes", "prose", "has_article")
+    __slots__ = ("tag", "parent", "step", "key", "bad", "classes", "attributes", "prose", "has_article", "headed")
 
     def __init__(self, tag: str, parent: int, step: str, key: int, classes: list[str], attributes: dict[str, str]):
         self.tag, self.parent, self.step, self.key, self.classes, self.attributes = tag, parent, step, key, classes, attributes
-        self.bad, self.prose, self.has_article = 0, 0, False
+        self.bad, self.prose, self.has_article, self.headed = 0, 0, False, False
 
 
 def key_of(step: str, above: int) -> int:
@@ -130,12 +133,14 @@ class Page:
     def _parse(self, source: str) -> None:
         stack, open_, linked = [0], [], [0, 0]
         nodes, blocks = self.nodes, self.blocks
+        # Of each open element the block that its text belongs to, and how many elements of a tag are open: neither is searched for in the stack.
+        holder, opened = [0], Counter()
 
         def flush() -> None:
             if open_:
                 text = " ".join(entities.unescape("".join(open_)).split())
                 if text:
-                    blocks.append((next(n for n in reversed(stack) if nodes[n].tag in BLOCKS or not n), text, linked[1]))
+                    blocks.append((holder[-1], text, linked[1]))
                 open_.clear()
             linked[1] = 0
 
@@ -146,6 +151,8 @@ class Page:
                     flush()
                 elif tag == "a":
                     linked[0] -= 1
+                opened[tag] -= 1
+                holder.pop()
                 stack.pop()
 
         at, size = 0, len(source)
@@ -167,7 +174,7 @@ class Page:
                     if tag == "br":
                         open_.append(" ")
                     continue
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                     if nodes[stack[k]].tag == tag:
                         pop(k)
                         break
@@ -187,12 +194,12 @@ class Page:
                 else:
                     open_.append(" " if tag == "br" else "")
                 continue
-            if tag in ("html", "body") and any(nodes[n].tag == tag for n in stack):
+            if tag in ("html", "body") and opened[tag]:
                 continue
             if tag in CLOSES_P:
-                self._close(stack, ("p",), pop)
+                self._close(stack, ("p",), opened, pop)
             if tag in CLOSED_BY:
-                self._close(stack, CLOSED_BY[tag], pop)
+                self._close(stack, CLOSED_BY[tag], opened, pop)
             if tag in HEADINGS and nodes[stack[-1]].tag in HEADINGS:
                 pop(len(stack) - 1)
             if tag in BLOCKS:
@@ -207,12 +214,14 @@ class Page:
             nodes.append(Node(tag, stack[-1], step, key_of(step, nodes[stack[-1]].key), classes, attributes))
             if tag == "a":
                 linked[0] += 1
+            opened[tag] += 1
+            holder.append(len(nodes) - 1 if tag in BLOCKS else holder[-1])
             stack.append(len(nodes) - 1)
         flush()
 
-    def _close(self, stack: list[int], tags: tuple[str, ...], pop) -> None:
+    def _close(self, stack: list[int], tags: tuple[str, ...], opened: Counter, pop) -> None:
         """The implied end of the nearest open element of `tags`, and of those above it in turn."""
-        while True:
+        while any(opened[t] for t in tags):
             for k in range(len(stack) - 1, 0, -1):
                 tag = self.nodes[stack[k]].tag
                 if tag in tags:
@@ -254,32 +263,29 @@ class Page:
                     titled = any(w in TITLED for c in names for w in NAMES.findall(c))
                     own = 2 if inside[n.parent] or titled else 1
             n.bad = 1 if over.bad == 1 or own == 1 else 2 if over.bad == 2 or own == 2 else 0
+            n.headed = n.tag in HEADINGS or i > 0 and over.headed
         for at, text, in_links in self.blocks:
             if self.good(at):
-                prose = max(0, len(text) - 2 * in_links)
-                while at >= 0:
-                    nodes[at].prose += prose
-                    at = nodes[at].parent
+                nodes[at].prose += max(0, len(text) - 2 * in_links)
+        # Nodes come after their parents, so sums go up in one pass from the end.
+        for n in nodes[:0:-1]:
+            nodes[n.parent].prose += n.prose
 
     def _sizes(self) -> list[list[int]]:
         """Of each node the characters of its text, and those of them in links."""
         out = [[0, 0] for _ in self.nodes]
         for at, text, in_links in self.blocks:
-            while at >= 0:
-                out[at][0] += len(text)
-                out[at][1] += in_links
-                at = self.nodes[at].parent
+            out[at][0] += len(text)
+            out[at][1] += in_links
+        for i in range(len(self.nodes) - 1, 0, -1):
+            for k in (0, 1):
+                out[self.nodes[i].parent][k] += out[i][k]
         return out
 
     def good(self, at: int) -> bool:
-        bad = self.nodes[at].bad
-        if not bad:
-            return True
-        while bad == 2 and at > 0:
-            if self.nodes[at].tag in HEADINGS:
-                return True
-            at = self.nodes[at].parent
-        return False
+        """Whether a block is prose: a header inside the article keeps its headings."""
+        n = self.nodes[at]
+        return not n.bad or n.bad == 2 and n.headed
 
     def best(self) -> int:
         """The container that holds most of the prose and as little else as can be."""
@@ -328,20 +334,41 @@ class Page:
             at = nodes[at].parent
         return [(">".join(reversed(steps)), share)]
 
-    def read(self, paths: list[str] | None) -> str:
-        """The text of the elements on the first path that fits, or else of the best container."""
+    def beside(self) -> set[int]:
+        """Hashes of the paths, with a class, of what stands beside the best container or one around it, unless that is the page itself."""
+        at, nodes = self.best(), self.nodes
+        if not nodes[0].prose or nodes[at].tag in ("", "html", "body"):
+            return set()
+        around, up = set(), at
+        while up >= 0:
+            around.add(up)
+            up = nodes[up].parent
+        return {n.key for i, n in enumerate(nodes) if i not in around and n.parent in around and n.parent != at and "." in n.step and not n.bad}
+
+    def read(self, paths: list[str] | None, beside: list[str] | None = None) -> str:
+        """The text of the elements on the path that fits and holds most, or else of the best container; `beside` are hashes of paths of the host's template."""
         nodes = self.nodes
         own = self.best()
         places: dict[int, list[int]] = {path_key(p): [] for p in paths or ()}
+        template = {int(p) for p in beside or ()} - set(places)
+        parts = set()
         for i, n in enumerate(nodes):
             if n.key in places and i and n.bad != 1:
                 places[n.key].append(i)
+            elif n.key in template and i != own:
+                parts.add(i)
         within = self._below({own})
+        if parts:
+            within = [w and not part for w, part in zip(within, self._below(parts), strict=True)]
+        least = FITS * self._held(within)
+        most = 0
         for found in places.values():
             taken = found and self._below(set(found))
-            if taken and self._fits(taken, own, within):
-                within = taken
-                break
+            held = self._held(taken) if taken else 0
+            if held >= least and held > most:
+                best, most = taken, held
+        if most:
+            within = best
         return "\n\n".join(text for at, text, _ in self.blocks if within[at] and self.good(at))
 
     def _below(self, wanted: set[int]) -> list[bool]:
@@ -351,17 +378,8 @@ class Page:
             out[i] = i in wanted or (i > 0 and out[n.parent])
         return out
 
-    def _fits(self, taken: list[bool], own: int, within: list[bool]) -> bool:
-        held = beside = 0
-        for at, text, in_links in self.blocks:
-            if self.good(at):
-                prose = max(0, len(text) - 2 * in_links)
-                if taken[at]:
-                    held += prose
-                elif within[at] and self.nodes[at].tag in PARAGRAPHS:
-                    beside += prose
-        best = self.nodes[own].prose
-        return held > 0 and (held >= HOLDS * best or (held >= FITS * best and beside <= BESIDE * held))
+    def _held(self, taken: list[bool]) -> int:
+        return sum(max(0, len(text) - 2 * in_links) for at, text, in_links in self.blocks if taken[at] and self.good(at))
 
 
 def host(url: Column) -> Column:
@@ -370,44 +388,50 @@ def host(url: Column) -> Column:
 
 
 def ballots(pages: DataFrame) -> DataFrame:
-    """host, path, votes: summed over all pages of a host."""
+    """host, path, beside, votes: summed over all pages of a host.  A page has a thousand votes at most for its container, and one for each path (its hash) beside it."""
     bounded_batches(pages.sparkSession)
     rows = pages.select(host(F.col("url")).alias("__host"), F.col("html").alias("__html"))
 
     def run(batches):
         for batch in batches:
-            hosts, paths, shares = [], [], []
+            found = []
             for name, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for path, share in Page(source).votes():
-                    hosts.append(name)
-                    paths.append(path)
-                    shares.append(round(share * 1000))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(shares, pa.int64())], names=["host", "path", "votes"])
+                page = Page(source)
+                found += [(name, path, False, round(share * 1000), 1) for path, share in page.votes()]
+                found += [(name, str(path), True, 1, 1) for path in page.beside()]
+            columns = list(zip(*found, strict=True)) or [()] * 5
+            types = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "beside", "votes", "pages"])
 
-    return rows.mapInArrow(run, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    cast = rows.mapInArrow(run, "host string, path string, beside boolean, votes long, pages long")
+    return cast.groupBy("host", "path", "beside").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages"))
 
 
 def winners(votes: DataFrame) -> DataFrame:
-    """host and its winning paths, those of most votes first; `votes` is a materialized table."""
-    every = votes.groupBy("host").agg(F.sum("votes").alias("all"))
-    # At most 1 / SHARE rows of a host are left, so they can be listed.
-    leading = votes.join(every, "host").where(F.col("votes") >= SHARE * F.col("all"))
-    return leading.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path"))), lambda x: x["path"]).alias("paths"))
+    """host, its winning paths, those of most votes first, and the paths of its template; `votes` is a materialized table."""
+    every = votes.where("NOT beside").groupBy("host").agg(F.sum("votes").alias("all"), F.sum("pages").alias("all_pages"))
+    leading = (~F.col("beside")) & (F.col("votes") >= SHARE * F.col("all"))
+    common = F.col("beside") & (F.col("pages") >= TEMPLATE * F.col("all_pages"))
+    # At most 1 / SHARE leading rows of a host are left, and 1 / TEMPLATE times as many common ones as a page has on average.
+    left = votes.join(every, "host").where(leading | common)
+    row = F.struct((-F.col("votes")).alias("v"), "path")
+    paths = F.transform(F.sort_array(F.collect_list(F.when(~F.col("beside"), row))), lambda x: x["path"])
+    return left.groupBy("host").agg(paths.alias("paths"), F.sort_array(F.collect_list(F.when(F.col("beside"), F.col("path")))).alias("template"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of `pages`."""
     chosen = materialize(winners(materialize(ballots(pages), "ballots")), "hosts").withColumnRenamed("host", "__host")
-    size = chosen.agg(F.sum(F.octet_length("__host") + F.aggregate("paths", F.lit(64), lambda a, p: a + 16 + F.octet_length(p)))).first()[0]
+    size = chosen.agg(F.sum(F.octet_length("__host") + F.aggregate(F.concat("paths", "template"), F.lit(64), lambda a, p: a + 16 + F.octet_length(p)))).first()[0]
     small = (size or 0) <= BROADCAST_BYTES
     rows = pages.select("page_id", "url", F.col("html").alias("__html")).withColumn("__host", host(F.col("url")))
     # Beyond that size, a shuffle join, whose hot hosts adaptive execution splits.
-    rows = rows.join(F.broadcast(chosen) if small else chosen, "__host", "left").select("page_id", "url", "__html", "paths")
+    rows = rows.join(F.broadcast(chosen) if small else chosen, "__host", "left").select("page_id", "url", "__html", "paths", "template")
     ids = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            texts = [Page(source).read(paths) for source, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [Page(source).read(paths, template) for source, paths, template in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {ids}, url string, text string, n_chars long")
