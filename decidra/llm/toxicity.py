@@ -125,20 +125,22 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     rows = docs.select("doc_id", F.col("text").alias("__text")).where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     confirmed = marks.where(F.col("__toxic") == 1).orderBy(*order).limit(sample).select("doc_id")
-    ids = rows.select("doc_id").orderBy(*order).limit(sample)
+    ids = rows.select("doc_id").distinct().orderBy(*order).limit(sample)
     flags = lambda frame, p: frame.select("doc_id", F.lit(p).alias("__p"), F.lit(not p).alias("__u"))
     wanted = flags(confirmed, True).unionByName(flags(ids, False)).groupBy("doc_id").agg(F.max("__p").alias("__p"), F.max("__u").alias("__u"))
     # 2 * sample ids of 8 bytes: bounded, so the texts need no shuffle.
-    found = rows.join(F.broadcast(wanted), "doc_id").select("__p", "__u", "__text")
+    found = rows.join(F.broadcast(wanted), "doc_id").select("doc_id", "__p", "__u", "__text")
+    kind = found.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            for p, u, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([u]), pa.array([features_of(text).tobytes()], pa.binary())], names=["p", "u", "f"])
+            features = [features_of(text).tobytes() for text in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(features, pa.binary())], names=["doc_id", "p", "u", "f"])
 
     positive, unlabelled = [], []
-    # 2 * sample rows of about 5 kB.
-    for row in found.mapInArrow(run, "p boolean, u boolean, f binary").collect():
+    # One row an id, however many the table has: 2 * sample rows of about 5 kB.
+    one = found.mapInArrow(run, f"doc_id {kind}, p boolean, u boolean, f binary").groupBy("doc_id").agg(F.max("p"), F.max("u"), F.min("f"))
+    for row in one.drop("doc_id").collect():
         features = np.frombuffer(row[2], dtype=np.uint32)
         if row[0]:
             positive.append(features)
