@@ -98,15 +98,15 @@ def gapless_rank(rows: DataFrame, keys: list[str], order: list[str], name: str)
 
     `rows` must be a materialized table, as it is read twice, and its keys not null.  A key's rows are numbered in
     buckets by a hash of `order`, and the buckets of a key are then laid end to end, so no
-    task holds a whole key, however hot it is.  Equal rows are told apart by their place in the table's files.
+    task holds a whole key, however hot it is.  Equal rows are told apart by their file and their place in it, which a task that runs again finds alike.
     """
     buckets = max(8, partitions(rows.sparkSession))
-    salted = rows.withColumn("__row", F.col("_metadata.row_index")).withColumn("__bucket", F.pmod(F.xxhash64(*order, "__row"), F.lit(buckets)))
+    salted = rows.withColumn("__row", F.col("_metadata.row_index")).withColumn("__file", F.xxhash64("_metadata.file_name")).withColumn("__bucket", F.pmod(F.xxhash64(*order, "__row", "__file"), F.lit(buckets)))
     each = [*keys, "__bucket"]
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy(*each).agg(F.count(F.lit(1)).alias("__n"))
     starts = starts.select(*each, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy(*each).orderBy(*order, "__row"))
+    inside = F.row_number().over(Window.partitionBy(*each).orderBy(*order, "__row", "__file"))
     numbered = salted.withColumn("__inside", inside)
     out = numbered.join(starts, each).select(*[numbered[c] for c in rows.columns], (F.col("__inside") - 1 + F.col("__start")).cast("long").alias(name))
     return out
