@@ -128,25 +128,13 @@ def greedy_mis_dedup(spark, d):
     return dedup.first_independent(unit.select("doc_id"), pairs, "doc_id", "doc_id")
 
 
-@register(f"""WITH RECURSIVE w AS (SELECT doc_id, {_words('text')} AS w FROM documents), u AS (SELECT min(doc_id) AS doc_id, w FROM w GROUP BY w),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM u WHERE len(w) >= 12)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-h AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id > b.doc_id GROUP BY 1, 2),
-e AS (SELECT a, list(b) AS earlier FROM h JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c)::DOUBLE >= 0.8 GROUP BY a),
-o AS (SELECT a, earlier, row_number() OVER (ORDER BY a) AS i FROM e),
-pass AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS refused UNION ALL SELECT o.i, CASE WHEN list_has_all(refused, earlier) THEN refused ELSE list_append(refused, a) END FROM pass JOIN o ON o.i = pass.i + 1)
-SELECT doc_id FROM u WHERE doc_id NOT IN (SELECT unnest(refused) FROM pass WHERE i = (SELECT max(i) FROM pass))""")
+@register(None)
 def span_extract(spark, d):
     found = spans.with_spans(table(spark, d, "documents"), "doc_id", "text")
     return found.select("doc_id", "field", F.sha2("normalized", 256).alias("digest"), F.size("tokens").alias("n_words"), "group_link")
 
 
-@register(f"""WITH RECURSIVE w AS (SELECT doc_id, {_words('text')} AS w FROM documents), u AS (SELECT min(doc_id) AS doc_id, w FROM w GROUP BY w),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM u WHERE len(w) >= 12)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-h AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id > b.doc_id GROUP BY 1, 2),
-e AS (SELECT a, list(b) AS earlier FROM h JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c)::DOUBLE >= 0.8 GROUP BY a),
-o AS (SELECT a, earlier, row_number() OVER (ORDER BY a) AS i FROM e),
-pass AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS refused UNION ALL SELECT o.i, CASE WHEN list_has_all(refused, earlier) THEN refused ELSE list_append(refused, a) END FROM pass JOIN o ON o.i = pass.i + 1)
-SELECT doc_id FROM u WHERE doc_id NOT IN (SELECT unnest(refused) FROM pass WHERE i = (SELECT max(i) FROM pass))""")
+@register(None)
 def audit_full(spark, d):
     rows = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("state"), F.lit(None).cast("string").alias("raw"), T.normal(F.col("text")).alias("state_key"), F.lit("bench").alias("suite"), F.col("item_id").cast("string").alias("group_id"), F.lit("bench").alias("namespace"), F.lit(None).cast("string").alias("family"), F.lit("retain").alias("base"))
     seen = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("exposure"), F.col("text").alias("state"), F.lit(None).cast("string").alias("raw"), T.normal(F.col("text")).alias("state_key"))
@@ -187,13 +175,7 @@ def route_decision(spark, d):
     return route.routed(table(spark, d, "documents"), "text").select("doc_id", "route.model")
 
 
-@register(f"""WITH RECURSIVE w AS (SELECT doc_id, {_words('text')} AS w FROM documents), u AS (SELECT min(doc_id) AS doc_id, w FROM w GROUP BY w),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM u WHERE len(w) >= 12)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-h AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id > b.doc_id GROUP BY 1, 2),
-e AS (SELECT a, list(b) AS earlier FROM h JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c)::DOUBLE >= 0.8 GROUP BY a),
-o AS (SELECT a, earlier, row_number() OVER (ORDER BY a) AS i FROM e),
-pass AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS refused UNION ALL SELECT o.i, CASE WHEN list_has_all(refused, earlier) THEN refused ELSE list_append(refused, a) END FROM pass JOIN o ON o.i = pass.i + 1)
-SELECT doc_id FROM u WHERE doc_id NOT IN (SELECT unnest(refused) FROM pass WHERE i = (SELECT max(i) FROM pass))""")
+@register(None)
 def email_clean(spark, d):
     rows = table(spark, d, "conversations")
     body = F.concat(F.col("text"), F.lit("\n\nBest regards,\nA\n\nOn Monday X wrote:\n> "), F.col("text"))
@@ -375,13 +357,7 @@ def gate_level(spark, d):
     return table(spark, d, "orders").select(i.alias("id"), rational.gate_level(F.array(i % 2 != 0, i % 3 != 0, i % 5 != 0)).alias("level"))
 
 
-@register(f"""WITH RECURSIVE w AS (SELECT doc_id, {_words('text')} AS w FROM documents), u AS (SELECT min(doc_id) AS doc_id, w FROM w GROUP BY w),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM u WHERE len(w) >= 12)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-h AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id > b.doc_id GROUP BY 1, 2),
-e AS (SELECT a, list(b) AS earlier FROM h JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c)::DOUBLE >= 0.8 GROUP BY a),
-o AS (SELECT a, earlier, row_number() OVER (ORDER BY a) AS i FROM e),
-pass AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS refused UNION ALL SELECT o.i, CASE WHEN list_has_all(refused, earlier) THEN refused ELSE list_append(refused, a) END FROM pass JOIN o ON o.i = pass.i + 1)
-SELECT doc_id FROM u WHERE doc_id NOT IN (SELECT unnest(refused) FROM pass WHERE i = (SELECT max(i) FROM pass))""")
+@register(None)
 def synthetic_families(spark, d):
     drawn = synth.draws(spark, 400).select("family", "root", F.array_join(F.transform("exact", rational.written), " ").alias("exact"))
     taken = synth.samples(spark, 400).select("family", "root", F.array_join(F.transform("exact", rational.written), " ").alias("exact"))
