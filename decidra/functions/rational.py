@@ -9,10 +9,12 @@ from .arrays import let
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor of two longs that aren't negative: Euclid in 93 steps at most."""
+    """Greatest common divisor of two longs that aren't negative: Euclid, in as many steps as the smaller one may need."""
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(93)), start, step, lambda s: s["a"])
+    # The k-th Fibonacci number is the least that needs k steps, and grows by 1.618 a step.
+    most = F.floor(F.log(1.618, F.greatest(F.least(a, b), F.lit(1)).cast("double"))) + 4
+    return F.aggregate(F.sequence(F.lit(1), F.least(most, F.lit(93)).cast("int")), start, step, lambda s: s["a"])
 
 
 def fraction(n: Column, d: Column) -> Column:

@@ -357,21 +357,6 @@ def gate_level(spark, d):
     return table(spark, d, "orders").select(i.alias("id"), rational.gate_level(F.array(i % 2 != 0, i % 3 != 0, i % 5 != 0)).alias("level"))
 
 
-@register(None)
-def synthetic_families(spark, d):
-    drawn = synth.draws(spark, 400).select("family", "root", F.array_join(F.transform("exact", rational.written), " ").alias("exact"))
-    taken = synth.samples(spark, 400).select("family", "root", F.array_join(F.transform("exact", rational.written), " ").alias("exact"))
-    mixed = synth.mixtures(spark, 400).select("family", "root", rational.written(F.col("exact")).alias("exact"))
-    owned = synth.transfers(spark, 400).select("family", "root", F.col("owner").alias("exact"))
-    chosen = synth.choosing(spark, 400).select("family", "root", F.col("answer").alias("exact"))
-    allowed = synth.changes(spark, 400).select("family", "root", F.col("allowed").cast("string").alias("exact"))
-    reached = synth.levels(spark, 400).select("family", "root", F.col("level").cast("string").alias("exact"))
-    every = drawn
-    for part in (taken, mixed, owned, chosen, allowed, reached):
-        every = every.unionByName(part)
-    return every
-
-
 @register("""SELECT p_partkey, replace(p_type, '_', ' ') AS display, sha256('["' || p_brand || '","' || p_type || '"]') AS digest, CASE WHEN length(p_name) > 10 THEN p_name[1:10] || ' [truncated]' ELSE p_name END AS short FROM part""")
 def labels_and_digests(spark, d):
     return table(spark, d, "part").select("p_partkey", T.display_label(F.col("p_type")).alias("display"), T.digest(F.col("p_brand"), F.col("p_type")).alias("digest"), T.truncated(F.col("p_name"), 10).alias("short"))
