@@ -101,6 +101,21 @@ def candidate_set(target: Column, directory: Column, size: int, *seed: Column) -
     return F.slice(twice, start.cast("int"), F.lit(size))
 
 
+def directory(labels: Column, clustered: Column, *seed: Column) -> Column:
+    """Labels (structs of label and domain) in a seeded order: any order, or domain by domain, domains and their labels shuffled."""
+    salt = F.concat_ws("|", *seed)
+    hashed = lambda x: F.sha2(F.concat_ws("|", salt, x), 256)
+    keyed = F.transform(labels, lambda x: F.struct(F.when(clustered, hashed(F.concat(F.lit("domain|"), x["domain"]))).otherwise("").alias("d"), hashed(x["label"]).alias("h"), x["label"].alias("label")))
+    return F.transform(F.array_sort(keyed), lambda x: x["label"])
+
+
+def window_of(target: Column, order: Column, size: Column, *seed: Column) -> Column:
+    """`size` labels of a circular order, among them the target, each of whose places in the window is equally likely."""
+    back = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", *seed, F.lit("back")), 256), 1, 8), 16, 10).cast("long"), size.cast("long"))
+    start = F.pmod(F.array_position(order, target) - 1 - back, F.size(order).cast("long")) + 1
+    return F.slice(F.concat(order, order), start.cast("int"), size)
+
+
 def forecast_reason(due: Column, horizon: Column, dates: Column, freeze: Column) -> Column:
     """Why a forecast row is refused; dates are ISO texts.  The horizon is one of the scheduled
     dates (null where there are none) and lies behind the due date; the context was frozen by then."""

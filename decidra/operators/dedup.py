@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import ordered_state
 from .selection import TAKEN, settled
+from .tables import stored
 
 
 def keep_first(rows: DataFrame, key: str | Column, order: list) -> DataFrame:
@@ -29,6 +31,23 @@ def conflict_decisions(rows: DataFrame, key: str, order: list[str], target: str)
     return joined.withColumn("decision", decision).withColumn("canonical", F.col(f"__f.{order[0]}")).drop("__x", "__y", "__n", "__k", "__f")
 
 
+def within_benchmark(rows: DataFrame, id: str, order: str, state: str, question: str, target: str) -> DataFrame:
+    """Adds `decision`, `canonical` (the first equal row's id) and `target_same` (as the first row's): equal decisions of a benchmark.
+
+    Rows are equal if state and question (JSON texts) are once strings are normal and keys in their own order; order of options counts.  The first in `order` is retained and later ones are
+    excluded, unless targets of equal rows differ: then all of them are quarantined.  Each row is compared with the first one, not with every other.
+    """
+    # The length parts the two, so no two pairs read alike.
+    a, b = ordered_state(F.col(state)), ordered_state(F.col(question))
+    keyed = stored(rows.withColumn("__key", F.sha2(F.concat(F.coalesce(F.length(a).cast("string"), F.lit("")), F.lit(":"), F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))), 256)), "keyed")
+    first = keyed.groupBy("__key").agg(F.min(F.struct(F.col(order).alias("o"), F.col(id).alias("i"))).alias("__f"), F.min_by(F.struct(F.col(target).alias("t")), F.struct(order, id)).alias("__t"))
+    marked = stored(keyed.join(stored(first, "firsts"), "__key").withColumn("target_same", F.col(target).eqNullSafe(F.col("__t.t"))), "marked")
+    mixed = marked.groupBy("__key").agg((~F.bool_and("target_same")).alias("__mixed"))
+    out = marked.join(stored(mixed, "mixed"), "__key")
+    decision = F.when(F.col("__mixed"), "quarantine").when(F.col(id).eqNullSafe(F.col("__f.i")), "retain").otherwise("exclude")
+    return out.select(*rows.columns, decision.alias("decision"), F.col("__f.i").alias("canonical"), "target_same")
+
+
 def canonical_facts(facts: Column) -> Column:
     """A key of an array of facts that doesn't depend on their order."""
     return F.sha2(F.to_json(F.array_sort(facts)), 256)

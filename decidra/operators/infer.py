@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.probs import confidence
+from ..functions.probs import binary_confidence, confidence, softmax
 from .validate import failed, prediction_checks
 from .windows import token_batches
 
@@ -129,6 +129,28 @@ def regrouped(rows: DataFrame, case: str, question: str) -> DataFrame:
     return rows.groupBy(case).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("answers"))
 
 
+def answers(rows: DataFrame, case: str, question: str) -> DataFrame:
+    """case, answers (a map from question to answer), input_tokens: what several questions of one case get in one call.
+
+    Rows: the case and question, qtype, options, logits, temperature, act (two logits, the first of acting) and n_tokens.  An answer has type, choice (the likeliest key), score (the expected
+    level), noul (the chance of true), probabilities by key, legend (levels of a score), confidence and act_probability, numbers to four digits; fields that a type doesn't have are null.
+    Choices and scores are confident by their entropy, nouls by the likelier side.  Ties go to the first option.
+    """
+    p, keys = F.col("__p"), F.transform("options", lambda o: o["key"])
+    four = lambda c: F.round(c, 4)
+    choice, score, noul = (F.col("qtype") == t for t in ("choice", "score", "noul"))
+    expected = F.aggregate(F.transform(p, lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    named = F.map_from_arrays(F.when(choice, keys).otherwise(F.transform(p, lambda x, i: i.cast("string"))), F.transform(p, four))
+    answer = F.struct(
+        F.col("qtype").alias("type"), F.when(choice, F.get(keys, (F.array_position(p, F.array_max(p)) - 1).cast("int"))).alias("choice"), F.when(score, four(expected)).alias("score"), F.when(noul, four(p[1])).alias("noul"),
+        F.when(~noul, named).alias("probabilities"), F.when(score, F.map_from_arrays(F.transform(p, lambda x, i: i.cast("string")), F.transform("options", lambda o: F.coalesce(o["desc"], o["key"])))).alias("legend"),
+        four(F.when(noul, binary_confidence(p)).otherwise(confidence(p))).alias("confidence"), four(softmax(F.col("act"))[0]).alias("act_probability"),
+    )
+    ready = rows.withColumn("__p", softmax(F.col("logits"), F.col("temperature")))
+    entry = F.struct(F.col(question).alias("q"), answer.alias("a"))
+    return ready.groupBy(case).agg(F.map_from_entries(F.array_sort(F.collect_list(entry), lambda x, y: F.when(x["q"] < y["q"], -1).when(x["q"] > y["q"], 1).otherwise(0))).alias("answers"), F.sum("n_tokens").alias("input_tokens"))
+
+
 def http_status(body: str, limit: int = 1_000_000, models: tuple[str, ...] = ("default",)) -> tuple[int, str]:
     """What a service answers to a request body: 200, 400, 413 or 422, and why."""
     if len(body.encode()) > limit:

@@ -7,11 +7,15 @@ partial sums are combined before any shuffle, and any grouping or grouping set w
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import probs as P
 from ..functions.arrays import first_argmax, one_hot
+from .tables import stored
+from .windows import ranked
 
 
 def scored(rows: DataFrame) -> DataFrame:
@@ -216,10 +220,44 @@ def distinct_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(*[F.count_distinct(c).alias(f"n_{c}") for c in columns])
 
 
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
+    """keys and linear percentiles (name: share) of a value; nulls don't count.
+
+    The values are ranked over many tasks, and of each group only the two beside a share come together.
+    """
+    known = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v")).withColumn("__g", F.struct(*keys) if keys else F.struct(F.lit(0)))
+    placed = stored(ranked(known.select("__g", "__v"), ["__g"], ["__v"], "__at"), "ranks")
+    # One row per group.
+    sizes = placed.groupBy("__g").agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed("__g", "__h")
+    each = placed.join(stored(sizes, "sizes"), F.col("__g").eqNullSafe(F.col("__h")))
+    out = []
+    for name, share in shares.items():
+        place = (F.col("__n") - 1) * F.lit(share)
+        low, part = F.floor(place), place - F.floor(place)
+        weight = F.when(F.col("__at") == low, 1 - part).when(F.col("__at") == low + 1, part)
+        out.append(F.sum(F.when(weight > 0, F.col("__v") * weight)).alias(name))
+    wanted = reduce(lambda a, b: a | b, [F.col("__at").between(F.floor((F.col("__n") - 1) * F.lit(s)), F.floor((F.col("__n") - 1) * F.lit(s)) + 1) for s in shares.values()])
+    found = each.where(wanted).groupBy("__g").agg(*out)
+    return found.select(*[F.col("__g")[k].alias(k) for k in keys], *shares)
+
+
 def latency(rows: DataFrame, seconds: str, *keys: str) -> DataFrame:
     """p50 and p95 (linear), milliseconds a row, rows a second."""
-    q = F.percentile(seconds, F.array(F.lit(0.5), F.lit(0.95)))
-    return (rows.groupBy(*keys) if keys else rows.groupBy()).agg(q[0].alias("p50"), q[1].alias("p95"), (F.avg(seconds) * 1000).alias("ms_per_row"), F.try_divide(F.count(seconds).cast("double"), F.sum(seconds)).alias("rows_per_second"))
+    of = percentiles(rows, seconds, {"p50": 0.5, "p95": 0.95}, *keys).withColumn("__k", F.struct(*keys) if keys else F.struct(F.lit(0))).drop(*keys)
+    means = (rows.groupBy(*keys) if keys else rows.groupBy()).agg((F.avg(seconds) * 1000).alias("ms_per_row"), F.try_divide(F.count(seconds).cast("double"), F.sum(seconds)).alias("rows_per_second"))
+    joined = means.withColumn("__j", F.struct(*keys) if keys else F.struct(F.lit(0))).join(of, F.col("__j").eqNullSafe(F.col("__k")), "left")
+    return joined.select(*keys, "p50", "p95", "ms_per_row", "rows_per_second")
+
+
+def class_coverage(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, option_id, displayed (rows that show the option), target_mass, n_argmax (rows it has the largest target in, ties included): rows have option_ids and target.
+
+    Targets that don't fit the options count as displayed only.
+    """
+    usable = F.col("target").isNotNull() & (F.size("target") == F.size("option_ids")) & F.forall("target", lambda p: p.isNotNull() & p.between(0.0, 1.0))
+    each = rows.select(*keys, F.array_max("target").alias("__m"), usable.alias("__u"), "target", F.posexplode("option_ids").alias("__i", "option_id"))
+    p = F.when(F.col("__u"), F.get("target", F.col("__i")))
+    return each.groupBy(*keys, "option_id").agg(F.count(F.lit(1)).alias("displayed"), F.coalesce(F.sum(p), F.lit(0.0)).alias("target_mass"), F.count_if(p == F.col("__m")).alias("n_argmax"))
 
 
 def padding(rows: DataFrame, batch: str, length: str) -> DataFrame:

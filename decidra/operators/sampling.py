@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import ranked
+
 
 def drawn(seed: str, *keys) -> Column:
     """A random-looking sort key that depends on the seed and the keys alone."""
@@ -93,6 +95,15 @@ def alternating(rows: DataFrame, by: list, order: list, members: list[str], name
     return rows.withColumn(name, F.array(*[F.lit(m) for m in members])[at])
 
 
+def balanced(rows: DataFrame, key: str, values: list, name: str, seed: str) -> DataFrame:
+    """Adds `name`: each of the values for as many rows as any other, one more at most; which rows get which is chance.
+
+    The values are dealt by the rows' places in an order by hash, which many tasks count together.
+    """
+    placed = ranked(rows.withColumn("__all", F.lit(0)).withColumn("__draw", drawn(seed, key)), ["__all"], ["__draw", key], "__at")
+    return placed.withColumn(name, F.array(*[F.lit(v) for v in values])[(F.col("__at") % len(values)).cast("int")]).select(*rows.columns, name)
+
+
 def even_count(rows: DataFrame, order: str) -> DataFrame:
     """Rows without the last one if their number is odd."""
     last = rows.agg(F.count(F.lit(1)).alias("__n"), F.max(order).alias("__m"))

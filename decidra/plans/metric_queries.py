@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import options as O
 from ..functions import probs as P
-from ..functions.arrays import first_argmax
+from ..functions.arrays import first_argmax, one_hot
 from ..operators import calibrate, dedup, infer, joins, sampling, validate, windows
 from ..operators import metrics as M
 from .common import DECISIONS, SCORED, SUMMARY, decisions, register, rounded, table
@@ -178,6 +179,74 @@ def bootstrap_means(spark, d):
     return calibrate.bootstrap(scored(spark, d).where("nll IS NOT NULL"), "group_id", "nll")
 
 
+@register(f"""WITH {DECISIONS}, c AS (SELECT count(DISTINCT group_id) AS n FROM d) SELECT unnest(range(300)) AS draw, n::BIGINT AS clusters FROM c""")
+def bootstrap_clusters(spark, d):
+    """Every resample picks as many clusters as there are."""
+    return calibrate.bootstrap(decisions(spark, d).withColumn("one", F.lit(1)), "group_id", "one", 300, block=64).select("draw", "clusters")
+
+
+_TARGET = "coalesce(soft, CASE WHEN gold_idx IS NOT NULL THEN list_transform(range(k), lambda i: CASE WHEN i = gold_idx THEN 1::DOUBLE ELSE 0::DOUBLE END) END)"
+_IDS = "CASE WHEN qtype = 'noul' THEN ['false', 'true'] ELSE ['a', 'b', 'c', 'd', 'e'] END"
+
+
+def _ids() -> Column:
+    return F.when(F.col("qtype") == "noul", F.array(F.lit("false"), F.lit("true"))).otherwise(F.array(*[F.lit(x) for x in "abcde"]))
+
+
+@register(f"""WITH {DECISIONS}, t AS (SELECT suite, qtype, {_IDS} AS ids, {_TARGET} AS t FROM d), e AS (SELECT suite, qtype, t, unnest(ids) AS option_id, unnest(range(len(ids))) AS i FROM t)
+SELECT suite, qtype, option_id, count(*) AS displayed, round(coalesce(sum(t[i + 1]), 0), 6) AS target_mass, count(*) FILTER (t[i + 1] = list_max(t)) AS n_argmax FROM e GROUP BY ALL""")
+def class_coverage(spark, d):
+    rows = decisions(spark, d)
+    target = F.coalesce("soft", F.when(F.col("gold_idx").isNotNull(), one_hot(F.col("gold_idx"), F.col("k"))))
+    return rounded(M.class_coverage(rows.select("suite", "qtype", _ids().alias("option_ids"), target.alias("target")), "suite", "qtype"), 6)
+
+
+@register(f"""WITH {DECISIONS}, l AS (SELECT id, group_id, qtype, {_IDS} AS ids, list_transform(probs, lambda x: ln(x) / 2) AS z, [(id % 7) / 4::DOUBLE, (id % 5) / 4::DOUBLE] AS act, 1 + id % 9 AS n FROM d),
+p AS (SELECT *, list_transform(z, lambda x: exp(x) / list_sum(list_transform(z, lambda y: exp(y)))) AS p FROM l)
+SELECT group_id, id::VARCHAR AS question, qtype AS type, CASE WHEN qtype = 'choice' THEN ids[list_position(p, list_max(p))] END AS choice, CASE WHEN qtype = 'score' THEN round(list_sum(list_transform(range(len(p)), lambda i: i * p[i + 1])), 4) END AS score,
+CASE WHEN qtype = 'noul' THEN round(p[2], 4) END AS noul, round(CASE WHEN qtype = 'noul' THEN list_max(p) ELSE 1 + list_sum(list_transform(p, lambda x: x * ln(x))) / ln(len(p)) END, 4) AS confidence,
+round(exp(act[1]) / (exp(act[1]) + exp(act[2])), 4) AS act_probability, (sum(n) OVER (PARTITION BY group_id))::BIGINT AS input_tokens FROM p""")
+def grouped_answers(spark, d):
+    rows = decisions(spark, d)
+    asked = rows.select(
+        "group_id", F.col("id").cast("string").alias("question"), "qtype", F.transform(_ids(), lambda k: F.struct(k.alias("key"), F.lit(None).cast("string").alias("desc"))).alias("options"), F.transform("probs", lambda x: F.log(x)).alias("logits"),
+        F.lit(2.0).alias("temperature"), F.array((F.col("id") % 7) / F.lit(4.0), (F.col("id") % 5) / F.lit(4.0)).alias("act"), (1 + F.col("id") % 9).alias("n_tokens"),
+    )
+    each = infer.answers(asked, "group_id", "question").select("group_id", "input_tokens", F.explode("answers").alias("question", "a"))
+    return each.select("group_id", "question", *[F.col("a")[c].alias(c) for c in ("type", "choice", "score", "noul", "confidence", "act_probability")], "input_tokens")
+
+
+@register("""WITH k AS (SELECT o_orderkey AS id, o_orderstatus || '|' || o_orderpriority || '|' || (o_orderkey % 3 = 0) || '|' || o_custkey AS key, CASE WHEN o_orderkey % 41 = 7 THEN 'b' ELSE 'a' END AS t FROM orders),
+f AS (SELECT key, min(id) AS first, arg_min(t, id) AS ft FROM k GROUP BY key), m AS (SELECT k.*, first, t = ft AS target_same FROM k JOIN f USING (key))
+SELECT id, CASE WHEN NOT bool_and(target_same) OVER (PARTITION BY key) THEN 'quarantine' WHEN id = first THEN 'retain' ELSE 'exclude' END AS decision, first AS canonical, target_same FROM m""")
+def within_duplicates(spark, d):
+    """Equal decisions in one benchmark: strings in other case and spacing are equal, keys in another order aren't."""
+    i = F.col("o_orderkey")
+    pair = lambda k, v: F.concat(F.lit(f'"{k}":"'), v, F.lit('"'))
+    status = pair("status", F.when(i % 2 == 0, F.concat(F.lit("  "), F.lower("o_orderstatus"))).otherwise(F.col("o_orderstatus")))
+    customer = F.concat(F.lit('"customer":'), F.col("o_custkey"))
+    state = F.concat(F.lit("{"), F.when(i % 3 == 0, F.concat_ws(",", customer, status)).otherwise(F.concat_ws(",", status, customer)), F.lit("}"))
+    rows = table(spark, d, "orders").select(i.alias("id"), state.alias("state"), F.concat(F.lit("{"), pair("instructions", F.col("o_orderpriority")), F.lit("}")).alias("question"), F.when(i % 41 == 7, "b").otherwise("a").alias("target"))
+    return dedup.within_benchmark(rows, "id", "id", "state", "question", "target").select("id", "decision", "canonical", "target_same")
+
+
+@register("""WITH o AS (SELECT n_name AS label, r_name AS domain FROM nation JOIN region ON n_regionkey = r_regionkey),
+c AS (SELECT c_custkey AS id, n_name AS target, [2, 4, 8, 16, 25][(row_number() OVER (ORDER BY sha256('k|' || c_custkey), c_custkey) - 1) % 5 + 1] AS k, ('0x' || sha256('side|' || c_custkey)[1:8])::BIGINT % 2 = 1 AS clustered FROM customer JOIN nation ON n_nationkey = c_nationkey),
+l AS (SELECT id, target, k, clustered, list(label ORDER BY CASE WHEN clustered THEN sha256('s|' || id || '|domain|' || domain) ELSE '' END, sha256('s|' || id || '|' || label), label) AS l FROM c, o GROUP BY ALL),
+p AS (SELECT *, (list_position(l, target) - 1 - ('0x' || sha256('s|' || id || '|back')[1:8])::BIGINT % k + 25) % 25 AS s FROM l)
+SELECT id, k::INT AS k, clustered, array_to_string((l || l)[s + 1:s + k], ',') AS candidates FROM p""")
+def balanced_candidates(spark, d):
+    """Every size for as many rows as any other; candidates are a window of all nations, region by region for one half of the rows."""
+    nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    # The ontology, a stated list.
+    labels = F.array(*[F.struct(F.lit(r["n_name"]).alias("label"), F.lit(r["r_name"]).alias("domain")) for r in nations.collect()])
+    rows = table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.col("n_name").alias("target"))
+    sized = sampling.balanced(rows, "id", [2, 4, 8, 16, 25], "k", "k").withColumn("clustered", F.conv(F.left(sampling.drawn("side", "id"), F.lit(8)), 16, 10).cast("long") % 2 == 1)
+    salt = (F.lit("s"), F.col("id").cast("string"))
+    window = O.window_of(F.col("target"), O.directory(labels, F.col("clustered"), *salt), F.col("k"), *salt)
+    return sized.select("id", "k", "clustered", F.array_join(window, ",").alias("candidates"))
+
+
 @register(f"WITH {DECISIONS}, r AS (SELECT id, suite, row_number() OVER (PARTITION BY suite ORDER BY id) AS r FROM d) SELECT id, suite FROM r WHERE r <= 25")
 def suite_prefix(spark, d):
     return windows.suite_prefix(decisions(spark, d).select("id", "suite"), "suite", ["id"], 25)
