@@ -121,7 +121,8 @@ def toml_cases(spark: SparkSession, text: str) -> DataFrame:
     rows = []
     for task in tomllib.loads(text).get("task", []):
         for pos, case in enumerate(task.get("cases", [])):
-            rows.append((str(task["id"]), task.get("type"), task.get("question"), pos, json.dumps(case.get("state"), ensure_ascii=False), json.dumps(case.get("expected"), ensure_ascii=False)))
+            question = task.get("question")
+            rows.append((str(task["id"]), task.get("type"), question if question is None or isinstance(question, str) else json.dumps(question, ensure_ascii=False), pos, json.dumps(case.get("state"), ensure_ascii=False), json.dumps(case.get("expected"), ensure_ascii=False)))
     return spark.createDataFrame(rows, "task_id string, type string, question string, pos int, state string, expected string")
 
 
