@@ -19,17 +19,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
 
-def top_k(queries: DataFrame, options: DataFrame, query: str, option: str, k: int, most: int = 100_000) -> DataFrame:
+def top_k(queries: DataFrame, options: DataFrame, query: str, option: str, k: int, most: int = 100_000, most_bytes: int = 64 << 20) -> DataFrame:
     """query, option, rank (from 1) and score of the k best options; ties by option order.
 
-    `options` (option, vector, pos) is a stated list, counted before every query meets it; in
+    `options` (option, vector, pos) is a stated list, counted and measured before every query meets it; in
     its own order and without scores where k isn't below its size.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    n = options.count()
-    if n > most:
-        raise ValueError(f"{n} options; at most {most} are a list")
+    n, size = options.agg(F.count(F.lit(1)), F.coalesce(F.sum(64 + 8 * F.size("vector")), F.lit(0))).first()
+    if n > most or size > most_bytes:
+        raise ValueError(f"{n} options of {size} bytes; at most {most} of {most_bytes} are a list")
     wanted = options.select(F.struct(F.col("pos"), F.col(option).alias("o"), cleaned(F.col("vector")).alias("v")).alias("x"))
     listed = F.broadcast(wanted.agg(F.array_sort(F.collect_list("x")).alias("__options")))
     both = queries.join(listed)

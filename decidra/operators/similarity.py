@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import shingles
+from .components import components
 from .tables import stored
 
 
@@ -70,27 +71,60 @@ def near_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     return both.where((F.col("jaccard") >= jaccard) | (F.col("shared_words") >= shared_words)).select(left_key, right_key, "jaccard", "containment", "shared_words")
 
 
-def jaccard_pairs(units: DataFrame, key: str, tokens: str = "tokens", k: int = 5, least: int = 12, jaccard: float = 0.8) -> DataFrame:
-    """Pairs (a, b), a < b, of units with at least that jaccard similarity.  Uncapped.
-
-    Two such sets share one of each other's n - ceil(jaccard * n) + 1 rarest shingles, so only
-    those are joined: a shingle that many units have is seldom among them.  Whole sets are
-    compared of the pairs that meet.  Equal units should be one before.
-    """
+def rarest(units: DataFrame, key: str, tokens: str, k: int, least: int, jaccard: float) -> tuple[DataFrame, DataFrame]:
+    """(sets of shingles, their n - ceil(jaccard * n) + 1 rarest ones that others have too): two similar sets share one of these.  Both are written tables."""
     cut = units.select(key, shingles(F.col(tokens), k, least).alias("__s")).where(F.size("__s") > 0)
     sets = stored(cut.select(key, F.transform("__s", lambda x: F.xxhash64(x)).alias("s")), "sets")
     each = sets.select(key, F.size("s").alias("n"), F.explode("s").alias("x"))
     often = each.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy("df", "x"))
     rare = each.join(often, "x").withColumn("r", rank).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * jaccard) + 1) & (F.col("df") > 1))
-    rare = stored(rare.select(key, "n", "x"), "prefixes")
-    other = rare.select(F.col(key).alias("b"), F.col("n").alias("m"), "x")
-    met = rare.join(other, "x").where((F.col(key) < F.col("b")) & (F.least("n", "m") >= jaccard * F.greatest("n", "m"))).select(F.col(key).alias("a"), "b").distinct()
+    return sets, stored(rare.select(key, "n", "x"), "prefixes")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, key: str, jaccard: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar."""
     side = lambda name, column: sets.select(F.col(key).alias(name), F.col("s").alias(column))
-    both = met.join(side("a", "__x"), "a").join(side("b", "__y"), "b").withColumn("__c", F.size(F.array_intersect("__x", "__y")))
+    both = pairs.join(side("a", "__x"), "a").join(side("b", "__y"), "b").withColumn("__c", F.size(F.array_intersect("__x", "__y")))
     return both.where(F.col("__c") / (F.size("__x") + F.size("__y") - F.col("__c")) >= jaccard).select("a", "b")
 
 
+def jaccard_pairs(units: DataFrame, key: str, tokens: str = "tokens", k: int = 5, least: int = 12, jaccard: float = 0.8) -> DataFrame:
+    """Pairs (a, b), a < b, of units with at least that jaccard similarity.  Uncapped.
+
+    Units meet by their rarest shingles: one that many units have is seldom among them.  Whole sets are
+    compared of the pairs that meet.  Equal units should be one before.  Where only groups of similar units are wanted, `near_components` does without all pairs.
+    """
+    sets, rare = rarest(units, key, tokens, k, least, jaccard)
+    other = rare.select(F.col(key).alias("b"), F.col("n").alias("m"), "x")
+    met = rare.join(other, "x").where((F.col(key) < F.col("b")) & (F.least("n", "m") >= jaccard * F.greatest("n", "m"))).select(F.col(key).alias("a"), "b").distinct()
+    return similar(met, sets, key, jaccard)
+
+
+def near_components(units: DataFrame, key: str, tokens: str = "tokens", k: int = 5, least: int = 12, jaccard: float = 0.8) -> DataFrame:
+    """key and component (its smallest unit) of every unit: units are connected by similar ones.  Exact, without pairing a group's members with each other.
+
+    First each unit is compared with the smallest one it meets by a shingle, which connects the most of a group of near copies.  Only units that meet and aren't connected yet
+    are compared then: they are found by the components that meet, so what is connected is not paired again.
+    """
+    sets, rare = rarest(units, key, tokens, k, least, jaccard)
+    hubs = stored(rare.groupBy("x").agg(F.min(key).alias("a")), "hubs")
+    first = rare.join(hubs, "x").where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b")).distinct()
+    edges = stored(similar(first, sets, key, jaccard), "links")
+    parts = stored(components(units.select(key), edges, key), "parts")
+    placed = stored(rare.join(parts, key).select(F.col(key).alias("u"), "n", "x", F.col("component").alias("c")), "placed")
+    sides = placed.select("x", "c").distinct()
+    apart = stored(sides.join(sides.select("x", F.col("c").alias("d")), "x").where("c < d"), "apart")
+    left = placed.join(apart, ["x", "c"]).select("x", F.col("u").alias("a"), "n", "d")
+    right = placed.select("x", F.col("c").alias("d"), F.col("u").alias("b"), F.col("n").alias("m"))
+    met = left.join(right, ["x", "d"]).where(F.least("n", "m") >= jaccard * F.greatest("n", "m")).select("a", "b").distinct()
+    more = similar(met, sets, key, jaccard)
+    of = lambda side: parts.select(F.col(key).alias(side), F.col("component").alias(f"c{side}"))
+    between = more.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    whole = components(parts.select(F.col("component").alias("part")).distinct(), between.distinct(), "part")
+    return parts.withColumnRenamed("component", "part").join(whole, "part").select(key, "component")
+
+
 def exact_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, normalized: str = "normalized") -> DataFrame:
     """Pairs of equal normal text."""
     return left.select(left_key, normalized).join(right.select(right_key, normalized), normalized).select(left_key, right_key)
@@ -102,7 +136,8 @@ def firewall(candidates: DataFrame, index: DataFrame, key: str, tokens: str = "t
     A posting cap drops shingles that more index units have, as a bounded index does; by
     default there is none, and then no match is lost.
     """
-    text = lambda rows: rows.select("*", F.array_join(tokens, " ").alias("__t"))
+    # Texts meet by 256-bit digests, not by themselves.
+    text = lambda rows: rows.select("*", F.sha2(F.array_join(tokens, " "), 256).alias("__t"))
     left = text(candidates)
     exact = left.join(text(index).select("__t").distinct(), "__t", "left_semi").select(key)
     units = stored(index.select(F.monotonically_increasing_id().alias("__u"), tokens), "units")

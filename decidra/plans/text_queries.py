@@ -8,7 +8,8 @@ from ..functions import lang as L
 from ..functions import mail, rational
 from ..functions import options as O
 from ..functions import text as T
-from ..operators import audit, components, dedup, joins, metrics, route, shortlist, similarity, spans, synth, windows
+from ..operators import audit, dedup, joins, metrics, route, shortlist, similarity, spans, windows
+from ..operators.tables import stored
 from ..sources import strict
 from .common import DECISIONS, decisions, register, rounded, table
 
@@ -96,12 +97,14 @@ rec AS (WITH RECURSIVE r AS (SELECT doc_id, doc_id AS c FROM documents UNION SEL
 SELECT doc_id, min(c) AS component FROM rec GROUP BY 1""")
 def components_min_label(spark, d):
     docs = table(spark, d, "documents").select("doc_id", T.words(F.col("text")).alias("tokens"))
-    # Equal texts are one unit, so that copies aren't paired with each other.
-    units = docs.groupBy("tokens").agg(F.min("doc_id").alias("unit"))
-    unit = units.select("unit", "tokens")
-    pairs = similarity.jaccard_pairs(unit, "unit")
-    copies = docs.where(F.size("tokens") >= 12).join(units, "tokens").select(F.col("doc_id").alias("a"), F.col("unit").alias("b")).where("a <> b")
-    return components.components(docs, pairs.unionByName(copies), "doc_id")
+    # Equal texts are one unit, so that copies are members and not compared with each other; short ones are similar to nothing, their copies included.
+    unit = F.when(F.size("tokens") >= 12, F.sha2(F.array_join("tokens", " "), 256)).otherwise(F.concat(F.lit("#"), F.col("doc_id").cast("string")))
+    members = stored(docs.withColumn("digest", unit), "members")
+    first = members.groupBy("digest").agg(F.min("doc_id").alias("unit"))
+    named = stored(members.select("doc_id", "digest").join(first, "digest").select("doc_id", "unit"), "named")
+    units = named.where("doc_id = unit").select("unit").join(members.select(F.col("doc_id").alias("unit"), "tokens"), "unit")
+    parts = similarity.near_components(units, "unit")
+    return named.join(parts, "unit").select("doc_id", "component")
 
 
 @register(f"""WITH w AS (SELECT doc_id, {_words('text')} AS w FROM documents), i AS (SELECT {_words('text')} AS w FROM benchmark),

@@ -130,3 +130,28 @@ def test_first_independent_equals_a_plain_pass(spark, seed):
     nodes = spark.createDataFrame([*order.items()], "name string, at long")
     got = dedup.first_independent(nodes, spark.createDataFrame(conflicts, "a string, b string"), "name", "at")
     assert {r["name"] for r in got.collect()} == set(kept)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_near_components_equal_all_pairs(spark, seed):
+    """Chains and clusters of near copies, among them some that only meet through others."""
+    from decidra.operators import similarity
+
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(6):
+        base = rng.choices([f"w{i}" for i in range(200)], k=rng.choice([14, 30, 60]))
+        for _ in range(rng.randint(1, 9)):
+            texts.append(list(base))
+            base = [*base[:-1], f"x{rng.random()}"] if rng.random() < 0.5 else [*base, f"y{rng.random()}"]
+    texts += [["a", "b"], ["a", "b"]]
+    shingle = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)} if len(t) >= 12 else set()
+    sets = [shingle(t) for t in texts]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, tokens array<string>")
+    assert {r["id"]: r["component"] for r in similarity.near_components(frame, "id").collect()} == dict(enumerate(label))
