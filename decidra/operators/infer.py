@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import time
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -97,24 +99,27 @@ def collated(rows: DataFrame, factory, length: str, limit: int, max_tokens: int,
     return done.unionByName(long)
 
 
-class HashScorer:
-    """A stand-in for a model: probabilities from hashes of the option and the state."""
+class WordScorer:
+    """Scores options by their words: an option's chance is in proportion to one more than how often its words occur in the state.
 
-    def __init__(self, max_length: int = 4096):
-        self.max_length = max_length
+    A baseline that needs no weights, and the least a backend must do: one answer an input, none for inputs of more than `max_length` words.
+    """
 
-    def predict_batch(self, inputs: list[dict]) -> list[dict]:
-        import zlib
+    def __init__(self, words: dict[str, set[str]], max_length: int = 4096):
+        self.words, self.max_length = words, max_length
 
+    def predict_batch(self, inputs: list[dict]) -> list[dict]:
         out = []
         for item in inputs:
-            n = len((item["state"] or "").split())
+            text = item["state"] or ""
+            n = len(re.findall(r"[^ \t\n\x0B\f\r]+", text))
             if n > self.max_length:
                 out.append({"status": "unsupported_length", "length": n})
                 continue
+            found = Counter(re.findall(r"[^\W\d_]+", text.lower()))
             keys = ["false", "true"] if item["qtype"] == "noul" else [o["key"] for o in item["options"]]
-            w = [1 + zlib.crc32(f"{k}|{item['state']}".encode()) % 1000 for k in keys]
-            out.append({"status": "ok", "length": n, "probs": [x / sum(w) for x in w]})
+            weights = [1 + sum(found[w] for w in self.words.get(k, ())) for k in keys]
+            out.append({"status": "ok", "length": n, "probs": [w / sum(weights) for w in weights]})
         return out
 
 

@@ -286,15 +286,6 @@ def td_lambda_decayed(spark, d):
     return windows.td_targets(rows, "episode", "step", "p", "y", 0.5).select("episode", "step", "td_target")
 
 
-@register(None)
-def infer_protocol(spark, d):
-    docs = table(spark, d, "documents")
-    options = O.from_list(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]))
-    rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("suite"), F.coalesce("text", F.lit("")).alias("state"), F.lit("choice").alias("qtype"), options.alias("options"), F.lit(0).alias("gold_idx"))
-    found = infer.checked(infer.predict(rows, lambda: infer.HashScorer(2000)))
-    return found.select("id", "suite", "status", "length", "pred_idx", F.size("errors").alias("n_errors"))
-
-
 _BAD = """CASE WHEN id % 13 = 0 THEN list_transform(probs, lambda x: x * 1.5) WHEN status <> 'ok' AND id % 2 = 0 THEN NULL ELSE probs END"""
 
 

@@ -58,7 +58,7 @@ def source(spark, tmp_path):
     rows = spark.createDataFrame([(i, "s", "w " * (i % 12)) for i in range(60)], "id long, suite string, state string")
     rows.repartition(6).write.parquet(str(tmp_path / "in"))
     schema = spark.read.parquet(str(tmp_path / "in")).schema
-    stream = lambda: infer.predict(asked(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))), lambda: infer.HashScorer(9))
+    stream = lambda: infer.predict(asked(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))), lambda: infer.WordScorer({}, 9))
     return stream, f"file://{tmp_path}/run"
 
 
