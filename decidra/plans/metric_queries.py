@@ -366,7 +366,8 @@ def review_sample(spark, d):
     return sampling.review_sample(table(spark, d, "customer", "c_custkey", "c_mktsegment"), ["c_mktsegment"], ["c_custkey"])
 
 
-@register(None)
+@register("""WITH g AS (SELECT o_custkey AS g, min(o_orderstatus) AS stratum, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('4|' || g), g) AS t, sha256('4|' || stratum) AS s FROM g),
+r AS (SELECT *, row_number() OVER (ORDER BY t, s, stratum) AS r FROM t), c AS (SELECT *, sum(n) OVER (ORDER BY r) AS total FROM r WHERE r <= 500) SELECT g, stratum, n FROM c WHERE total <= 500""")
 def stratified_spread(spark, d):
     groups = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("g")).agg(F.min("o_orderstatus").alias("stratum"), F.count(F.lit(1)).alias("n"))
     return sampling.spread(groups, "g", "stratum", "n", 500, "4")

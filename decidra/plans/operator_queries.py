@@ -14,6 +14,7 @@ from ..operators import audit, components, joins, metrics, route, shortlist, val
 from ..operators.tables import shared_root
 from ..sources import sinks, strict
 from .common import DECISIONS, decisions, register, rounded, table
+from .text_queries import _normal
 
 
 def _fresh(spark, name: str) -> str:
@@ -479,7 +480,7 @@ def service_schemas(spark, d):
     return validate.services(schema.unionByName(schema.where("service = '0'")))[1].select("service", "reason")
 
 
-@register(None)
+@register(f"""SELECT doc_id, {_normal('text')} AS normalized FROM documents""")
 def text_normalize_exact(spark, d):
     """Full NFKC and case folding where the JVM's form could differ; texts that need it are a part of the plan of their own."""
     rows = table(spark, d, "documents", "doc_id", "text")

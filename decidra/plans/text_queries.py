@@ -178,9 +178,10 @@ def route_decision(spark, d):
     return route.routed(table(spark, d, "documents"), "text").select("doc_id", "route.model")
 
 
-@register(None)
+@register(r"""WITH l AS (SELECT conv_id, turn, regexp_split_to_array(array_to_string(list_transform(list_filter(string_split(regexp_replace(text, '\r\n|\r|\\\\n', chr(10), 'g'), chr(10)), lambda x: NOT starts_with(ltrim(x), '>')), lambda x: regexp_replace(x, '\s+$', '')), chr(10)), '\n\s*\n') AS ps FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, regexp_replace(array_to_string(list_filter(list_transform(ps, lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> ''), chr(10) || chr(10)), '[ \t]+', ' ', 'g')[1:3000] AS body FROM l""")
 def email_clean(spark, d):
-    rows = table(spark, d, "conversations")
+    rows = table(spark, d, "conversations").where("text IS NOT NULL")
     body = F.concat(F.col("text"), F.lit("\n\nBest regards,\nA\n\nOn Monday X wrote:\n> "), F.col("text"))
     return rows.select("conv_id", "turn", mail.clean_body(body).alias("body"))
 
