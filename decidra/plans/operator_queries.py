@@ -11,8 +11,8 @@ from ..functions import probs as P
 from ..functions import rational
 from ..functions import text as T
 from ..operators import audit, components, joins, metrics, route, shortlist, validate
-from ..operators.tables import shared_root
-from ..sources import sinks, strict
+from ..operators.tables import shared_root, stored
+from ..sources import manifests, sinks, strict
 from .common import DECISIONS, decisions, register, rounded, table
 from .text_queries import _normal
 
@@ -486,3 +486,26 @@ def text_normalize_exact(spark, d):
     rows = table(spark, d, "documents", "doc_id", "text")
     needs = F.coalesce(T.needs_exact(F.col("text")), F.lit(False))
     return rows.where(needs).select("doc_id", T.normal_exact(F.col("text")).alias("normalized")).unionByName(rows.where(~needs).select("doc_id", T.normal(F.col("text")).alias("normalized")))
+
+
+@register("""WITH f AS (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1)
+SELECT 'out/' || s || '.jsonl' AS target, CASE s WHEN 'F' THEN 'rows' WHEN 'O' THEN 'bytes' END AS problem FROM f WHERE s IN ('F', 'O') UNION ALL SELECT 'out/X.jsonl', 'missing' UNION ALL SELECT 'out/P.jsonl/inner.jsonl', 'overlapping_target' UNION ALL SELECT 'copy.jsonl', 'copy_source'""")
+def manifest_problems(spark, d):
+    """Orders written as one file a status, and a manifest of them in which something is wrong."""
+    root = _fresh(spark, "manifest")
+    rows = table(spark, d, "orders").select("o_orderstatus", F.to_json(F.struct("o_orderkey", "o_totalprice")).alias("value"))
+    rows.withColumn("o_orderstatus", F.concat("o_orderstatus", F.lit(".jsonl"))).repartition("o_orderstatus").write.partitionBy("o_orderstatus").text(root)
+    found = manifests.files(spark, root).where("path LIKE '%.txt'")
+    status = F.regexp_extract("path", r"o_orderstatus=(\w)\.jsonl", 1)
+    counts = rows.groupBy(F.col("o_orderstatus").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    sized = stored(found.withColumn("s", status).join(counts, "s"), "sized")
+    # The written files under names that a manifest may have.
+    for r in sized.select("path", "s").collect():
+        sinks.rename(spark, f"{root}/{r['path']}", f"{root}/{r['s']}.jsonl")
+    text = lambda v: F.lit(v).cast("string")
+    listed = sized.select(
+        F.concat("s", F.lit(".jsonl")).alias("path"), F.concat(F.lit("out/"), "s", F.lit(".jsonl")).alias("target"), text("jsonl").alias("format"), text("none").alias("compression"),
+        (F.col("bytes") + F.when(F.col("s") == "O", 1).otherwise(0)).alias("bytes"), (F.col("n") + F.when(F.col("s") == "F", 1).otherwise(0)).alias("rows"), text(None).alias("copy_of"),
+    )
+    more = spark.createDataFrame([("X.jsonl", "out/X.jsonl", "jsonl", "none", 1, 1, None), ("Y.jsonl", "out/P.jsonl/inner.jsonl", "jsonl", "none", 1, 1, None), (None, "copy.jsonl", None, None, None, None, "out/none.jsonl")], manifests.ENTRY)
+    return manifests.problems(spark, root, stored(listed, "listed").unionByName(more)).select("target", "problem")

@@ -64,6 +64,14 @@ def publish(spark: SparkSession, write, path: str) -> None:
         raise OSError(f"{path} can't be published")
 
 
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Give a file another name, which must be new."""
+    a, fs = _fs(spark, source)
+    b, _ = _fs(spark, target)
+    if fs.exists(b) or not fs.rename(a, b):
+        raise FileExistsError(target)
+
+
 def quarantine(rows: DataFrame, path: str) -> DataFrame:
     """Write rejected rows and return their counts by reason."""
     bad = rows.where(F.col("reason").isNotNull())
