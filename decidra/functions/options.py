@@ -51,6 +51,13 @@ def prompt(state: Column, instructions: Column, qtype: Column, options: Column,
     return F.concat(F.lit("State:\n"), state, F.lit("\n\nQuestion: "), instructions, F.lit("\n"), body)
 
 
+def state_text(state: Column, is_text: Column) -> Column:
+    """A state as a model reads it: a text as it is, JSON with a space behind commas and colons and none elsewhere between its parts."""
+    parts = F.regexp_extract_all(state, F.lit(r'"(?:[^"\\]|\\.)*+"|[^"]+'), F.lit(0))
+    spaced = F.transform(parts, lambda x: F.when(x.startswith('"'), x).otherwise(F.regexp_replace(F.regexp_replace(x, r"\s+", ""), "([,:])", "$1 ")))
+    return F.when(is_text, state).otherwise(F.array_join(spaced, ""))
+
+
 def query_text(state: Column, instructions: Column) -> Column:
     """Instructions, if there are any, and the state below."""
     return F.when(F.coalesce(instructions, F.lit("")) == "", state).otherwise(F.concat(instructions, F.lit("\n"), state))

@@ -177,3 +177,14 @@ def http_status(body: str, limit: int = 1_000_000, models: tuple[str, ...] = ("d
         if q["type"] != "noul" and (not isinstance(q.get("criteria"), dict | list) or len(q["criteria"]) < 2):
             return 422, "too few options"
     return 200, "ok"
+
+
+def http_response(body: str, answer, limit: int = 1_000_000, models: tuple[str, ...] = ("default",)) -> tuple[int, dict]:
+    """Status and document that a service answers with: what `answer(request)` returns for a valid request, 500 if it fails; why the model failed isn't shown."""
+    status, reason = http_status(body, limit, models)
+    if status != 200:
+        return status, {"error": reason}
+    try:
+        return 200, answer(json.loads(body))
+    except Exception as error:  # whatever a model raises is the service's failure
+        return 500, {"error": type(error).__name__}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import probs as P
 from ..functions.arrays import first_argmax, one_hot
+from ..functions.options import rendered
 
 TYPES = ("choice", "score", "noul")
 STATUSES = ("ok", "unsupported_length", "unsupported_source_mask")
@@ -167,3 +168,15 @@ def split_valid(rows: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame,
 def consistent(p: Column, gold: Column) -> Column:
     """A hard target's gold index and its one-hot form agree."""
     return p == one_hot(gold, F.size(p))
+
+
+def rendered_reason(prompt: Column, qtype: Column, options: Column, target: Column, mask: str = "[MASK]") -> Column:
+    """What is wrong with a rendered question, or null: options (fewer than two, or one shown twice), masks (not one an option, one in all for a noul; a mask in the text itself counts), target (not a chance for each
+    option, or not summing to 1)."""
+    lines = rendered(qtype, options)
+    masks = (F.length(prompt) - F.length(F.replace(prompt, F.lit(mask), F.lit("")))) / len(mask)
+    wanted = F.when(qtype == "noul", 1).otherwise(F.size(options))
+    total = F.aggregate(target, F.lit(0.0), lambda a, x: a + x)
+    fair = (F.size(target) == F.when(qtype == "noul", 2).otherwise(F.size(options))) & F.forall(target, lambda p: p.isNotNull() & p.between(0.0, 1.0)) & (F.abs(total - 1) <= 1e-6)
+    few = (F.size(lines) < 2) | (F.size(F.array_distinct(lines)) < F.size(lines))
+    return F.when(F.coalesce(few, F.lit(True)), "options").when(~F.coalesce(masks == wanted, F.lit(False)), "masks").when(~F.coalesce(fair, F.lit(False)), "target")
