@@ -107,9 +107,9 @@ def _pairs(items) -> Column:
 
 def state_of(family: Column, facts: Column) -> Column:
     """The visible state: the observations, and the policy or process."""
-    draw = _facts("without_replacement", facts)
     rules = {f: F.to_json(F.struct(F.lit(r).alias("x"))) for f, r in RULES.items()}
-    rules["without_replacement"] = F.to_json(F.struct(_filled(RULES["without_replacement"], draws=draw["draws"], red=draw["red"], blue=draw["blue"]).alias("x")))
+    counted = lambda draw: _filled(RULES["without_replacement"], draws=draw["draws"], red=draw["red"], blue=draw["blue"])
+    rules["without_replacement"] = F.to_json(F.struct(let(_facts("without_replacement", facts), counted).alias("x")))
     name = F.when(family.isin(*[f for f, p in POOL_OF.items() if p == "synthetic_probability"]), "process").otherwise("policy")
     rule = _by(family, rules)
     return F.concat(F.lit('{"observations":'), facts, F.lit(',"'), name, F.lit('":'), F.substring(rule, F.lit(6), F.length(rule) - 6), F.lit("}"))
@@ -122,7 +122,7 @@ def instructions_of(family: Column, qtype: Column, wording: Column, asked: Colum
 
 def options_of(family: Column, qtype: Column, order: Column, facts: Column) -> Column:
     """The displayed options: the order given for a choice, the rubric for a score, false and true for a noul."""
-    count = F.transform(F.sequence(F.lit(0), _facts("without_replacement", facts)["draws"]), lambda i: F.struct(i.cast("string").alias("key"), F.replace(F.lit(COUNTED), F.lit("{}"), i.cast("string")).alias("desc")))
+    count = F.transform(F.sequence(F.lit(0), F.get_json_object(facts, "$.draws").cast("int")), lambda i: F.struct(i.cast("string").alias("key"), F.replace(F.lit(COUNTED), F.lit("{}"), i.cast("string")).alias("desc")))
     scores = {f: _pairs([(str(i), text) for i, text in enumerate(texts)]) for f, texts in RUBRICS.items()}
     plain = F.transform(order, lambda k: F.struct(k.alias("key"), F.lit(None).cast("string").alias("desc")))
     noul = F.when(family == "preservation", _pairs(ALLOWED.items())).otherwise(_pairs([("false", None), ("true", None)]))
@@ -162,7 +162,8 @@ def solved(rows: DataFrame, name: str = "exact") -> DataFrame:
     process = F.get_json_object("state", "$.process")
     keys = F.transform("options", lambda o: o["key"])
     asked = asked_of(family, F.col("instructions"))
-    fact = {f: _facts(f, seen) for f in OBSERVATIONS}
+    # Parsed once, however often a solver looks at a fact.
+    given = lambda family, body: let(_facts(family, seen), body)
     pattern = RULES["without_replacement"].replace(".", r"\.").replace("{draws}", r"(\d+)").replace("{red}", r"(\d+)").replace("{blue}", r"(\d+)")
     number = lambda i: F.nullif(F.regexp_extract(process, pattern, i), F.lit("")).cast("int")
     yes = lambda c: F.when(c, "true").otherwise("false")
@@ -176,17 +177,17 @@ def solved(rows: DataFrame, name: str = "exact") -> DataFrame:
         chance = lambda color: R.fraction(F.coalesce(F.try_element_at(f["counts"], color), F.lit(0)).cast("long"), total)
         return F.when(qtype == "noul", F.when(asked.isNotNull(), let(chance(asked), lambda p: _event(p, keys, "true")))).otherwise(F.transform(keys, chance))
 
-    e, p, s = fact["eligibility"], fact["preservation"], fact["shipment"]
+    level = lambda of: lambda f: _hard(keys, of(f).cast("string"))
     cases = {
-        "eligibility": _hard(keys, R.eligible(e["candidates"], e["minimum_capacity"], e["maximum_delay"])),
-        "preservation": _hard(keys, yes(R.preserved(*[p[c] for c in ("authorized", "frozen", "balance", "change", "reserve", "ceiling")]))),
-        "ownership": _hard(keys, owner(fact["ownership"])),
-        "shipment": _hard(keys, R.shipment_level(*[s[c] for c in ("packed", "required", "seal_intact", "inspection", "handed_over", "receipt_validation")]).cast("string")),
-        "laboratory": _hard(keys, R.laboratory_level(fact["laboratory"]).cast("string")),
-        "deployment": _hard(keys, R.deployment_level(fact["deployment"]).cast("string")),
-        "finite_draw": drawn(fact["finite_draw"]),
-        "latent_mixture": let(R.latent_mixture(fact["latent_mixture"]["mechanisms"]), lambda x: F.when(x.isNotNull(), F.when(qtype == "noul", _event(x, keys, "true")).otherwise(_event(x, keys, "Success")))),
-        "without_replacement": F.when(number(1).isNotNull(), R.without_replacement(number(2), number(3), number(1))),
+        "eligibility": given("eligibility", lambda f: _hard(keys, R.eligible(f["candidates"], f["minimum_capacity"], f["maximum_delay"]))),
+        "preservation": given("preservation", lambda f: _hard(keys, yes(R.preserved(*[f[c] for c in ("authorized", "frozen", "balance", "change", "reserve", "ceiling")])))),
+        "ownership": given("ownership", lambda f: _hard(keys, owner(f))),
+        "shipment": given("shipment", level(lambda f: R.shipment_level(*[f[c] for c in ("packed", "required", "seal_intact", "inspection", "handed_over", "receipt_validation")]))),
+        "laboratory": given("laboratory", level(R.laboratory_level)),
+        "deployment": given("deployment", level(R.deployment_level)),
+        "finite_draw": given("finite_draw", drawn),
+        "latent_mixture": given("latent_mixture", lambda f: let(R.latent_mixture(f["mechanisms"]), lambda x: F.when(x.isNotNull(), F.when(qtype == "noul", _event(x, keys, "true")).otherwise(_event(x, keys, "Success"))))),
+        "without_replacement": let(F.struct(number(1).alias("n"), number(2).alias("red"), number(3).alias("blue")), lambda f: F.when(f["n"].isNotNull(), R.without_replacement(f["red"], f["blue"], f["n"]))),
     }
     return rows.withColumn(name, _by(family, cases))
 

@@ -50,7 +50,7 @@ near AS (SELECT a, b FROM h JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WH
 ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 8)), dn AS (SELECT doc_id, count(*) AS n FROM ds GROUP BY 1),
 bu AS (SELECT row_number() OVER () AS u, w FROM i), bs AS (SELECT DISTINCT u, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT u, w, unnest(range(1, len(w) - 1)) AS i FROM bu WHERE len(w) >= 8)), bn AS (SELECT u, count(*) AS n FROM bs GROUP BY 1),
 ext AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, u, count(*) AS c FROM ds JOIN bs USING (s) GROUP BY 1, 2) JOIN dn USING (doc_id) JOIN bn USING (u) WHERE c / (dn.n + bn.n - c)::DOUBLE >= 0.85 UNION SELECT doc_id FROM w WHERE w IN (SELECT w FROM i)),
-r AS (SELECT w.doc_id, lang, n_chars, unit, len(w.w) < 12 AS short, ext.doc_id IS NOT NULL AS ext, row_number() OVER (ORDER BY w.doc_id) AS i, (2 * count(*) OVER (PARTITION BY lang)) // 5 AS quota,
+r AS MATERIALIZED (SELECT w.doc_id, lang, n_chars, unit, len(w.w) < 12 AS short, ext.doc_id IS NOT NULL AS ext, row_number() OVER (ORDER BY w.doc_id) AS i, (2 * count(*) OVER (PARTITION BY lang)) // 5 AS quota,
       coalesce(list_append(p.b, unit), [unit]) AS beside
       FROM w JOIN u USING (doc_id) LEFT JOIN ext USING (doc_id) LEFT JOIN (SELECT a, list(b) AS b FROM near GROUP BY a) p ON p.a = unit),
 pass AS (

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import functions as F
 
 from ..functions import rational as R
 from ..functions import second
+from ..functions.arrays import let
 from ..operators import grid, presentation
 from ..operators.synth import COLORS, PEOPLE
 from .common import register, table
@@ -81,26 +84,30 @@ def synthetic_consistency(spark, d):
     return presentation.problem(changed).groupBy("family", "problem").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _agree(solve):
+    return lambda f: operator.eq(*solve(f))
+
+
 @register(f"""SELECT family, count(*) AS n, count(*) AS n_agree FROM orders, (SELECT unnest([{_FAMILIES}]) AS family) GROUP BY 1""")
 def second_solvers(spark, d):
     """How often two solvers of each family agree on the facts of a root."""
     rows = grid.views(table(spark, d, "orders"), "o_orderkey", SEED).where("variant = 0")
-    facts = {f: F.from_json("facts", schema) for f, schema in presentation.OBSERVATIONS.items()}
-    e, p, o, s, c, m, w = (facts[f] for f in ("eligibility", "preservation", "ownership", "shipment", "finite_draw", "latent_mixture", "without_replacement"))
     keys = F.array(*[F.lit(x) for x in COLORS])
-    pairs = {
-        "eligibility": (R.eligible(e["candidates"], e["minimum_capacity"], e["maximum_delay"]), second.eligible(e)),
-        "preservation": (R.preserved(*[p[x] for x in ("authorized", "frozen", "balance", "change", "reserve", "ceiling")]), second.preserved(p)),
-        "ownership": (R.final_owner(o["initial_owner"], o["events"]), second.final_owner(o)),
-        "shipment": (R.shipment_level(*[s[x] for x in ("packed", "required", "seal_intact", "inspection", "handed_over", "receipt_validation")]), second.shipment_level(s)),
-        "laboratory": (R.laboratory_level(facts["laboratory"]), second.laboratory_level(facts["laboratory"])),
-        "deployment": (R.deployment_level(facts["deployment"]), second.deployment_level(facts["deployment"])),
-        "finite_draw": (R.finite_draw(F.transform(keys, lambda k: c["counts"][k])), second.finite_draw(c, keys)),
-        "latent_mixture": (R.latent_mixture(m["mechanisms"]), second.latent_mixture(m)),
-        "without_replacement": (R.without_replacement(w["red"], w["blue"], w["draws"]), second.without_replacement(w)),
+    of = lambda f, names: [f[x] for x in names.split()]
+    solvers = {
+        "eligibility": lambda f: (R.eligible(*of(f, "candidates minimum_capacity maximum_delay")), second.eligible(f)),
+        "preservation": lambda f: (R.preserved(*of(f, "authorized frozen balance change reserve ceiling")), second.preserved(f)),
+        "ownership": lambda f: (R.final_owner(*of(f, "initial_owner events")), second.final_owner(f)),
+        "shipment": lambda f: (R.shipment_level(*of(f, "packed required seal_intact inspection handed_over receipt_validation")), second.shipment_level(f)),
+        "laboratory": lambda f: (R.laboratory_level(f), second.laboratory_level(f)),
+        "deployment": lambda f: (R.deployment_level(f), second.deployment_level(f)),
+        "finite_draw": lambda f: (R.finite_draw(F.transform(keys, lambda k: f["counts"][k])), second.finite_draw(f, keys)),
+        "latent_mixture": lambda f: (R.latent_mixture(f["mechanisms"]), second.latent_mixture(f)),
+        "without_replacement": lambda f: (R.without_replacement(*of(f, "red blue draws")), second.without_replacement(f)),
     }
     agree = None
-    for family, (one, other) in pairs.items():
-        same = F.coalesce(one == other, F.lit(False))
+    for family, solve in solvers.items():
+        # Facts are parsed once for both.
+        same = F.coalesce(let(F.from_json("facts", presentation.OBSERVATIONS[family]), _agree(solve)), F.lit(False))
         agree = F.when(F.col("family") == family, same) if agree is None else agree.when(F.col("family") == family, same)
     return rows.withColumn("agree", agree).groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count_if("agree").alias("n_agree"))

@@ -121,7 +121,7 @@ def firewall_anti_join(spark, d):
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM u WHERE len(w) >= 12)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 h AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id > b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, list(b) AS earlier FROM h JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c)::DOUBLE >= 0.8 GROUP BY a),
-o AS (SELECT a, earlier, row_number() OVER (ORDER BY a) AS i FROM e),
+o AS MATERIALIZED (SELECT a, earlier, row_number() OVER (ORDER BY a) AS i FROM e),
 pass AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS refused UNION ALL SELECT o.i, CASE WHEN list_has_all(refused, earlier) THEN refused ELSE list_append(refused, a) END FROM pass JOIN o ON o.i = pass.i + 1)
 SELECT doc_id FROM u WHERE doc_id NOT IN (SELECT unnest(refused) FROM pass WHERE i = (SELECT max(i) FROM pass))""")
 def greedy_mis_dedup(spark, d):
