@@ -32,7 +32,7 @@ AHEAD, FURTHER = 6, 20
 LINE = r"[^\n.,;:!?]*+(?:[.,;:!?]++[ \n]*+|\n++|\z)"
 #: Tables of texts' names and of what goes from them are broadcast up to so many bytes.
 BROADCAST_BYTES = 32 << 20
-#: Places in a text have so many bits, the texts' ranks the rest of 63.
+#: Places in a text have so many bits, the texts' ranks the rest of 63; more texts are refused.
 PLACE_BITS = 31
 
 
@@ -90,7 +90,10 @@ def ranked(docs: DataFrame) -> DataFrame:
 def hashed(docs: DataFrame, names: DataFrame) -> DataFrame:
     """__rank and fingerprints of each text."""
     lines = F.transform(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(" \t\r\n")))
-    side = F.broadcast(names) if names.count() * 40 <= BROADCAST_BYTES else names
+    n = names.count()
+    if n >= 1 << (63 - PLACE_BITS):
+        raise ValueError(f"{n} texts; a place names at most {(1 << (63 - PLACE_BITS)) - 1}")
+    side = F.broadcast(names) if n * 40 <= BROADCAST_BYTES else names
     rows = docs.where(F.length("text") >= MIN_CHARS).join(side, (F.xxhash64("text") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__d"))).select("__rank", "text")
     split = rows.select("__rank", F.filter(F.transform(lines, lambda x, i: F.struct(F.xxhash64(x).alias("x"), F.length(x).alias("n"), i.alias("p"))), lambda x: x["n"] > 0).alias("lines"))
     return split.select("__rank", fingerprints(F.col("lines")).alias("prints"))

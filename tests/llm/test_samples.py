@@ -25,3 +25,15 @@ def test_equal_rows_of_several_files_have_places_of_their_own(spark, tmp_path):
     table = spark.read.parquet(path)
     places = [r["place"] for r in common.gapless_rank(table, ["key"], ["v"], "place").collect()]
     assert sorted(places) == list(range(200))
+
+
+def test_more_texts_than_places_can_name_are_refused(spark, monkeypatch):
+    import pytest
+
+    from decidra.llm import lines
+
+    rows = spark.createDataFrame([(i, f"a line of text, number {i}, that is long enough to be looked at. " * 3) for i in range(9)], "doc_id long, text string")
+    assert lines.dedup_lines(rows).count() == 9
+    monkeypatch.setattr(lines, "PLACE_BITS", 60)
+    with pytest.raises(ValueError, match="9 texts"):
+        lines.dedup_lines(rows)
