@@ -65,6 +65,15 @@ def shingles(tokens: Column, k: int, least: int | None = None) -> Column:
     return let(tokens, cut)
 
 
+def shingle_hashes(tokens: Column, k: int, least: int | None = None) -> Column:
+    """64-bit hashes of the distinct `shingles`, without their texts."""
+    def cut(t: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.xxhash64(F.slice(t, i, k)))
+        return F.when(F.size(t) >= max(k, least or k), F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(tokens, cut)
+
+
 def paragraphs(text: Column) -> Column:
     return F.split(text, r"\n\s*\n", -1)
 

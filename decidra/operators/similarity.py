@@ -5,15 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import shingles
+from ..functions.text import shingle_hashes
 from .components import components
 from .tables import stored
 
 
+#: Ids up to this number are broadcast, after they were counted; more are joined by a shuffle.
+MOST_IDS = 1_000_000
+#: One unit in so many is looked at for shingles that many units have, and at most so many of these are known to every task.
+EVERY, LEAST_SEEN, MOST_COMMON = 16, 3, 200_000
+#: Similar sets share so many of their prefixes' shingles, or all that they need to share.
+MEET = 3
+
+
 def shingle_sets(units: DataFrame, key: str, tokens: str, k: int, least: int) -> DataFrame:
     """key, s (hashes of the distinct shingles) and n of each unit that has some: a written table."""
-    cut = units.select(key, shingles(F.col(tokens), k, least).alias("__s")).where(F.size("__s") > 0)
-    return stored(cut.select(key, F.transform("__s", lambda x: F.xxhash64(x)).alias("s"), F.size("__s").alias("n")), "sets")
+    cut = units.select(key, shingle_hashes(F.col(tokens), k, least).alias("s")).where(F.size("s") > 0)
+    return stored(cut.select(key, "s", F.size("s").alias("n")), "sets")
+
+
+def _among(rows: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
+    ids = stored(ids.select(F.col(ids.columns[0]).alias(key)).distinct(), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, key, how)
+
+
+def of_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of some ids, without a shuffle of all rows if the ids aren't too many to broadcast."""
+    return _among(rows, key, ids, "left_semi")
+
+
+def without_copies(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of other ids, likewise."""
+    return _among(rows, key, ids, "left_anti")
 
 
 def meetings(left: DataFrame, right: DataFrame, left_key: str, right_key: str, share: float, fits=None) -> DataFrame:
@@ -47,8 +70,9 @@ def meetings(left: DataFrame, right: DataFrame, left_key: str, right_key: str, s
 
 def counted(pairs: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """The pairs with their sizes __na and __nb and how many shingles they share, by whole sets."""
-    a = left.select(left_key, F.col("s").alias("__sa"), F.col("n").alias("__na"))
-    b = right.select(right_key, F.col("s").alias("__sb"), F.col("n").alias("__nb"))
+    pairs = stored(pairs, "met")
+    a = of_ids(left, left_key, pairs.select(left_key)).select(left_key, F.col("s").alias("__sa"), F.col("n").alias("__na"))
+    b = of_ids(right, right_key, pairs.select(right_key)).select(right_key, F.col("s").alias("__sb"), F.col("n").alias("__nb"))
     both = pairs.join(a, left_key).join(b, right_key)
     return both.select(*pairs.columns, "__na", "__nb", F.size(F.array_intersect("__sa", "__sb")).alias("shared_shingles"))
 
@@ -64,27 +88,77 @@ def near_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
         (F.col("shared_shingles") / (F.col("__na") + F.col("__nb") - F.col("shared_shingles"))).alias("jaccard"),
         (F.col("shared_shingles") / F.least("__na", "__nb")).alias("containment"),
     )
-    likely = scored.where((F.col("jaccard") >= jaccard) | (F.col("containment") >= containment))
-    words = lambda side, key, name: side.select(key, F.array_distinct(tokens).alias(name))
+    likely = stored(scored.where((F.col("jaccard") >= jaccard) | (F.col("containment") >= containment)), "likely")
+    words = lambda side, key, name: of_ids(side, key, likely.select(key)).select(key, F.array_distinct(tokens).alias(name))
     both = likely.join(words(left, left_key, "__wa"), left_key).join(words(right, right_key, "__wb"), right_key)
     both = both.withColumn("shared_words", F.size(F.array_intersect("__wa", "__wb")))
     return both.where((F.col("jaccard") >= jaccard) | (F.col("shared_words") >= shared_words)).select(left_key, right_key, "jaccard", "containment", "shared_words")
 
 
+def common(sets: DataFrame, key: str) -> tuple:
+    """Shingles that many units have, in order, and how often each was seen in one unit of EVERY: a hint for the order of shingles, which any hint leaves right."""
+    import numpy as np
+
+    seen = sets.where(F.pmod(F.xxhash64(key), F.lit(EVERY)) == 0).select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LEAST_SEEN)
+    found = sorted((r["x"], r["c"]) for r in seen.orderBy(F.desc("c"), "x").limit(MOST_COMMON).collect())
+    return np.array([x for x, _ in found], dtype=np.int64), np.array([c for _, c in found], dtype=np.int64)
+
+
+def prefixes(sets: DataFrame, key: str, jaccard: float) -> DataFrame:
+    """key, n and x: the first n - ceil(jaccard * n) + MEET shingles of each set, `common` ones last, and else by hash.
+
+    The order is the same for all sets, so that similar ones share MEET of these: they share ceil(jaccard * n) or more, of which all but MEET - 1 may come later in either.
+    It needs no count of every shingle.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    shared = sets.sparkSession.sparkContext.broadcast(common(sets, key))
+
+    def first(batch):
+        known, often = shared.value
+        lists = batch.column(1)
+        n, values = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(n)), n)
+        weight = np.zeros(len(values), dtype=np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+            weight = np.where(known[at] == values, often[at], 0)
+        order = np.lexsort((values, weight, owner))
+        place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+        kept = order[place < np.repeat(n - np.ceil(n * jaccard).astype(np.int64) + MEET, n)]
+        mine = owner[kept]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(mine)), pa.array(n[mine].astype(np.int32)), pa.array(values[kept])], names=[key, "n", "x"])
+
+    def run(batches):
+        for batch in batches:
+            # A few units at a time, as sorting takes several times their size.
+            for at in range(0, batch.num_rows, 256):
+                yield first(batch.slice(at, 256))
+
+    return sets.select(key, "s").mapInArrow(run, f"`{key}` {sets.schema[key].dataType.simpleString()}, n int, x bigint")
+
+
+def enough(pairs: DataFrame, jaccard: float) -> DataFrame:
+    """a and b that meet by as many of their prefixes' shingles as similar sets do, given a row (a, b, n, m) for each one."""
+    least = F.least(F.lit(MEET), F.ceil(F.greatest("n", "m") * jaccard))
+    return pairs.where(F.least("n", "m") >= jaccard * F.greatest("n", "m")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("__c"), F.max("n").alias("n"), F.max("m").alias("m")).where(F.col("__c") >= least).select("a", "b")
+
+
 def rarest(units: DataFrame, key: str, tokens: str, k: int, least: int, jaccard: float) -> tuple[DataFrame, DataFrame]:
-    """(sets of shingles, their n - ceil(jaccard * n) + 1 rarest ones that others have too): two similar sets share one of these.  Both are written tables."""
-    cut = units.select(key, shingles(F.col(tokens), k, least).alias("__s")).where(F.size("__s") > 0)
-    sets = stored(cut.select(key, F.transform("__s", lambda x: F.xxhash64(x)).alias("s")), "sets")
-    each = sets.select(key, F.size("s").alias("n"), F.explode("s").alias("x"))
-    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("df", "x"))
-    rare = each.join(often, "x").withColumn("r", rank).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * jaccard) + 1) & (F.col("df") > 1))
-    return sets, stored(rare.select(key, "n", "x"), "prefixes")
+    """(sets of shingles, their `prefixes` that others have too): two similar sets have `enough` of these in common.  Both are written tables."""
+    sets = shingle_sets(units, key, tokens, k, least)
+    dealt = prefixes(sets, key, jaccard).repartition("x")
+    # All columns are aggregated, so that both sides of the join read one shuffle.
+    often = dealt.groupBy("x").agg(F.min(key).alias("__a"), F.max(key).alias("__z"), F.max("n").alias("__n")).where("__a <> __z").select("x")
+    return sets, stored(dealt.join(often, "x").select(key, "n", "x"), "prefixes")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, key: str, jaccard: float) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar."""
-    side = lambda name, column: sets.select(F.col(key).alias(name), F.col("s").alias(column))
+    pairs = stored(pairs, "met")
+    some = of_ids(sets, key, pairs.select("a").union(pairs.select("b")))
+    side = lambda name, column: some.select(F.col(key).alias(name), F.col("s").alias(column))
     both = pairs.join(side("a", "__x"), "a").join(side("b", "__y"), "b").withColumn("__c", F.size(F.array_intersect("__x", "__y")))
     return both.where(F.col("__c") / (F.size("__x") + F.size("__y") - F.col("__c")) >= jaccard).select("a", "b")
 
@@ -92,13 +166,13 @@ def similar(pairs: DataFrame, sets: DataFrame, key: str, jaccard: float) -> Data
 def jaccard_pairs(units: DataFrame, key: str, tokens: str = "tokens", k: int = 5, least: int = 12, jaccard: float = 0.8) -> DataFrame:
     """Pairs (a, b), a < b, of units with at least that jaccard similarity.  Uncapped.
 
-    Units meet by their rarest shingles: one that many units have is seldom among them.  Whole sets are
+    Units meet by the first shingles of a common order, in which those that many units have come last.  Whole sets are
     compared of the pairs that meet.  Equal units should be one before.  Where only groups of similar units are wanted, `near_components` does without all pairs.
     """
     sets, rare = rarest(units, key, tokens, k, least, jaccard)
     other = rare.select(F.col(key).alias("b"), F.col("n").alias("m"), "x")
-    met = rare.join(other, "x").where((F.col(key) < F.col("b")) & (F.least("n", "m") >= jaccard * F.greatest("n", "m"))).select(F.col(key).alias("a"), "b").distinct()
-    return similar(met, sets, key, jaccard)
+    met = rare.join(other, "x").where(F.col(key) < F.col("b")).select(F.col(key).alias("a"), "b", "n", "m")
+    return similar(enough(met, jaccard), sets, key, jaccard)
 
 
 def near_components(units: DataFrame, key: str, tokens: str = "tokens", k: int = 5, least: int = 12, jaccard: float = 0.8) -> DataFrame:
@@ -117,8 +191,7 @@ def near_components(units: DataFrame, key: str, tokens: str = "tokens", k: int =
     apart = stored(sides.join(sides.select("x", F.col("c").alias("d")), "x").where("c < d"), "apart")
     left = placed.join(apart, ["x", "c"]).select("x", F.col("u").alias("a"), "n", "d")
     right = placed.select("x", F.col("c").alias("d"), F.col("u").alias("b"), F.col("n").alias("m"))
-    met = left.join(right, ["x", "d"]).where(F.least("n", "m") >= jaccard * F.greatest("n", "m")).select("a", "b").distinct()
-    more = similar(met, sets, key, jaccard)
+    more = similar(enough(left.join(right, ["x", "d"]), jaccard), sets, key, jaccard)
     of = lambda side: parts.select(F.col(key).alias(side), F.col("component").alias(f"c{side}"))
     between = more.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     whole = components(parts.select(F.col("component").alias("part")).distinct(), between.distinct(), "part")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from decidra.operators import coverage, dedup, sampling, selection
+from decidra.operators import coverage, dedup, sampling, selection, similarity
 
 REQUIRE, STRATA = ["k", "kind"], ["source", "k", "kind"]
 
@@ -155,3 +155,22 @@ def test_near_components_equal_all_pairs(spark, seed):
                     label[a] = label[b] = min(label[a], label[b])
     frame = spark.createDataFrame(list(enumerate(texts)), "id long, tokens array<string>")
     assert {r["id"]: r["component"] for r in similarity.near_components(frame, "id").collect()} == dict(enumerate(label))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pairs_by_prefixes_equal_all_pairs(spark, seed, monkeypatch):
+    monkeypatch.setattr(similarity, "EVERY", 1)
+    rng = random.Random(seed)
+    base = [[rng.choice("abcdefghij") for _ in range(rng.choice([12, 13, 40, 90]))] for _ in range(6)]
+    texts = [["a"] * 12, ["a"] * 14, ["a", "b"] * 8, ["b", "a"] * 9]
+    for _ in range(50):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            words[rng.randrange(len(words))] = rng.choice("abcxyz")
+        texts.append(words + ["common", "line", "of", "all", "these", "texts"] * rng.choice([0, 1]))
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    wanted = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    frame = spark.createDataFrame([*enumerate(texts)], "id long, tokens array<string>")
+    assert {tuple(r) for r in similarity.jaccard_pairs(frame, "id").collect()} == wanted
+    whole = similarity.shingle_sets(frame, "id", "tokens", 5, 12)
+    assert similarity.prefixes(whole, "id", 0.8).count() <= sum(len(s) // 5 + similarity.MEET for s in sets)
