@@ -10,6 +10,8 @@ before it of each partner of its unit, so copies are never paired with copies.
 a node with a single edge is replaced by what it depends on, with the state turned where need be, so that chains of any length halve
 in every round and don't take a round a link.
 
+That is for what is left after some plain rounds, in each of which the rows that come first among all that could exclude them are taken: chains are seldom long.
+
 *Quotas.*  A selection without quotas is cut per bucket at its quota.  What follows a cut and excluded nothing in another bucket needs no further
 look; else everything before the first row so excluded is final, and the rest is selected again without the closed buckets.  Each
 such phase closes one bucket at least.
@@ -27,6 +29,8 @@ from .tables import stored
 TAKEN, REFUSED = 1, 0
 #: Rows of a key are linked inside blocks of so many ranks, and the blocks are then linked to each other.
 BLOCK = 1 << 16
+#: Rounds in which first rows are taken before what is left is settled by edges.
+ROUNDS = 12
 
 
 def settled(edges: DataFrame, rounds: int = 200) -> DataFrame:
@@ -103,7 +107,35 @@ def near_edges(rows: DataFrame, rank: str, unit: str, pairs: DataFrame, slot: in
 
 
 def independent(rows: DataFrame, rank: str, keys: list[str], unit: str, pairs: DataFrame) -> DataFrame:
-    """The rows that a pass in order of `rank` (a long from 0, unique) takes: one of each key and unit, and none near an earlier one."""
+    """The rows that a pass in order of `rank` (a long from 0, unique) takes: one of each key and unit, and none near an earlier one.
+
+    In each round the rows are taken that come first among the open rows of all their keys, their unit and its partners, and whatever they exclude is closed: most
+    rows are in few rounds.  What is open after ROUNDS of them, as in long chains of exclusions, is `settled`.
+    """
+    kinds = rows.select(rank, *keys, unit)
+    sides = both_ways(pairs)
+    taken, live = [], kinds
+    for _ in range(ROUNDS):
+        firsts = [live.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(rank).alias(f"__f{i}")) for i, c in enumerate([*keys, unit])]
+        beside = sides.join(firsts[-1].select(F.col(unit).alias("b"), F.col(f"__f{len(keys)}").alias("__p")), "b").groupBy(F.col("a").alias(unit)).agg(F.min("__p").alias("__p"))
+        met = reduce(lambda left, f: left.join(f, f.columns[0], "left"), [*firsts, beside], live)
+        own = [F.coalesce(F.col(f"__f{i}") == F.col(rank), F.lit(True)) for i in range(len(firsts))]
+        first = reduce(lambda a, b: a & b, own, F.coalesce(F.col("__p") > F.col(rank), F.lit(True)))
+        marked = stored(met.select(rank, *keys, unit, first.alias("__first")), "marked")
+        now = marked.where("__first").drop("__first")
+        taken.append(now.select(rank))
+        units = now.select(F.col(unit).alias("b")).where("b IS NOT NULL")
+        closed = [now.select(k).where(F.col(k).isNotNull()) for k in keys] + [units.unionByName(sides.join(units, "b").select(F.col("a").alias("b"))).distinct().withColumnRenamed("b", unit)]
+        live = stored(reduce(lambda left, c: left.join(c, c.columns[0], "left_anti"), closed, marked.where("NOT __first").drop("__first")), "live")
+        if live.isEmpty():
+            break
+    else:
+        taken.append(chained(live, rank, keys, unit, pairs).select(rank))
+    return rows.join(reduce(DataFrame.unionByName, taken), rank, "left_semi")
+
+
+def chained(rows: DataFrame, rank: str, keys: list[str], unit: str, pairs: DataFrame) -> DataFrame:
+    """As `independent`, by edges that are `settled`: few rounds also for long chains."""
     slots = len(keys) + 2
     edges = [one_of_each(rows, rank, k, i, slots) for i, k in enumerate([*keys, unit], 1)]
     edges.append(near_edges(rows, rank, unit, pairs, slots - 1, slots))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import coverage, selection, similarity
+from ..operators.tables import stored
 from .common import DECISIONS, decisions, register, table
 from .text_queries import _words
 
@@ -64,12 +65,16 @@ pass AS (
 )
 SELECT doc_id, reason FROM pass WHERE i > 0""")
 def ordered_selection(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars", T.words(F.col("text")).alias("tokens"))
-    units = docs.groupBy("tokens").agg(F.min("doc_id").alias("unit"))
-    inside = similarity.firewall(docs, table(spark, d, "benchmark").select(T.words(F.col("text")).alias("tokens")), "doc_id").select("doc_id", F.lit(True).alias("free"))
-    rows = docs.join(units, "tokens").join(inside, "doc_id", "left").select(
-        "doc_id", "lang", "n_chars", "unit", F.when(F.size("tokens") < 12, "too_short").alias("early"), F.when(F.col("free").isNull(), "external").alias("late")
+    # Words are cut once; equal texts are found by digests.
+    docs = stored(table(spark, d, "documents").select("doc_id", "lang", "n_chars", T.words(F.col("text")).alias("tokens")).withColumn("digest", F.sha2(F.array_join("tokens", " "), 256)), "docs")
+    units = docs.groupBy("digest").agg(F.min("doc_id").alias("unit"))
+    named = stored(docs.select("doc_id", "digest").join(units, "digest").select("doc_id", "unit"), "named")
+    inside = similarity.firewall(docs.select("doc_id", "tokens"), table(spark, d, "benchmark").select(T.words(F.col("text")).alias("tokens")), "doc_id").select("doc_id", F.lit(True).alias("free"))
+    slim = docs.select("doc_id", "lang", "n_chars", F.size("tokens").alias("n"))
+    rows = slim.join(named, "doc_id").join(inside, "doc_id", "left").select(
+        "doc_id", "lang", "n_chars", "unit", F.when(F.col("n") < 12, "too_short").alias("early"), F.when(F.col("free").isNull(), "external").alias("late")
     )
     quotas = docs.groupBy("lang").agg(F.floor(2 * F.count(F.lit(1)) / 5).alias("quota"))
-    pairs = similarity.jaccard_pairs(units.select("unit", "tokens"), "unit")
+    firsts = similarity.without_copies(docs.select(F.col("doc_id").alias("unit"), "tokens"), named.where("doc_id <> unit").select("doc_id"), "unit")
+    pairs = similarity.jaccard_pairs(firsts, "unit")
     return selection.in_order(rows, "doc_id", "lang", quotas, ["n_chars"], "unit", pairs, "early", "late").select("doc_id", "reason")

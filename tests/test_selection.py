@@ -174,3 +174,20 @@ def test_pairs_by_prefixes_equal_all_pairs(spark, seed, monkeypatch):
     assert {tuple(r) for r in similarity.jaccard_pairs(frame, "id").collect()} == wanted
     whole = similarity.shingle_sets(frame, "id", "tokens", 5, 12)
     assert similarity.prefixes(whole, "id", 0.8).count() <= sum(len(s) // 5 + similarity.MEET for s in sets)
+
+
+def test_plain_selections_need_no_edges(spark, monkeypatch):
+    """Rows of few keys are decided in rounds; long chains are left to the edges, with the same result."""
+    rows = [(i, i % 7, i % 11) for i in range(300)]
+    frame = spark.createDataFrame(rows, "rank long, key long, unit long")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(0, 10)], "a long, b long")
+    got = lambda: sorted(r["rank"] for r in selection.independent(frame, "rank", ["key"], "unit", pairs).collect())
+    taken = []
+    for rank, key, unit in rows:
+        if not any(key == k or abs(unit - u) <= 1 for k, u in taken):
+            taken.append((key, unit))
+    monkeypatch.setattr(selection, "ROUNDS", 1)
+    chained = got()
+    monkeypatch.setattr(selection, "ROUNDS", 12)
+    monkeypatch.setattr(selection, "settled", None)
+    assert got() == chained and [(r % 7, r % 11) for r in chained] == taken
