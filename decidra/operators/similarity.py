@@ -182,8 +182,8 @@ def near_components(units: DataFrame, key: str, tokens: str = "tokens", k: int =
     are compared then: they are found by the components that meet, so what is connected is not paired again.
     """
     sets, rare = rarest(units, key, tokens, k, least, jaccard)
-    hubs = stored(rare.groupBy("x").agg(F.min(key).alias("a")), "hubs")
-    first = rare.join(hubs, "x").where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b")).distinct()
+    hubs = stored(rare.groupBy("x").agg(F.min(F.struct(F.col(key).alias("a"), F.col("n").alias("m"))).alias("h")).select("x", "h.*"), "hubs")
+    first = enough(rare.join(hubs, "x").where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"), "n", "m"), jaccard)
     edges = stored(similar(first, sets, key, jaccard), "links")
     parts = stored(components(units.select(key), edges, key), "parts")
     placed = stored(rare.join(parts, key).select(F.col(key).alias("u"), "n", "x", F.col("component").alias("c")), "placed")

@@ -191,3 +191,12 @@ def test_plain_selections_need_no_edges(spark, monkeypatch):
     monkeypatch.setattr(selection, "ROUNDS", 12)
     monkeypatch.setattr(selection, "settled", None)
     assert got() == chained and [(r % 7, r % 11) for r in chained] == taken
+
+
+def test_hubs_meet_units_of_like_size_only(spark, monkeypatch):
+    """Parts of a text share all their shingles with it and are compared with it no more than with others."""
+    whole = [f"w{i}" for i in range(100)]
+    frame = spark.createDataFrame([(0, whole), *[(i + 1, whole[20 * i : 20 * i + 20]) for i in range(5)]], "id long, tokens array<string>")
+    met, similar = [], similarity.similar
+    monkeypatch.setattr(similarity, "similar", lambda pairs, *a: met.append(pairs.count()) or similar(pairs, *a))
+    assert similarity.near_components(frame, "id").where("id <> component").isEmpty() and met == [0, 0]
