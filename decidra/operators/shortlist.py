@@ -45,7 +45,7 @@ def top_k(queries: DataFrame, options: DataFrame, query: str, option: str, k: in
     return each.select(query, F.col("__x.o").alias(option), (F.col("__i") + 1).alias("rank"), (-F.col("__x.s")).alias("score"))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, query: str, option: str, k: int, block: int = 2_000, most_bytes: int = 256 << 20) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, query: str, option: str, k: int, block: int = 100, most_bytes: int = 256 << 20) -> DataFrame:
     """query, option, rank and score (to eight digits) of the k rows most similar to each of a stated set of queries; ties by option.
 
     `rows` is searched whole, a batch at a time against blocks of the queries, by matrix products.

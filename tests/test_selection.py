@@ -200,3 +200,12 @@ def test_hubs_meet_units_of_like_size_only(spark, monkeypatch):
     met, similar = [], similarity.similar
     monkeypatch.setattr(similarity, "similar", lambda pairs, *a: met.append(pairs.count()) or similar(pairs, *a))
     assert similarity.near_components(frame, "id").where("id <> component").isEmpty() and met == [0, 0]
+
+
+def test_scores_of_few_queries_are_held_at_once():
+    """A block of queries with a batch of 10,000 rows takes no more than 8 MB of scores."""
+    import inspect
+
+    from decidra.operators import shortlist
+
+    assert inspect.signature(shortlist.nearest).parameters["block"].default * 10_000 * 8 <= 8_000_000
