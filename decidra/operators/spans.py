@@ -17,6 +17,8 @@ IGNORED = frozenset(
 DOCUMENTS = frozenset("document article passage context contract text source_text source premise dialogue dialogue_prefix".split())
 LABEL = re.compile(r"^\s*([A-Za-z][A-Za-z _-]{0,45}):\s*(.*)$")
 WORDS = re.compile(r"\w+")
+#: Texts whose spans are held at once.
+TEXTS = 32
 FIELDS = "field string, text string, normalized string, tokens array<string>, group_link boolean"
 
 
@@ -93,16 +95,21 @@ def with_spans(rows: DataFrame, key: str, state: str, exact_words: int = 3, grou
 
     def run(batches):
         for batch in batches:
-            taken, out = [], ([], [], [], [], [])
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                if text is None:
-                    continue
-                for span in spans_of(parse_or_keep(text), exact_words, group_words):
-                    taken.append(i)
-                    for column, x in zip(out, span, strict=True):
-                        column.append(x)
-            kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_())
-            columns = [batch.column(0).take(pa.array(taken, pa.int64())), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "field", "text", "normalized", "tokens", "group_link"])
+            # The spans of a few texts at a time: they take many times the texts' size.
+            for at in range(0, batch.num_rows, TEXTS):
+                yield spans(batch.slice(at, TEXTS))
+
+    def spans(batch):
+        taken, out = [], ([], [], [], [], [])
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            if text is None:
+                continue
+            for span in spans_of(parse_or_keep(text), exact_words, group_words):
+                taken.append(i)
+                for column, x in zip(out, span, strict=True):
+                    column.append(x)
+        kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_())
+        columns = [batch.column(0).take(pa.array(taken, pa.int64())), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))]
+        return pa.RecordBatch.from_arrays(columns, names=[key, "field", "text", "normalized", "tokens", "group_link"])
 
     return rows.select(F.col(key), F.col(state).cast("string").alias("__state")).mapInArrow(run, f"`{key}` {kind}, {FIELDS}")

@@ -289,3 +289,13 @@ def test_near_pairs_are_those_of_brute_force(spark):
         got = {tuple(r) for r in similarity.near_pairs(frame(a, "p"), frame(b, "q"), "p", "q").select("p", "q").collect()}
         assert got == (wanted if a is left else {(j, i) for i, j in wanted})
     assert wanted
+
+
+def test_spans_of_few_texts_are_held_at_once(spark, monkeypatch):
+    from decidra.operators import spans
+
+    monkeypatch.setattr(spans, "TEXTS", 2)
+    rows = [(i, None if i == 3 else f"one two three four {i}\nfive six seven {i}\n\neight nine ten") for i in range(7)]
+    frame = spark.createDataFrame(rows, "id long, state string").coalesce(1)
+    got = spans.with_spans(frame, "id", "state").select("id", "field", "normalized").collect()
+    assert [(r.id, r.field, r.normalized) for r in got] == [(i, s[0], s[2]) for i, t in rows if t for s in spans.spans_of(t)]
