@@ -9,17 +9,15 @@ from .arrays import let
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor of two longs that aren't negative: Euclid, in as many steps as the smaller one may need."""
-    start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
-    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b")))
-    # The k-th Fibonacci number is the least that needs k steps, and grows by 1.618 a step.
-    most = F.floor(F.log(1.618, F.greatest(F.least(a, b), F.lit(1)).cast("double"))) + 4
-    return F.aggregate(F.sequence(F.lit(1), F.least(most, F.lit(93)).cast("int")), start, step, lambda s: s["a"])
+    """Greatest common divisor of two longs that aren't negative, by a function of the commons-math library that Spark ships; null with a null."""
+    found = F.java_method(F.lit("org.apache.commons.math3.util.ArithmeticUtils"), F.lit("gcd"), F.coalesce(a.cast("long"), F.lit(0).cast("long")), F.coalesce(b.cast("long"), F.lit(0).cast("long"))).cast("long")
+    return F.when(a.isNotNull() & b.isNotNull(), found)
 
 
 def fraction(n: Column, d: Column) -> Column:
     """n / d in lowest terms as a struct; null for d = 0."""
-    return F.when(d != 0, let(gcd(F.abs(n), F.abs(d)), lambda g: F.struct(_exact(n, F.lit(1), g).alias("n"), _exact(d, F.lit(1), g).alias("d"))))
+    lowest = lambda f: let(gcd(F.abs(f["n"]), F.abs(f["d"])), lambda g: F.struct(_exact(f["n"], F.lit(1), g).alias("n"), _exact(f["d"], F.lit(1), g).alias("d")))
+    return let(F.struct(n.alias("n"), d.alias("d")), lambda f: F.when(f["d"] != 0, lowest(f)))
 
 
 def written(f: Column) -> Column:
@@ -119,4 +117,4 @@ def latent_mixture(mechanisms: Column) -> Column:
 def without_replacement(red: Column, blue: Column, draws: Column) -> Column:
     """Chances of 0 .. draws red tokens, as fractions."""
     ways = lambda i: F.when(draws - i <= blue, choose(red, i) * choose(blue, draws - i)).otherwise(F.lit(0).cast("long"))
-    return F.transform(F.sequence(F.lit(0), draws), lambda i: fraction(ways(i), choose(red + blue, draws)))
+    return let(choose(red + blue, draws), lambda all_ways: F.transform(F.sequence(F.lit(0), draws), lambda i: fraction(ways(i), all_ways)))

@@ -60,30 +60,34 @@ def facts_of(family: str, seed: str, root: Column) -> Column:
 #: Kinds of question of the first and the second view.
 KINDS = {"eligibility": ("choice", "choice"), "preservation": ("noul", "noul"), "ownership": ("choice", "noul"), "shipment": ("score",) * 2, "laboratory": ("score",) * 2, "deployment": ("score",) * 2, "finite_draw": ("choice", "noul"), "latent_mixture": ("noul", "choice"), "without_replacement": ("score",) * 2}
 CHOICES = {"eligibility": PEOPLE, "ownership": PEOPLE, "finite_draw": COLORS, "latent_mixture": ("Success", "Failure")}
+#: Whom or what a noul asks for.
+ASKED = {"ownership": PEOPLE, "finite_draw": COLORS}
+
+
+def _views(roots: DataFrame, root: str, seed: str, family: str) -> DataFrame:
+    """The views of one family; what depends on the family is settled here, so that no row chooses among all families' expressions."""
+    text, variant = F.col(root).cast("string"), F.col("variant")
+    facts = roots.select(text.alias("root"), F.to_json(facts_of(family, seed, text)).alias("facts"))
+    both = facts.select("root", F.lit(family).alias("family"), F.lit(POOL_OF[family]).alias("pool"), "facts", F.explode(F.array(F.lit(0), F.lit(1))).alias("variant"))
+    kinds = KINDS[family]
+    qtype = F.when(variant == 0, kinds[0]).otherwise(kinds[1]) if kinds[0] != kinds[1] else F.lit(kinds[0])
+    order, asked = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
+    if family in CHOICES:
+        keyed = F.array(*[F.struct(drawn(f"{seed}/order", F.lit(family), "root", variant, F.lit(n)).alias("h"), F.lit(n).alias("n")) for n in CHOICES[family]])
+        order = F.when(qtype == "choice", F.transform(F.array_sort(keyed), lambda x: x["n"]))
+    if family in ASKED:
+        names = ASKED[family]
+        asked = F.when(qtype == "noul", F.array(*[F.lit(n) for n in names])[chance(f"{seed}/asked", F.col("root"), "name", len(names))])
+    group = F.concat_ws(":", "pool", "family", "root")
+    return both.select("*", qtype.alias("qtype"), group.alias("group_id"), F.concat(group, F.lit(":base")).alias("case_id"), F.concat(group, F.lit(":view"), variant.cast("string")).alias("view_id"), variant.alias("wording"), asked.alias("asked"), order.alias("order"))
 
 
 def views(roots: DataFrame, root: str, seed: str, families: tuple[str, ...] = tuple(POOL_OF)) -> DataFrame:
     """Two rows for each value of `root` and family: root, family, pool, variant, ids, facts (JSON), qtype, wording, asked and order."""
-    every = reduce(DataFrame.unionByName, [roots.select(F.col(root).cast("string").alias("root"), F.lit(f).alias("family"), F.lit(POOL_OF[f]).alias("pool"), F.to_json(facts_of(f, seed, F.col(root).cast("string"))).alias("facts")) for f in families])
-    both = every.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("variant"))
-    family, variant = F.col("family"), F.col("variant")
-    kind = reduce(lambda acc, f: acc.when(family == f, F.when(variant == 0, KINDS[f][0]).otherwise(KINDS[f][1])), families[1:], F.when(family == families[0], F.when(variant == 0, KINDS[families[0]][0]).otherwise(KINDS[families[0]][1])))
-    both = both.withColumn("qtype", kind)
-
-    def shuffled(names) -> Column:
-        keyed = F.array(*[F.struct(drawn(f"{seed}/order", family, "root", variant, F.lit(n)).alias("h"), F.lit(n).alias("n")) for n in names])
-        return F.transform(F.array_sort(keyed), lambda x: x["n"])
-
-    order = F.lit(None).cast("array<string>")
-    for f in families:
-        if f in CHOICES:
-            order = F.when((family == f) & (F.col("qtype") == "choice"), shuffled(CHOICES[f])).otherwise(order)
-    name = lambda names: F.array(*[F.lit(n) for n in names])[chance(f"{seed}/asked", F.col("root"), "name", len(names))]
-    asked = F.when((family == "ownership") & (F.col("qtype") == "noul"), name(PEOPLE)).when((family == "finite_draw") & (F.col("qtype") == "noul"), name(COLORS))
-    group = F.concat_ws(":", "pool", "family", "root")
-    return both.select("*", group.alias("group_id"), F.concat(group, F.lit(":base")).alias("case_id"), F.concat(group, F.lit(":view"), variant.cast("string")).alias("view_id"), variant.alias("wording"), asked.alias("asked"), order.alias("order"))
+    return reduce(DataFrame.unionByName, [_views(roots, root, seed, f) for f in families])
 
 
 def grid(roots: DataFrame, root: str, seed: str, families: tuple[str, ...] = tuple(POOL_OF)) -> DataFrame:
-    """The grid's records: views presented and solved from what they show."""
-    return records(solved(presented(views(roots, root, seed, families))))
+    """The grid's records: views presented and solved from what they show, family by family."""
+    one = lambda f: records(solved(presented(_views(roots, root, seed, f), (f,)), families=(f,)))
+    return reduce(DataFrame.unionByName, [one(f) for f in families])

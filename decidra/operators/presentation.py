@@ -82,6 +82,7 @@ OBSERVATIONS = {
     "without_replacement": "red int, blue int, draws int",
 }
 PAIR = "struct<key:string,desc:string>"
+FAMILIES = tuple(POOL_OF)
 
 
 def _by(column: Column, cases: dict, otherwise: Column | None = None) -> Column:
@@ -89,6 +90,8 @@ def _by(column: Column, cases: dict, otherwise: Column | None = None) -> Column:
     start = None
     for value, result in cases.items():
         start = F.when(column == value, result) if start is None else start.when(column == value, result)
+    if start is None:
+        return F.lit(None) if otherwise is None else otherwise
     return start if otherwise is None else start.otherwise(otherwise)
 
 
@@ -105,34 +108,38 @@ def _pairs(items) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("key"), F.lit(d).cast("string").alias("desc")) for k, d in items])
 
 
-def state_of(family: Column, facts: Column) -> Column:
+def state_of(family: Column, facts: Column, families: tuple[str, ...] = FAMILIES) -> Column:
     """The visible state: the observations, and the policy or process."""
-    rules = {f: F.to_json(F.struct(F.lit(r).alias("x"))) for f, r in RULES.items()}
+    rules = {f: F.to_json(F.struct(F.lit(r).alias("x"))) for f, r in RULES.items() if f in families}
     counted = lambda draw: _filled(RULES["without_replacement"], draws=draw["draws"], red=draw["red"], blue=draw["blue"])
-    rules["without_replacement"] = F.to_json(F.struct(let(_facts("without_replacement", facts), counted).alias("x")))
+    if "without_replacement" in families:
+        rules["without_replacement"] = F.to_json(F.struct(let(_facts("without_replacement", facts), counted).alias("x")))
     name = F.when(family.isin(*[f for f, p in POOL_OF.items() if p == "synthetic_probability"]), "process").otherwise("policy")
     rule = _by(family, rules)
     return F.concat(F.lit('{"observations":'), facts, F.lit(',"'), name, F.lit('":'), F.substring(rule, F.lit(6), F.length(rule) - 6), F.lit("}"))
 
 
-def instructions_of(family: Column, qtype: Column, wording: Column, asked: Column) -> Column:
-    cases = {f"{f}/{q}": F.when(wording == 0, texts[0]).otherwise(texts[1]) for (f, q), texts in QUESTIONS.items()}
+def instructions_of(family: Column, qtype: Column, wording: Column, asked: Column, families: tuple[str, ...] = FAMILIES) -> Column:
+    cases = {f"{f}/{q}": F.when(wording == 0, texts[0]).otherwise(texts[1]) for (f, q), texts in QUESTIONS.items() if f in families}
     return F.replace(_by(F.concat_ws("/", family, qtype), cases), F.lit("{}"), F.coalesce(asked, F.lit("")))
 
 
-def options_of(family: Column, qtype: Column, order: Column, facts: Column) -> Column:
+def options_of(family: Column, qtype: Column, order: Column, facts: Column, families: tuple[str, ...] = FAMILIES) -> Column:
     """The displayed options: the order given for a choice, the rubric for a score, false and true for a noul."""
     count = F.transform(F.sequence(F.lit(0), F.get_json_object(facts, "$.draws").cast("int")), lambda i: F.struct(i.cast("string").alias("key"), F.replace(F.lit(COUNTED), F.lit("{}"), i.cast("string")).alias("desc")))
-    scores = {f: _pairs([(str(i), text) for i, text in enumerate(texts)]) for f, texts in RUBRICS.items()}
+    scores = {f: _pairs([(str(i), text) for i, text in enumerate(texts)]) for f, texts in RUBRICS.items() if f in families}
     plain = F.transform(order, lambda k: F.struct(k.alias("key"), F.lit(None).cast("string").alias("desc")))
     noul = F.when(family == "preservation", _pairs(ALLOWED.items())).otherwise(_pairs([("false", None), ("true", None)]))
     return F.when(qtype == "noul", noul).when(qtype == "choice", plain).when(family == "without_replacement", count).otherwise(_by(family, scores)).cast(f"array<{PAIR}>")
 
 
-def presented(rows: DataFrame) -> DataFrame:
-    """Adds state, instructions and options to rows of family, facts (JSON), qtype, wording (0 or 1), asked (a person or colour, or null) and order (keys, or null)."""
+def presented(rows: DataFrame, families: tuple[str, ...] = FAMILIES) -> DataFrame:
+    """Adds state, instructions and options to rows of family, facts (JSON), qtype, wording (0 or 1), asked (a person or colour, or null) and order (keys, or null).
+
+    Where the rows are known to be of some families only, naming them leaves the others' expressions out; so in `solved` and `problem`.
+    """
     f, q = F.col("family"), F.col("qtype")
-    return rows.withColumn("state", state_of(f, F.col("facts"))).withColumn("instructions", instructions_of(f, q, F.col("wording"), F.col("asked"))).withColumn("options", options_of(f, q, F.col("order"), F.col("facts")))
+    return rows.select("*", state_of(f, F.col("facts"), families).alias("state"), instructions_of(f, q, F.col("wording"), F.col("asked"), families).alias("instructions"), options_of(f, q, F.col("order"), F.col("facts"), families).alias("options"))
 
 
 def asked_of(family: Column, instructions: Column) -> Column:
@@ -155,41 +162,49 @@ def _event(p: Column, keys: Column, yes: str) -> Column:
     return F.transform(keys, lambda k: F.when(k == yes, p).otherwise(F.struct((p["d"] - p["n"]).alias("n"), p["d"].alias("d"))))
 
 
-def solved(rows: DataFrame, name: str = "exact") -> DataFrame:
+def solved(rows: DataFrame, name: str = "exact", families: tuple[str, ...] = FAMILIES) -> DataFrame:
     """Adds `name`: of each option its exact chance as a fraction (n, d), from state, instructions and options alone; null where the text can't be solved."""
-    family, qtype = F.col("family"), F.col("qtype")
-    seen = F.get_json_object("state", "$.observations")
-    process = F.get_json_object("state", "$.process")
-    keys = F.transform("options", lambda o: o["key"])
-    asked = asked_of(family, F.col("instructions"))
-    # Parsed once, however often a solver looks at a fact.
-    given = lambda family, body: let(_facts(family, seen), body)
-    pattern = RULES["without_replacement"].replace(".", r"\.").replace("{draws}", r"(\d+)").replace("{red}", r"(\d+)").replace("{blue}", r"(\d+)")
-    number = lambda i: F.nullif(F.regexp_extract(process, pattern, i), F.lit("")).cast("int")
+    family, qtype, keys, asked, answer = (F.col(c) for c in ("family", "qtype", "__keys", "__asked", "__answer"))
+    # A state is parsed once, into a column of its own for each family, and each key sees an answer that is already there.
+    observed = {f: F.when(family == f, F.from_json("state", f"observations struct<{OBSERVATIONS[f]}>")["observations"]) for f in families if f != "without_replacement"}
+    process = F.when(family == "without_replacement", F.from_json("state", "process string")["process"])
+    parsed = rows.select("*", F.transform("options", lambda o: o["key"]).alias("__keys"), asked_of(family, F.col("instructions")).alias("__asked"), process.alias("__process"), *[x.alias(f"__seen_{f}") for f, x in observed.items()])
+    seen = {f: F.col(f"__seen_{f}") for f in observed}
+    of = lambda f, names: [seen[f][c] for c in names.split()]
     yes = lambda c: F.when(c, "true").otherwise("false")
-
-    def owner(f: Column) -> Column:
-        last = R.final_owner(f["initial_owner"], f["events"])
-        return F.when(qtype == "noul", F.when(asked.isNotNull(), yes(last == asked))).otherwise(last)
-
-    def drawn(f: Column) -> Column:
-        total = F.aggregate(F.map_values(f["counts"]), F.lit(0).cast("long"), lambda a, x: a + x)
-        chance = lambda color: R.fraction(F.coalesce(F.try_element_at(f["counts"], color), F.lit(0)).cast("long"), total)
-        return F.when(qtype == "noul", F.when(asked.isNotNull(), let(chance(asked), lambda p: _event(p, keys, "true")))).otherwise(F.transform(keys, chance))
-
-    level = lambda of: lambda f: _hard(keys, of(f).cast("string"))
-    cases = {
-        "eligibility": given("eligibility", lambda f: _hard(keys, R.eligible(f["candidates"], f["minimum_capacity"], f["maximum_delay"]))),
-        "preservation": given("preservation", lambda f: _hard(keys, yes(R.preserved(*[f[c] for c in ("authorized", "frozen", "balance", "change", "reserve", "ceiling")])))),
-        "ownership": given("ownership", lambda f: _hard(keys, owner(f))),
-        "shipment": given("shipment", level(lambda f: R.shipment_level(*[f[c] for c in ("packed", "required", "seal_intact", "inspection", "handed_over", "receipt_validation")]))),
-        "laboratory": given("laboratory", level(R.laboratory_level)),
-        "deployment": given("deployment", level(R.deployment_level)),
-        "finite_draw": given("finite_draw", drawn),
-        "latent_mixture": given("latent_mixture", lambda f: let(R.latent_mixture(f["mechanisms"]), lambda x: F.when(x.isNotNull(), F.when(qtype == "noul", _event(x, keys, "true")).otherwise(_event(x, keys, "Success"))))),
-        "without_replacement": let(F.struct(number(1).alias("n"), number(2).alias("red"), number(3).alias("blue")), lambda f: F.when(f["n"].isNotNull(), R.without_replacement(f["red"], f["blue"], f["n"]))),
-    }
-    return rows.withColumn(name, _by(family, cases))
+    total = lambda counts: F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda a, x: a + x)
+    pattern = RULES["without_replacement"].replace(".", r"\.").replace("{draws}", r"(\d+)").replace("{red}", r"(\d+)").replace("{blue}", r"(\d+)")
+    number = lambda i: F.nullif(F.regexp_extract("__process", pattern, i), F.lit("")).cast("int")
+
+    # By family, what its facts come to: an answer for hard targets, a number or a fraction for others.
+    first = {
+        "eligibility": lambda: R.eligible(*of("eligibility", "candidates minimum_capacity maximum_delay")),
+        "preservation": lambda: yes(R.preserved(*of("preservation", "authorized frozen balance change reserve ceiling"))),
+        "ownership": lambda: R.final_owner(*of("ownership", "initial_owner events")),
+        "shipment": lambda: R.shipment_level(*of("shipment", "packed required seal_intact inspection handed_over receipt_validation")).cast("string"),
+        "laboratory": lambda: R.laboratory_level(seen["laboratory"]).cast("string"),
+        "deployment": lambda: R.deployment_level(seen["deployment"]).cast("string"),
+    }
+    hard = {f: x() for f, x in first.items() if f in families}
+    known = [_by(family, hard).cast("string").alias("__answer")]
+    if "finite_draw" in families:
+        known.append(total(seen["finite_draw"]["counts"]).alias("__total"))
+    if "latent_mixture" in families:
+        known.append(R.latent_mixture(seen["latent_mixture"]["mechanisms"]).alias("__mixture"))
+    if "without_replacement" in families:
+        known += [number(i + 1).alias(f"__{c}") for i, c in enumerate(("draws", "red", "blue"))]
+    rows_known = parsed.select("*", *known)
+
+    chance = lambda color: R.fraction(F.coalesce(F.try_element_at(seen["finite_draw"]["counts"], color), F.lit(0)).cast("long"), F.col("__total"))
+    last = {
+        "ownership": lambda: F.when(qtype == "noul", F.when(asked.isNotNull(), let(yes(answer == asked), lambda a: _hard(keys, a)))).otherwise(_hard(keys, answer)),
+        "finite_draw": lambda: F.when(qtype == "noul", F.when(asked.isNotNull(), let(chance(asked), lambda p: _event(p, keys, "true")))).otherwise(F.transform(keys, chance)),
+        "latent_mixture": lambda: F.when(F.col("__mixture").isNotNull(), F.when(qtype == "noul", _event(F.col("__mixture"), keys, "true")).otherwise(_event(F.col("__mixture"), keys, "Success"))),
+        "without_replacement": lambda: F.when(F.col("__draws").isNotNull(), R.without_replacement(F.col("__red"), F.col("__blue"), F.col("__draws"))),
+    }
+    cases = {f: last[f]() if f in last else _hard(keys, answer) for f in families}
+    kept = [F.col(c) for c in rows.columns if c != name]
+    return rows_known.select(*kept, _by(family, cases).alias(name))
 
 
 def fractions_text(exact: Column) -> Column:
@@ -198,33 +213,33 @@ def fractions_text(exact: Column) -> Column:
 
 def records(rows: DataFrame) -> DataFrame:
     """Stored records of presented and solved rows: kind, template, stratum, option ids, probabilities by key, and the written fractions."""
-    keys = F.transform("options", lambda o: o["key"])
+    keys = F.col("__keys")
     soft = F.col("pool") == "synthetic_probability"
     best = F.get(keys, (F.array_position(F.transform("exact", lambda f: f["n"]), _one()) - 1).cast("int"))
-    return rows.select(
-        "*", F.when(soft, "known_distribution").otherwise("hard").alias("kind"), keys.alias("keys"), F.transform("exact", lambda f: f["n"] / f["d"]).alias("probabilities"), fractions_text(F.col("exact")).alias("fractions"),
+    return rows.select("*", F.transform("options", lambda o: o["key"]).alias("__keys")).select(
+        *rows.columns, F.when(soft, "known_distribution").otherwise("hard").alias("kind"), keys.alias("keys"), F.transform("exact", lambda f: f["n"] / f["d"]).alias("probabilities"), fractions_text(F.col("exact")).alias("fractions"),
         F.transform(keys, lambda k: F.concat_ws(":", "family", "qtype", k)).alias("option_ids"), F.concat_ws(".", "family", "qtype", F.concat(F.lit("v"), (F.col("wording") + 1).cast("string"))).alias("template_id"),
         F.when(soft, F.concat_ws("/", "family", "qtype")).otherwise(F.concat_ws("/", "family", "qtype", best)).alias("sampling_stratum"),
     )
 
 
-def problem(rows: DataFrame, name: str = "problem") -> DataFrame:
+def problem(rows: DataFrame, name: str = "problem", families: tuple[str, ...] = FAMILIES) -> DataFrame:
     """Adds `name`: the first thing wrong with a stored record, or null.
 
     pool, presentation (state, instructions or options aren't what the facts render to), template, options (fewer than two, or ids that don't fit), unsolvable, kind, keys (of the probabilities, in order),
     not_one_hot, target (a probability isn't the chance that follows from the visible text), fractions, sum.
     """
     f, q = F.col("family"), F.col("qtype")
-    keys = F.transform("options", lambda o: o["key"])
+    keys = F.col("__keys")
     differs = lambda a, b: ~a.eqNullSafe(b)
-    solved_rows = solved(rows, "__exact")
+    solved_rows = solved(rows, "__exact", families).select("*", F.transform("options", lambda o: o["key"]).alias("__keys"))
     exact = F.col("__exact")
     off = F.exists(F.zip_with("probabilities", exact, lambda p, x: F.coalesce(F.abs(p - x["n"] / x["d"]) > 1e-12, F.lit(True))), lambda bad: bad)
     total = F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x)
     soft = F.col("pool") == "synthetic_probability"
     first = (
-        F.when(differs(_by(f, {k: F.lit(v) for k, v in POOL_OF.items()}), F.col("pool")), "pool")
-        .when(differs(state_of(f, F.col("facts")), F.col("state")) | differs(instructions_of(f, q, F.col("wording"), F.col("asked")), F.col("instructions")) | differs(options_of(f, q, F.col("order"), F.col("facts")), F.col("options")), "presentation")
+        F.when(differs(_by(f, {k: F.lit(v) for k, v in POOL_OF.items() if k in families}), F.col("pool")), "pool")
+        .when(differs(state_of(f, F.col("facts"), families), F.col("state")) | differs(instructions_of(f, q, F.col("wording"), F.col("asked"), families), F.col("instructions")) | differs(options_of(f, q, F.col("order"), F.col("facts"), families), F.col("options")), "presentation")
         .when(differs(F.concat_ws(".", f, q, F.concat(F.lit("v"), (F.col("wording") + 1).cast("string"))), F.col("template_id")) | (F.coalesce("sampling_stratum", F.lit("")) == ""), "template")
         .when((F.size(keys) < 2) | differs(F.transform(keys, lambda k: F.concat_ws(":", f, q, k)), F.col("option_ids")) | (F.size(F.array_distinct(keys)) < F.size(keys)), "options")
         .when(exact.isNull() | F.exists(exact, lambda x: x.isNull()), "unsolvable")
@@ -233,4 +248,4 @@ def problem(rows: DataFrame, name: str = "problem") -> DataFrame:
         .when(~soft & (F.size(F.filter(exact, lambda x: x["n"] == x["d"])) != 1), "not_one_hot")
         .when(off, "target").when(differs(F.col("fractions"), fractions_text(exact)), "fractions").when(~F.coalesce(F.abs(total - 1) <= 1e-12, F.lit(False)), "sum")
     )
-    return solved_rows.withColumn(name, first).drop("__exact")
+    return solved_rows.withColumn(name, first).drop("__exact", "__keys")
