@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 # Code point ranges of scripts, in order of precedence.
 SCRIPTS = {
     "greek": r"\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}",
@@ -52,15 +54,26 @@ FOREIGN_RATE = 0.02
 MOST_CHARS = 4000
 
 
-def _count(text: Column, inside: str) -> Column:
-    """Letters of `text` in a class of code points."""
-    return F.length(text) - F.length(F.regexp_replace(text, rf"[\p{{L}}&&[{inside}]]", ""))
+def _without(text: Column, letters: str) -> Column:
+    """`text` without runs of a class of characters."""
+    return F.regexp_replace(text, f"{letters}+", "")
 
 
 def script_counts(text: Column) -> Column:
-    """Letters per script, as an array of (script, n) with n > 0; Latin comes last."""
-    each = [F.struct(F.lit(name).alias("script"), _count(text, ranges).alias("n")) for name, ranges in (*SCRIPTS.items(), ("latin", LATIN))]
-    return F.filter(F.array(*each), lambda s: s["n"] > 0)
+    """Letters per script, as an array of (script, n) with n > 0; Latin comes last.
+
+    Latin letters are taken out first, then what is no letter; the other scripts are looked for in what is left, which is nothing in most Latin texts.
+    """
+
+    def counted(s: Column) -> Column:
+        return let(F.struct((s["all"] - F.length(s["rest"])).alias("latin"), _without(s["rest"], r"\P{L}").alias("letters")), by_script)
+
+    def by_script(s: Column) -> Column:
+        latin = F.struct(F.lit("latin").alias("script"), s["latin"].alias("n"))
+        others = [F.struct(F.lit(name).alias("script"), (F.length(s["letters"]) - F.length(_without(s["letters"], f"[{ranges}]"))).alias("n")) for name, ranges in SCRIPTS.items()]
+        return F.filter(F.when(s["letters"] == "", F.array(latin)).otherwise(F.array(*others, latin)), lambda x: x["n"] > 0)
+
+    return let(F.struct(F.length(text).alias("all"), _without(text, rf"[\p{{L}}&&[{LATIN}]]").alias("rest")), counted)
 
 
 def dominant_script(counts: Column) -> Column:

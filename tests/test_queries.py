@@ -50,3 +50,20 @@ def test_lines_like_a_signature_stay_in_mails(spark, tmp_path):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     assert ours == {(i, body) for i, _, body in duck.execute(catalog.SQL["email_clean"]).fetchall()}
+
+
+def test_scripts_are_counted_in_one_pass_over_a_text(spark):
+    """Whole texts are gone through once, not once a script; counts are those of a walk over the characters."""
+    import re
+    import unicodedata
+
+    from decidra.functions import lang
+
+    texts = ["", None, "12 !?", "Straße, œuvre", "Привет мир, hello", "αβγ ἀρχή x", "漢字かな交じり文 ab", "한국어 text 1", "שלום سلام नमस्ते ไทย ሰላም", "e\u0301 \U00020000 ⅳ ª", "ქართული" * 50 + "latin" * 60]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", lang.script_counts(lang.F.col("t")).alias("c"))
+    inside = {name: re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{m[1]}", ranges) + "]") for name, ranges in (*lang.SCRIPTS.items(), ("latin", lang.LATIN))}
+    for r in rows.collect():
+        letters = [c for c in texts[r.i] or "" if unicodedata.category(c).startswith("L")]
+        want = [(name, n) for name, p in inside.items() if (n := sum(bool(p.match(c)) for c in letters))]
+        assert [tuple(c) for c in r.c] == want, texts[r.i]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(t#") == 1
