@@ -258,6 +258,19 @@ def test_exact_normal_form(spark, tmp_path):
     assert got == {i: None if t is None else states.folded(t) for i, t in enumerate(texts)}
 
 
+def test_texts_that_pass_as_plain_have_their_full_normal_form(spark):
+    """Each character alone and between letters, which decides about a final sigma; long texts are gone through without recursion."""
+    from decidra.functions import states
+    from decidra.functions import text as T
+
+    chars = [chr(c) for c in range(0x20, 0x2030) if not 0xD800 <= c < 0xE000]
+    texts = [f"{c} a{c}b{c} Σ".replace("Σ", "" if i % 2 else "z") for i, c in enumerate(chars)] + ["wait…", "ΟΔΟΣ", "Ǆ ĳ ŀ", "e\u0301", "х\u0483", "straße Öl Привет", "aÄя‐" * 50_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.needs_exact(T.F.col("t")).alias("needs"), T.normal(T.F.col("t")).alias("n")).collect()
+    assert [texts[r.i] for r in rows if not r.needs and r.n != states.folded(texts[r.i])] == []
+    assert {r.i - len(chars) for r in rows if r.needs and r.i >= len(chars)} == {0, 1, 2, 3, 4}
+    assert not any(r.needs for r in rows if texts[r.i].isascii())
+
+
 def test_near_pairs_are_those_of_brute_force(spark):
     import random
 
