@@ -30,8 +30,11 @@ PLAIN = (
 
 def normal(text: Column) -> Column:
     """Lower case with sharp s folded, white space collapsed and trimmed."""
-    folded = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-    return F.btrim(F.regexp_replace(folded, SPACES, " "))
+    return F.btrim(F.regexp_replace(_lower(text), SPACES, " "))
+
+
+def _lower(text: Column) -> Column:
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
 def needs_exact(text: Column) -> Column:
@@ -55,8 +58,8 @@ def composed(text: pd.Series) -> pd.Series:
 
 
 def words(text: Column) -> Column:
-    """The words of the normal form, in order."""
-    return F.regexp_extract_all(normal(text), F.lit(WORD), F.lit(0))
+    """The words of the normal form, in order.  White space parts them, collapsed or not."""
+    return F.regexp_extract_all(_lower(text), F.lit(WORD), F.lit(0))
 
 
 def normal_words(text: Column) -> Column:

@@ -20,8 +20,9 @@ MEET = 3
 
 def shingle_sets(units: DataFrame, key: str, tokens: str, k: int, least: int) -> DataFrame:
     """key, s (hashes of the distinct shingles) and n of each unit that has some: a written table."""
-    cut = units.select(key, shingle_hashes(F.col(tokens), k, least).alias("s")).where(F.size("s") > 0)
-    return stored(cut.select(key, "s", F.size("s").alias("n")), "sets")
+    cut = units.select(key, shingle_hashes(F.col(tokens), k, least).alias("s"))
+    # Empty ones are left out of what was written: before, the condition would cut all texts a second time.
+    return stored(cut.select(key, "s", F.size("s").alias("n")), "sets").where("n > 0")
 
 
 def _among(rows: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
@@ -39,6 +40,23 @@ def without_copies(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return _among(rows, key, ids, "left_anti")
 
 
+def matched_sets(units: DataFrame, key: str, tokens: str, k: int, least: int, other: DataFrame) -> DataFrame:
+    """Likewise, but s has only the shingles that `other` sets have, n still counts all, and units without any are left out."""
+    cut = units.select(key, shingle_hashes(F.col(tokens), k, least).alias("s"))
+    # The outer form, as for the inner one the optimizer asks for the size first, and the texts would be cut twice.
+    each = cut.select(key, F.size("s").alias("n"), F.explode_outer("s").alias("x"))
+    found = of_ids(each, "x", other.select(F.explode("s").alias("x")))
+    return stored(found.groupBy(key, "n").agg(F.collect_list("x").alias("s")).select(key, "s", "n"), "sets")
+
+
+def facing_sets(left: DataFrame, right: DataFrame, left_key: str, right_key: str, tokens: str, k: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Sets of both sides, of which the larger side's have only the shingles that the smaller side has: what two sets share is still all there."""
+    if left.count() > right.count():
+        return facing_sets(right, left, right_key, left_key, tokens, k, least)[::-1]
+    a = shingle_sets(left, left_key, tokens, k, least)
+    return a, matched_sets(right, right_key, tokens, k, least, a)
+
+
 def meetings(left: DataFrame, right: DataFrame, left_key: str, right_key: str, share: float, fits=None) -> DataFrame:
     """Pairs (left_key, right_key) of sets that may have `share` of the smaller one in common.
 
@@ -81,7 +99,7 @@ def near_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     """Pairs with jaccard at or above its threshold, or with containment in the smaller set
     and enough distinct words in common.  Uncapped; keys must differ in name.
     """
-    a, b = shingle_sets(left, left_key, tokens, k, least), shingle_sets(right, right_key, tokens, k, least)
+    a, b = facing_sets(left, right, left_key, right_key, tokens, k, least)
     hits = counted(meetings(a, b, left_key, right_key, min(jaccard, containment)), a, b, left_key, right_key)
     scored = hits.select(
         left_key, right_key, "shared_shingles",
@@ -214,7 +232,7 @@ def firewall(candidates: DataFrame, index: DataFrame, key: str, tokens: str = "t
     left = text(candidates)
     exact = left.join(text(index).select("__t").distinct(), "__t", "left_semi").select(key)
     units = stored(index.select(F.monotonically_increasing_id().alias("__u"), tokens), "units")
-    a, b = shingle_sets(candidates, key, tokens, k, least), shingle_sets(units, "__u", tokens, k, least)
+    a, b = facing_sets(candidates, units, key, "__u", tokens, k, least)
     if posting_cap is not None:
         each = b.select("__u", F.posexplode("s").alias("p", "x"))
         usual = each.groupBy("x").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= posting_cap).select("x")

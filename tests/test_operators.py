@@ -304,6 +304,28 @@ def test_near_pairs_are_those_of_brute_force(spark):
     assert wanted
 
 
+def test_only_shared_shingles_of_the_larger_side_are_written(spark, monkeypatch):
+    from decidra.operators import similarity
+
+    kept = {}
+    monkeypatch.setattr(similarity, "stored", lambda df, name, real=similarity.stored: kept.setdefault(name, []).append(out := real(df, name)) or out)
+    few = spark.createDataFrame([(0, [f"w{i}" for i in range(30)]), (1, ["short"])], "p long, tokens array<string>")
+    many = spark.createDataFrame([(i, [f"w{j}" if i < 2 else f"x{i}_{j}" for j in range(30)] + [f"y{j}" for j in range(i)]) for i in range(9)], "q long, tokens array<string>")
+    for left, right in ((few, many), (many, few)):
+        kept.clear()
+        found = similarity.near_pairs(left, right, *left.columns[:1], *right.columns[:1]).select("p", "q", "jaccard").collect()
+        assert sorted(map(tuple, found)) == [(0, 0, 1.0), (0, 1, 26 / 27)]
+        assert sorted((r["q"], r["n"], len(r["s"])) for t in kept["sets"] if "q" in t.columns for r in t.collect()) == [(0, 26, 26), (1, 27, 26)]
+
+
+def test_words_are_those_of_the_normal_form(spark):
+    from decidra.functions import text as T
+
+    texts = ["Straße\u2003A_b\x1c\x85c-d", " \tÀ\x0bB ", "", None, "e\u0301 1½ x\u00a0Y"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.words(T.F.col("t")).alias("w"), T.F.regexp_extract_all(T.normal(T.F.col("t")), T.F.lit(T.WORD), T.F.lit(0)).alias("v"))
+    assert [r.w for r in rows.collect()] == [r.v for r in rows.collect()]
+
+
 def test_spans_of_few_texts_are_held_at_once(spark, monkeypatch):
     from decidra.operators import spans
 
