@@ -15,7 +15,7 @@ from ..functions.text import normal
 from .components import components, propagated, star_edges
 from .joins import key_matches
 from .similarity import exact_pairs, near_pairs
-from .spans import with_spans
+from .spans import runs_of, with_spans
 from .tables import stored
 from .windows import evidence_numbers
 
@@ -31,6 +31,8 @@ ALIASES = {
     "aegis2": ("aegis2", "nvidia/aegis-ai-content-safety-dataset-2.0"), "helpsteer2": ("helpsteer2", "nvidia/helpsteer2"), "pubmedqa": ("pubmedqa", "qiaojin/pubmed_qa"),
     "contractnli": ("contractnli", "contract-nli", "stanfordnlp/contract-nli"), "forecastbench": ("forecastbench", "forecastingresearch/forecastbench-datasets"),
 }
+#: Up to so many different runs of words are known to every task; with more, the spans of all exposures are cut.
+MOST_RUNS = 100_000
 PRECEDENCE = ("raw_id", "exact_whole_state", "exact_content", "near_content")
 
 
@@ -71,13 +73,16 @@ def evidence(rows: DataFrame, exposures: DataFrame, t: Thresholds = Thresholds()
     shared_words.
 
     rows: id, state, raw (an identity to join by, or null), state_key; exposures: exposure,
-    state, raw, state_key.  Equal spans meet once and get their owners back afterwards.
+    state, raw, state_key.  Equal spans meet once and get their owners back afterwards.  Spans are
+    cut only of exposures that share a run of words with a row: no other has equal or near ones.
     """
     ours = stored(with_spans(rows, "id", "state", t.exact_words, t.group_words), "spans")
-    theirs = stored(with_spans(exposures, "exposure", "state", t.exact_words, t.group_words), "spans")
+    theirs = stored(with_spans(exposures, "exposure", "state", t.exact_words, t.group_words, runs_of(ours, MOST_RUNS)), "spans")
     pairs = []
     for kind, key in (("raw_id", "raw"), ("exact_whole_state", "state_key")):
-        pairs.append(key_matches(rows, exposures, key, "id", "exposure").select("id", "exposure", F.lit(kind).alias("kind"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("containment"), F.lit(None).cast("int").alias("shared_words")))
+        # Whole states are long, so keys meet by 256-bit digests.
+        digests = lambda side: side.withColumn(key, F.sha2(F.col(key), 256))  # noqa: E731, B023
+        pairs.append(key_matches(digests(rows), digests(exposures), key, "id", "exposure").select("id", "exposure", F.lit(kind).alias("kind"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("containment"), F.lit(None).cast("int").alias("shared_words")))
     unit = lambda spans, name: spans.groupBy("normalized").agg(F.first("tokens").alias("tokens")).withColumn(name, F.col("normalized"))
     a, b = stored(unit(ours, "ours"), "units"), stored(unit(theirs, "theirs"), "units")
     exact = exact_pairs(a, b, "ours", "theirs").select("ours", "theirs", F.lit("exact_content").alias("kind"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("containment"), F.lit(None).cast("int").alias("shared_words"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.states import flat, folded, parse_or_keep
+from .tables import stored
 
 # Fields that hold instructions rather than content, and fields of documents.
 IGNORED = frozenset(
@@ -19,6 +20,8 @@ LABEL = re.compile(r"^\s*([A-Za-z][A-Za-z _-]{0,45}):\s*(.*)$")
 WORDS = re.compile(r"\w+")
 #: Texts whose spans are held at once.
 TEXTS = 32
+#: Words of the runs by which states may meet; similar spans share runs of as many.
+RUN = 5
 FIELDS = "field string, text string, normalized string, tokens array<string>, group_link boolean"
 
 
@@ -89,9 +92,32 @@ def spans_of(state, exact_words: int = 3, group_words: int = 40) -> list[tuple[s
     return out
 
 
-def with_spans(rows: DataFrame, key: str, state: str, exact_words: int = 3, group_words: int = 40) -> DataFrame:
-    """One row per span: the key and the columns of FIELDS.  States are JSON or plain text."""
+def content_words(state) -> list[str]:
+    """The words of all of a state's text.  Each of its spans is a part of that text, so the span's words are a run of these."""
+    return WORDS.findall(folded("\n".join(x for _, _, text in leaves(state) for _, _, lines in sections(text) for x in lines)))
+
+
+def runs_of(spans: DataFrame, most: int) -> dict[int, set] | None:
+    """Runs of up to RUN words, by length: all of the longer spans' and the shorter spans themselves.  None if there are more than `most`."""
+    n = F.size("tokens")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(n - RUN, F.lit(0))), lambda i: F.slice("tokens", i + 1, RUN))
+    found = stored(spans.where(n > 0).select(F.explode(cut).alias("r")).distinct(), "runs")
+    if found.count() > most:
+        return None
+    out: dict[int, set] = {}
+    for r in found.toLocalIterator():
+        out.setdefault(len(r["r"]), set()).add(tuple(r["r"]))
+    return out
+
+
+def may_meet(words: list[str], runs: dict[int, set]) -> bool:
+    return any(not found.isdisjoint(zip(*(words[i:] for i in range(k)), strict=False)) for k, found in runs.items())
+
+
+def with_spans(rows: DataFrame, key: str, state: str, exact_words: int = 3, group_words: int = 40, meeting: dict[int, set] | None = None) -> DataFrame:
+    """One row per span: the key and the columns of FIELDS.  States are JSON or plain text; with `meeting`, only those that have one of these runs of words."""
     kind = rows.schema[key].dataType.simpleString()
+    wanted = None if meeting is None else rows.sparkSession.sparkContext.broadcast(meeting)
 
     def run(batches):
         for batch in batches:
@@ -104,7 +130,10 @@ def with_spans(rows: DataFrame, key: str, state: str, exact_words: int = 3, grou
         for i, text in enumerate(batch.column(1).to_pylist()):
             if text is None:
                 continue
-            for span in spans_of(parse_or_keep(text), exact_words, group_words):
+            value = parse_or_keep(text)
+            if wanted is not None and not may_meet(content_words(value), wanted.value):
+                continue
+            for span in spans_of(value, exact_words, group_words):
                 taken.append(i)
                 for column, x in zip(out, span, strict=True):
                     column.append(x)

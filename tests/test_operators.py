@@ -334,3 +334,28 @@ def test_spans_of_few_texts_are_held_at_once(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "id long, state string").coalesce(1)
     got = spans.with_spans(frame, "id", "state").select("id", "field", "normalized").collect()
     assert [(r.id, r.field, r.normalized) for r in got] == [(i, s[0], s[2]) for i, t in rows if t for s in spans.spans_of(t)]
+
+
+def test_evidence_cuts_only_exposures_that_share_words(spark, monkeypatch):
+    """With and without the runs of words the evidence is the same; spans of other exposures aren't written."""
+    import json
+    import random
+
+    from decidra.operators import audit
+
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(60)}" for _ in range(rng.choice([3, 4, 14, 30]))] for _ in range(14)]
+    rows = [(str(i), " ".join(t)) for i, t in enumerate(base)] + [("90", "alpha beta gamma"), ("91", json.dumps({"a": "One two, three four", "b": " ".join(base[5])}))]
+    apart = [(f"z{i}", "\n".join(" ".join(f"q{rng.randrange(99)}" for _ in range(9)) for _ in range(4))) for i in range(20)]
+    mixed = [(str(i), "\n".join([" ".join(rng.choice(base)).upper(), "Note: " + " ".join(rng.choice(base)[:-1] + ["x"]), "", "q1 q2 q3"])) for i in range(30)]
+    more = [("e1", "ALPHA\u00a0beta gamma\nother words here"), ("e2", json.dumps({"x": ["one two, three four"], "policy": " ".join(base[3])})), ("e3", None), ("e4", "alpha beta"), ("e5", rows[-1][1])]
+    frame = lambda r, key: spark.createDataFrame(r, f"{key} string, state string").selectExpr("*", "cast(null AS string) AS raw", "lower(state) AS state_key")
+    kept = []
+    monkeypatch.setattr(audit, "stored", lambda df, name, real=audit.stored: kept.append(out := real(df, name)) or out)
+    found = []
+    for most in (audit.MOST_RUNS, 0):
+        monkeypatch.setattr(audit, "MOST_RUNS", most)
+        found.append(sorted(map(tuple, audit.evidence(frame(rows, "id"), frame(apart + mixed + more, "exposure"))[0].fillna(0).collect())))
+    assert found[0] == found[1] and {r[2] for r in found[0]} == {"exact_whole_state", "exact_content", "near_content"}
+    owners = [{r["exposure"] for r in t.select("exposure").collect()} for t in kept if "exposure" in t.columns]
+    assert not any(e.startswith("z") for e in owners[0]) and any(e.startswith("z") for e in owners[1])
