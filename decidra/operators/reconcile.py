@@ -1,8 +1,8 @@
-"""Are two runs over the same structured values the same?  Nested JSON as rows of (key, path, kind, value), joined null-safely.
+"""Are two runs over the same structured values the same?  Nested JSON as rows of (key, path, kind, value), compared null-safely.
 
-Values are exact: 1 isn't 1.0, "1" isn't 1, the order of an object's keys counts, white space between tokens doesn't.  A value is taken apart level by level inside
-the JVM: an object's or array's entries come once as text, which keeps order and digits, and once as VARIANT, which tells a string from a number; only
-containers go on to the next level, each of which is a written table.  Only values whose texts differ are taken apart at all, so runs that agree cost one comparison.
+Values are exact: 1 isn't 1.0, "1" isn't 1, the order of an object's keys counts, white space between tokens doesn't.  Both sides' values are taken apart together,
+level by level inside the JVM: a pair of containers is parsed once and gives the pairs of entries that differ, so nothing is joined by path and what agrees is left
+out with all that it holds.  Each level is a written table.  Strings are marked in the text before anything is parsed, which tells them from numbers at any depth.
 """
 
 from __future__ import annotations
@@ -15,13 +15,33 @@ from pyspark.sql import functions as F
 from .tables import stored
 
 KINDS = ("object", "array", "string", "boolean", "null", "int", "float", "invalid")
+#: A string of valid JSON, keys too; possessive, so that long ones need no stack.
+STRING = r'"([^"\\]*+(?:\\.[^"\\]*+)*+")'
+#: First characters of coded values that aren't JSON as it stands.
+IS_STRING, IS_NULL, IS_INVALID = "s", "n", "i"
 
 
-def kind_of(variant: Column, text: Column) -> Column:
-    kind = F.schema_of_variant(variant)
+def coded(rows: DataFrame, *fields: str) -> DataFrame:
+    """JSON texts in `fields` as the walk has them: every string and key begins with s, a null is n, and what isn't JSON, or has a key twice, is i and the text."""
+    for f in fields:
+        rows = rows.withColumn("__v", F.try_parse_json(f)).withColumn("__m", F.trim(F.regexp_replace(f, STRING, f'"{IS_STRING}$1'), F.lit(" \t\r\n")))
+        code = (
+            F.when(F.col(f).isNull(), None).when(F.col("__v").isNull(), F.concat(F.lit(IS_INVALID), F.col(f)))
+            .when(F.col("__m").startswith('"'), F.concat(F.lit(IS_STRING), F.col("__v").cast("string"))).when(F.col("__m").startswith("n"), IS_NULL).otherwise(F.col("__m"))
+        )
+        rows = rows.withColumn(f, code).drop("__v", "__m")
+    return rows
+
+
+def bare(name: Column) -> Column:
+    return F.substr(name, F.lit(2))
+
+
+def kind_of(code: Column) -> Column:
+    first = F.left(code, F.lit(1))
     return (
-        F.when(variant.isNull() | (kind == "VOID"), "null").when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array")
-        .when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(text.rlike(r"^\s*-?\d+\s*$"), "int").otherwise("float")
+        F.when(code.isNull(), None).when(first == "{", "object").when(first == "[", "array").when(first == IS_STRING, "string").when(first == IS_NULL, "null")
+        .when(first.isin("t", "f"), "boolean").when(first == IS_INVALID, "invalid").when(code.rlike(r"^-?\d+$"), "int").otherwise("float")
     )
 
 
@@ -30,40 +50,59 @@ def step(name: Column) -> Column:
     return F.when(name.rlike(r"^\w+$"), F.concat(F.lit("."), name)).otherwise(F.concat(F.lit('."'), F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
 
 
-def shown(kind: Column, text: Column) -> Column:
+def shown(kind: Column, code: Column, named: Column, placed: Column) -> Column:
     """What is compared: keys in order, the number of elements, or the scalar; floats by their value."""
-    keys = F.to_json(F.json_object_keys(text))
-    size = F.json_array_length(text).cast("string")
-    return F.when(kind == "object", keys).when(kind == "array", size).when(kind == "null", F.lit(None)).when(kind == "float", text.cast("double").cast("string")).when(kind == "int", F.trim(text)).otherwise(text)
+    keys = F.to_json(F.transform(F.map_keys(named), bare))
+    plain = F.when(kind == "float", code.cast("double").cast("string")).when(kind.isin("string", "invalid"), bare(code)).otherwise(code)
+    return F.when(kind == "object", keys).when(kind == "array", F.size(placed).cast("string")).when(kind == "null", F.lit(None)).otherwise(plain)
 
 
-def leaves(rows: DataFrame, key: str, field: str) -> DataFrame:
-    """key, path, kind, value of every node of the JSON in `field`, the root's path being $.
+def nodes(pairs: DataFrame, key: str, below: bool) -> DataFrame:
+    """One row per pair of codes a and b (null: absent): key, path, problem, kind (of a), ours, theirs, and `inside`, the entries that differ.
 
-    An SQL null has no nodes; a text that isn't JSON, or has a key twice, is one node of the kind invalid.  Depth is bounded only by the data.
+    Unless `below`, a pair with a problem isn't looked into.
     """
-    root = rows.where(F.col(field).isNotNull()).select(key, F.lit("$").alias("path"), F.col(field).alias("text"), F.try_parse_json(F.col(field)).alias("v"))
-    invalid = F.col("v").isNull()
-    text = F.when(F.schema_of_variant("v") == "STRING", F.col("v").cast("string")).otherwise(F.col("text"))
-    level = root.select(key, "path", F.when(invalid, "invalid").otherwise(kind_of(F.col("v"), F.col("text"))).alias("kind"), F.when(invalid, F.col("text")).otherwise(text).alias("text"))
+    some = lambda v: F.coalesce(v, F.lit(IS_NULL))
+    no_map, no_array = F.create_map().cast("map<string,string>"), F.array().cast("array<string>")
+    for c in ("a", "b"):
+        named = F.transform_values(F.from_json(F.when(F.col(c).startswith("{"), F.col(c)), "map<string,string>"), lambda _, v: some(v))
+        placed = F.transform(F.from_json(F.when(F.col(c).startswith("["), F.col(c)), "array<string>"), some)
+        pairs = pairs.withColumns({f"o{c}": F.coalesce(named, no_map), f"p{c}": F.coalesce(placed, no_array), f"k{c}": kind_of(F.col(c))})
+    pairs = pairs.withColumns({f"v{c}": shown(F.col(f"k{c}"), F.col(c), F.col(f"o{c}"), F.col(f"p{c}")) for c in ("a", "b")})
+    problem = (
+        F.when(F.col("ka").isNull(), "missing").when(F.col("kb").isNull(), "extra").when(F.col("ka") != F.col("kb"), "kind_differs")
+        .when(F.col("va").eqNullSafe(F.col("vb")), None).when(F.col("ka") == "object", "keys_differ").when(F.col("ka") == "array", "size_differs").otherwise("value_differs")
+    )
+    unlike = lambda e: ~e["a"].eqNullSafe(e["b"])
+    entry = lambda at, a, b: F.struct(at.alias("step"), a.alias("a"), b.alias("b"))
+    by_key = F.map_filter(F.map_zip_with("oa", "ob", lambda _, a, b: F.struct(a.alias("a"), b.alias("b"))), lambda _, e: unlike(e))
+    by_key = F.transform(F.map_entries(by_key), lambda e: entry(step(bare(e["key"])), e["value"]["a"], e["value"]["b"]))
+    by_place = F.filter(F.transform(F.arrays_zip("pa", "pb"), lambda e, i: entry(F.concat(F.lit("["), i.cast("string"), F.lit("]")), e["pa"], e["pb"])), unlike)
+    pairs = pairs.withColumn("problem", problem)
+    inside = F.concat(by_key, by_place) if below else F.when(F.col("problem").isNull(), F.concat(by_key, by_place))
+    return pairs.select(key, "path", "problem", F.col("ka").alias("kind"), F.col("va").alias("ours"), F.col("vb").alias("theirs"), inside.alias("inside"))
+
+
+def walked(pairs: DataFrame, key: str, below: bool = True) -> DataFrame:
+    """`nodes` of unlike pairs of JSON texts a and b and of all that differs inside them; depth is bounded only by the data."""
+    level = coded(pairs.select(key, "a", "b"), "a", "b").withColumn("path", F.lit("$"))
     found = []
     while True:
-        level = stored(level, "level")
-        found.append(level.select(key, "path", "kind", shown(F.col("kind"), F.col("text")).alias("value")))
-        inside = level.where("kind IN ('object', 'array')")
+        done = stored(nodes(level, key, below), "level")
+        found.append(done.drop("inside"))
+        inside = done.where(F.size("inside") > 0)
         if inside.isEmpty():
             return reduce(DataFrame.unionByName, found)
-        level = children(inside, key)
+        level = inside.select(key, "path", F.explode("inside").alias("e")).select(key, F.concat("path", "e.step").alias("path"), "e.a", "e.b")
 
 
-def children(containers: DataFrame, key: str) -> DataFrame:
-    named = containers.where("kind = 'object'").select(key, "path", F.from_json("text", "map<string,string>").alias("s"), F.from_json("text", "map<string,variant>").alias("v"))
-    named = named.select(key, "path", F.explode(F.arrays_zip(F.map_keys("s").alias("k"), F.map_values("s").alias("t"), F.map_values("v").alias("v"))).alias("e"))
-    named = named.select(key, F.concat("path", step(F.col("e.k"))).alias("path"), kind_of(F.col("e.v"), F.col("e.t")).alias("kind"), F.col("e.t").alias("text"))
-    placed = containers.where("kind = 'array'").select(key, "path", F.from_json("text", "array<string>").alias("s"), F.from_json("text", "array<variant>").alias("v"))
-    placed = placed.select(key, "path", F.posexplode(F.arrays_zip(F.col("s").alias("t"), F.col("v").alias("v"))).alias("i", "e"))
-    placed = placed.select(key, F.concat("path", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("path"), kind_of(F.col("e.v"), F.col("e.t")).alias("kind"), F.col("e.t").alias("text"))
-    return named.unionByName(placed)
+def leaves(rows: DataFrame, key: str, field: str) -> DataFrame:
+    """key, path, kind, value of every node of the JSON in `field`, the root's path being $.
+
+    An SQL null has no nodes; a text that isn't JSON, or has a key twice, is one node of the kind invalid.
+    """
+    alone = rows.where(F.col(field).isNotNull()).select(F.col(key).alias("__k"), F.col(field).alias("a"), F.lit(None).cast("string").alias("b"))
+    return walked(alone, "__k").select(F.col("__k").alias(key), "path", "kind", F.col("ours").alias("value"))
 
 
 def differences(ours: DataFrame, theirs: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -74,15 +113,8 @@ def differences(ours: DataFrame, theirs: DataFrame, key: str, fields: list[str])
     """
     both = ours.select(key, *[F.col(f).alias(f"a_{f}") for f in fields]).join(theirs.select(key, *[F.col(f).alias(f"b_{f}") for f in fields]), key)
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"a_{f}").alias("a"), F.col(f"b_{f}").alias("b")) for f in fields])
-    unlike = both.select(key, F.explode(each).alias("x")).select(key, "x.*").where("NOT a <=> b")
-    unlike = stored(unlike.withColumn("__k", F.struct(key, "field")), "unlike")
-    side = lambda c: leaves(unlike.select("__k", c), "__k", c).select("__k", "path", F.col("kind").alias(f"k{c}"), F.col("value").alias(f"v{c}"))
-    met = side("a").join(side("b"), ["__k", "path"], "full_outer")
-    problem = (
-        F.when(F.col("ka").isNull(), "missing").when(F.col("kb").isNull(), "extra").when(F.col("ka") != F.col("kb"), "kind_differs")
-        .when(F.col("va").eqNullSafe(F.col("vb")), None).when(F.col("ka") == "object", "keys_differ").when(F.col("ka") == "array", "size_differs").otherwise("value_differs")
-    )
-    return met.withColumn("problem", problem).where("problem IS NOT NULL").select("__k.*", "path", "problem", F.col("va").alias("ours"), F.col("vb").alias("theirs"))
+    unlike = both.select(key, F.explode(each).alias("x")).where("NOT x.a <=> x.b").select(F.struct(key, "x.field").alias("__k"), "x.a", "x.b")
+    return walked(stored(unlike, "unlike"), "__k").where("problem IS NOT NULL").select("__k.*", "path", "problem", "ours", "theirs")
 
 
 def reconciled(retained: DataFrame, original: DataFrame, run: DataFrame, key: str, checks: list[tuple[str, str, list[str]]]) -> DataFrame:

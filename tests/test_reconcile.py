@@ -68,3 +68,62 @@ def test_differences(spark):
 def test_no_rows(spark):
     none = spark.createDataFrame([], "id long, j string")
     assert reconcile.differences(none, none, "id", ["j"]).count() == 0
+
+
+def counted(monkeypatch):
+    """Rows of every written table, by name."""
+    found, write = [], reconcile.stored
+    monkeypatch.setattr(reconcile, "stored", lambda rows, name: (done := write(rows, name), found.append((name, done.count())))[0])
+    return found
+
+
+def test_what_agrees_is_not_taken_apart(spark, monkeypatch):
+    found = counted(monkeypatch)
+    ours, theirs = ([{"same": list(range(1000)), "deep": [{"x": i, "y": [i]} for i in range(1000)]} for _ in range(2)] for _ in range(2))
+    theirs[0]["deep"][7]["y"] = [8]
+    rows = [spark.createDataFrame([(i, json.dumps(v, indent=n)) for i, v in enumerate(side)], "id long, j string") for n, side in ((None, ours), (1, theirs))]
+    got = reconcile.differences(*rows, "id", ["j"]).collect()
+    assert [tuple(r) for r in got] == [(0, "j", "$.deep[7].y[0]", "value_differs", "7", "8")]
+    assert sum(n for name, n in found if name == "level") < 20, found
+
+
+def test_differences_equal_two_plain_walks(spark):
+    rng = random.Random(9)
+
+    def changed(v):
+        if rng.random() < 0.25:
+            return made(rng, 2)
+        if isinstance(v, dict):
+            items = [(k, changed(x)) for k, x in v.items() if rng.random() < 0.9]
+            return dict(items[::-1] if rng.random() < 0.2 else items)
+        return [changed(x) for x in v if rng.random() < 0.9] if isinstance(v, list) else v
+
+    odd = ["null", "true", "12", "n", "sx", "", 's"q\\', "{}", "[1]", " \n\t", "a: \"b\", \\\"c\\\\", "😀", None, True, 12, -0.5, 1e300, [], {}, {"": ""}, {"s": "s"}, {"null": None}, [None]]
+    pairs = [(a, b) for a in odd for b in odd] + [({"k": a, "l": [a]}, {"k": b, "l": [b]}) for a in odd for b in odd]
+    pairs += [(v, changed(v)) for v in ([made(rng, -3), made(rng, -3)] for _ in range(150))]
+    texts = [(i, json.dumps(a, ensure_ascii=bool(i % 2)), json.dumps(b, ensure_ascii=bool(i % 3), indent=1 if i % 5 == 0 else None)) for i, (a, b) in enumerate(pairs)]
+    rows = spark.createDataFrame(texts, "id long, a string, b string").repartition(4)
+    got = reconcile.differences(rows.selectExpr("id", "a AS j"), rows.selectExpr("id", "b AS j"), "id", ["j"]).collect()
+
+    def want(a, b):
+        x, y = ({n[0]: n[1:] for n in walk(v)} for v in (a, b))
+        for path in x.keys() | y.keys():
+            (ka, va), (kb, vb) = x.get(path, (None, None)), y.get(path, (None, None))
+            va, vb = (float(v) if k == "float" else v for k, v in ((ka, va), (kb, vb)))
+            if ka != kb:
+                yield path, "missing" if ka is None else "extra" if kb is None else "kind_differs", va, vb
+            elif va != vb:
+                yield path, {"object": "keys_differ", "array": "size_differs"}.get(ka, "value_differs"), va, vb
+
+    number = lambda v: v if v is None or isinstance(v, float) else float(v) if any(c.isdigit() for c in v) and set(v) <= set("0123456789.eE+-") else v
+    assert sorted(((r["id"], r["path"], r["problem"], number(r["ours"]), number(r["theirs"])) for r in got), key=repr) == sorted(
+        ((i, p, w, number(x), number(y)) for i, (a, b) in enumerate(pairs) for p, w, x, y in want(a, b)), key=repr)
+
+
+def test_long_strings_and_wide_values(spark):
+    long = "\\\"\n" * 200_000
+    a = {"t": long, "wide": {f"k{i}": i for i in range(20_000)}, "list": list(range(20_000))}
+    b = {"list": [*range(19_999)], "wide": {f"k{i}": i + (i == 5) for i in reversed(range(20_000))}, "t": long + "."}
+    one = lambda v: spark.createDataFrame([(1, json.dumps(v))], "id long, j string")
+    got = {(r["path"], r["problem"]) for r in reconcile.differences(one(a), one(b), "id", ["j"]).collect()}
+    assert got == {("$", "keys_differ"), ("$.t", "value_differs"), ("$.wide", "keys_differ"), ("$.wide.k5", "value_differs"), ("$.list", "size_differs"), ("$.list[19999]", "extra")}
