@@ -125,12 +125,17 @@ def reconciled(retained: DataFrame, original: DataFrame, run: DataFrame, key: st
     a prediction of an id that the original lacks.
     """
     sides = {"retained": retained, "run": run}
-    hits = []
-    for i, (_, side, fields) in enumerate(checks):
-        hits.append(differences(sides[side], original, key, fields).select(key, F.lit(i).alias("i")))
-    first = reduce(DataFrame.unionByName, hits).groupBy(key).agg(F.min("i").alias("i"))
+    wanted = {side: sorted({f for _, s, fields in checks if s == side for f in fields}) for side in sides}
+    texts = lambda side, fields, to: sides[side].select(key, F.lit(True).alias(f"__{side}"), *[F.col(f).alias(f"{to}_{f}") for f in fields])
+    known = original.select(key, F.lit(True).alias("__original"), *[F.col(f).alias(f"o_{f}") for f in sorted({*wanted["retained"], *wanted["run"]})])
+    both = texts("retained", wanted["retained"], "retained").join(known, key, "left").join(texts("run", wanted["run"], "run"), key, "left")
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"{side}_{f}").alias("a"), F.col(f"o_{f}").alias("b")) for i, (_, side, fields) in enumerate(checks) for f in fields])
+    unlike = F.when(F.col("__original") & F.col("__run"), F.filter(each, lambda x: ~x["a"].eqNullSafe(x["b"])))
+    met = stored(both.select(key, "__original", "__run", unlike.alias("unlike")), "met")
+    hits = walked(met.select(key, F.explode("unlike").alias("x")).select(F.struct(key, "x.i").alias("__k"), "x.a", "x.b"), "__k", below=False)
+    first = hits.where("problem IS NOT NULL").groupBy(F.col(f"__k.{key}").alias(key)).agg(F.min("__k.i").alias("i"))
     reason = reduce(lambda acc, c: acc.when(F.col("i") == c[0], c[1][0]), enumerate(checks), F.when(F.col("__original").isNull(), "unknown_id").when(F.col("__run").isNull(), "missing_prediction"))
-    known = original.select(key, F.lit(True).alias("__original"))
-    ours = retained.select(key).join(known, key, "left").join(run.select(key, F.lit(True).alias("__run")), key, "left").join(first, key, "left").select(key, reason.alias("reason"))
-    foreign = run.select(key).join(known, key, "left_anti").join(retained.select(key), key, "left_anti").select(key, F.lit("foreign_prediction").alias("reason"))
+    ours = met.select(key, "__original", "__run").join(first, key, "left").select(key, reason.alias("reason"))
+    # Distinct keys alone: what was only joined to the original's rows isn't computed for them.
+    foreign = run.select(key).join(original.select(key).distinct(), key, "left_anti").join(met.select(key), key, "left_anti").select(key, F.lit("foreign_prediction").alias("reason"))
     return ours.unionByName(foreign)

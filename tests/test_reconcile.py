@@ -127,3 +127,15 @@ def test_long_strings_and_wide_values(spark):
     one = lambda v: spark.createDataFrame([(1, json.dumps(v))], "id long, j string")
     got = {(r["path"], r["problem"]) for r in reconcile.differences(one(a), one(b), "id", ["j"]).collect()}
     assert got == {("$", "keys_differ"), ("$.t", "value_differs"), ("$.wide", "keys_differ"), ("$.wide.k5", "value_differs"), ("$.list", "size_differs"), ("$.list[19999]", "extra")}
+
+
+def test_reconciled_walks_all_checks_at_once(spark, monkeypatch):
+    found = counted(monkeypatch)
+    made_of = lambda rows, names: spark.createDataFrame(rows, f"id long, {names}")
+    original = made_of([(i, '{"a":[1,{"b":2}]}', "[1]", '["x", "y"]') for i in range(8)], "s string, t string, o string")
+    retained = made_of([(i, '{"a":[1,{"b":3}]}' if i in (1, 2) else '{"a": [1, {"b":2}]}', "[1.0]" if i in (2, 3) else "[1]") for i in (*range(7), 100)], "s string, t string")
+    run = made_of([(i, '["y","x"]' if i in (3, 4) else None if i == 5 else '["x","y"]') for i in (0, 1, 2, 3, 4, 5, 7, 100, 200)], "o string")
+    checks = [("input", "retained", ["s"]), ("target", "retained", ["t"]), ("artifact", "run", ["o"])]
+    got = {r["id"]: r["reason"] for r in reconcile.reconciled(retained, original, run, "id", checks).collect()}
+    assert got == {0: None, 1: "input", 2: "input", 3: "target", 4: "artifact", 5: "artifact", 6: "missing_prediction", 100: "unknown_id", 200: "foreign_prediction"}
+    assert len(found) <= 5, found
