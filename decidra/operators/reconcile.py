@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .tables import stored
 
 KINDS = ("object", "array", "string", "boolean", "null", "int", "float", "invalid")
-#: A string of valid JSON, keys too; possessive, so that long ones need no stack.
-STRING = r'"([^"\\]*+(?:\\.[^"\\]*+)*+")'
+#: A string of JSON, keys too; possessive and with or without its end, so that a text is gone through once and long strings need no stack.
+STRING = r'"([^"\\]*+(?:\\.[^"\\]*+)*+"?+)'
 #: First characters of coded values that aren't JSON as it stands.
 IS_STRING, IS_NULL, IS_INVALID = "s", "n", "i"
 
@@ -77,7 +77,8 @@ def nodes(pairs: DataFrame, key: str, below: bool) -> DataFrame:
     entry = lambda at, a, b: F.struct(at.alias("step"), a.alias("a"), b.alias("b"))
     by_key = F.map_filter(F.map_zip_with("oa", "ob", lambda _, a, b: F.struct(a.alias("a"), b.alias("b"))), lambda _, e: unlike(e))
     by_key = F.transform(F.map_entries(by_key), lambda e: entry(step(bare(e["key"])), e["value"]["a"], e["value"]["b"]))
-    by_place = F.filter(F.transform(F.arrays_zip("pa", "pb"), lambda e, i: entry(F.concat(F.lit("["), i.cast("string"), F.lit("]")), e["pa"], e["pb"])), unlike)
+    by_place = F.filter(F.transform(F.arrays_zip("pa", "pb"), lambda e, i: F.struct(i.alias("i"), e["pa"].alias("a"), e["pb"].alias("b"))), unlike)
+    by_place = F.transform(by_place, lambda e: entry(F.concat(F.lit("["), e["i"].cast("string"), F.lit("]")), e["a"], e["b"]))
     pairs = pairs.withColumn("problem", problem)
     inside = F.concat(by_key, by_place) if below else F.when(F.col("problem").isNull(), F.concat(by_key, by_place))
     return pairs.select(key, "path", "problem", F.col("ka").alias("kind"), F.col("va").alias("ours"), F.col("vb").alias("theirs"), inside.alias("inside"))

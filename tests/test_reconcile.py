@@ -139,3 +139,11 @@ def test_reconciled_walks_all_checks_at_once(spark, monkeypatch):
     got = {r["id"]: r["reason"] for r in reconcile.reconciled(retained, original, run, "id", checks).collect()}
     assert got == {0: None, 1: "input", 2: "input", 3: "target", 4: "artifact", 5: "artifact", 6: "missing_prediction", 100: "unknown_id", 200: "foreign_prediction"}
     assert len(found) <= 5, found
+
+
+def test_text_without_an_end_is_gone_through_once(spark):
+    """An unclosed string of many escapes took the square of its length when each quote was tried anew."""
+    bad = '"' + '\\"' * 400_000
+    one = lambda v: spark.createDataFrame([(1, v)], "id long, j string")
+    got = reconcile.differences(one(bad), one(bad + "\\"), "id", ["j"]).first()
+    assert (got["problem"], got["ours"]) == ("value_differs", bad)
