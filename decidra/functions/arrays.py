@@ -25,6 +25,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def apart(value: Column) -> Column:
+    """`value`, in a projection that isn't fused with others: its code is then split into methods that the JVM compiles (it leaves those of more than 8000 bytes uncompiled)."""
+    return let(value, lambda x: x)
+
+
 def running(values: Column) -> Column:
     """Prefix sums, in one pass over the array."""
     step = lambda a, x: F.struct((a["s"] + x).alias("s"), F.array_append(a["out"], a["s"] + x).alias("out"))

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import apart
 from .presentation import POOL_OF, presented, records, solved
 from .sampling import drawn
 from .synth import COLORS, PEOPLE, chance
@@ -64,30 +65,44 @@ CHOICES = {"eligibility": PEOPLE, "ownership": PEOPLE, "finite_draw": COLORS, "l
 ASKED = {"ownership": PEOPLE, "finite_draw": COLORS}
 
 
-def _views(roots: DataFrame, root: str, seed: str, family: str) -> DataFrame:
-    """The views of one family; what depends on the family is settled here, so that no row chooses among all families' expressions."""
-    text, variant = F.col(root).cast("string"), F.col("variant")
-    facts = roots.select(text.alias("root"), F.to_json(facts_of(family, seed, text)).alias("facts"))
-    both = facts.select("root", F.lit(family).alias("family"), F.lit(POOL_OF[family]).alias("pool"), "facts", F.explode(F.array(F.lit(0), F.lit(1))).alias("variant"))
-    kinds = KINDS[family]
-    qtype = F.when(variant == 0, kinds[0]).otherwise(kinds[1]) if kinds[0] != kinds[1] else F.lit(kinds[0])
-    order, asked = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
+def drafts(roots: DataFrame, root: str, seed: str, family: str) -> DataFrame:
+    """What a family's two views are made of, one row for each root: root, facts (JSON), orders (of each view its order, or null) and asked."""
+    text = F.col(root).cast("string")
+    orders, asked = F.lit(None).cast("array<array<string>>"), F.lit(None).cast("string")
     if family in CHOICES:
-        keyed = F.array(*[F.struct(drawn(f"{seed}/order", F.lit(family), "root", variant, F.lit(n)).alias("h"), F.lit(n).alias("n")) for n in CHOICES[family]])
-        order = F.when(qtype == "choice", F.transform(F.array_sort(keyed), lambda x: x["n"]))
+        order = lambda v: F.sort_array(F.array(*[F.struct(drawn(f"{seed}/order", F.lit(family), text, F.lit(v), F.lit(n)).alias("h"), F.lit(n).alias("n")) for n in CHOICES[family]]))["n"]
+        orders = F.array(*[order(v) if kind == "choice" else F.lit(None).cast("array<string>") for v, kind in enumerate(KINDS[family])])
     if family in ASKED:
         names = ASKED[family]
-        asked = F.when(qtype == "noul", F.array(*[F.lit(n) for n in names])[chance(f"{seed}/asked", F.col("root"), "name", len(names))])
+        asked = F.array(*[F.lit(n) for n in names])[chance(f"{seed}/asked", text, "name", len(names))]
+    return roots.select(apart(text).alias("root"), F.to_json(facts_of(family, seed, text)).alias("facts"), orders.alias("orders"), asked.alias("asked"))
+
+
+def spread(rows: DataFrame, family: str) -> DataFrame:
+    """Two views for each draft of one family; what depends on the family is settled here, so that no row chooses among all families' expressions.
+
+    Columns beside those of a draft are kept; views of drafts without a root (of which several may be one row) have no ids.
+    """
+    variant, kinds = F.col("variant"), KINDS[family]
+    qtype = F.when(variant == 0, kinds[0]).otherwise(kinds[1]) if kinds[0] != kinds[1] else F.lit(kinds[0])
+    kept = [c for c in rows.columns if c not in ("orders", "asked")]
+    both = rows.select("*", F.lit(family).alias("family"), F.lit(POOL_OF[family]).alias("pool"), F.explode(F.array(F.lit(0), F.lit(1))).alias("variant"))
     group = F.concat_ws(":", "pool", "family", "root")
-    return both.select("*", qtype.alias("qtype"), group.alias("group_id"), F.concat(group, F.lit(":base")).alias("case_id"), F.concat(group, F.lit(":view"), variant.cast("string")).alias("view_id"), variant.alias("wording"), asked.alias("asked"), order.alias("order"))
+    ids = [group.alias("group_id"), F.concat(group, F.lit(":base")).alias("case_id"), F.concat(group, F.lit(":view"), variant.cast("string")).alias("view_id")] if "root" in kept else []
+    order = F.when(qtype == "choice", F.get("orders", variant)) if family in CHOICES else F.col("orders")[0]
+    return both.select(*kept, "family", "pool", "variant", qtype.alias("qtype"), *ids, variant.alias("wording"), F.when(qtype == "noul", F.col("asked")).alias("asked"), order.alias("order"))
 
 
 def views(roots: DataFrame, root: str, seed: str, families: tuple[str, ...] = tuple(POOL_OF)) -> DataFrame:
     """Two rows for each value of `root` and family: root, family, pool, variant, ids, facts (JSON), qtype, wording, asked and order."""
-    return reduce(DataFrame.unionByName, [_views(roots, root, seed, f) for f in families])
+    return reduce(DataFrame.unionByName, [spread(drafts(roots, root, seed, f), f) for f in families])
 
 
 def grid(roots: DataFrame, root: str, seed: str, families: tuple[str, ...] = tuple(POOL_OF)) -> DataFrame:
     """The grid's records: views presented and solved from what they show, family by family."""
-    one = lambda f: records(solved(presented(_views(roots, root, seed, f), (f,)), families=(f,)))
-    return reduce(DataFrame.unionByName, [one(f) for f in families])
+    return reduce(DataFrame.unionByName, [recorded(spread(drafts(roots, root, seed, f), f), f) for f in families])
+
+
+def recorded(rows: DataFrame, family: str, known: str | None = None) -> DataFrame:
+    """The records of one family's views; `known` as in `solved`."""
+    return records(solved(presented(rows, (family,)), families=(family,), known=known))

@@ -162,38 +162,69 @@ def _event(p: Column, keys: Column, yes: str) -> Column:
     return F.transform(keys, lambda k: F.when(k == yes, p).otherwise(F.struct((p["d"] - p["n"]).alias("n"), p["d"].alias("d"))))
 
 
-def solved(rows: DataFrame, name: str = "exact", families: tuple[str, ...] = FAMILIES) -> DataFrame:
-    """Adds `name`: of each option its exact chance as a fraction (n, d), from state, instructions and options alone; null where the text can't be solved."""
+#: Families of whose states one value is all that a target needs: an answer, or the chance of the latent mixture.
+TOLD = tuple(f for f in FAMILIES if f not in ("finite_draw", "without_replacement"))
+
+
+def _observed(family: str) -> Column:
+    return F.when(F.col("family") == family, F.from_json("state", f"observations struct<{OBSERVATIONS[family]}>")["observations"])
+
+
+def told(rows: DataFrame, name: str, family: str) -> DataFrame:
+    """Adds `name`: what the states of one family of TOLD come to (a text; of the latent mixture a fraction), from the state alone.
+
+    Rows that share a state can so share its parsing, and rows whose states come to the same can be solved as one: see `known` in `solved`.
+    """
+    seen, kept = f"__seen_{family}", [c for c in rows.columns if c != name]
+    return rows.select("*", _observed(family).alias(seen)).select(*kept, _told(family, F.col(seen)).alias(name))
+
+
+def _told(family: str, seen: Column) -> Column:
+    of = lambda names: [seen[c] for c in names.split()]
+    if family == "eligibility":
+        return R.eligible(*of("candidates minimum_capacity maximum_delay"))
+    if family == "preservation":
+        return F.when(R.preserved(*of("authorized frozen balance change reserve ceiling")), "true").otherwise("false")
+    if family == "ownership":
+        return R.final_owner(*of("initial_owner events"))
+    if family == "shipment":
+        return R.shipment_level(*of("packed required seal_intact inspection handed_over receipt_validation")).cast("string")
+    if family == "laboratory":
+        return R.laboratory_level(seen).cast("string")
+    if family == "deployment":
+        return R.deployment_level(seen).cast("string")
+    if family == "latent_mixture":
+        return R.latent_mixture(seen["mechanisms"])
+    raise ValueError(f"more than one value: {family}")
+
+
+def solved(rows: DataFrame, name: str = "exact", families: tuple[str, ...] = FAMILIES, known: str | None = None) -> DataFrame:
+    """Adds `name`: of each option its exact chance as a fraction (n, d), from state, instructions and options alone; null where the text can't be solved.
+
+    `known` names a column with what the state comes to, as `told` has it, where that is there already; rows are of one family of TOLD then and need no state.
+    """
     family, qtype, keys, asked, answer = (F.col(c) for c in ("family", "qtype", "__keys", "__asked", "__answer"))
     # A state is parsed once, into a column of its own for each family, and each key sees an answer that is already there.
-    observed = {f: F.when(family == f, F.from_json("state", f"observations struct<{OBSERVATIONS[f]}>")["observations"]) for f in families if f != "without_replacement"}
-    process = F.when(family == "without_replacement", F.from_json("state", "process string")["process"])
-    parsed = rows.select("*", F.transform("options", lambda o: o["key"]).alias("__keys"), asked_of(family, F.col("instructions")).alias("__asked"), process.alias("__process"), *[x.alias(f"__seen_{f}") for f, x in observed.items()])
-    seen = {f: F.col(f"__seen_{f}") for f in observed}
-    of = lambda f, names: [seen[f][c] for c in names.split()]
+    unseen = [f for f in families if f != "without_replacement"] if known is None else []
+    process = [F.when(family == "without_replacement", F.from_json("state", "process string")["process"]).alias("__process")] if "without_replacement" in families else []
+    parsed = rows.select("*", F.transform("options", lambda o: o["key"]).alias("__keys"), asked_of(family, F.col("instructions")).alias("__asked"), *process, *[_observed(f).alias(f"__seen_{f}") for f in unseen])
+    seen = {f: F.col(f"__seen_{f}") for f in unseen}
     yes = lambda c: F.when(c, "true").otherwise("false")
     total = lambda counts: F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda a, x: a + x)
     pattern = RULES["without_replacement"].replace(".", r"\.").replace("{draws}", r"(\d+)").replace("{red}", r"(\d+)").replace("{blue}", r"(\d+)")
     number = lambda i: F.nullif(F.regexp_extract("__process", pattern, i), F.lit("")).cast("int")
 
     # By family, what its facts come to: an answer for hard targets, a number or a fraction for others.
-    first = {
-        "eligibility": lambda: R.eligible(*of("eligibility", "candidates minimum_capacity maximum_delay")),
-        "preservation": lambda: yes(R.preserved(*of("preservation", "authorized frozen balance change reserve ceiling"))),
-        "ownership": lambda: R.final_owner(*of("ownership", "initial_owner events")),
-        "shipment": lambda: R.shipment_level(*of("shipment", "packed required seal_intact inspection handed_over receipt_validation")).cast("string"),
-        "laboratory": lambda: R.laboratory_level(seen["laboratory"]).cast("string"),
-        "deployment": lambda: R.deployment_level(seen["deployment"]).cast("string"),
-    }
-    hard = {f: x() for f, x in first.items() if f in families}
-    known = [_by(family, hard).cast("string").alias("__answer")]
+    first = {f: _told(f, seen[f]) if known is None else F.col(known) for f in families if f in TOLD}
+    mixture = first.pop("latent_mixture", None)
+    known_columns = [_by(family, first).cast("string").alias("__answer")]
     if "finite_draw" in families:
-        known.append(total(seen["finite_draw"]["counts"]).alias("__total"))
-    if "latent_mixture" in families:
-        known.append(R.latent_mixture(seen["latent_mixture"]["mechanisms"]).alias("__mixture"))
+        known_columns.append(total(seen["finite_draw"]["counts"]).alias("__total"))
+    if mixture is not None:
+        known_columns.append(mixture.alias("__mixture"))
     if "without_replacement" in families:
-        known += [number(i + 1).alias(f"__{c}") for i, c in enumerate(("draws", "red", "blue"))]
-    rows_known = parsed.select("*", *known)
+        known_columns += [number(i + 1).alias(f"__{c}") for i, c in enumerate(("draws", "red", "blue"))]
+    rows_known = parsed.select("*", *known_columns)
 
     chance = lambda color: R.fraction(F.coalesce(F.try_element_at(seen["finite_draw"]["counts"], color), F.lit(0)).cast("long"), F.col("__total"))
     last = {
@@ -223,23 +254,30 @@ def records(rows: DataFrame) -> DataFrame:
     )
 
 
-def problem(rows: DataFrame, name: str = "problem", families: tuple[str, ...] = FAMILIES) -> DataFrame:
+def shown(families: tuple[str, ...] = FAMILIES) -> Column:
+    """Whether a state is what the facts render to."""
+    return state_of(F.col("family"), F.col("facts"), families).eqNullSafe(F.col("state"))
+
+
+def problem(rows: DataFrame, name: str = "problem", families: tuple[str, ...] = FAMILIES, known: str | None = None, seen: str | None = None) -> DataFrame:
     """Adds `name`: the first thing wrong with a stored record, or null.
 
+    Where facts and states are no longer there, `known` and `seen` name columns with what the stored state came to (as in `solved`) and whether it was as it is shown.
+
     pool, presentation (state, instructions or options aren't what the facts render to), template, options (fewer than two, or ids that don't fit), unsolvable, kind, keys (of the probabilities, in order),
     not_one_hot, target (a probability isn't the chance that follows from the visible text), fractions, sum.
     """
     f, q = F.col("family"), F.col("qtype")
     keys = F.col("__keys")
     differs = lambda a, b: ~a.eqNullSafe(b)
-    solved_rows = solved(rows, "__exact", families).select("*", F.transform("options", lambda o: o["key"]).alias("__keys"))
+    solved_rows = solved(rows, "__exact", families, known).select("*", F.transform("options", lambda o: o["key"]).alias("__keys"))
     exact = F.col("__exact")
     off = F.exists(F.zip_with("probabilities", exact, lambda p, x: F.coalesce(F.abs(p - x["n"] / x["d"]) > 1e-12, F.lit(True))), lambda bad: bad)
     total = F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x)
     soft = F.col("pool") == "synthetic_probability"
     first = (
         F.when(differs(_by(f, {k: F.lit(v) for k, v in POOL_OF.items() if k in families}), F.col("pool")), "pool")
-        .when(differs(state_of(f, F.col("facts"), families), F.col("state")) | differs(instructions_of(f, q, F.col("wording"), F.col("asked"), families), F.col("instructions")) | differs(options_of(f, q, F.col("order"), F.col("facts"), families), F.col("options")), "presentation")
+        .when(~(shown(families) if seen is None else F.col(seen)) | differs(instructions_of(f, q, F.col("wording"), F.col("asked"), families), F.col("instructions")) | differs(options_of(f, q, F.col("order"), F.col("facts"), families), F.col("options")), "presentation")
         .when(differs(F.concat_ws(".", f, q, F.concat(F.lit("v"), (F.col("wording") + 1).cast("string"))), F.col("template_id")) | (F.coalesce("sampling_stratum", F.lit("")) == ""), "template")
         .when((F.size(keys) < 2) | differs(F.transform(keys, lambda k: F.concat_ws(":", f, q, k)), F.col("option_ids")) | (F.size(F.array_distinct(keys)) < F.size(keys)), "options")
         .when(exact.isNull() | F.exists(exact, lambda x: x.isNull()), "unsolvable")
